@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialforge.llm import exact_dedup, packing, quality, url_templates
-from trialforge.llm._common import read
+from trialforge.llm import exact_dedup, language_id, packing, quality, url_templates
+from trialforge.llm._common import fold, read
 from trialforge.llm.token_counts import count_tokens
 
 ORACLE_SQL: dict[str, str] = {}
@@ -47,3 +47,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's url."""
     return url_templates.judged(read(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from three quarters of them."""
+    docs, held_out = read(spark, sf_dir, "documents"), fold(F.col("doc_id"), 4, 2)
+    out = language_id.identified(docs, ~held_out)
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "margin")
