@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialforge.llm import exact_dedup, language_id, packing, quality, url_templates
+from trialforge.llm import exact_dedup, language_id, packing, quality, url_templates, warc
 from trialforge.llm._common import fold, read
 from trialforge.llm.token_counts import count_tokens
 
@@ -54,3 +54,21 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = read(spark, sf_dir, "documents"), fold(F.col("doc_id"), 4, 2)
     out = language_id.identified(docs, ~held_out)
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "margin")
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back through the capture index."""
+    directory, folder = warc.archive(read(spark, sf_dir, "pages"), min_bytes=0)
+    back = warc.read_records(directory, folder)
+    return back.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+# base32 by five bits at a time over the 160 bits of the digest
+ORACLE_SQL["op10_warc"] = """
+    WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha1(coalesce(html, '')) AS h FROM pages),
+    bits AS (SELECT page_id, octet_length(b) AS payload_bytes, h, CAST(unhex(h) AS BIT)::VARCHAR AS v FROM p),
+    d AS (SELECT page_id, payload_bytes, h, array_to_string(list_transform(range(32), lambda i:
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(list_sum(list_transform(range(5), lambda j: CAST(substr(v, CAST(5 * i + j + 1 AS BIGINT), 1) AS INT) * CAST(pow(2, 4 - j) AS INT))) AS BIGINT), 1)), '') AS payload_digest FROM bits),
+    f AS (SELECT h, min(page_id) AS first FROM d GROUP BY h)
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+        CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to FROM d JOIN f USING (h)"""
