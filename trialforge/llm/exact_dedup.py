@@ -135,7 +135,7 @@ def repeated_fingerprints(fps: DataFrame, n_rows: int) -> DataFrame:
 
 def duplicate_classes(docs: DataFrame, prints: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """fp, sha, keep_id, group_size of every group of two or more equal texts, equal byte by byte. prints: fingerprinted(docs), stored."""
-    again = repeated_fingerprints(prints, prints.count())
+    again = stored(repeated_fingerprints(prints, prints.count()), "repeated")  # its size is known then: small ones are broadcast by Spark's own check
     own = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm")).withColumn("fp", F.xxhash64("norm"))
     suspects = own.join(again, "fp", "left_semi")
     same = suspects.groupBy("fp", "norm").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
