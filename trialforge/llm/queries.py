@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialforge.llm import exact_dedup, language_id, packing, quality, url_templates, warc
+from trialforge.llm import exact_dedup, language_id, near_dedup, packing, quality, url_templates, warc
 from trialforge.llm._common import fold, read
 from trialforge.llm.token_counts import count_tokens
 
@@ -72,3 +72,8 @@ ORACLE_SQL["op10_warc"] = """
     f AS (SELECT h, min(page_id) AS first FROM d GROUP BY h)
     SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
         CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to FROM d JOIN f USING (h)"""
+
+
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-duplicate documents."""
+    return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), percent=85)
