@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialforge.llm import exact_dedup, language_id, near_dedup, packing, quality, url_templates, warc
+from trialforge.llm import exact_dedup, language_id, near_dedup, packing, quality, suffix_tree, url_templates, warc
 from trialforge.llm._common import fold, read
 from trialforge.llm.token_counts import count_tokens
 
@@ -77,3 +77,8 @@ ORACLE_SQL["op10_warc"] = """
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near-duplicate documents."""
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), percent=85)
+
+
+def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document under a suffix tree learned from six sevenths of them."""
+    return suffix_tree.scored(read(spark, sf_dir, "documents"), ~fold(F.col("doc_id"), 7, 2))
