@@ -1,11 +1,58 @@
-"""The corpus pipeline: stages over documents, each by one operator."""
+"""The corpus pipeline: quality rules, language identification, exact duplicates, near duplicates, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and all but the last return the columns
+of documents. run() writes each stage's rows in the shared folder and reads them back as the next one's docs.
+
+Stages of models have no SQL; tests hold the whole against brute force. Null texts, empty tables, repeated rows and
+further columns are handled as the operators of the stages say.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trialforge.llm import exact_dedup, language_id, near_dedup, packing, quality
+from trialforge.llm._common import read, stored
+
+#: A document is rejected by its language if it has no letter, or is less like any language than this cosine.
+LEAST_COSINE = 0.02
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the base rule and the trees keep."""
+    return quality.judged(docs, read(spark, sf_dir, "labels")).where("kept").select("row.*")
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that are in one of the languages learned from the rows' own labels."""
+    sure = (F.col("told.lang_pred") != "und") & (F.col("told.score") >= LEAST_COSINE)
+    return language_id.identified(docs).where(sure).select("row.*")
+
+
+def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of equal texts."""
+    return exact_dedup.distinct_rows(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each component of near duplicates (five words, 0.8)."""
+    return near_dedup.distinct_rows(docs, percent=80)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all rows in sequences of 4096 tokens, with their ids and the CRC-32 of these."""
+    pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, length=4096)
+    return pieces.withColumn("ids_crc32", F.crc32("ids"))
+
+
+STAGES = [("quality_rules", quality_rules), ("language", language), ("exact_duplicates", exact_duplicates), ("near_duplicates", near_duplicates), ("packing", packed)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), name)
     return docs

@@ -118,39 +118,36 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", seed:
     return [k for k, _ in found], unit.astype(np.float32)
 
 
-def predict(docs: DataFrame, languages: list[str], prototypes: np.ndarray, id_col: str = "doc_id", text_col: str = "text", seed: int = 7) -> DataFrame:
-    """id, lang_pred, score (the best cosine, 0 at least), margin (to the second best) of every row."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def predicted(languages: list[str], prototypes: np.ndarray, seed: int = 7):
+    """A column function from texts as bytes to a struct of lang_pred, score (the best cosine, 0 at least) and margin (to the second best)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("lang_pred string, score double, margin double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            raw = x["raw"].tolist()
+            raw = x.tolist()
             pred, score, margin = np.array(["und"] * len(raw), object), np.zeros(len(raw)), np.zeros(len(raw))
             for part in parts_of(raw) if languages else ():
                 owner, codes, n = trigram_counts(raw[part])
                 m = part.stop - part.start
-                seen = np.zeros(m, bool)
-                bundle = np.zeros((m, DIMENSIONS), np.float32)
-                # A trigram of gaps alone has no letter.
+                seen, bundle = np.zeros(m, bool), np.zeros((m, DIMENSIONS), np.float32)
                 distinct, column = np.unique(codes, return_inverse=True)
                 for a in range(0, len(distinct), 2048):
                     take = (column >= a) & (column < a + 2048)
                     table = np.zeros((m, min(2048, len(distinct) - a)), np.float32)
                     table[owner[take], column[take] - a] = n[take]
                     bundle += table @ trigram_vectors(distinct[a : a + 2048], seed).astype(np.float32)
-                seen[owner[(codes // LETTERS % LETTERS != 0) | (codes % LETTERS != 0) | (codes // LETTERS**2 != 0)]] = True
+                seen[owner[codes != 0]] = True  # a trigram of gaps alone has no letter
                 cosine = bundle @ prototypes.T / np.maximum(np.linalg.norm(bundle, axis=1, keepdims=True), 1e-9)
-                best = cosine.argmax(1)
                 top = np.sort(cosine, axis=1)
-                pred[part] = np.where(seen, np.array(languages, object)[best], "und")
+                pred[part] = np.where(seen, np.array(languages, object)[cosine.argmax(1)], "und")
                 score[part] = np.where(seen, np.clip(top[:, -1], 0, 1), 0)
-                margin[part] = np.where(seen & (top.shape[1] > 1), top[:, -1] - top[:, -2] if top.shape[1] > 1 else 0, 0)
-            yield pd.DataFrame({"id": x["id"], "lang_pred": pred, "score": score, "margin": margin})
+                margin[part] = np.where(seen, top[:, -1] - top[:, -2], 0) if top.shape[1] > 1 else 0
+            yield pd.DataFrame({"lang_pred": pred, "score": score, "margin": margin})
 
-    rows = docs.select(F.col(id_col).alias("id"), raw_text(F.col(text_col)).alias("raw"))
-    return rows.mapInPandas(run, f"id {kind}, lang_pred string, score double, margin double").withColumnRenamed("id", id_col)
+    return run
 
 
-def identified(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Predictions for all rows of docs, learned from the rows where `training` is true."""
-    return predict(docs, *train(docs.where(training), text_col, lang_col), id_col, text_col)
+def identified(docs: DataFrame, training: Column | None = None, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """row (the row's columns) and told (lang_pred, score, margin) of all rows of docs, learned from the rows where `training` is true (or all)."""
+    model = train(docs if training is None else docs.where(training), text_col, lang_col)
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), predicted(*model)(raw_text(F.col(text_col))).alias("told"))

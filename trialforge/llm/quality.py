@@ -1,6 +1,6 @@
 """Quality rules: gradient-boosted trees over document statistics.
 
-document_statistics() measures whole texts. fit() grows trees on a bounded sample of labelled rows (the `sample`
+measured() takes the statistics of whole texts. fit() grows trees on a bounded sample of labelled rows (the `sample`
 parameter, taken by the hash of the id, so it does not depend on the row order), by histograms, with monotonic
 constraints on chosen features. The trees are flattened into numpy node arrays, and scoring walks all rows of a batch
 down all trees at once.
@@ -162,20 +162,23 @@ def grow(x: np.ndarray, y: np.ndarray, signs: list[int], trees: int = 60, depth:
     return Trees(feature, threshold, child, value, depth, base)
 
 
-def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", score=None) -> DataFrame:
-    """id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, features, and good: the model's probability (null without one)."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def measured(score: Trees | None = None, features: bool = False):
+    """A column function from texts as bytes to a struct of their statistics, base_failed, the model's probability `good` (null without a model) and, if asked for, the features."""
+    longs = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf(", ".join(f"{c} long" for c in longs) + ", base_failed boolean, good double" + ", features array<double>" * features)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            s = statistics(x["raw"].tolist())
+            s = statistics(x.tolist())
             f = s[list(FEATURES)].to_numpy(np.float64)
-            yield pd.DataFrame({"id": x["id"], **{c: s[c].astype(np.int64) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}, "features": list(f), "good": score.probability(f) if score else None})
+            out = s[list(longs)].astype(np.int64)
+            out["base_failed"] = (out["n_words"] < 20) | (100 * out["n_repeat_words"] > 30 * out["n_words"])
+            out["good"] = score.probability(f) if score else np.full(len(f), np.nan)
+            if features:
+                out["features"] = list(f)
+            yield out
 
-    rows = docs.select(F.col(id_col).alias("id"), raw_text(F.col(text_col)).alias("raw"))
-    out = rows.mapInPandas(run, f"id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, features array<double>, good double")
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return out.withColumn("base_failed", failed).withColumnRenamed("id", id_col)
+    return run
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Trees | None:
@@ -183,8 +186,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, id_col: str =
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
     chosen = marks.orderBy(F.xxhash64("id"), "id").limit(sample)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("text").alias("text"))
-    stats = document_statistics(rows, "id", "text").select("id", "features").join(F.broadcast(chosen), "id")
-    known = stats.select("id", "features", "y").toPandas().sort_values("id", kind="stable")
+    stats = rows.select("id", measured(features=True)(raw_text(F.col("text"))).alias("s")).join(F.broadcast(chosen), "id")
+    known = stats.select("id", F.col("s.features").alias("features"), "y").toPandas().sort_values("id", kind="stable")
     y = (known["y"].to_numpy() > 0).astype(np.float64)
     if len(y) < 20 or y.min() == y.max():
         return None
@@ -192,6 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, id_col: str =
 
 
 def judged(docs: DataFrame, labels: DataFrame, cut: float = 0.5, sample: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Statistics of every row, with kept: not base_failed, and a probability of good quality of `cut` or more."""
+    """row (the row's columns), stats (its statistics), kept: not base_failed, and a probability of good quality of `cut` or more."""
     trees = fit(docs, labels, sample, id_col, text_col)
-    return document_statistics(docs, id_col, text_col, trees).withColumn("kept", ~F.col("base_failed") & (F.coalesce("good", F.lit(1.0)) >= cut))
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), measured(trees)(raw_text(F.col(text_col))).alias("stats"))
+    return out.withColumn("kept", ~F.col("stats.base_failed") & (F.lit(trees is None) | (F.col("stats.good") >= cut)))

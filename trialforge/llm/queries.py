@@ -34,8 +34,8 @@ ORACLE_SQL["op5_exact_dedup"] = """
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and verdict of every document."""
-    out = quality.judged(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("good").alias("quality_score"))
+    out = quality.judged(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels"))
+    return out.select("row.doc_id", "stats.n_words", "stats.word_chars", "stats.n_symbols", "stats.n_dup_lines", "stats.n_repeat_words", "stats.base_failed", "kept", F.col("stats.good").alias("quality_score"))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,9 +51,9 @@ def op4_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from three quarters of them."""
-    docs, held_out = read(spark, sf_dir, "documents"), fold(F.col("doc_id"), 4, 2)
-    out = language_id.identified(docs, ~held_out)
-    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "margin")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = language_id.identified(docs, ~fold(F.col("doc_id"), 4, 2))
+    return out.select("row.doc_id", fold(F.col("row.doc_id"), 4, 2).alias("held_out"), "told.*")
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
