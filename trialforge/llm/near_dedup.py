@@ -22,7 +22,7 @@ link nothing. An empty table gives no rows. Other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -67,6 +67,12 @@ class Shingler:
         return out
 
 
+@lru_cache(1)
+def shingler() -> Shingler:
+    """One for each Python worker, so that tasks that follow one another share what it remembers."""
+    return Shingler()
+
+
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
     """K minima (32 bits each) of each non-empty set."""
     out = np.empty((len(sets), K), np.uint32)
@@ -117,11 +123,11 @@ def profiles(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler = Shingler()
+        shingles = shingler()
         for x in batches:
             raw = x["raw"].tolist()
             for part in chunks(raw, AT_ONCE):
-                sets = shingler(raw[part])
+                sets = shingles(raw[part])
                 full = [s for s in sets if len(s)]
                 minima = signatures(full)
                 sig, bands, filled = iter(packed_bits(minima)), iter(band_keys(minima)), []
@@ -137,11 +143,11 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) ->
     """node, set (sorted hashes as bytes) of the rows whose id is in ids (column node)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler = Shingler()
+        shingles = shingler()
         for x in batches:
             raw = x["raw"].tolist()
             for part in chunks(raw, AT_ONCE):
-                sets = [s.tobytes() for s in shingler(raw[part])]
+                sets = [s.tobytes() for s in shingles(raw[part])]
                 yield pd.DataFrame({"node": x["node"].iloc[part], "set_key": [xxhash.xxh3_128_digest(s) for s in sets], "set": sets})
 
     rows = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(ids.select("node"), "node", "left_semi")

@@ -15,6 +15,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -142,12 +143,18 @@ class Counter:
         return counts
 
 
+@lru_cache(4)
+def counter_of(path: str) -> Counter:
+    """One counter for each Python worker, so that tasks that follow one another share what it remembers."""
+    return Counter(path)
+
+
 def count_tokens(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024) -> DataFrame:
     """One row per row of df: id, n_bytes, n_tokens, over_limit. `vocabulary` is the path of a byte-level BPE file on every executor."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counter = Counter(vocabulary)
+        counter = counter_of(vocabulary)
         for x in batches:
             raw = x["raw"].tolist()
             yield pd.DataFrame({"id": x["id"], "n_bytes": [len(t) for t in raw], "n_tokens": counter(raw)})
