@@ -6,11 +6,15 @@ two packed signatures, corrected for the 2**-B of chance collisions, estimate th
 is SLACK standard errors below the threshold are no links. What remains is confirmed on the full sets.
 
 A bucket is not expanded into pairs. Its members are first compared with centres: the member closest to the bucket's
-majority signature, then the one closest to that of the members left, and so on. Once the confirmed links' components
-are known, only pairs of different components are left to test; since every such pair has a member outside the first
-centre's component, only those members look for partners, best estimates first. So no link between components is
-lost, but a dense group costs about one test for each member. (A pair with similarity s shares a bucket with
-probability 1 - (1 - s**ROWS)**BANDS: all but 5e-8 of the pairs at 0.8, and 6e-11 at 0.85.)
+majority signature, then the one closest to that of the members left, and so on; a centre and what it takes is a star.
+Once the confirmed links' components are known, only pairs of different components are left to test. Within a star,
+each member is reduced to its symmetric difference with the centre; two members' symmetric difference follows from the
+sizes of theirs and what these share, so members outside the centre's component find all their links by an inverted
+index over small differences, in blocks of members, and only links come out. (Members that share no difference cannot
+be linked if one of them is not linked with the centre.) Between stars of a bucket, members outside the first centre's
+component look for partners by their signatures. So no link between components is lost, and a dense group costs about
+one test for each member. (A pair with similarity s shares a bucket with probability 1 - (1 - s**ROWS)**BANDS: all but
+5e-8 of the pairs at 0.8, and 6e-11 at 0.85.)
 
 Components: large-star and small-star steps on links, until nothing changes.
 
@@ -35,7 +39,7 @@ from trialforge.llm._common import chunks, mix64, raw_text, stored
 WORDS, K, B, ROWS = 5, 128, 2, 4
 BANDS = K // ROWS
 SLACK = 6.0
-AT_ONCE, REMEMBERED, BUCKET_CHUNK = 4_000_000, 1_000_000, 20_000
+AT_ONCE, REMEMBERED, STAR_BLOCK, STAR_CHUNK, MEETINGS = 4_000_000, 1_000_000, 4_000, 20_000, 4_000_000
 PACKED = K * B // 8
 _CELLS = mix64(np.arange(1, 2 * K + 1, dtype=np.uint64))
 MULTIPLY = (_CELLS[:K] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -217,12 +221,85 @@ def buckets_of(nodes: DataFrame, threshold: float) -> DataFrame:
     return dealt.mapInPandas(run, "key long, node long, n long, sig binary, centre long, first boolean")
 
 
+def star_links(stars: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: links between members of one star in different components, one for each member and component it reaches.
+
+    stars: node, centre. Members outside the centre's component are queries, in blocks of about STAR_BLOCK; all members
+    are targets of each block.
+    """
+    own = stars.join(labels, "node", "left").select("node", "centre", F.coalesce("comp", "node").alias("comp"))
+    main = labels.select(F.col("node").alias("centre"), F.col("comp").alias("main"))
+    own = own.join(main, "centre", "left").withColumn("outside", F.col("comp") != F.coalesce("main", "centre"))
+    open_ = own.groupBy("centre").agg(F.sum(F.col("outside").cast("long")).alias("queries"), F.count("*").alias("members")).where("queries > 0 and members > 1")
+    rows = own.join(open_.select("centre", F.ceil(F.col("queries") / STAR_BLOCK).alias("blocks")), "centre")
+    rows = rows.join(sets, "node").join(sets.select(F.col("node").alias("centre"), F.col("set").alias("middle")), "centre")
+
+    def reduce_(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            differ = []
+            for p, q in zip(x["set"], x["middle"], strict=True):
+                both = np.sort(np.concatenate([np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)]))
+                twice = np.append(both[1:] == both[:-1], False)
+                differ.append(both[~(twice | np.append(False, twice[:-1]))].tobytes())
+            yield x[["centre", "blocks", "outside", "node", "comp"]].assign(n=[len(p) // 8 for p in x["set"]], differ=differ)
+
+    small = rows.select("centre", "blocks", "outside", "node", "comp", "set", "middle").mapInPandas(reduce_, "centre long, blocks long, outside boolean, node long, comp long, n long, differ binary")
+    small = stored(small, "differences")
+    keep = ["centre", "node", "comp", "n", "differ"]
+    queries = small.where("outside").select(F.lit(0).alias("role"), F.pmod(F.xxhash64("node"), "blocks").alias("block"), *keep)
+    targets = small.select(F.lit(1).alias("role"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), *keep)
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, queries_ = None, []
+        for x in batches:
+            for key, part in x.groupby(["centre", "block"], sort=True):
+                if key != at:
+                    at, queries_ = key, []
+                asks = part[part["role"] == 0]
+                if len(asks):
+                    queries_.append(asks)
+                rest = part[part["role"] == 1]
+                for a in range(0, len(rest), STAR_CHUNK):
+                    yield met(pd.concat(queries_), rest.iloc[a : a + STAR_CHUNK], percent) if queries_ else pd.DataFrame({"a": [], "b": []})
+
+    dealt = queries.union(targets).repartition("centre", "block").sortWithinPartitions("centre", "block", "role", "node")
+    return dealt.mapInPandas(meet, "a long, b long").distinct()
+
+
+def met(queries: pd.DataFrame, targets: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links of queries with targets in other components, one for each query and component, from differences with a common centre."""
+    sizes = [queries["differ"].str.len().to_numpy() // 8, targets["differ"].str.len().to_numpy() // 8]
+    flat = [np.frombuffer(b"".join(x["differ"]), np.uint64) for x in (queries, targets)]
+    owner = [np.repeat(np.arange(len(s)), s) for s in sizes]
+    order = np.argsort(flat[0], kind="stable")
+    index, whose = flat[0][order], owner[0][order]
+    low, high = np.searchsorted(index, flat[1], "left"), np.searchsorted(index, flat[1], "right")
+    n, out, begin = high - low, [], 0
+    comp, node, size = ([x[c].to_numpy() for x in (queries, targets)] for c in ("comp", "node", "n"))
+    last = np.flatnonzero(np.append(owner[1][1:] != owner[1][:-1], True)) + 1 if len(owner[1]) else np.zeros(0, np.int64)
+    share = np.cumsum(n)[last - 1] // MEETINGS  # whole targets, about MEETINGS shared elements at a time
+    stops = last[np.append(share[1:] != share[:-1], True)] if len(last) else last
+    for e in stops:
+        m = n[begin:e]
+        spot = np.repeat(low[begin:e] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+        pair = np.repeat(owner[1][begin:e], m) * len(queries) + whose[spot]
+        pairs, shared = np.unique(pair, return_counts=True)
+        t, q = pairs // len(queries), pairs % len(queries)
+        apart = sizes[0][q] + sizes[1][t] - 2 * shared
+        total = size[0][q] + size[1][t]
+        good = (comp[0][q] != comp[1][t]) & (100 * (total - apart) >= percent * (total + apart))
+        a, b, c = node[0][q[good]], node[1][t[good]], comp[1][t[good]]
+        out.append(pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "q": a, "c": c}).drop_duplicates(["q", "c"]))
+        begin = e
+    return pd.concat(out)[["a", "b"]] if out else pd.DataFrame({"a": [], "b": []}).astype("int64")
+
+
 def cross_pairs(buckets: DataFrame, labels: DataFrame, threshold: float, low: float, high: float) -> DataFrame:
-    """a, b: pairs of one bucket with an estimate in [low, high), of different components, not with the bucket's first centre."""
+    """a, b: pairs of one bucket with an estimate in [low, high), of different components and different stars, so not with the bucket's first centre."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in grouped(batches, "key"):
-            keys, node, n, comp, first = (x[c].to_numpy() for c in ("key", "node", "n", "comp", "first"))
+            keys, node, n, comp, first, centre = (x[c].to_numpy() for c in ("key", "node", "n", "comp", "first", "centre"))
             out = []
             for a, b in spans(keys):
                 if (comp[a:b] == comp[a]).all():
@@ -232,7 +309,7 @@ def cross_pairs(buckets: DataFrame, labels: DataFrame, threshold: float, low: fl
                 main = part[first[a:b]][0] if first[a:b].any() else part[0]
                 outside = np.flatnonzero(part != main)
                 for k in outside:
-                    fits = (part != part[k]) & ((part == main) | (own > own[k]))
+                    fits = (part != part[k]) & (centre[a:b] != centre[a + k]) & ((part == main) | (own > own[k]))
                     fits &= np.minimum(size, size[k]) >= threshold * np.maximum(size, size[k]) - 1e-9
                     spots = np.flatnonzero(fits)
                     e = estimate(sigs[k], sigs[spots])
@@ -241,7 +318,7 @@ def cross_pairs(buckets: DataFrame, labels: DataFrame, threshold: float, low: fl
             if out:
                 yield pd.DataFrame(out, columns=["a", "b"])
 
-    rows = buckets.join(labels, "node", "left").select("key", "node", "n", "sig", F.coalesce("comp", "node").alias("comp"), (F.col("first") & (F.col("node") == F.col("centre"))).alias("first"))
+    rows = buckets.join(labels, "node", "left").select("key", "node", "n", "sig", "centre", F.coalesce("comp", "node").alias("comp"), (F.col("first") & (F.col("node") == F.col("centre"))).alias("first"))
     mixed = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
     dealt = rows.join(mixed, "key", "left_semi").repartition("key").sortWithinPartitions("key", "node")
     return dealt.mapInPandas(run, "a long, b long").distinct()
@@ -293,15 +370,18 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     buckets = stored(buckets_of(nodes, threshold), "buckets")
     wanted = stored(buckets.select("node").distinct().join(nodes.select("node", "set_key"), "node"), "wanted")
     sets = stored(shingle_sets(docs, wanted, id_col, text_col), "sets")
-    stars = buckets.where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-    links = [stored(confirmed(stars, sets, percent), "links")]
+    stars = stored(buckets.select("node", "centre").distinct(), "stars")
+    links = [stored(confirmed(stars.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")), sets, percent), "links")]
     labels = stored(components(links[0]), "labels")
-    step = (threshold - floor_of(threshold)) / 3
-    for low, high in ((threshold - step, 2.0), (floor_of(threshold), threshold - step)):
-        more = stored(cross_pairs(buckets, labels, threshold, low, high), "pairs")
-        if more.isEmpty():
-            continue
-        found = stored(confirmed(more, sets, percent), "links")
+    floor = floor_of(threshold)
+    step = (threshold - floor) / 3
+    rounds = [
+        lambda: star_links(stars, labels, sets, percent),
+        lambda: confirmed(stored(cross_pairs(buckets, labels, threshold, threshold - step, 2.0), "pairs"), sets, percent),
+        lambda: confirmed(stored(cross_pairs(buckets, labels, threshold, floor, threshold - step), "pairs"), sets, percent),
+    ]
+    for find in rounds:
+        found = stored(find(), "links")
         if not found.isEmpty():
             links.append(found)
             labels = stored(components(reduce(DataFrame.union, links)), "labels")
