@@ -31,15 +31,15 @@ def convergence_status(reply: Column) -> Column:
 
 
 def without_status(reply: Column) -> Column:
-    return F.trim(F.regexp_replace(reply, r"(?i)STATUS:\s*(NOT_CONVERGED|CONVERGED)", ""))
+    return F.regexp_replace(F.regexp_replace(reply, r"(?i)STATUS:\s*(NOT_CONVERGED|CONVERGED)", ""), r"^\s+|\s+$", "")
 
 
 def quick_score(reply: Column) -> tuple[Column, Column]:
     """The score in a reply (10 at most; 5.0 if there is none), and whether one was found."""
     inner = F.nullif(F.regexp_extract(reply, r'(\{[^}]*"overall_score"[^}]*\})', 1), F.lit(""))
     tries = [F.get_json_object(inner, "$.overall_score").try_cast("double")]
-    tries += [F.least(F.nullif(F.regexp_extract(reply, p, 1), F.lit("")).try_cast("double"), F.lit(10.0)) for p in SCORE_PATTERNS]
-    found = F.coalesce(*tries)
+    tries += [F.nullif(F.regexp_extract(reply, p, 1), F.lit("")).try_cast("double") for p in SCORE_PATTERNS]
+    found = F.coalesce(tries[0], F.when(F.coalesce(*tries[1:]).isNotNull(), F.least(F.coalesce(*tries[1:]), F.lit(10.0))))
     return F.coalesce(found, F.lit(5.0)), found.isNotNull()
 
 
