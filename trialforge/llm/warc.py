@@ -36,7 +36,7 @@ from trialforge.llm._common import new_path, raw_text, stored
 
 BLOCK_LINES = 3000
 ROLL_BYTES = 256_000_000
-READ_BYTES = 8_000_000
+READ_BYTES, TASK_LINES = 8_000_000, 20_000
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -206,8 +206,11 @@ def read_records(directory: DataFrame, folder: str) -> DataFrame:
     def frame(out: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame(out, columns=["id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"]).astype({"id": "Int64", "refers_to": "Int64"})
 
-    places = directory.select("file", "offset", "length").repartition("file", "offset").mapInPandas(captures, "key string, file string, offset long, length long")
-    dealt = places.select("file", "offset", "length").repartition("file", F.floor(F.col("offset") / (4 * READ_BYTES))).sortWithinPartitions("file", "offset")
+    # Places are few bytes but stand for much reading: the number of tasks follows the captures, not the shuffled bytes.
+    lines = directory.agg(F.sum("lines")).first()[0] or 0
+    tasks = max(int(directory.sparkSession.conf.get("spark.sql.shuffle.partitions")), lines // TASK_LINES)
+    places = directory.select("file", "offset", "length").repartition(tasks, "file", "offset").mapInPandas(captures, "key string, file string, offset long, length long")
+    dealt = places.select("file", "offset", "length").repartition(tasks, "file", F.floor(F.col("offset") / (READ_BYTES // 4))).sortWithinPartitions("file", "offset")
     return dealt.mapInPandas(records, "id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
