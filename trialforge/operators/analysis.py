@@ -121,7 +121,7 @@ def novelty(embeddings: DataFrame, group: list[str], vector: str = "embedding")
     """
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     unit = embeddings.select(*group, F.col(vector).alias("e"), norm.alias("norm")).where("e is not null")
-    cells = unit.select(*group, "norm", F.posexplode("e").alias("k", "x")).groupBy(*group, "k").agg(F.sum(F.when(F.col("norm") > 0, F.col("x").cast("double") / F.col("norm")).otherwise(0.0)).alias("s"))
+    cells = unit.select(*group, "norm", F.posexplode("e").alias("_place", "x")).groupBy(*group, "_place").agg(F.sum(F.when(F.col("norm") > 0, F.col("x").cast("double") / F.col("norm")).otherwise(0.0)).alias("s"))
     square = cells.groupBy(*group).agg(F.sum(F.col("s") * F.col("s")).alias("square"))
     sizes = unit.groupBy(*group).agg(F.count("*").alias("n"), F.sum((F.col("norm") > 0).cast("double")).alias("ones"))
     mean = (F.col("square") - F.col("ones")) / (F.col("n") * (F.col("n") - 1))

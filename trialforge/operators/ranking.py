@@ -113,7 +113,7 @@ def mann_whitney(rows: DataFrame, group: str, value: str, first: str, strata: li
     own = rows.where(F.col(group).isNotNull() & F.col(value).isNotNull()).groupBy(*s, F.col(value).alias("v")).agg(F.sum((F.col(group) == first).cast("long")).alias("a"), F.count("*").alias("t"))
     before = F.sum("t").over(Window.partitionBy(*(s or [F.lit(0)])).orderBy("v").rowsBetween(Window.unboundedPreceding, -1))
     ranked = own.withColumn("r", F.coalesce(before, F.lit(0)) + (F.col("t") + 1) / 2.0)
-    out = ranked.groupBy(*s).agg(F.sum("a").alias("n_first"), (F.sum("t") - F.sum("a")).alias("n_second"), F.sum(F.col("a") * F.col("r")).alias("rank_sum"), F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).cast("double").alias("ties"))
+    out = ranked.groupBy(*s).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(name) for name, c in (("n_first", F.col("a")), ("n_second", F.col("t") - F.col("a")))], F.coalesce(F.sum(F.col("a") * F.col("r")), F.lit(0.0)).alias("rank_sum"), F.coalesce(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).cast("double"), F.lit(0.0)).alias("ties"))
     n1, n2 = F.col("n_first"), F.col("n_second")
     u = F.col("rank_sum") - n1 * (n1 + 1) / 2.0
     return out.select(*s, "n_first", "n_second", u.alias("u"), F.when((n1 > 0) & (n2 > 0), 1 - 2 * u / (n1 * n2)).alias("effect"), "ties")
@@ -133,8 +133,9 @@ def spearman(rows: DataFrame, x: str, y: str, least: int = 5) -> DataFrame:
         return counts.select(c, (F.coalesce(before, F.lit(0)) + (F.col("t") + 1) / 2.0).alias(f"r{c}"))
 
     both = own.join(ranks("x"), "x").join(ranks("y"), "y")
-    out = both.agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("rho"))
-    return out.select("n", F.when((F.col("n") >= least) & ~F.isnan("rho"), F.col("rho")).alias("rho"))
+    spread = F.stddev_pop("rx") * F.stddev_pop("ry")
+    out = both.agg(F.count("*").alias("n"), F.covar_pop("rx", "ry").alias("together"), spread.alias("spread"))
+    return out.select("n", F.when((F.col("n") >= least) & (F.col("spread") > 0), F.col("together") / F.col("spread")).alias("rho"))
 
 
 def with_spearman_p(df: DataFrame) -> DataFrame:

@@ -27,7 +27,9 @@ class Store:
         fs, path = self._pointer(table)
         if not fs.exists(path):
             return empty(self.spark, table)
-        name = self.spark.read.text(path.toString()).first()[0]
+        stream = fs.open(path)
+        name = self.spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils.readFullyToByteArray(stream).decode().strip()
+        stream.close()
         return conform(self.spark.read.option("mergeSchema", "true").parquet(f"{self.folder}/{table}/{name}"), table)
 
     def write(self, table: str, df: DataFrame) -> None:
