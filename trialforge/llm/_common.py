@@ -27,11 +27,34 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/trialforge/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+#: Rows of an Arrow batch at most, where rows are large.
+FEW_ROWS = 500
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def stored(df: DataFrame, name: str, large_rows: bool = False) -> DataFrame:
     """The frame, written once in the shared folder and read back: later steps do not depend on the executors that made it."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    usual = spark.conf.get(BATCH)
+    try:
+        if large_rows:
+            spark.conf.set(BATCH, FEW_ROWS)
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(BATCH, usual)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_held: dict = {}
+
+
+def held(kind: type, *arguments):
+    """kind(*arguments), kept in a Python worker from task to task until another one is asked for: only one such memory at a time."""
+    key = (kind.__module__, kind.__name__, *arguments)
+    if key not in _held:
+        _held.clear()
+        _held[key] = kind(*arguments)
+    return _held[key]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -26,7 +26,7 @@ link nothing. An empty table gives no rows. Other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -34,12 +34,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialforge.llm._common import chunks, mix64, raw_text, stored
+from trialforge.llm._common import chunks, held, mix64, raw_text, stored
 
 WORDS, K, B, ROWS = 5, 128, 2, 4
 BANDS = K // ROWS
 SLACK = 6.0
-AT_ONCE, REMEMBERED, STAR_BLOCK, STAR_CHUNK, MEETINGS = 4_000_000, 1_000_000, 4_000, 20_000, 4_000_000
+AT_ONCE, REMEMBERED, STAR_BLOCK, STAR_CHUNK, MEETINGS = 4_000_000, 400_000, 4_000, 20_000, 4_000_000
 PACKED = K * B // 8
 _CELLS = mix64(np.arange(1, 2 * K + 1, dtype=np.uint64))
 MULTIPLY = (_CELLS[:K] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -71,12 +71,6 @@ class Shingler:
         return out
 
 
-@lru_cache(1)
-def shingler() -> Shingler:
-    """One for each Python worker, so that tasks that follow one another share what it remembers."""
-    return Shingler()
-
-
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
     """K minima (32 bits each) of each non-empty set."""
     out = np.empty((len(sets), K), np.uint32)
@@ -127,7 +121,7 @@ def profiles(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles = shingler()
+        shingles = held(Shingler)
         for x in batches:
             raw = x["raw"].tolist()
             for part in chunks(raw, AT_ONCE):
@@ -147,7 +141,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) ->
     """node, set (sorted hashes as bytes) of the rows whose id is in ids (column node)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles = shingler()
+        shingles = held(Shingler)
         for x in batches:
             raw = x["raw"].tolist()
             for part in chunks(raw, AT_ONCE):
@@ -244,7 +238,7 @@ def star_links(stars: DataFrame, labels: DataFrame, sets: DataFrame, percent: in
             yield x[["centre", "blocks", "outside", "node", "comp"]].assign(n=[len(p) // 8 for p in x["set"]], differ=differ)
 
     small = rows.select("centre", "blocks", "outside", "node", "comp", "set", "middle").mapInPandas(reduce_, "centre long, blocks long, outside boolean, node long, comp long, n long, differ binary")
-    small = stored(small, "differences")
+    small = stored(small, "differences", large_rows=True)
     keep = ["centre", "node", "comp", "n", "differ"]
     queries = small.where("outside").select(F.lit(0).alias("role"), F.pmod(F.xxhash64("node"), "blocks").alias("block"), *keep)
     targets = small.select(F.lit(1).alias("role"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), *keep)
@@ -371,7 +365,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     wanted = stored(buckets.select("node").distinct().join(nodes.select("node", "set_key"), "node"), "wanted")
     sets = stored(shingle_sets(docs, wanted, id_col, text_col), "sets")
     stars = stored(buckets.select("node", "centre").distinct(), "stars")
-    links = [stored(confirmed(stars.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")), sets, percent), "links")]
+    links = [stored(confirmed(stars.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")), sets, percent), "links", large_rows=True)]
     labels = stored(components(links[0]), "labels")
     floor = floor_of(threshold)
     step = (threshold - floor) / 3
@@ -381,7 +375,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
         lambda: confirmed(stored(cross_pairs(buckets, labels, threshold, floor, threshold - step), "pairs"), sets, percent),
     ]
     for find in rounds:
-        found = stored(find(), "links")
+        found = stored(find(), "links", large_rows=True)
         if not found.isEmpty():
             links.append(found)
             labels = stored(components(reduce(DataFrame.union, links)), "labels")

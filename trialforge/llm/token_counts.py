@@ -15,7 +15,6 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -23,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialforge.llm._common import chunks, raw_text
+from trialforge.llm._common import chunks, held, raw_text
 
 #: The white space and the splitting pattern that the vocabulary's library uses.
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -31,7 +30,7 @@ PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{
 
 NONE = np.int64(1 << 40)
 #: Pre-tokens remembered by a worker, and bytes of text handled at once.
-REMEMBERED, AT_ONCE = 1_000_000, 8_000_000
+REMEMBERED, AT_ONCE = 600_000, 8_000_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -143,18 +142,12 @@ class Counter:
         return counts
 
 
-@lru_cache(4)
-def counter_of(path: str) -> Counter:
-    """One counter for each Python worker, so that tasks that follow one another share what it remembers."""
-    return Counter(path)
-
-
 def count_tokens(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024) -> DataFrame:
     """One row per row of df: id, n_bytes, n_tokens, over_limit. `vocabulary` is the path of a byte-level BPE file on every executor."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counter = counter_of(vocabulary)
+        counter = held(Counter, vocabulary)
         for x in batches:
             raw = x["raw"].tolist()
             yield pd.DataFrame({"id": x["id"], "n_bytes": [len(t) for t in raw], "n_tokens": counter(raw)})
