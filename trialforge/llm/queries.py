@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialforge.llm import exact_dedup, language_id, near_dedup, packing, quality, suffix_tree, url_templates, warc
+from trialforge.llm import exact_dedup, language_id, near_dedup, packing, quality, sentence_pieces, suffix_tree, url_templates, warc
 from trialforge.llm._common import fold, read
 from trialforge.llm.token_counts import count_tokens
 
@@ -16,6 +16,12 @@ ORACLE_SQL: dict[str, str] = {}
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
 
+def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text under the 32,000-piece model, and whether decoding gives the text back."""
+    out = sentence_pieces.encoded(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return out.select("doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), "round_trip")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every whole text under the byte-level vocabulary."""
     return count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
