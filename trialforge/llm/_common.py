@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,6 +46,11 @@ def stored(df: DataFrame, name: str, large_rows: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def trimmed(memory: dict, bound: int) -> dict:
+    """memory, or its older half if it is over the bound: what is frequent came in early."""
+    return memory if len(memory) <= bound else dict(islice(memory.items(), bound // 2))
+
+
 _held: dict = {}
 
 

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialforge.llm._common import chunks, held, mix64, raw_text, stored
+from trialforge.llm._common import chunks, held, mix64, raw_text, stored, trimmed
 
 WORDS, K, B, ROWS = 5, 128, 2, 4
 BANDS = K // ROWS
@@ -55,8 +55,7 @@ class Shingler:
 
     def __call__(self, raw: list[bytes]) -> list[np.ndarray]:
         """Sorted distinct 64-bit shingle hashes of each text."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+        self.known = trimmed(self.known, REMEMBERED)
         words = [x.lower().split() for x in raw]
         for w in set().union(*words) - self.known.keys():
             self.known[w] = xxhash.xxh3_64_intdigest(w)

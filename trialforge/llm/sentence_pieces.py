@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialforge.llm._common import chunks, held, raw_text, stored
+from trialforge.llm._common import chunks, held, raw_text, stored, trimmed
 
 SPACE = "▁"
 REMEMBERED, AT_ONCE, CHUNK = 300_000, 4_000_000, 65_536
@@ -51,8 +51,7 @@ class MergePieces:
         """Little-endian 16-bit ids of each text."""
         out = []
         for cut in chunks(raw, AT_ONCE):
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
+            self.known = trimmed(self.known, REMEMBERED)
             split = [self.parts(x.decode("utf-8", "replace")) for x in raw[cut]]
             new = list(set().union(*split) - self.known.keys())
             for part, ids in zip(new, self.model.encode([x[1:] for x in new], num_threads=1), strict=True):

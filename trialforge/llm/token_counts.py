@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialforge.llm._common import chunks, held, raw_text
+from trialforge.llm._common import chunks, held, raw_text, trimmed
 
 #: The white space and the splitting pattern that the vocabulary's library uses.
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -123,8 +123,7 @@ class Counter:
     def __call__(self, raw: list[bytes]) -> list[int]:
         counts = [0] * len(raw)
         for part in chunks(raw, AT_ONCE):
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
+            self.known = trimmed(self.known, REMEMBERED)
             found: list[tuple[int, list[str]]] = []
             for i in range(part.start, part.stop):
                 text = raw[i].decode("utf-8", "replace")
