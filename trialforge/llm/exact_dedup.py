@@ -26,6 +26,8 @@ from trialforge.llm._common import stored
 #: Fingerprints held in one filter at most, before it is emitted and another one begins.
 FILTER_CAPACITY = 1_000_000
 REMAINDER_BITS = 32
+#: 64-bit words of the sieve: 1 MB, whatever the input.
+SIEVE_WORDS = 131_072
 
 
 class CountingQuotientFilter:
@@ -133,11 +135,38 @@ def repeated_fingerprints(fps: DataFrame, n_rows: int) -> DataFrame:
     return fps.select("fp").mapInPandas(build, "bin int, data binary").groupBy("bin").applyInPandas(merge, "fp long")
 
 
-def duplicate_classes(docs: DataFrame, prints: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """fp, sha, keep_id, group_size of every group of two or more equal texts, equal byte by byte. prints: fingerprinted(docs), stored."""
-    again = stored(repeated_fingerprints(prints, prints.count()), "repeated")  # its size is known then: small ones are broadcast by Spark's own check
+def positions(fp: Column) -> list[Column]:
+    return [F.pmod(F.xxhash64(fp, F.lit(k)), F.lit(64 * SIEVE_WORDS)) for k in range(3)]
+
+
+class Sieve:
+    """A Bloom filter of a fixed size over the repeated fingerprints: what it does not hold is unique, so its text need
+    not be shuffled. With more fingerprints than it is made for it holds back less, and nothing else changes."""
+
+    def __init__(self, again: DataFrame):
+        at = again.select(F.explode(F.array(*positions(F.col("fp")))).alias("at"))
+        words = at.groupBy(F.expr("at div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits")).collect()  # SIEVE_WORDS rows at most
+        self.words = np.zeros(SIEVE_WORDS, np.int64)
+        self.words[[r["word"] for r in words]] = [r["bits"] for r in words]
+
+    def may_hold(self, fp: Column) -> Column:
+        words = self.words.view(np.uint64)
+
+        @F.pandas_udf("boolean")
+        def run(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+            out = np.ones(len(a), bool)
+            for x in (a, b, c):
+                at = x.to_numpy(np.int64)
+                out &= (words[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1) == 1
+            return pd.Series(out)
+
+        return run(*positions(fp))
+
+
+def duplicate_classes(docs: DataFrame, again: DataFrame, sieve: Sieve, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """fp, sha, keep_id, group_size of every group of two or more equal texts, equal byte by byte. again: the repeated fingerprints, stored."""
     own = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm")).withColumn("fp", F.xxhash64("norm"))
-    suspects = own.join(again, "fp", "left_semi")
+    suspects = own.where(sieve.may_hold(F.col("fp"))).join(again, "fp", "left_semi")
     same = suspects.groupBy("fp", "norm").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
     return same.select("fp", F.unhex(F.sha2(F.col("norm").cast("binary"), 256)).alias("sha"), "keep_id", "group_size")
 
@@ -145,7 +174,8 @@ def duplicate_classes(docs: DataFrame, prints: DataFrame, id_col: str = "doc_id"
 def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: id, keep_id, group_size, kept, text_sha256."""
     prints = stored(fingerprinted(docs, id_col, text_col), "fingerprints")
-    classes = stored(duplicate_classes(docs, prints, id_col, text_col), "classes")
+    again = stored(repeated_fingerprints(prints, prints.count()), "repeated")
+    classes = stored(duplicate_classes(docs, again, Sieve(again), id_col, text_col), "classes")
     joined = prints.join(classes, ["fp", "sha"], "left")
     keep = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
     return joined.select(F.col("id").alias(id_col), keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), F.col("id").eqNullSafe(keep).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
@@ -154,9 +184,11 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def distinct_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, less those whose text a smaller id has."""
     prints = stored(fingerprinted(docs, id_col, text_col), "fingerprints")
-    classes = stored(duplicate_classes(docs, prints, id_col, text_col), "classes").select("fp", "sha", "keep_id", F.lit(True).alias("repeated"))
-    keys = [F.xxhash64(normalised(docs[text_col])).alias("fp"), F.unhex(F.sha2(normalised(docs[text_col]).cast("binary"), 256)).alias("sha")]
-    rows = docs.select(F.struct(*docs.columns).alias("row"), *keys).join(classes, ["fp", "sha"], "left")
-    alone = rows.where("repeated is null").select("row.*")
-    first = rows.where(F.col("repeated") & F.col(f"row.{id_col}").eqNullSafe(F.col("keep_id"))).dropDuplicates(["fp", "sha"]).select("row.*")
-    return alone.unionByName(first)
+    again = stored(repeated_fingerprints(prints, prints.count()), "repeated")
+    sieve = Sieve(again)
+    classes = stored(duplicate_classes(docs, again, sieve, id_col, text_col), "classes").select("fp", "sha", "keep_id", F.lit(True).alias("repeated"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), normalised(F.col(text_col)).alias("norm")).withColumn("fp", F.xxhash64("norm"))
+    rows = rows.withColumn("suspect", sieve.may_hold(F.col("fp")))
+    suspects = rows.where("suspect").select("row", "fp", F.unhex(F.sha2(F.col("norm").cast("binary"), 256)).alias("sha")).join(classes, ["fp", "sha"], "left")
+    first = suspects.where(F.col("repeated") & F.col(f"row.{id_col}").eqNullSafe(F.col("keep_id"))).dropDuplicates(["fp", "sha"])
+    return rows.where("not suspect").select("row.*").unionByName(suspects.where("repeated is null").select("row.*")).unionByName(first.select("row.*"))
