@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from trialforge.llm import exact_dedup, language_id, near_dedup, packing, quality
 from trialforge.llm._common import read, stored
 
-#: A document is rejected by its language if it has no letter, or is less like any language than this cosine.
-LEAST_COSINE = 0.02
+#: A document is rejected by its language if it has no letter, or is less like any language than this cosine: four times
+#: the standard deviation 1 / sqrt(DIMENSIONS) of a text's cosine with a language that has nothing in common with it.
+LEAST_COSINE = 4 / language_id.DIMENSIONS**0.5
 ORACLE_SQL = None
 
 

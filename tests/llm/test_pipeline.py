@@ -1,5 +1,6 @@
 """The pipeline, stage by stage, and its stages on awkward rows."""
 
+import random
 import re
 
 import pytest
@@ -57,3 +58,18 @@ def test_packing_stage_on_edges(spark, sf, edge, none):
     out = corpus_pipeline.packed(spark, edge, sf)
     assert out.agg(F.sum("length")).first()[0] == sum(len(ids_of(t)) for _, t in TEXTS)
     assert corpus_pipeline.packed(spark, none, sf).count() == 0
+
+
+def test_language_stage_rejects_noise(spark):
+    """Texts of alphabets that were not learned and random letters go; clean held-out documents stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    unlabelled = F.when(F.col("doc_id") % 5 != 0, F.col("lang")).alias("lang")
+    clean = docs.select("doc_id", "text", unlabelled, "source", "n_chars").where(F.size(F.split("text", " ")) >= 20)
+    rng = random.Random(5)
+    alphabets = ["".join(map(chr, range(*r))) for r in ((0x61, 0x7B), (0x430, 0x450), (0x3B1, 0x3CA), (0x4E00, 0x5E00))]
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(2, 9)))
+    noise = [(-1 - k, " ".join(word(alphabets[k % 4]) for _ in range(300)), None, "s", 1) for k in range(200)]
+    both = clean.unionByName(spark.createDataFrame(noise, clean.schema))
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, both, "").select("doc_id").collect()}
+    assert {r["doc_id"] for r in clean.select("doc_id").collect()} <= kept
+    assert len([i for i in kept if i < 0]) <= 1
