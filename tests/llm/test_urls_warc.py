@@ -55,6 +55,20 @@ def test_templates_learn(spark):
     assert {r["template"] for r in got.where("host = 'blog.x'").collect()} == {"/*/{n}.html"}
 
 
+def test_rare_branches_are_tested(spark):
+    """Of many siblings, small ones with evidence of their own keep their name; only those too thin to test are pooled."""
+    rows = [(i, f"http://{host}.x/{s}/{i}", label) for host, label in (("none", None), ("good", True)) for s in "ABCDEFGH" for i in range(400)]
+    rows += [(i, f"http://{host}.x/{s}/{i}", label) for host in ("none", "good") for s, label in (("de", False), ("jobs", None), ("about", None)) for i in range(40)]
+    rows += [(i, f"http://none.x/slug{'abcdefghijklmnopqrstuvwxyz'[i]}/{i}", None) for i in range(26)]
+    got = url_templates.judged(spark.createDataFrame(rows, "page_id long, url string, good boolean"), [], labels=F.col("good"))
+    told = {(r["host"], r["path"].split("/")[1], r["template"], r["verdict"]) for r in got.collect()}
+    for host in ("none.x", "good.x"):
+        assert {t[3] for t in told if t[:2] == (host, "de")} == {"block"}
+        assert {t[3] for t in told if t[0] == host and t[1] != "de"} == {"allow"}
+        assert (host, "de", "/de/{n}", "block") in told
+    assert {t[2] for t in told if t[1].startswith("slug")} == {"/*/{n}"}
+
+
 PAGES = [(3, "http://b.org/x", "<p>one</p>"), (1, "http://a.org/", "<p>one</p>"), (2, "http://a.org/?q", None), (7, None, ""), (4, "http://www.c.org:8080/é\r\nz", "ü" * 30_000), (5, "http://a.org/", "two\r\n\r\nWARC/1.1\r\n"), (5, "http://a.org/", "two\r\n\r\nWARC/1.1\r\n"), (None, "http://n/", "nothing"), (None, "http://n/", "<p>one</p>"), (9, "http://z/", "<p>Two</p>")]
 
 

@@ -2,8 +2,8 @@
 
 Paths are first reduced by form, row by row (runs of digits and long hexadecimal strings become placeholders), and
 counted per host. The tree then grows one level at a time: a branch of a node becomes a wildcard if it is rare among
-many siblings, or if what follows it and its labelled purity are statistically like those of all its siblings
-together; branches that differ keep their name. A template is rejected if its smoothed labelled purity is below
+many siblings and too thin to be tested, or if what follows it and its labelled purity are statistically like those of
+all its siblings together; branches that differ keep their name. A template is rejected if its smoothed labelled purity is below
 `cut`. Everything is DataFrame operations on counts; a hot host is a group of partial counts and is never collected.
 
 Edge cases: a null url, or one without "://", has an empty host and path, is covered by no rule, and is judged by the
@@ -48,11 +48,12 @@ def shaped(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(path, r"(?<![0-9A-Za-z])(?=[A-Fa-f-]*[0-9])[0-9A-Fa-f]{8,}(?:-[0-9A-Fa-f]{4,}){0,4}(?![0-9A-Za-z])", "{h}"), r"[0-9]+", "{n}")
 
 
-def templates(paths: DataFrame, max_depth: int = 6, many: int = 8, rare: float = 0.02, apart: float = 0.15, purity_apart: float = 0.25, weight: float = 4.0, prior: float = 0.9) -> DataFrame:
+def templates(paths: DataFrame, max_depth: int = 6, many: int = 8, rare: float = 0.02, thin: int = 16, apart: float = 0.15, purity_apart: float = 0.25, weight: float = 4.0, prior: float = 0.9) -> DataFrame:
     """host, shaped, template for each (host, shaped, n, good, bad).
 
-    many, rare: a branch with less than `rare` of its node's pages is a wildcard if the node has `many` branches or
-    more. apart: largest total variation between a branch's followers and its node's, beside sampling noise.
+    many, rare, thin: a branch with less than `rare` of its node's pages is a wildcard if the node has `many` branches or
+    more and the branch has too little evidence to be tested, at every size of the node: less than `thin` pages, and
+    labels that weigh less than the prior. apart: largest total variation between a branch's followers and its node's, beside sampling noise.
     """
     nodes = paths.withColumn("seg", F.split("shaped", "/")).withColumn("template", F.lit(""))
     for d in range(1, max_depth + 1):
@@ -66,10 +67,13 @@ def templates(paths: DataFrame, max_depth: int = 6, many: int = 8, rare: float =
         pooled = branch.groupBy("host", "template").agg(*[F.sum(c).alias(f"all_{c}") for c in ("n", "good", "bad", *(f"f_{k}" for k in FOLLOWERS))], F.count("*").alias("branches"))
         both = branch.join(pooled, ["host", "template"])
         far = reduce(lambda a, b: a + b, [F.abs(F.col(f"f_{k}") / F.col("n") - F.col(f"all_f_{k}") / F.col("all_n")) for k in FOLLOWERS]) / 2
-        pure = lambda g, b: (F.col(g) + weight * prior) / (F.col(g) + F.col(b) + weight)
-        alike = (far <= apart + 1 / F.sqrt("n")) & (F.abs(pure("good", "bad") - pure("all_good", "all_bad")) <= purity_apart)
+        pure = lambda g, b: (g + weight * prior) / (g + b + weight)
+        # Purity is compared with the siblings' alone: few branches have labels, and one that has them all is not like itself.
+        beside = pure(F.col("all_good") - F.col("good"), F.col("all_bad") - F.col("bad"))
+        alike = (far <= apart + 1 / F.sqrt("n")) & (F.abs(pure(F.col("good"), F.col("bad")) - beside) <= purity_apart)
         formed = F.col("own").contains("{")
-        wild = (F.col("branches") > 1) & ~formed & (F.col("own") != "") & (((F.col("branches") >= many) & (F.col("n") < rare * F.col("all_n"))) | alike)
+        untested = (F.col("branches") >= many) & (F.col("n") < rare * F.col("all_n")) & (F.col("n") < thin) & (F.col("good") + F.col("bad") < weight)
+        wild = (F.col("branches") > 1) & ~formed & (F.col("own") != "") & (untested | alike)
         step = both.select("host", "template", "own", F.when(wild, F.lit("*")).otherwise(F.col("own")).alias("name"))
         joined = nodes.withColumn("own", own).join(step, ["host", "template", "own"], "left")
         nodes = joined.withColumn("template", F.when(F.col("own").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "name"))).drop("own", "name")
