@@ -118,6 +118,19 @@ def test_estimates_are_unbiased():
     assert near_dedup.estimate(sigs[0], sigs)[0] == 1
 
 
+def test_ids_with_several_texts(spark):
+    """Each text of a repeated id has its own links, and only near duplicates of a kept text go."""
+    rng = random.Random(11)
+    one, two, three, four = ([f"{c}{rng.randrange(10**9)}" for _ in range(120)] for c in "abcd")
+    rows = [(5, " ".join(one)), (5, " ".join(two)), (1, edited(rng, one, 1)), (2, edited(rng, two, 1)), (5, " ".join(three)), (5, " ".join(three).upper())]
+    rows += [(7, " ".join(four)), (7, edited(rng, four, 1)), (7, ""), (7, None), (8, edited(rng, four, 2)), (9, "alone")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {(r["doc_id"], r["component_id"]) for r in near_dedup.near_duplicates(df, 80).collect()}
+    assert got == {(5, 1), (5, 2), (1, 1), (2, 2), (5, 5), (7, 7), (8, 7), (9, 9)}
+    kept = sorted((r["doc_id"], (r["text"] or "").lower()[:1]) for r in near_dedup.distinct_rows(df, 80).collect())
+    assert kept == [(1, "a"), (2, "b"), (5, "c"), (7, ""), (7, "d"), (9, "a")]
+
+
 def test_distinct_near_rows(edge):
     ids = [r["doc_id"] for r in near_dedup.distinct_rows(edge, 80).collect()]
     assert {1, 2, 3, 4, 8, 12} <= set(ids) and not {5, 6, 10, 11, 13} & set(ids) and ids.count(1) == 1

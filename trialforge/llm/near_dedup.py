@@ -19,8 +19,8 @@ one test for each member. (A pair with similarity s shares a bucket with probabi
 Components: large-star and small-star steps on links, until nothing changes.
 
 Edge cases: null and empty texts have an empty set and are linked with nothing; texts under five words have one shingle,
-their whole sequence. Repeated rows are in one component and share their verdict. Rows with a null id are answered but
-link nothing. An empty table gives no rows. Other columns are not read.
+their whole sequence. Repeated rows are in one component and share their verdict. An id with several texts has a node
+and a verdict for each of their sets. Rows with a null id are answered but link nothing. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -136,8 +136,8 @@ def profiles(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInPandas(run, f"id {kind}, n_shingles long, set_key binary, sig binary, bands array<long>")
 
 
-def shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """node, set (sorted hashes as bytes) of the rows whose id is in ids (column node)."""
+def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """node, set (sorted hashes as bytes) of the nodes in wanted (node, id, set_key)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = held(Shingler)
@@ -145,11 +145,11 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) ->
             raw = x["raw"].tolist()
             for part in chunks(raw, AT_ONCE):
                 sets = [s.tobytes() for s in shingles(raw[part])]
-                yield pd.DataFrame({"node": x["node"].iloc[part], "set_key": [xxhash.xxh3_128_digest(s) for s in sets], "set": sets})
+                yield pd.DataFrame({"id": x["id"].iloc[part], "set_key": [xxhash.xxh3_128_digest(s) for s in sets], "set": sets})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(ids.select("node"), "node", "left_semi")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted.select("id"), "id", "left_semi")
     # A repeated id with another text has another set_key.
-    return rows.select("node", raw_text(F.col("text")).alias("raw")).mapInPandas(run, "node long, set_key binary, set binary").join(ids, ["node", "set_key"], "left_semi").dropDuplicates(["node"])
+    return rows.select("id", raw_text(F.col("text")).alias("raw")).mapInPandas(run, "id long, set_key binary, set binary").join(wanted, ["id", "set_key"]).select("node", "set").dropDuplicates(["node"])
 
 
 def grouped(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
@@ -356,15 +356,30 @@ def components(links: DataFrame) -> DataFrame:
     return near.union(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, component_id, kept of every row; links are pairs with 100 * intersection >= percent * union."""
+def set_keys(raw: pd.Series) -> pd.Series:
+    """The set_key of each text, as profiles() has it, and no bytes for an empty set."""
+    out, shingles = [], held(Shingler)
+    for part in chunks(texts := raw.tolist(), AT_ONCE):
+        out += [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else b"" for s in shingles(texts[part])]
+    return pd.Series(out)
+
+
+def numbered(nodes: DataFrame) -> tuple[DataFrame, bool]:
+    """nodes with node, and whether sets share an id. node is the id, or, where sets share an id, the place in the order of ids and sets: the smallest node of a component has its smallest id."""
+    if nodes.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return nodes.withColumn("node", F.col("id")), False
+    ordered = nodes.repartitionByRange("id", "set_key").sortWithinPartitions("id", "set_key")
+    return stored(ordered.withColumn("node", F.monotonically_increasing_id()), "numbered"), True
+
+
+def verdicts(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """id, n_shingles, set_key, component_id, kept of every row; kept are the rows with the smallest id, and of its sets the smallest, of each component."""
     threshold = percent / 100
     own = stored(profiles(docs, id_col, text_col), "profiles")
-    nodes = own.where("set_key is not null and id is not null").groupBy("set_key").agg(F.min(F.struct(F.col("id").cast("long").alias("node"), F.col("n_shingles").alias("n"), "sig", "bands")).alias("x"), F.count("*").alias("rows"))
-    nodes = stored(nodes.select("set_key", "x.node", "x.n", "x.sig", "x.bands", "rows"), "nodes")
-    # One id with two texts stands for two sets; the id is then one node of both, and links of either are its links.
+    nodes = own.where("set_key is not null and id is not null").groupBy("set_key").agg(F.min(F.struct(F.col("id").cast("long").alias("id"), F.col("n_shingles").alias("n"), "sig", "bands")).alias("x"), F.count("*").alias("rows"))
+    nodes, shared = numbered(stored(nodes.select("set_key", "x.id", "x.n", "x.sig", "x.bands", "rows"), "nodes"))
     buckets = stored(buckets_of(nodes, threshold), "buckets")
-    wanted = stored(buckets.select("node").distinct().join(nodes.select("node", "set_key"), "node"), "wanted")
+    wanted = stored(buckets.select("node").distinct().join(nodes.select("node", "id", "set_key"), "node"), "wanted")
     sets = stored(shingle_sets(docs, wanted, id_col, text_col), "sets")
     stars = stored(buckets.select("node", "centre").distinct(), "stars")
     links = [stored(confirmed(stars.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")), sets, percent), "links", large_rows=True)]
@@ -381,16 +396,34 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
         if not found.isEmpty():
             links.append(found)
             labels = stored(components(reduce(DataFrame.union, links)), "labels")
-    special = nodes.join(labels, "node", "left").where("rows > 1 or comp is not null").select("set_key", F.coalesce("comp", "node").alias("comp"))
+    special = nodes.join(labels, "node", "left").where("rows > 1 or comp is not null").select("set_key", "node", F.coalesce("comp", "node").alias("comp"))
+    if shared:
+        special = special.join(nodes.select(F.col("node").alias("comp"), F.col("id").alias("least")), "comp")
+    else:
+        special = special.withColumn("least", F.col("comp"))
+    special = special.select("set_key", "least", (F.col("node") == F.col("comp")).alias("first"))
     joined = own.select("id", "n_shingles", "set_key").join(stored(special, "special"), "set_key", "left")
     kind = docs.schema[id_col].dataType
-    component = F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("comp", F.col("id").cast("long")))
-    return joined.select(F.col("id").alias(id_col), "n_shingles", component.cast(kind).alias("component_id")).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+    component = F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("least", F.col("id").cast("long"))).cast(kind)
+    first = F.col("id").isNull() | F.coalesce("first", F.lit(True))
+    return joined.select("id", "n_shingles", "set_key", component.alias("component_id"), first.alias("first")).select("id", "n_shingles", "set_key", "component_id", (F.col("id").eqNullSafe(F.col("component_id")) & F.col("first")).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_shingles, component_id, kept of every row; links are pairs with 100 * intersection >= percent * union."""
+    return verdicts(docs, percent, id_col, text_col).select(F.col("id").alias(id_col), "n_shingles", "component_id", "kept")
 
 
 def distinct_rows(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, of the smallest id of each component; one of the rows that share an id."""
-    gone = near_duplicates(docs, percent, id_col, text_col).where("not kept").select(id_col).distinct()
-    left = docs.join(stored(gone, "gone"), id_col, "left_anti").select(*docs.columns)
-    again = stored(docs.groupBy(id_col).agg(F.count("*").alias("n")).where(F.col(id_col).isNotNull() & (F.col("n") > 1)).select(id_col), "again")
-    return left.join(again, id_col, "left_anti").select(*docs.columns).unionByName(left.join(again, id_col, "left_semi").select(*docs.columns).dropDuplicates([id_col]))
+    """The rows of docs, with all their columns, that are kept of each component; one of the rows that share an id and a set."""
+    told = stored(verdicts(docs, percent, id_col, text_col), "verdicts")
+    again = stored(told.groupBy("id").agg(F.count("*").alias("n")).where("id is not null and n > 1").select(F.col("id").alias(id_col)), "again")
+    gone = stored(told.where("not kept").select(F.col("id").alias(id_col)).distinct(), "gone")
+    left = docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    if again.isEmpty():
+        return left
+    key = F.pandas_udf(set_keys, "binary")(raw_text(F.col(text_col)))
+    rows = docs.join(again, id_col, "left_semi").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), key.alias("set_key"))
+    kept = told.where("kept").select("id", F.coalesce("set_key", F.lit(b"")).alias("set_key"))
+    some = rows.join(kept, ["id", "set_key"], "left_semi").dropDuplicates(["id", "set_key"]).select("row.*")
+    return left.join(again, id_col, "left_anti").select(*docs.columns).unionByName(some)
