@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialforge.llm import exact_dedup, language_id, near_dedup, packing, quality
-from trialforge.llm._common import read, stored
+from trialforge.llm._common import raw_text, read, stored
 
 #: A document is rejected by its language if it has no letter, or is less like any language than this cosine: four times
 #: the standard deviation 1 / sqrt(DIMENSIONS) of a text's cosine with a language that has nothing in common with it.
@@ -28,9 +28,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that are in one of the languages learned from the rows' own labels."""
+    """Rows that are in one of the languages learned from the rows' own labels; without any label, rows that have a letter."""
+    languages, prototypes = language_id.train(docs)
+    if not languages:
+        return docs.where(F.pandas_udf(language_id.has_letter, "boolean")(raw_text(F.col("text"))))
     sure = (F.col("told.lang_pred") != "und") & (F.col("told.score") >= LEAST_COSINE)
-    return language_id.identified(docs).where(sure).select("row.*")
+    told = language_id.predicted(languages, prototypes)(raw_text(F.col("text")))
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), told.alias("told")).where(sure).select("row.*")
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -73,3 +73,10 @@ def test_language_stage_rejects_noise(spark):
     kept = {r["doc_id"] for r in corpus_pipeline.language(spark, both, "").select("doc_id").collect()}
     assert {r["doc_id"] for r in clean.select("doc_id").collect()} <= kept
     assert len([i for i in kept if i < 0]) <= 1
+
+
+def test_language_stage_without_labels(spark, sf, edge):
+    """No language can be learned: all rows with a letter stay."""
+    out = corpus_pipeline.language(spark, edge.withColumn("lang", F.lit(None).cast("string")), sf)
+    assert out.columns == edge.columns
+    assert sorted(str(r["doc_id"]) for r in out.collect()) == sorted(str(i) for i, t in TEXTS if any(c.isalpha() for c in t or ""))

@@ -74,6 +74,12 @@ def trigram_counts(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return keys[first] >> 27, keys[first] & (2**27 - 1), np.diff(np.append(first, len(keys)))
 
 
+def has_letter(raw: pd.Series) -> pd.Series:
+    """Whether a text, as bytes, has a letter: the texts that are not "und" where there are languages."""
+    letters = letter_classes()
+    return pd.Series([bool(letters[np.frombuffer(x.decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32)].any()) for x in raw], dtype=bool)
+
+
 def parts_of(raw: list[bytes]) -> Iterator[slice]:
     """Slices of a bounded size in bytes and in texts."""
     for part in chunks(raw, AT_ONCE):
