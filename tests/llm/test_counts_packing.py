@@ -89,6 +89,23 @@ def test_pack_with_few_queues(small):
     check_packed(rows, {r["doc_id"]: [ids_of(r["text"])] for r in small.collect()}, 256)
 
 
+def test_targets_hold_with_few_queues(spark):
+    """Sources with targets follow them, and are not mixed with others, when there are more sources than queues."""
+    rows = [(i, f"some words of source {i % 6} and {i}", str(i % 6) if i % 6 else None) for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+
+    def shares(**more):
+        out = defaultdict(int)
+        for r in packing.pack(df, WORDS, length=64, window=10, **more).collect():
+            out[r["source"], r["sequence_id"] // 10] += r["length"]
+        return out
+
+    for targets in ({"1": 0.9}, {None: 0.7, "4": 0.2}):
+        few, many = shares(max_queues=3, targets=targets), shares(targets=targets)
+        for w in range(8):
+            assert all(abs(few[s, w] - many[s, w]) <= 2 for s in targets)
+
+
 def test_schedule_keeps_proportions():
     totals, targets = [5000, 90_000, 20_000], [0.5, 0.3, 0.2]
     s = packing.Schedule(totals, targets, 1000)

@@ -12,7 +12,9 @@ sequence can be short.
 Targets default to the sources' own shares of all tokens, so that no queue runs dry before the end.
 
 Edge cases: null text counts as empty (the end id alone); null sources form one queue; repeated rows are packed each;
-an empty table gives no rows. Sources beyond `max_queues` share queues by hash. Other columns are not read.
+an empty table gives no rows. With more sources than `max_queues`, those with a target and the largest half of
+`max_queues` keep queues of their own; only the rest share queues, by hash, and within such a queue whole blocks of one
+source follow another. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -158,7 +160,11 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, length: int = 4096,
     blocks = stored(encoded(docs, vocabulary, end_id, id_col, text_col, queue_col), "encoded")
     names = blocks.groupBy("queue").agg(F.sum("n").alias("n"))
     if names.limit(max_queues + 1).count() > max_queues:
-        blocks = blocks.withColumn("lane", F.concat(F.lit("#"), F.pmod(F.xxhash64("queue"), F.lit(max_queues)).cast("string")))
+        wanted = [f"={t}" if t is not None else "" for t in targets or {}]
+        largest = names.where(~F.col("queue").isin(wanted)).orderBy(F.desc("n"), "queue").limit(max_queues // 2).collect()
+        own = F.col("queue").isin([*wanted, *(r["queue"] for r in largest)])
+        shared = F.concat(F.lit("#"), F.pmod(F.xxhash64("queue"), F.lit(max_queues - max_queues // 2)).cast("string"))
+        blocks = blocks.withColumn("lane", F.when(own, F.col("queue")).otherwise(shared))
         # Queues that share a lane follow one another within a block.
         sums = blocks.groupBy("block", "lane", "queue").agg(F.sum("n").alias("n"))
         inner = F.sum("n").over(Window.partitionBy("block", "lane").orderBy("queue")) - F.col("n")
@@ -168,9 +174,9 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, length: int = 4096,
         blocks = blocks.withColumn("lane", F.col("queue"))
     sums = blocks.groupBy("lane", "block").agg(F.sum("n").alias("n"))
     before = stored(sums.select("lane", "block", (F.sum("n").over(Window.partitionBy("lane").orderBy("block")) - F.col("n")).alias("before")), "offsets")
-    lanes = sorted((r["lane"], r["n"]) for r in sums.groupBy("lane").agg(F.sum("n").alias("n")).collect())  # max_queues rows at most
+    lanes = sorted((r["lane"], r["n"]) for r in sums.groupBy("lane").agg(F.sum("n").alias("n")).collect())  # max_queues rows and one for each target at most
     total = sum(n for _, n in lanes)
-    wished = [(targets or {}).get(name[1:] if name else None, n / total) for name, n in lanes]
+    wished = [n / total if name.startswith("#") else (targets or {}).get(name[1:] if name else None, n / total) for name, n in lanes]
     number, totals = {name: i for i, (name, _) in enumerate(lanes)}, [n for _, n in lanes]
     kind = docs.schema[id_col].dataType.simpleString()
 
