@@ -108,6 +108,21 @@ def test_lookup_and_members(spark, pages, monkeypatch):
     assert text.startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and text.endswith(b"<p>Two</p>\r\n\r\n")
 
 
+def test_lookup_is_a_binary_search(spark, monkeypatch):
+    """A look-up by key reads a logarithm of the directory's lines, and finds every capture, over block edges too."""
+    monkeypatch.setattr(warc, "BLOCK_LINES", 2)
+    rows = [(i, f"http://h{i // 3:03d}.org/{'é' * (i % 2)}", f"page {i}") for i in range(600)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    index = warc.CaptureIndex(*warc.archive(df))
+    met, read = [], warc.SortedLines.__getitem__
+    monkeypatch.setattr(warc.SortedLines, "__getitem__", lambda self, k: met.append(k) or read(self, k))
+    for url in ("http://h000.org/", "http://h077.org/é", "http://h199.org/", "http://h200.org/", "http://a/"):
+        met.clear()
+        assert sorted(r[0] for r in index.fetch(url)) == [i for i, u, _ in rows if u == url]
+        assert len(met) <= 14
+    assert len(index.directory) >= 300
+
+
 def test_min_bytes(spark, pages):
     directory, folder = warc.archive(pages, min_bytes=5)
     assert {r["record_type"] for r in warc.read_records(directory, folder).where("payload_bytes = 0").collect()} == {"response"}

@@ -214,17 +214,49 @@ def read_records(directory: DataFrame, folder: str) -> DataFrame:
     return dealt.mapInPandas(records, "id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
+class SortedLines:
+    """The directory as one file of lines sorted by key, and one of the places where they end; a line is two range reads."""
+
+    def __init__(self, directory: DataFrame, folder: str):
+        store, root = store_of(folder)
+        store.create_dir(root, recursive=True)
+        name = f"{root}/directory-{uuid.uuid4().hex}"
+        self.count, end = 0, 0
+        with store.open_output_stream(f"{name}.lines", compression=None) as lines, store.open_output_stream(f"{name}.ends", compression=None) as ends:
+            ends.write((0).to_bytes(8, "little"))
+            for r in directory.orderBy("first", "last", "file", "offset").toLocalIterator():
+                line = json.dumps(tuple(r), ensure_ascii=False).encode()
+                lines.write(line)
+                end += len(line)
+                ends.write(end.to_bytes(8, "little"))
+                self.count += 1
+        self.lines, self.ends = store.open_input_file(f"{name}.lines"), store.open_input_file(f"{name}.ends")
+
+    def __len__(self) -> int:
+        return self.count
+
+    def __getitem__(self, k: int) -> list:
+        """first, last, file, offset, length, lines of block k."""
+        if not 0 <= k < self.count:
+            raise IndexError(k)
+        places = self.ends.read_at(16, 8 * k)
+        begin, end = int.from_bytes(places[:8], "little"), int.from_bytes(places[8:], "little")
+        return json.loads(self.lines.read_at(end - begin, begin))
+
+
 class CaptureIndex:
-    """Look-ups by url. The directory has one line for BLOCK_LINES captures; only lines near the keys asked for are fetched."""
+    """Look-ups by url. The directory has one line for BLOCK_LINES captures; it is sorted once, and a look-up reads only the lines that its binary search meets."""
 
     def __init__(self, directory: DataFrame, folder: str):
-        self.directory, self.index, self.archive = directory, store_of(f"{folder}/index"), store_of(f"{folder}/archive")
+        self.directory, self.index, self.archive = SortedLines(directory, f"{folder}/index"), store_of(f"{folder}/index"), store_of(f"{folder}/archive")
 
     def captures(self, url: str) -> list[tuple[str, int, int]]:
         """file, offset and length of each capture of a url."""
         key, out = capture_key(url), []
-        lines = sorted(tuple(r) for r in self.directory.where((F.col("first") <= key) & (F.col("last") >= key)).collect())
-        for _, _, file, offset, length, _ in lines:
+        for k in range(bisect.bisect_left(self.directory, key, key=lambda x: x[1]), len(self.directory)):
+            first, _, file, offset, length, _ = self.directory[k]
+            if first > key:
+                break
             rows = block_lines(read_range(self.index[0], f"{self.index[1]}/{file}", offset, length))
             keys = [r[0] for r in rows]
             out += [tuple(r[1:]) for r in rows[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)]]
