@@ -5,13 +5,17 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tests.llm.conftest import TEXTS
 from trialforge.llm import packing, token_counts
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
+LIBRARY = Tokenizer.from_file(WORDS)
 ODD = ["", " ", "  ", " a", "a ", "a  b   c", "\n\n a\n\nb  ", "a \n b\t c", "aaaaaaa" * 50, "don't 12ab34 ½ Ⅷ", "x<|endoftext|> y  <|endoftext|>", "\x00\x1f\x1d a\x85b", "é́\U0001f600 ́", "  中文 の", "ab" * 700 + "aaa" * 77]
 
 
@@ -40,8 +44,51 @@ def test_count_tokens_edges(edge, none):
 
 def test_word_encoder_equals_library(small):
     texts = ODD + [r["text"] or "" for r in small.select("text").limit(60).collect()]
-    want = [np.array(x.ids, "<u2").tobytes() for x in Tokenizer.from_file(WORDS).encode_batch(texts, add_special_tokens=False)]
-    assert packing.WordEncoder(WORDS)([t.encode() for t in texts]) == want
+    assert encoded(packing.WordEncoder(WORDS), texts) == library_ids(texts)
+
+
+def library_ids(texts):
+    return [x.ids for x in LIBRARY.encode_batch(texts, add_special_tokens=False)]
+
+
+def encoded(encoder, texts):
+    flat, bounds = encoder(pa.array([t.encode() for t in texts]))
+    return [flat[a:b].tolist() for a, b in zip(bounds, bounds[1:])]
+
+
+LETTERS = [*"äÄßÿŸØø×÷ªºµ²abzAZ'stremvdl019 .,;<|>&#\n\t\x0b\x00\x1c\x1f\x85\xa0é\u0301ΣςİıßКч中の 　\U0001f600½Ⅷ\u0345", "<|endoftext|>", "<|startoftext|>", "</w>", "'S", "'RE", "  "]
+
+
+@given(st.lists(st.lists(st.sampled_from(LETTERS), max_size=30).map("".join), max_size=8))
+@settings(max_examples=150, deadline=None)
+def test_word_encoder_on_odd_texts(texts):
+    assert encoded(SHARED, texts) == library_ids(texts)
+
+
+SHARED = packing.WordEncoder(WORDS)
+
+
+def test_word_encoder_forgets(monkeypatch, small):
+    monkeypatch.setattr(packing, "REMEMBERED", 20)
+    monkeypatch.setattr(packing, "TOGETHER", 7)
+    texts = ODD + [r["text"] or "" for r in small.select("text").limit(30).collect()]
+    encoder = packing.WordEncoder(WORDS)
+    for t in texts:
+        assert encoded(encoder, [t]) == library_ids([t])
+
+
+def test_word_encoder_on_broken_bytes():
+    flat, _ = packing.WordEncoder(WORDS)(pa.array([b"ab \xff\xc3 cd"]))
+    assert flat.tolist() == library_ids([b"ab \xff\xc3 cd".decode("utf-8", "replace")])[0]
+
+
+def test_offsets_of_many_parts(spark):
+    rows = [(lane, part, 1 + part % 5) for lane in "ab" for part in range(0, 5000, 3)]
+    got = {(r["lane"], r["part"]): r["before"] for r in packing.running(spark.createDataFrame(rows, "lane string, part long, n long")).collect()}
+    at = defaultdict(int)
+    for lane, part, n in rows:
+        assert got[lane, part] == at[lane]
+        at[lane] += n
 
 
 def check_packed(rows, wanted, length):
@@ -66,7 +113,7 @@ def check_packed(rows, wanted, length):
 
 
 def ids_of(text):
-    return [*Tokenizer.from_file(WORDS).encode(text or "", add_special_tokens=False).ids, 2]
+    return [*LIBRARY.encode(text or "", add_special_tokens=False).ids, 2]
 
 
 def test_pack_edges(edge, none):

@@ -1,13 +1,16 @@
-"""What the operators share: the shared work folder, text in batches, CRC-32 splits."""
+"""What the operators share: the shared work folder, text in batches, words, CRC-32 splits."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,9 +19,11 @@ WHITE = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where the setting is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only in local mode, where one machine is all."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         folder = "file://" + tempfile.mkdtemp(prefix="work-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -103,3 +108,40 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0xD6E8FEB86659FD93)
     x ^= x >> np.uint64(32)
     return x
+
+
+def as_text(raw: pa.Array) -> pa.Array:
+    """Bytes as strings, without a copy and unchecked: for kernels that look at ASCII characters alone."""
+    raw = raw.cast(pa.large_binary())
+    return pa.LargeStringArray.from_buffers(len(raw), *raw.buffers()[1:], null_count=0, offset=raw.offset)
+
+
+def words_in(text: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """For texts split at ASCII white space: the number of each word in a list of distinct ones, where each text's words begin (and, last, how many there are), and that list."""
+    split = pc.ascii_split_whitespace(text)
+    starts, words = split.offsets.to_numpy().astype(np.int64), split.values
+    full = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
+    if not full.all():
+        starts = np.append(0, np.cumsum(full))[starts]
+        words = words.filter(pa.array(full))
+    coded = words.dictionary_encode()
+    return coded.indices.to_numpy(), starts - starts[0], coded.dictionary
+
+
+def pieces_of(column: pa.Array, limit: int) -> Iterator[pa.Array]:
+    """A column of bytes in slices of about `limit` bytes each; one longer value stands alone."""
+    ends = np.cumsum(pc.binary_length(column).to_numpy())
+    a = 0
+    while a < len(column):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + limit, "right")))
+        yield column.slice(a, b - a)
+        a = b
+
+
+def released() -> None:
+    """Gives memory that a Python worker no longer uses back to the machine, at the end of a task: the worker stays for later ones."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
