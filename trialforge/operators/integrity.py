@@ -2,11 +2,15 @@
 
 rows are traces: run_id, round, step, agent_role, prompt_text, response_text, task_id, in the columns each check names.
 A check is a frame of checked items with a boolean `failed`; summary() adds it up. Snippets are found by equality of
-keys first and contains() on what is left, so no text is compared with all others.
+keys first and contains() on what is left, or by one automaton for all of them: no text is compared with each of the others.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,20 +105,40 @@ def context_chain(rows: DataFrame, width: int = 200) -> DataFrame:
     return hits.withColumn("failed", ~F.col("found"))
 
 
-def contamination(prompts: DataFrame, snippets: DataFrame, width: int = 32) -> DataFrame:
+def finder(words: list[tuple[str, list[str]]]):
+    """A column function from texts to the sorted tags of all words in them. words: (word, tags)."""
+
+    @F.pandas_udf("array<string>")
+    def found(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        automaton = ahocorasick.Automaton()
+        for word, tags in words:
+            automaton.add_word(word, tags)
+        automaton.make_automaton()
+        for x in texts:
+            yield x.map(lambda t: sorted(set().union(*(tags for _, tags in automaton.iter(t)))))
+
+    return found
+
+
+def contamination(prompts: DataFrame, snippets: DataFrame, at_once: int = 16_000_000) -> DataFrame:
     """prompt_id, task_id pairs where a prompt holds a snippet of another task. prompts: prompt_id, task_id, text; snippets: task_id, snippet.
 
-    A snippet can only stand in a text that has the snippet's first `width` characters: windows of that width are
-    hashed on both sides and joined, and contains() settles what meets. Shorter snippets are windows of their own length.
+    Snippets become one automaton for about `at_once` bytes of them, and each text is read once by each automaton, from
+    its first character to its last: linear in the text, whatever its length, and nothing is shuffled but what was found.
+    Null and empty texts and snippets meet nothing.
     """
-    keyed = snippets.where(F.char_length("snippet") > 0).select(F.col("task_id").alias("other"), "snippet", F.least(F.char_length("snippet"), F.lit(width)).alias("w")).withColumn("h", F.xxhash64(F.expr("substring(snippet, 1, w)"), "w"))
-    widths = [r["w"] for r in keyed.select("w").distinct().collect()]  # `width` values at most
-    out = None
-    for w in sorted(widths):
-        own = prompts.where(F.char_length("text") >= w).select("prompt_id", "task_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length("text") - w + 1), lambda i: F.xxhash64(F.substring(F.col("text"), i, F.lit(w)), F.lit(w))))).alias("h"))
-        met = own.join(keyed.where(F.col("w") == w), "h").where((F.col("task_id") != F.col("other")) & F.col("text").contains(F.col("snippet"))).select("prompt_id", F.col("other").alias("task_id"))
-        out = met if out is None else out.union(met)
-    return out.distinct() if out is not None else prompts.limit(0).select("prompt_id", "task_id")
+    kind = prompts.schema["task_id"].dataType.simpleString()
+    keyed = snippets.where(F.char_length("snippet") > 0).groupBy("snippet").agg(F.collect_set(F.col("task_id").cast("string")).alias("tasks"))
+    size = keyed.agg(F.sum(F.octet_length("snippet") + 64)).first()[0] or 0
+    parts, out = -(-size // at_once), prompts.limit(0).select("prompt_id", "task_id")
+    for k in range(parts):
+        words = [(r["snippet"], r["tasks"]) for r in keyed.where(F.pmod(F.xxhash64("snippet"), F.lit(parts)) == k).collect()]  # about at_once bytes
+
+        if words:
+            found = finder(words)
+            met = prompts.where(F.char_length("text") > 0).select("prompt_id", "task_id", F.explode(found("text")).alias("other"))
+            out = out.union(met.where(F.col("task_id").cast("string") != F.col("other")).select("prompt_id", F.col("other").cast(kind).alias("task_id")))
+    return out.distinct()
 
 
 def prefix_references(names: DataFrame, known: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from trialforge.operators.prefix import sums_before
+
 TRIPLE = ["variant_id", "task_id", "repetition"]
 
 
@@ -56,23 +58,38 @@ def admission(requests: DataFrame, runs: DataFrame, resume: bool = False, force:
     return requests.join(known, TRIPLE, "left").select(*TRIPLE, decision.alias("decision"))
 
 
-def within_budget(runs: DataFrame, limit: float, order: list, cost: str = "total_cost_usd", lane: str | None = None) -> DataFrame:
-    """Runs until the cost passes the limit; the run that crosses it is the last. lane: budgets are per value of this column."""
-    w = Window.partitionBy(lane if lane else F.lit(0)).orderBy(*order)
-    before = F.coalesce(F.sum(cost).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return runs.withColumn("spent_before", before).where(F.col("spent_before") <= limit)
+def within_budget(runs: DataFrame, limit: float, order: list[str], cost: str = "total_cost_usd", lane: str | None = None) -> DataFrame:
+    """Runs until the cost passes the limit; the run that crosses it is the last. order: columns, the first a number; lane: budgets are per value of this column."""
+    spent = sums_before(runs, order, F.coalesce(F.col(cost).cast("double"), F.lit(0.0)), "spent_before", [lane] if lane else None)
+    return spent.where(F.col("spent_before") <= limit)
+
+
+def hash_text(*columns, seed: int = 42):
+    """A hexadecimal text that deals rows alike at every run and in every engine."""
+    return F.md5(F.concat_ws("_", *[F.col(c).cast("string") for c in columns], F.lit(str(seed))).cast("binary"))
 
 
 def hash_order(*columns, seed: int = 42):
     """A sort key that shuffles rows alike at every run: by hash, with the columns themselves against ties."""
-    return [F.xxhash64(*[F.col(c) for c in columns], F.lit(seed)), *[F.col(c) for c in columns]]
+    return [hash_text(*columns, seed=seed), *[F.col(c) for c in columns]]
 
 
 def stratified_sample(rows: DataFrame, by: str, key: str, fraction: float, seed: int = 42) -> DataFrame:
-    """max(1, int(n * fraction)) rows of each stratum, by smallest hash."""
-    sizes = rows.groupBy(by).agg(F.greatest(F.lit(1), F.floor(F.count("*") * fraction)).alias("take"))
-    ranked = rows.join(F.broadcast(sizes), by).withColumn("n", F.row_number().over(Window.partitionBy(by).orderBy(*hash_order(key, seed=seed))))
-    return ranked.where("n <= take").drop("n", "take")
+    """max(1, int(n * fraction)) rows of each stratum, by smallest hash.
+
+    Hashes are counted by their first three digits; whole bins are taken as long as they fit, and only the rows of a
+    stratum's last bin, about one in 4,096, are put in order.
+    """
+    own = rows.withColumn("_bin", F.substring(hash_text(key, seed=seed), 1, 3))
+    bins = own.groupBy(by, "_bin").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(by)  # 4,096 rows at most
+    upto = F.sum("_n").over(w.orderBy("_bin"))
+    left = F.greatest(F.lit(1), F.floor(F.sum("_n").over(w) * fraction)) - (upto - F.col("_n"))
+    bins = bins.select(F.col(by).alias("_by"), F.col("_bin").alias("_b"), "_n", left.alias("_left")).where("_left > 0")
+    met = own.join(bins, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_bin") == F.col("_b")))
+    whole = met.where("_n <= _left").select(*rows.columns)
+    cut = met.where("_n > _left").withColumn("_place", F.row_number().over(Window.partitionBy("_by", "_b").orderBy(*hash_order(key, seed=seed))))
+    return whole.union(cut.where("_place <= _left").select(*rows.columns))
 
 
 def call_seed(*parts):

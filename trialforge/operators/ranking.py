@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialforge.functions import tails
+from trialforge.operators.prefix import sums_before
 
 BLOCK = ["task_id", "repetition"]
 
@@ -107,12 +108,12 @@ def wilcoxon(df: DataFrame, strata: list[str] | None = None, family: int | str |
 def mann_whitney(rows: DataFrame, group: str, value: str, first: str, strata: list[str] | None = None) -> DataFrame:
     """strata, n_first, n_second, u (of the first), effect = 1 - 2u/(n1 n2), ties. rows with a null group are left out; all groups but `first` are the second sample.
 
-    The rank of a value is made from counts of distinct values, so that no window holds all rows of a stratum.
+    The rank of a value is made from counts of distinct values, summed up range by range, so that no window holds
+    all values of a stratum.
     """
     s = strata or []
     own = rows.where(F.col(group).isNotNull() & F.col(value).isNotNull()).groupBy(*s, F.col(value).alias("v")).agg(F.sum((F.col(group) == first).cast("long")).alias("a"), F.count("*").alias("t"))
-    before = F.sum("t").over(Window.partitionBy(*(s or [F.lit(0)])).orderBy("v").rowsBetween(Window.unboundedPreceding, -1))
-    ranked = own.withColumn("r", F.coalesce(before, F.lit(0)) + (F.col("t") + 1) / 2.0)
+    ranked = sums_before(own, ["v"], F.col("t"), "below", s).withColumn("r", F.col("below") + (F.col("t") + 1) / 2.0)
     out = ranked.groupBy(*s).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(name) for name, c in (("n_first", F.col("a")), ("n_second", F.col("t") - F.col("a")))], F.coalesce(F.sum(F.col("a") * F.col("r")), F.lit(0.0)).alias("rank_sum"), F.coalesce(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).cast("double"), F.lit(0.0)).alias("ties"))
     n1, n2 = F.col("n_first"), F.col("n_second")
     u = F.col("rank_sum") - n1 * (n1 + 1) / 2.0
@@ -129,8 +130,7 @@ def spearman(rows: DataFrame, x: str, y: str, least: int = 5) -> DataFrame:
 
     def ranks(c: str) -> DataFrame:
         counts = own.groupBy(c).agg(F.count("*").alias("t"))
-        before = F.sum("t").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1))
-        return counts.select(c, (F.coalesce(before, F.lit(0)) + (F.col("t") + 1) / 2.0).alias(f"r{c}"))
+        return sums_before(counts, [c], F.col("t"), "below").select(c, (F.col("below") + (F.col("t") + 1) / 2.0).alias(f"r{c}"))
 
     both = own.join(ranks("x"), "x").join(ranks("y"), "y")
     spread = F.stddev_pop("rx") * F.stddev_pop("ry")

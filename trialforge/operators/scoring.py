@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -73,30 +73,21 @@ def alpha_proxy(scores: DataFrame, key: str = "design_id") -> DataFrame:
 def ordinal_alpha(scores: DataFrame, key: str = "design_id", unit: str = "dimension", value: str = "score") -> DataFrame:
     """Krippendorff's ordinal alpha of each key over its units; null where all values are equal or no unit has two.
 
-    From counts of values per unit: coincidences of unordered value pairs, and the squared ordinal distance between
-    two values: the marginals from one to the other, less half of both ends.
+    The ordinal distance of two values is the distance of their mid-ranks among all values of the key. So the sums over
+    all pairs of values, of a unit (observed) or of the key (expected), are the sizes times the sums of squared
+    mid-ranks less the squared sums: no pairs are made. Values are counted first, so a key costs its distinct values.
     """
     counts = scores.groupBy(key, unit, F.col(value).alias("c")).agg(F.count("*").alias("n"))
-    sizes = counts.groupBy(key, unit).agg(F.sum("n").alias("m")).where("m >= 2")
-    counts = counts.join(sizes, [key, unit])
-    other = counts.select(key, unit, F.col("c").alias("k"), F.col("n").alias("n2"))
-    pairs = counts.join(other, [key, unit]).groupBy(key, "c", "k").agg(F.sum(F.col("n") * (F.col("n2") - F.when(F.col("c") == F.col("k"), 1).otherwise(0)) / (F.col("m") - 1)).alias("o"))
-    marginal = counts.groupBy(key, "c").agg(F.sum("n").cast("double").alias("n"))
-    run = F.sum("n").over(_window(key, "c"))
-    marginal = marginal.select(key, "c", "n", run.alias("upto"))
-    right = marginal.select(key, F.col("c").alias("k"), F.col("n").alias("nk"), F.col("upto").alias("upto_k"))
-    grid = marginal.join(right, key).where("c < k")
-    distance = F.pow(F.col("upto_k") - F.col("upto") + F.col("n") - (F.col("n") + F.col("nk")) / 2, F.lit(2))
-    grid = grid.withColumn("d", distance).join(pairs, [key, "c", "k"], "left")
-    total = marginal.groupBy(key).agg(F.sum("n").alias("total"))
-    sums = grid.groupBy(key).agg(F.sum(F.coalesce("o", F.lit(0.0)) * F.col("d")).alias("observed"), F.sum(F.col("n") * F.col("nk") * F.col("d")).alias("expected"))
-    return total.join(sums, key, "left").select(key, F.when(F.col("expected") > 0, 1 - (F.col("total") - 1) * F.col("observed") / F.col("expected")).alias("alpha"))
-
-
-def _window(key: str, order: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(key).orderBy(order)
+    size = F.sum("n").over(Window.partitionBy(key, unit))
+    counts = counts.repartition(key).withColumn("m", size).where("m >= 2")
+    whole = Window.partitionBy(key)
+    below = F.sum("n").over(whole.orderBy("c").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    middle = below - F.sum("n").over(Window.partitionBy(key, "c")) / 2 - F.sum("n").over(whole) / 2
+    ranked = counts.withColumn("r", middle)
+    weigh = lambda *by: ranked.groupBy(*by).agg(F.sum("n").cast("double").alias("m"), F.sum(F.col("n") * F.col("r")).alias("s"), F.sum(F.col("n") * F.col("r") * F.col("r")).alias("q"))
+    units = weigh(key, unit).groupBy(key).agg(F.sum("m").alias("m"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum((F.col("m") * F.col("q") - F.col("s") * F.col("s")) / (F.col("m") - 1)).alias("observed"))
+    expected = F.col("m") * F.col("q") - F.col("s") * F.col("s")
+    return units.select(key, F.when(expected > 1e-9, 1 - (F.col("m") - 1) * F.col("observed") / expected).alias("alpha"))
 
 
 def ensemble(evaluations: DataFrame, weights: dict[str, float], key: str = "design_id", model: str = "evaluator_model", score: str = "overall_score") -> DataFrame:

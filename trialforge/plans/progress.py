@@ -194,15 +194,16 @@ def consensus(spark, sf):
     return e.groupBy("design_id").agg((F.max("overall_score") - F.min("overall_score") < 0.3).alias("converged"), F.min_by("evaluator_run", F.struct(-F.col("overall_score"), "evaluator_run", "rater_key")).alias("winner"))
 
 
-@query()
+@query(sql("SELECT variant_id, design_id FROM (SELECT *, row_number() OVER (PARTITION BY variant_id ORDER BY md5(design_id::VARCHAR || '_42'), design_id) AS i, count(*) OVER (PARTITION BY variant_id) AS n FROM scores) WHERE i <= greatest(1, CAST(floor(n * 0.1::DOUBLE) AS BIGINT))", "scores"))
 def stratified_sample(spark, sf):
     return progress.stratified_sample(A.score_view(spark, sf), "variant_id", "design_id", 0.1).select("variant_id", "design_id")
 
 
-@query()
+@query(sql("SELECT variant_id, task_id, repetition, run_id, md5(concat_ws('_', variant_id, task_id, repetition, run_id, '42')) AS place FROM runs WHERE status = 'running'", "runs"))
 def shuffled_runs(spark, sf):
-    runs = A.runs(spark, sf).where("status = 'running'")
-    return runs.orderBy(*progress.hash_order("variant_id", "task_id", "repetition", "run_id")).select("variant_id", "task_id", "repetition", "run_id")
+    """What is left to run, in an order that is random but the same at every run: `place` is its sort key."""
+    runs, by = A.runs(spark, sf).where("status = 'running'"), ["variant_id", "task_id", "repetition", "run_id"]
+    return runs.orderBy(*progress.hash_order(*by)).select(*by, progress.hash_text(*by).alias("place"))
 
 
 @query(
