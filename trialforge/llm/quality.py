@@ -17,22 +17,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialforge.llm._common import chunks, mix64, raw_text
+from trialforge.llm._common import as_text, chunks, mix64, raw_text, released, words_in
 
 WINDOW = 8
 AT_ONCE = 4_000_000
 SYMBOLS = b"#*$%&|<>"
 #: Statistics that the model sees, and the direction in which the probability of good quality may go with each (0: any).
-FEATURES = {"log_words": 0, "mean_word": 0, "symbol_share": -1, "dup_line_share": -1, "repeat_share": -1, "upper_share": 0, "digit_share": 0, "stop_share": 0, "distinct_share": 0, "punct_share": 0, "line_words": 0, "non_ascii_share": 0}
-#: Frequent short words of four languages.
-STOP_WORDS = frozenset(b"the of and to in a is that it for was on with as at be la le les des et en un une du que qui est der die das und ist von zu mit den ein eine el los las y de por con para".split())
+#: variety is log(distinct words) / log(words), stutter_share the share of words that are the word before once more.
+FEATURES = {"log_words": 0, "mean_word": 0, "symbol_share": -1, "dup_line_share": -1, "repeat_share": -1, "upper_share": 0, "digit_share": 0, "stutter_share": -1, "variety": 1, "punct_share": 0, "line_words": 0, "non_ascii_share": 0}
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 NOT_SYMBOL = bytes(set(range(256)) - set(SYMBOLS))
 NOT_UPPER, NOT_DIGIT = bytes(set(range(256)) - set(range(65, 91))), bytes(set(range(256)) - set(range(48, 58)))
 NOT_PUNCT = bytes(set(range(256)) - set(b".,;:!?"))
-NOT_ASCII, CONTINUING, WHITE = bytes(range(128, 256)), bytes(range(128, 192)), b" \t\n\v\f\r"
+NOT_ASCII, CONTINUING = bytes(range(128)), bytes(range(128, 192))
 
 
 def repeated_words(ids: np.ndarray, owner: np.ndarray, n: int, window: int = WINDOW) -> np.ndarray:
@@ -56,40 +58,40 @@ def repeated_words(ids: np.ndarray, owner: np.ndarray, n: int, window: int = WIN
     return np.bincount(owner[np.cumsum(change[:-1]) > 0], minlength=n)
 
 
+def lines_of(text: bytes) -> tuple[int, int]:
+    """Lines with a word, and those of them that an earlier line equals."""
+    lines, seen, dup = text.split(b"\n"), set(), 0
+    for x in lines:
+        if x in seen:
+            dup += 1
+        elif x and not x.isspace():
+            seen.add(x)
+    return len(seen) + dup, dup
+
+
 def statistics(raw: list[bytes]) -> pd.DataFrame:
     """Base columns of the contract and FEATURES, of each text."""
     parts = []
     for part in chunks(raw, AT_ONCE):
-        known: dict[bytes, int] = {}
-        rows, ids, sizes = [], [], []
-        for text in raw[part]:
-            words = text.split()
-            n = len(words)
-            for w in (distinct := set(words)):
-                if w not in known:
-                    known[w] = len(known)
-            ids.append(np.fromiter(map(known.__getitem__, words), np.int64, n))
-            sizes.append(n)
-            size = len(text)
-            chars = size - len(text) + len(text.translate(None, CONTINUING)) if not text.isascii() else size
-            word_chars = chars - (size - len(text.translate(None, WHITE)))
-            symbols = len(text.translate(None, NOT_SYMBOL))
-            lines, seen, dup = text.split(b"\n"), set(), 0
-            for x in lines:
-                if x in seen:
-                    dup += 1
-                elif x and not x.isspace():
-                    seen.add(x)
-            filled = len(seen) + dup
-            stop = sum(map(STOP_WORDS.__contains__, map(bytes.lower, words)))
-            d = max(1, word_chars)
-            rows.append((n, word_chars, symbols, dup, np.log1p(n), word_chars / max(1, n), symbols / d, dup / max(1, filled), len(text.translate(None, NOT_UPPER)) / d, len(text.translate(None, NOT_DIGIT)) / d, stop / max(1, n), len(distinct) / max(1, n), len(text.translate(None, NOT_PUNCT)) / d, np.log1p(n / max(1, filled)), (size - len(text.translate(None, NOT_ASCII))) / max(1, size)))
-        repeat = repeated_words(np.concatenate(ids), np.repeat(np.arange(len(sizes)), sizes), len(sizes))
-        x = pd.DataFrame(rows, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "log_words", "mean_word", "symbol_share", "dup_line_share", "upper_share", "digit_share", "stop_share", "distinct_share", "punct_share", "line_words", "non_ascii_share"])
-        x["n_repeat_words"] = repeat
-        x["repeat_share"] = repeat / np.maximum(1, x["n_words"])
-        parts.append(x)
-    return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({c: [] for c in ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *FEATURES]})
+        texts = raw[part]
+        ids, starts, words = words_in(as_text(pa.array(texts, pa.large_binary())))
+        n = np.diff(starts)
+        owner = np.repeat(np.arange(len(texts)), n)
+        # Distinct words of each text: a text's number and a word's, sorted.
+        pairs = np.sort(owner * max(1, len(words)) + ids)
+        distinct = np.bincount(pairs[np.append(True, pairs[1:] != pairs[:-1])] // max(1, len(words)), minlength=len(texts)) if len(pairs) else np.zeros(len(texts), np.int64)
+        letters, other = pc.binary_length(words).to_numpy().copy(), np.flatnonzero(~pc.string_is_ascii(words).to_numpy(zero_copy_only=False))
+        letters[other] = [len(w.translate(None, CONTINUING)) for w in words.take(pa.array(other)).cast(pa.large_binary()).to_pylist()]
+        word_chars = np.bincount(owner, letters[ids], len(texts)).astype(np.int64)
+        again = np.bincount(owner[1:][(ids[1:] == ids[:-1]) & (owner[1:] == owner[:-1])], minlength=len(texts))
+        count = lambda others: np.fromiter((len(t.translate(None, others)) for t in texts), np.int64, len(texts))
+        lines = np.array([lines_of(t) for t in texts]).reshape(-1, 2)
+        symbols, size, some, d = count(NOT_SYMBOL), np.fromiter(map(len, texts), np.int64, len(texts)), np.maximum(1, n), np.maximum(1, word_chars)
+        repeat = repeated_words(ids, owner, len(texts))
+        x = {"n_words": n, "word_chars": word_chars, "n_symbols": symbols, "n_dup_lines": lines[:, 1], "n_repeat_words": repeat, "log_words": np.log1p(n), "mean_word": word_chars / some, "symbol_share": symbols / d, "dup_line_share": lines[:, 1] / np.maximum(1, lines[:, 0]), "repeat_share": repeat / some}
+        x |= {"upper_share": count(NOT_UPPER) / d, "digit_share": count(NOT_DIGIT) / d, "stutter_share": again / some, "variety": np.log1p(distinct) / np.log1p(some), "punct_share": count(NOT_PUNCT) / d, "line_words": np.log1p(n / np.maximum(1, lines[:, 0])), "non_ascii_share": count(NOT_ASCII) / np.maximum(1, size)}
+        parts.append(pd.DataFrame(x))
+    return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({c: [] for c in [*BASE, *FEATURES]})
 
 
 @dataclass
@@ -118,7 +120,7 @@ class Trees:
         return 1 / (1 + np.exp(-self.margin(x)))
 
 
-def grow(x: np.ndarray, y: np.ndarray, signs: list[int], trees: int = 60, depth: int = 4, rate: float = 0.15, bins: int = 48, reg: float = 2.0, least: float = 4.0) -> Trees:
+def grow(x: np.ndarray, y: np.ndarray, signs: list[int], trees: int = 60, depth: int = 4, rate: float = 0.15, bins: int = 48, reg: float = 2.0, least: float = 1.0) -> Trees:
     """Boosted trees for the log loss by histogram splits. A split on a constrained feature is only taken if its two
     leaves are in that order, and the midpoint then bounds all leaves below it."""
     edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])]
@@ -164,19 +166,18 @@ def grow(x: np.ndarray, y: np.ndarray, signs: list[int], trees: int = 60, depth:
 
 def measured(score: Trees | None = None, features: bool = False):
     """A column function from texts as bytes to a struct of their statistics, base_failed, the model's probability `good` (null without a model) and, if asked for, the features."""
-    longs = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-
-    @F.pandas_udf(", ".join(f"{c} long" for c in longs) + ", base_failed boolean, good double" + ", features array<double>" * features)
+    @F.pandas_udf(", ".join(f"{c} long" for c in BASE) + ", base_failed boolean, good double" + ", features array<double>" * features)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for x in batches:
             s = statistics(x.tolist())
             f = s[list(FEATURES)].to_numpy(np.float64)
-            out = s[list(longs)].astype(np.int64)
+            out = s[list(BASE)].astype(np.int64)
             out["base_failed"] = (out["n_words"] < 20) | (100 * out["n_repeat_words"] > 30 * out["n_words"])
             out["good"] = score.probability(f) if score else np.full(len(f), np.nan)
             if features:
                 out["features"] = list(f)
             yield out
+        released()
 
     return run
 
