@@ -6,11 +6,13 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.helpers import assert_same, oracle_rows
 from tests.llm.conftest import BASE, TEXTS
 from trialforge.llm import exact_dedup, near_dedup, queries
+from trialforge.llm._common import pieces_of
 from trialforge.llm.exact_dedup import CountingQuotientFilter
 
 
@@ -135,3 +137,16 @@ def test_distinct_near_rows(edge):
     ids = [r["doc_id"] for r in near_dedup.distinct_rows(edge, 80).collect()]
     assert {1, 2, 3, 4, 8, 12} <= set(ids) and not {5, 6, 10, 11, 13} & set(ids) and ids.count(1) == 1
     assert BASE
+
+
+def test_shingles_of_pieces():
+    """Slices of a column give the sets that the whole column gives, and each set is that of its text."""
+    texts = [(t or "").encode() for _, t in TEXTS] * 3
+    for column in (pa.array(texts, pa.binary()), pa.array(texts, pa.large_binary()).slice(2)):
+        whole = near_dedup.shingles_of(column)
+        for limit in (1, 50, 700):
+            pieces = [s for p in pieces_of(column, limit) for s in near_dedup.shingles_of(p)]
+            assert len(pieces) == len(whole) and all(np.array_equal(a, b) for a, b in zip(pieces, whole, strict=True))
+        for s, t in zip(whole, column.to_pylist(), strict=True):
+            w = t.lower().split()
+            assert len(s) == len({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else ())

@@ -111,9 +111,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def as_text(raw: pa.Array) -> pa.Array:
-    """Bytes as strings, without a copy and unchecked: for kernels that look at ASCII characters alone."""
+    """Bytes (or text) as strings, without a copy and unchecked: for kernels that look at ASCII characters alone. Offsets begin at 0, which some kernels take for granted."""
     raw = raw.cast(pa.large_binary())
-    return pa.LargeStringArray.from_buffers(len(raw), *raw.buffers()[1:], null_count=0, offset=raw.offset)
+    _, ends, data = raw.buffers()
+    ends = np.frombuffer(ends, np.int64)[raw.offset : raw.offset + len(raw) + 1] if len(raw) else np.zeros(1, np.int64)
+    return pa.LargeStringArray.from_buffers(len(raw), pa.py_buffer(ends - ends[0]), (data or pa.py_buffer(b"")).slice(int(ends[0]), int(ends[-1] - ends[0])))
 
 
 def words_in(text: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:

@@ -30,16 +30,18 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialforge.llm._common import chunks, held, mix64, raw_text, stored, trimmed
+from trialforge.llm._common import as_text, mix64, pieces_of, raw_text, released, stored, words_in
 
 WORDS, K, B, ROWS = 5, 128, 2, 4
 BANDS = K // ROWS
 SLACK = 6.0
-AT_ONCE, REMEMBERED, STAR_BLOCK, STAR_SLICE, STAR_CHUNK, MEETINGS = 4_000_000, 400_000, 1_000, 2_000, 20_000, 4_000_000
+AT_ONCE, STAR_BLOCK, STAR_SLICE, STAR_CHUNK, MEETINGS = 4_000_000, 1_000, 2_000, 20_000, 4_000_000
 PACKED = K * B // 8
 _CELLS = mix64(np.arange(1, 2 * K + 1, dtype=np.uint64))
 MULTIPLY = (_CELLS[:K] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -47,27 +49,22 @@ FLIP = (_CELLS[K:] >> np.uint64(32)).astype(np.uint32)
 BIT_COUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
-class Shingler:
-    """Sets of shingle hashes of whole texts; remembers the hashes of words, up to a bound."""
+def shingles_of(raw: pa.Array) -> list[np.ndarray]:
+    """Sorted distinct 64-bit shingle hashes of each text (bytes)."""
+    index, starts, words = words_in(pc.ascii_lower(as_text(raw)))
+    known = np.fromiter(map(xxhash.xxh3_64_intdigest, words.cast(pa.large_binary()).to_pylist()), np.uint64, len(words))
+    h = known[index]
 
-    def __init__(self):
-        self.known: dict[bytes, int] = {}
+    def rolled(h: np.ndarray, width: int) -> np.ndarray:
+        total = np.zeros(max(0, len(h) - width + 1) if width else 0, np.uint64)
+        for k in range(width):
+            total = total * np.uint64(0x9E3779B97F4A7C15) + h[k : k + len(total)]
+        return mix64(total + np.uint64(width))
 
-    def __call__(self, raw: list[bytes]) -> list[np.ndarray]:
-        """Sorted distinct 64-bit shingle hashes of each text."""
-        self.known = trimmed(self.known, REMEMBERED)
-        words = [x.lower().split() for x in raw]
-        for w in set().union(*words) - self.known.keys():
-            self.known[w] = xxhash.xxh3_64_intdigest(w)
-        look, out = self.known.__getitem__, []
-        for x in words:
-            h = np.fromiter(map(look, x), np.uint64, len(x))
-            width = min(WORDS, len(h))
-            total = np.zeros(max(0, len(h) - width + 1) if width else 0, np.uint64)
-            for k in range(width):
-                total = total * np.uint64(0x9E3779B97F4A7C15) + h[k : k + len(total)]
-            out.append(np.unique(mix64(total + np.uint64(width))))
-        return out
+    every, out = rolled(h, WORDS), []
+    for a, b in zip(starts.tolist(), starts[1:].tolist(), strict=False):
+        out.append(np.unique(every[a : b - WORDS + 1] if b - a >= WORDS else rolled(h[a:b], b - a)))
+    return out
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
@@ -119,37 +116,43 @@ def profiles(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, n_shingles, set_key, sig, bands of every row; the last three are null for an empty set."""
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles = held(Shingler)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            raw = x["raw"].tolist()
-            for part in chunks(raw, AT_ONCE):
-                sets = shingles(raw[part])
+            done = 0
+            for raw in pieces_of(x.column("raw"), AT_ONCE):
+                own, done = x.column("id").slice(done, len(raw)), done + len(raw)
+                sets = shingles_of(raw)
+                sizes = np.array([len(s) for s in sets])
                 full = [s for s in sets if len(s)]
                 minima = signatures(full)
-                sig, bands, filled = iter(packed_bits(minima)), iter(band_keys(minima)), []
-                for s in sets:
-                    filled.append((xxhash.xxh3_128_digest(s.tobytes()), next(sig).tobytes(), next(bands)) if len(s) else (None, None, None))
-                yield pd.DataFrame({"id": x["id"].iloc[part], "n_shingles": [len(s) for s in sets], "set_key": [f[0] for f in filled], "sig": [f[1] for f in filled], "bands": [f[2] for f in filled]})
+                # One row for each text with a set, and null for the others.
+                place = pa.array(np.cumsum(sizes > 0) - 1, mask=sizes == 0)
+                flat = lambda rows: pa.FixedSizeBinaryArray.from_buffers(pa.binary(rows.shape[1]), len(rows), [None, pa.py_buffer(np.ascontiguousarray(rows))])
+                sig = flat(packed_bits(minima)).cast(pa.binary())
+                bands = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(full) + 1, BANDS, dtype=np.int32)), pa.array(band_keys(minima).ravel()))
+                keys = pa.array([xxhash.xxh3_128_digest(s) for s in full], pa.binary())
+                yield pa.RecordBatch.from_arrays([own, pa.array(sizes.astype(np.int64)), keys.take(place), sig.take(place), bands.take(place)], ["id", "n_shingles", "set_key", "sig", "bands"])
+        released()
 
     rows = docs.select(F.col(id_col).alias("id"), raw_text(F.col(text_col)).alias("raw"))
-    return rows.mapInPandas(run, f"id {kind}, n_shingles long, set_key binary, sig binary, bands array<long>")
+    return rows.mapInArrow(run, f"id {kind}, n_shingles long, set_key binary, sig binary, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """node, set (sorted hashes as bytes) of the nodes in wanted (node, id, set_key)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles = held(Shingler)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            raw = x["raw"].tolist()
-            for part in chunks(raw, AT_ONCE):
-                sets = [s.tobytes() for s in shingles(raw[part])]
-                yield pd.DataFrame({"id": x["id"].iloc[part], "set_key": [xxhash.xxh3_128_digest(s) for s in sets], "set": sets})
+            done = 0
+            for raw in pieces_of(x.column("raw"), AT_ONCE):
+                own, done = x.column("id").slice(done, len(raw)), done + len(raw)
+                sets = [s.tobytes() for s in shingles_of(raw)]
+                yield pa.RecordBatch.from_arrays([own, pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], ["id", "set_key", "set"])
+        released()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted.select("id"), "id", "left_semi")
     # A repeated id with another text has another set_key.
-    return rows.select("id", raw_text(F.col("text")).alias("raw")).mapInPandas(run, "id long, set_key binary, set binary").join(wanted, ["id", "set_key"]).select("node", "set").dropDuplicates(["node"])
+    return rows.select("id", raw_text(F.col("text")).alias("raw")).mapInArrow(run, "id long, set_key binary, set binary").join(wanted, ["id", "set_key"]).select("node", "set").dropDuplicates(["node"])
 
 
 def grouped(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
@@ -358,9 +361,9 @@ def components(links: DataFrame) -> DataFrame:
 
 def set_keys(raw: pd.Series) -> pd.Series:
     """The set_key of each text, as profiles() has it, and no bytes for an empty set."""
-    out, shingles = [], held(Shingler)
-    for part in chunks(texts := raw.tolist(), AT_ONCE):
-        out += [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else b"" for s in shingles(texts[part])]
+    out = []
+    for part in pieces_of(pa.array(raw, pa.large_binary()), AT_ONCE):
+        out += [xxhash.xxh3_128_digest(s) if len(s) else b"" for s in shingles_of(part)]
     return pd.Series(out)
 
 
