@@ -34,10 +34,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialforge.llm._common import held, pieces_of, raw_text, released, stored, words_in
+from trialforge.llm._common import as_text, held, pieces_of, raw_text, released, stored, words_in
 
 #: Bytes of text handled at once, units remembered by a worker (about 30 bytes each), and units that are encoded together.
-AT_ONCE, REMEMBERED, TOGETHER = 4_000_000, 800_000, 20_000
+AT_ONCE, REMEMBERED, TOGETHER = 8_000_000, 1_000_000, 20_000
 #: Characters for which normal forms, lower case and classes are plain: ASCII and the letters of Latin-1.
 PLAIN = "^[\\x00-\\x7FÀ-ÖØ-öø-ÿ]*$"
 #: The vocabulary's splitting pattern for lower-cased words of these, and its mark of a word's end.
@@ -60,6 +60,9 @@ class WordEncoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
+        # Units are normal, in lower case and split already: what is left of the library's work is bytes and merges.
+        split = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+        self.merger = Tokenizer.from_str(json.dumps({**spec, "normalizer": None, "pre_tokenizer": split, "added_tokens": []}))
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for w, i in spec["model"]["vocab"].items() if w.endswith(WORD_END)]] = True
@@ -68,14 +71,14 @@ class WordEncoder:
         self.known, self.uses = pa.array([], pa.large_string()), np.zeros(0, np.int64)
         self.ids = pa.LargeListArray.from_arrays(pa.array([0], pa.int64()), pa.array([], pa.from_numpy_dtype(self.kind)))
 
-    def library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def library(self, texts: list[str], merger: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts, one after the other, and how many each has."""
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = [e.ids for e in (self.merger if merger else self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
         return np.fromiter(chain.from_iterable(ids), self.kind), np.fromiter(map(len, ids), np.int64, len(ids))
 
     def of_plain(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Units with a space between them: each ends with the one id that marks a word's end."""
-        ids = self.library([" ".join(units)])[0]
+        ids = self.library([" ".join(units)], merger=True)[0]
         stops = np.flatnonzero(self.ends[ids]) + 1
         return (ids, np.diff(stops, prepend=0)) if len(stops) == len(units) and stops[-1] == len(ids) else self.library(units)
 
@@ -155,7 +158,7 @@ class WordEncoder:
     def __call__(self, raw: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (bytes), one after the other, each followed by `end` if given, and where they begin (and, last, how many there are)."""
         try:
-            text = raw.cast(pa.large_string())
+            text = as_text(raw.cast(pa.large_string()))
         except pa.ArrowInvalid:
             text = pa.array([x.decode("utf-8", "replace") for x in raw.to_pylist()], pa.large_string())
         index, starts, words = words_in(text)
