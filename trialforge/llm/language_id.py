@@ -2,15 +2,17 @@
 
 Each letter has a random bipolar vector, made from its code point and a seed. A trigram's vector binds (multiplies) its
 letters' vectors, each permuted by its place; a text's vector bundles (adds) the vectors of its trigrams. A language's
-prototype bundles the unit vectors' worth of all its training texts, centred on the mean over languages, so that what
-all languages share does not count. A text's language is the prototype with the largest cosine.
+prototype is the sum of the bundles of all its training texts, of unit length, centred on the mean over languages, so
+that what all languages share does not count. A text's language is the prototype with the largest cosine.
 
 Binding and bundling are exact for whole texts: a text is reduced to counts of its trigrams first, and the counts are
-multiplied with the matrix of trigram vectors. Training sums counts per language and trigram on the executors; letters
-fall into LETTERS classes at most, so the tables have a fixed size whatever the input's.
+multiplied with the matrix of trigram vectors. Training sums counts per language and trigram on the executors, and then
+bundles; what reaches the driver is one bundle of DIMENSIONS numbers for each language, whatever the input's size. Each
+letter of any script has a vector of its own; a trigram is its three code points, 21 bits each.
 
 Edge cases: null text, or text without a letter, is "und" with score 0; training rows without a text or label are left
-out; without any training row every text is "und". Repeated rows count and are answered each. Other columns are not
+out; without any training row every text is "und"; a column of more than MAX_LANGUAGES values is no column of languages
+and is refused. Repeated rows count and are answered each. Other columns are not
 read. Ties between languages go to the smaller name.
 """
 
@@ -24,37 +26,33 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialforge.llm._common import chunks, mix64, raw_text
+from trialforge.llm._common import chunks, mix64, raw_text, released
 
 DIMENSIONS = 1024
-LETTERS = 512
 AT_ONCE = 2_000_000
 #: Languages at most; prototypes of this many are broadcast (MAX_LANGUAGES * DIMENSIONS * 4 bytes).
-MAX_LANGUAGES = 2_000
+MAX_LANGUAGES = 20_000
+BITS = 21
 
 
 @lru_cache(1)
-def letter_classes() -> np.ndarray:
-    """For each code point the class of its lower-case letter, 0 if it is none. Letters below U+0100 have a class of their own; the others share the rest."""
-    out = np.zeros(0x110000, np.int64)
-    for c in range(0x110000):
-        if (ch := chr(c)).isalpha():
-            low = ord(ch.lower()[0])
-            out[c] = low if 0 < low < 256 else 256 + low % (LETTERS - 256)
-    return out
+def letters() -> np.ndarray:
+    """For each code point its letter in lower case, 0 if it is none."""
+    return np.fromiter((ord(ch.lower()[0]) if (ch := chr(c)).isalpha() else 0 for c in range(0x110000)), np.int32, 0x110000)
 
 
-@lru_cache(4)
-def letter_vectors(seed: int) -> np.ndarray:
-    """LETTERS x DIMENSIONS of +1 and -1; class 0 (between words) has one too."""
-    cells = np.arange(LETTERS * DIMENSIONS, dtype=np.uint64) + (np.uint64(seed) << np.uint64(32))
-    return np.where(mix64(cells) >> np.uint64(63), 1, -1).astype(np.int8).reshape(LETTERS, DIMENSIONS)
+def letter_vectors(points: np.ndarray, seed: int) -> np.ndarray:
+    """A row of +1 and -1 for each letter; what stands between words (0) has one too."""
+    cells = points.astype(np.uint64)[:, None] * np.uint64(DIMENSIONS) + np.arange(DIMENSIONS, dtype=np.uint64) + (np.uint64(seed) << np.uint64(40))
+    return np.where(mix64(cells) >> np.uint64(63), 1, -1).astype(np.int8)
 
 
 def trigram_vectors(codes: np.ndarray, seed: int) -> np.ndarray:
     """One row of +1 and -1 for each packed trigram: first letter permuted twice, second once."""
-    v = letter_vectors(seed)
-    return np.roll(v, 2, axis=1)[codes // LETTERS**2] * np.roll(v, 1, axis=1)[codes // LETTERS % LETTERS] * v[codes % LETTERS]
+    parts = np.stack([codes >> 2 * BITS, codes >> BITS & (1 << BITS) - 1, codes & (1 << BITS) - 1])
+    points, which = np.unique(parts, return_inverse=True)
+    v, (a, b, c) = letter_vectors(points, seed), which.reshape(parts.shape)
+    return np.roll(v, 2, axis=1)[a] * np.roll(v, 1, axis=1)[b] * v[c]
 
 
 def trigram_counts(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,22 +60,28 @@ def trigram_counts(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     texts = [b" " + x + b" " for x in raw]
     points = [np.frombuffer(x.decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32) for x in texts]
     owner = np.repeat(np.arange(len(texts)), [len(x) for x in points])
-    classes = letter_classes()[np.concatenate(points)] if points else np.zeros(0, np.int64)
-    stays = np.append(True, (classes[1:] != 0) | (classes[:-1] != 0) | (owner[1:] != owner[:-1])) if len(classes) else np.zeros(0, bool)
-    classes, owner = classes[stays], owner[stays]
-    if len(classes) < 3:
+    own = letters()[np.concatenate(points)] if points else np.zeros(0, np.int32)
+    stays = np.append(True, (own[1:] != 0) | (own[:-1] != 0) | (owner[1:] != owner[:-1])) if len(own) else np.zeros(0, bool)
+    own, owner = own[stays], owner[stays]
+    if len(own) < 3:
         return (np.zeros(0, np.int64),) * 3
-    whole = owner[2:] == owner[:-2]
-    packed = (classes[:-2] * LETTERS + classes[1:-1]) * LETTERS + classes[2:]
-    keys = np.sort((owner[2:][whole] << 27) | packed[whole])
+    # Letters are numbered within these texts, so that text and trigram fit into 64 bits.
+    met = np.zeros(0x110000, bool)
+    met[own] = True
+    known = np.flatnonzero(met)
+    number = np.cumsum(met, dtype=np.int64)[own] - 1
+    m, whole = len(known), owner[2:] == owner[:-2]
+    packed = (number[:-2] * m + number[1:-1]) * m + number[2:]
+    keys = np.sort(owner[2:][whole] * m**3 + packed[whole])
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first] >> 27, keys[first] & (2**27 - 1), np.diff(np.append(first, len(keys)))
+    text, code = np.divmod(keys[first], m**3)
+    return text, known[code // m**2] << 2 * BITS | known[code // m % m] << BITS | known[code % m], np.diff(np.append(first, len(keys)))
 
 
 def has_letter(raw: pd.Series) -> pd.Series:
     """Whether a text, as bytes, has a letter: the texts that are not "und" where there are languages."""
-    letters = letter_classes()
-    return pd.Series([bool(letters[np.frombuffer(x.decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32)].any()) for x in raw], dtype=bool)
+    table = letters()
+    return pd.Series([bool(table[np.frombuffer(x.decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32)].any()) for x in raw], dtype=bool)
 
 
 def parts_of(raw: list[bytes]) -> Iterator[slice]:
@@ -96,6 +100,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", seed:
                 owner, codes, n = trigram_counts(raw[part])
                 if len(owner):
                     yield pd.DataFrame({"lang": lang[part][owner], "code": codes, "n": n}).groupby(["lang", "code"], as_index=False)["n"].sum()
+        released()
 
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), raw_text(F.col(text_col)).alias("raw"))
     counts = rows.mapInPandas(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
@@ -149,6 +154,7 @@ def predicted(languages: list[str], prototypes: np.ndarray, seed: int = 7):
                 score[part] = np.where(seen, np.clip(top[:, -1], 0, 1), 0)
                 margin[part] = np.where(seen, top[:, -1] - top[:, -2], 0) if top.shape[1] > 1 else 0
             yield pd.DataFrame({"lang_pred": pred, "score": score, "margin": margin})
+        released()
 
     return run
 

@@ -1,17 +1,23 @@
 """LM scoring by a probabilistic suffix tree over words.
 
-Contexts are the last one or two words. A context becomes a state if it occurs `least` times or more and a divergence
-test retains it: the gain in log-likelihood over its parent, summed over all its training occurrences, each with itself
-left out, is above `gain` for one of three smoothing strengths; the best strength stays with the state. A text is scored
-by the longest state that is a suffix of what came before each token; a state's distribution is smoothed with that of
-the next shorter state, down to the root, whose unigrams are smoothed by adding one (with one share for all unknown
-words). Each distribution sums to one over the known tokens and the unknown one.
+Contexts are the last words of a text, as many as the test asks for. A context becomes a state if it occurs `least`
+times or more and a divergence test retains it: the gain in log-likelihood over its parent, summed over all its training
+occurrences, each with itself left out, is above `gain` for one of three smoothing strengths; the best strength stays
+with the state. Contexts of one and two words are all tested; a longer one is tested where its parent is a state, and
+contexts grow by a word until no state is left to extend. There is no largest depth: what a longer context can add
+shrinks with every word, so the growth ends by itself. A text is scored by the longest state that is a suffix of what
+came before each token; a state's distribution is smoothed with that of the next shorter state, down to the root, whose
+unigrams are smoothed by adding one (with one share for all unknown words). Each distribution sums to one over the known
+tokens and the unknown one.
 
 The model is never gathered in one place. Texts are encoded into blocks, kept in a table bucketed by block, so that they
-are not shuffled again. A block asks once for the n-grams it has, by sorted hashes dealt into ranges; each range adds
-up the training counts of all blocks and answers each block in the order it asked. A second exchange of this kind adds
-up the gains of the contexts and answers which are states. Hot n-grams cost a block one entry. Unigrams are keyed by
-64 bits; longer n-grams by 14 bits more than it takes to number all n-grams, so that about one in 16,000 shares a key.
+are not shuffled again. A block asks once for the n-grams it has, by sorted 64-bit hashes dealt into ranges; each range
+adds up the training counts of all blocks and answers each block in the order it asked. Exchanges of this kind add up
+the gains of the contexts and answer which are states. Hot n-grams cost a block one entry. N-grams of three words are
+only asked for after frequent contexts, longer ones only after states, and only the tokens concerned are carried on.
+Gains are rounded to 2**-20 of a nat token by token and added as integers, so that states do not depend on how texts
+are dealt into blocks. Keys of 64 bits are taken as exact: among n different n-grams two share one with a probability
+of n * n / 2**65.
 
 Edge cases: null and empty texts are their end token alone; without training texts nothing is known and each token has
 probability one; repeated rows count and are answered each; an empty table gives no rows. Other columns are not read.
@@ -19,24 +25,28 @@ probability one; repeated rows count and are answered each; an empty table gives
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialforge.llm._common import chunks, mix64, raw_text, stored
+from trialforge.llm._common import as_text, chunks, mix64, new_path, raw_text, released, stored, words_in
 
-DEPTH = 2
 STRENGTHS = (0.25, 1.0, 4.0)
-AT_ONCE, ENTRIES = 8_000_000, 2_000_000
+AT_ONCE, ENTRIES = 6_000_000, 2_000_000
 END = np.uint64(0x5851F42D4C957F2D)
-SCALE = 64  # gains are added up in whole 64ths of a nat
+SCALE = 1 << 20  # gains are added up in whole parts of a nat
+#: Tags of rows beside the orders of n-grams: verdicts on contexts of d words are VERDICT + d; tokens carried on, and their probabilities with all counts and with themselves left out.
+VERDICT, CARRIED = 1_000_000, (2_000_000, 2_000_001, 2_000_002)
 
 
 def squeezed(values: np.ndarray) -> bytes:
@@ -61,223 +71,294 @@ def unsqueezed_keys(data: bytes) -> np.ndarray:
 
 def encoded(docs: DataFrame, training: Column, id_col: str, text_col: str) -> DataFrame:
     """block, ids, train, lengths, vocab, seq, tokens (training tokens), size (all tokens)."""
-    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         block = TaskContext.get().partitionId() << 28
         for x in batches:
             raw, ids, train = x["raw"].tolist(), x["id"].astype(object).where(x["id"].notna(), None).tolist(), x["train"].to_numpy(bool)
             for part in chunks(raw, AT_ONCE):
-                known: dict[bytes, int] = {}
-                seqs = []
-                for text in raw[part]:
-                    words = text.lower().split()
-                    for w in words:
-                        if w not in known:
-                            known[w] = len(known) + 1
-                    seqs.append(np.fromiter(map(known.__getitem__, words), np.uint32, len(words)))
-                    seqs.append(np.zeros(1, np.uint32))
-                lengths = np.array([len(s) + 1 for s in seqs[::2]], np.uint32)
-                vocab = np.fromiter(map(xxhash.xxh3_64_intdigest, known), np.uint64, len(known))
+                index, starts, words = words_in(pc.ascii_lower(as_text(pa.array(raw[part], pa.large_binary()))))
+                seq = np.insert(index.astype(np.uint32) + np.uint32(1), starts[1:], 0)  # 0 ends a text
+                lengths = (np.diff(starts) + 1).astype(np.uint32)
+                vocab = np.fromiter(map(xxhash.xxh3_64_intdigest, words.cast(pa.large_binary()).to_pylist()), np.uint64, len(words))
                 own = train[part]
-                yield pd.DataFrame({"block": [block], "ids": [ids[part]], "train": [np.packbits(own).tobytes()], "lengths": [squeezed(lengths)], "vocab": [np.append(END, vocab).tobytes()], "seq": [squeezed(np.concatenate(seqs))], "tokens": [int(lengths[own].sum())], "size": [int(lengths.sum())]})
+                yield pd.DataFrame({"block": [block], "ids": [json.dumps(ids[part]).encode()], "train": [np.packbits(own).tobytes()], "lengths": [squeezed(lengths)], "vocab": [np.append(END, vocab).tobytes()], "seq": [squeezed(seq)], "tokens": [int(lengths[own].sum())], "size": [int(lengths.sum())]})
                 block += 1
+        released()
 
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(training, F.lit(False)).alias("train"), raw_text(F.col(text_col)).alias("raw"))
-    return rows.mapInPandas(run, f"block long, ids array<{kind}>, train binary, lengths binary, vocab binary, seq binary, tokens long, size long")
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(training, F.lit(False)).alias("train"), raw_text(F.col(text_col)).alias("raw"))
+    return rows.mapInPandas(run, "block long, ids binary, train binary, lengths binary, vocab binary, seq binary, tokens long, size long")
 
 
 class Block:
-    """The n-grams of a block. For each order n: `at` (the tokens that end one), `which` (its number among the block's
-    distinct ones, by key), `keys` and `counts` (training occurrences in this block)."""
+    """The tokens of a block, in order, and n-grams by where they end."""
 
-    def __init__(self, row: pd.Series, bits: int):
-        self.ids = row["ids"]
-        lengths = unsqueezed(row["lengths"], np.uint32).astype(np.int64)
-        self.n, self.vocab, self.seq = len(lengths), np.frombuffer(row["vocab"], np.uint64), unsqueezed(row["seq"], np.uint32)
+    def __init__(self, row: pd.Series):
+        self.number, self.ids = row["block"], json.loads(row["ids"])
+        self.lengths = unsqueezed(row["lengths"], np.uint32).astype(np.int64)
+        self.n, seq = len(self.lengths), unsqueezed(row["seq"], np.uint32)
+        self.words = np.frombuffer(row["vocab"], np.uint64)[seq]
         self.train = np.unpackbits(np.frombuffer(row["train"], np.uint8), count=self.n).astype(bool)
-        self.owner = np.repeat(np.arange(self.n), lengths)
+        self.owner = np.repeat(np.arange(self.n), self.lengths)
         self.trained = self.train[self.owner]
-        words, self.grams = self.vocab[self.seq], {}
-        order = np.argsort(self.vocab)
-        number = np.empty(len(order), np.int64)
-        number[order] = np.arange(len(order))
-        which = number[self.seq]
-        self.grams[1] = (np.arange(len(which)), which, self.vocab[order], np.bincount(which[self.trained], minlength=len(order)))
-        total = words
-        for n in range(2, DEPTH + 2):
-            total = total[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[n - 1 :]
-            at = np.flatnonzero(self.owner[n - 1 :] == self.owner[: len(self.owner) - n + 1]) + n - 1
-            keys = mix64(total[at - n + 1] + np.uint64(n)) >> np.uint64(64 - bits)
-            order = np.argsort(keys)
-            ordered = keys[order]
-            first = np.append(True, ordered[1:] != ordered[:-1]) if len(ordered) else np.zeros(0, bool)
-            which = np.empty(len(order), np.int64)
-            which[order] = np.cumsum(first) - 1
-            distinct = ordered[first]
-            self.grams[n] = (at, which, distinct, np.bincount(which[self.trained[at]], minlength=len(distinct)))
-
-    def asked(self, block: int, cut: int, bits: int) -> Iterator[tuple[int, int, int, bytes, bytes]]:
-        """bin, block, order, keys, counts."""
-        for n, (_, _, keys, counts) in self.grams.items():
-            yield from dealt(block, n, keys, counts.astype(np.uint32), cut, 64 if n == 1 else bits)
-
-    def spread(self, n: int, values: np.ndarray, fill: float = 0) -> np.ndarray:
-        """values, by number, laid out by token (fill where no n-gram ends)."""
-        at, which, _, _ = self.grams[n]
-        out = np.full(len(self.seq), fill, np.float64)
-        out[at] = values[which]
+        self.place = np.arange(len(seq)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
+
+    def grams(self, n: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the n-grams that end at the tokens `at`: the number of each among the distinct ones, and these, sorted."""
+        if n == 1:
+            keys = self.words[at]
+        else:
+            total = np.zeros(len(at), np.uint64)
+            for k in range(n - 1, -1, -1):
+                total = total * np.uint64(0x9E3779B97F4A7C15) + self.words[at - k]
+            keys = mix64(total + np.uint64(n))
+        order = np.argsort(keys)
+        ordered = keys[order]
+        first = np.append(True, ordered[1:] != ordered[:-1]) if len(ordered) else np.zeros(0, bool)
+        which = np.empty(len(order), np.int64)
+        which[order] = np.cumsum(first) - 1
+        return which, ordered[first]
+
+    def asked(self, n: int, at: np.ndarray, cut: int) -> list[tuple]:
+        """Requests for counts of the n-grams that end at the tokens `at`, with their training counts in this block. A token counts once for each time it is in `at`."""
+        which, distinct = self.grams(n, at)
+        return list(dealt(self.number, n, distinct, np.bincount(which[self.trained[at]], minlength=len(distinct)).astype(np.uint32), cut))
+
+    def spread(self, n: int, at: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """values, by number of the n-grams that end at `at`, laid out by token (0 elsewhere)."""
+        out = np.zeros(len(self.words))
+        out[at] = values[self.grams(n, at)[0]]
         return out
 
 
-def dealt(block: int, n: int, keys: np.ndarray, values: np.ndarray, cut: int, bits: int) -> Iterator[tuple[int, int, int, bytes, bytes]]:
+def dealt(block: int, n: int, keys: np.ndarray, values: np.ndarray, cut: int) -> Iterator[tuple[int, int, int, bytes, bytes]]:
     """Sorted keys and what goes with them, by the ranges (2**cut) they fall in."""
-    edges = np.searchsorted(keys, np.arange(1 << cut, dtype=np.uint64) << np.uint64(bits - cut))
+    edges = np.searchsorted(keys, np.arange(1 << cut, dtype=np.uint64) << np.uint64(64 - cut))
     for i, (a, b) in enumerate(zip(edges, np.append(edges[1:], len(keys)), strict=True)):
         if b > a:
             yield i, block, n, squeezed_keys(keys[a:b]), squeezed(values[a:b].ravel())
 
 
-def answered(x: pd.DataFrame, kind: type, width: int, answer) -> Iterator[tuple[int, int, int, bytes, int]]:
-    """For all requests of one range and order: values of equal keys added up, answer(sums), and that for each block in its own order."""
+ASKS, ANSWERS = "bin int, block long, n int, keys binary, data binary", "block long, n int, bin int, data binary, known long"
+
+
+def answered(x: pd.DataFrame, kind: type, width: int, answer, shift: int) -> Iterator[tuple[int, int, int, bytes, int]]:
+    """For all requests of one range and order: values of equal keys added up as integers, answer(sums), and that for each block in its own order."""
     keys = [unsqueezed_keys(k) for k in x["keys"]]
-    distinct, which = np.unique(np.concatenate(keys), return_inverse=True)
-    given = np.concatenate([unsqueezed(v, kind) for v in x["data"]]).reshape(-1, width).astype(np.float64)
-    sums = np.stack([np.bincount(which, given[:, k], len(distinct)) for k in range(width)], 1)
+    every = np.concatenate(keys)
+    order = np.argsort(every, kind="stable")
+    first = np.append(True, every[order][1:] != every[order][:-1])
+    which = np.empty(len(every), np.int64)
+    which[order] = np.cumsum(first) - 1
+    given = np.concatenate([unsqueezed(v, kind) for v in x["data"]]).reshape(-1, width).astype(np.int64)
+    sums = np.add.reduceat(given[order], np.flatnonzero(first), axis=0)
     values, known, a = answer(sums), int((sums[:, 0] > 0).sum()), 0
     for block, own in zip(x["block"], keys, strict=True):
-        yield block, int(x["n"].iloc[0]), int(x["bin"].iloc[0]), squeezed(values[which[a : a + len(own)]]), known
+        yield block, int(x["n"].iloc[0]) + shift, int(x["bin"].iloc[0]), squeezed(values[which[a : a + len(own)]]), known
         a, known = a + len(own), 0
 
 
-def exchange(requests: DataFrame, kind: type, width: int, answer) -> DataFrame:
+def exchange(requests: DataFrame, kind: type, width: int, answer, shift: int = 0) -> DataFrame:
     """block, n, bin, data, known of the answers."""
 
     def run(x: pd.DataFrame) -> pd.DataFrame:
-        rows = [r for _, own in x.groupby("n") for r in answered(own, kind, width, answer)]
+        rows = [r for _, own in x.groupby("n") for r in answered(own, kind, width, answer, shift)]
         return pd.DataFrame(rows, columns=["block", "n", "bin", "data", "known"])
 
-    return requests.groupBy("bin").applyInPandas(run, "block long, n int, bin int, data binary, known long")
+    return requests.groupBy("bin").applyInPandas(run, ANSWERS)
+
+
+def counted(requests: DataFrame, name: str) -> DataFrame:
+    return stored(exchange(requests, np.uint32, 1, lambda s: s[:, 0].astype(np.uint64)), name)
 
 
-def counts_of(replies: pd.DataFrame, kind: type) -> dict[int, np.ndarray]:
-    return {int(n): np.concatenate([unsqueezed(d, kind) for d in own.sort_values("bin")["data"]]) for n, own in replies.groupby("n")}
+def values_of(replies: pd.DataFrame, n: int, kind: type) -> np.ndarray:
+    """Answers on order n, for the sorted distinct keys that were asked for."""
+    own = replies[replies["n"] == n].sort_values("bin")["data"]
+    return np.concatenate([unsqueezed(d, kind) for d in own]) if len(own) else np.zeros(0, kind)
 
 
 class Model:
-    """What a block knows of the model: counts of its n-grams, and all training tokens and distinct ones."""
+    """What a block knows of the model: counts of the n-grams it asked for, all training tokens and distinct ones."""
 
-    def __init__(self, block: Block, counts: dict[int, np.ndarray], tokens: int, distinct: int):
-        self.block, self.total = block, tokens + distinct + 1
-        self.count = {n: block.spread(n, counts.get(n, np.zeros(0))) if len(block.grams[n][0]) else np.zeros(len(block.seq)) for n in block.grams}
+    def __init__(self, block: Block, replies: pd.DataFrame, tokens: int, distinct: int, least: int):
+        self.block, self.total, self.least = block, tokens + distinct + 1, least
+        self.at = {1: np.arange(len(block.words)), 2: np.flatnonzero(block.place >= 1)}
+        self.count = {n: block.spread(n, at, values_of(replies, n, np.uint64)) for n, at in self.at.items()}
+        self.at[3] = self.frequent(2)
+        if (replies["n"] == 3).any():
+            self.count[3] = block.spread(3, self.at[3], values_of(replies, 3, np.uint64))
 
-    def context(self, d: int) -> np.ndarray:
-        """How often the d tokens before each token occur; 0 where the text has fewer before it."""
-        out = np.zeros(len(self.block.seq))
-        at = self.block.grams[d + 1][0]
-        out[at] = self.count[d][at - 1]
-        return out
+    def frequent(self, d: int) -> np.ndarray:
+        """Tokens whose context of d words occurs `least` times or more."""
+        at = np.flatnonzero(self.block.place >= d)
+        return at[self.count[d][at - 1] >= self.least]
 
     def root(self, left_out: bool = False) -> np.ndarray:
         c = self.count[1]
         return np.maximum(c, 1) / max(1, self.total - 1) if left_out else (c + 1) / self.total
 
-    def smoothed(self, d: int, strength, below: np.ndarray, left_out: bool = False) -> np.ndarray:
-        """Probability of each token after its d-word context, mixed with `below`."""
-        c, own, one = self.context(d), self.count[d + 1], float(left_out)
-        weight = strength * c
-        return np.maximum(own - one, 0) + weight * below, np.maximum(c - one + weight, 1e-12)
-
-    def gains(self, least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For each depth: numbers (among the block's d-grams) of frequent contexts, and their gains by strength."""
-        b, below = self.block, self.root(left_out=True)
-        for d in range(1, DEPTH + 1):
-            often = self.context(d) >= least
-            at = np.flatnonzero(often)
-            number = np.full(len(b.seq), -1, np.int64)
-            number[b.grams[d][0]] = b.grams[d][1]
-            which = number[at - 1]
-            used = b.trained[at]
-            size = len(b.grams[d][2])
-            sums = []
-            for s in STRENGTHS:
-                top, bottom = self.smoothed(d, s, below, left_out=True)
-                g = np.log(top[at] / bottom[at]) - np.log(below[at])
-                sums.append(np.bincount(which[used], g[used], size))
-            present = np.bincount(which, minlength=size) > 0
-            yield d, np.flatnonzero(present), np.stack(sums, 1)[present]
-            top, bottom = self.smoothed(d, STRENGTHS[1], below, left_out=True)
-            below = np.where(often, top / bottom, below)
-
-    def scores(self, states: dict[int, np.ndarray], least: int) -> pd.DataFrame:
-        """states: for each depth the verdict (0: no state, else 1 + the number of its strength) on the frequent contexts, in order."""
-        b = self.block
-        p = self.root()
-        base = np.log10(p)
-        for d in range(1, DEPTH + 1):
-            at = np.flatnonzero(self.context(d) >= least)
-            if not len(at):
-                continue
-            number = np.full(len(b.seq), -1, np.int64)
-            number[b.grams[d][0]] = b.grams[d][1]
-            which = number[at - 1]
-            present = np.bincount(which, minlength=len(b.grams[d][2])) > 0
-            verdict = np.zeros(len(present), np.int64)
-            verdict[present] = states[d]
-            strength = np.zeros(len(b.seq))
-            strength[at] = np.append(0.0, STRENGTHS)[verdict[which]]
-            top, bottom = self.smoothed(d, strength, p)
-            p = np.where(strength > 0, top / bottom, p)
-        sum_of = lambda v: np.bincount(b.owner, v, b.n)
-        return pd.DataFrame({"id": b.ids, "train": b.train, "n_tokens": np.bincount(b.owner, minlength=b.n), "n_known": sum_of(self.count[1] > 0).astype(np.int64), "base_score": sum_of(base), "score": sum_of(np.log10(p))})
+    def near(self, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens with a frequent context of d (1 or 2) words, and how often the context, and the token after it, occur."""
+        at = self.frequent(d)
+        return at, self.count[d][at - 1], self.count[d + 1][at] if d + 1 in self.count else np.zeros(len(at))
+
+
+def mixed(context, own, strength, below: np.ndarray, left_out: bool = False) -> np.ndarray:
+    """Probability of tokens after contexts that occur `context` times, `own` times with the token, mixed with `below`."""
+    one = float(left_out)
+    weight = strength * context
+    return (np.maximum(own - one, 0) + weight * below) / np.maximum(context - one + weight, 1e-12)
+
+
+def gains(block: Block, d: int, at: np.ndarray, context: np.ndarray, own: np.ndarray, below: np.ndarray, cut: int) -> list[tuple]:
+    """Requests for verdicts on the contexts of d words before the tokens `at`: their gains here, for each strength."""
+    which, distinct = block.grams(d, at - 1)
+    used = block.trained[at]
+    sums = [np.bincount(which[used], np.rint(SCALE * (np.log(mixed(context, own, s, below, True)) - np.log(below)))[used], len(distinct)) for s in STRENGTHS]
+    return list(dealt(block.number, d, distinct, np.stack(sums, 1).astype(np.int64), cut))
+
+
+def strengths(block: Block, d: int, at: np.ndarray, replies: pd.DataFrame) -> np.ndarray:
+    """The smoothing strength of the state before each of the tokens `at`, 0 where the context is none."""
+    return np.append(0.0, STRENGTHS)[values_of(replies, VERDICT + d, np.uint8)[block.grams(d, at - 1)[0]]]
+
+
+def carried_on(block: Block, d: int, at: np.ndarray, p: np.ndarray, q: np.ndarray, cut: int) -> list[tuple]:
+    """Rows for the tokens that may have a state of d words: requests for the counts of it and of what follows it, and the tokens themselves."""
+    keep = block.place[at] >= d
+    at, p, q = at[keep], p[keep], q[keep]
+    if not len(at):
+        return []
+    # Whether a token is carried on depends on its context alone, so these are all occurrences of each n-gram.
+    asks = block.asked(d, at - 1, cut) + block.asked(d + 1, at, cut)
+    state = [(0, block.number, tag, None, squeezed(v)) for tag, v in zip(CARRIED, (at.astype(np.uint64), p, q), strict=True)]
+    return asks + state
+
+
+def carried(replies: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return tuple(values_of(replies, tag, kind) for tag, kind in zip(CARRIED, (np.uint64, np.float64, np.float64), strict=True))
 
 
 def scored(docs: DataFrame, training: Column, least: int = 4, gain: float = 2.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; learned from the rows where `training` is true."""
-    spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
+    spark = docs.sparkSession
     name = f"blocks_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    encoded(docs, training, id_col, text_col).write.bucketBy(buckets, "block").option("compression", "zstd").saveAsTable(name)
-    blocks = spark.table(name)
-    tokens, size = (int(v or 0) for v in blocks.agg(F.sum("tokens"), F.sum("size")).first())
-    cut = max(3, int(np.ceil(np.log2(max(1, size * (DEPTH + 1)) / ENTRIES))))
-    bits = min(64, max(cut, int(np.ceil(np.log2(max(2, size * (DEPTH + 1)))))) + 14)
+    try:
+        encoded(docs, training, id_col, text_col).write.bucketBy(buckets, "block").option("compression", "zstd").option("path", new_path(spark, "blocks")).saveAsTable(name)
+        return _scored(spark.table(name), docs.schema[id_col].dataType.simpleString(), least, gain, id_col)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
 
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _scored(blocks: DataFrame, kind: str, least: int, gain: float, id_col: str) -> DataFrame:
+    tokens, size = (int(v or 0) for v in blocks.agg(F.sum("tokens"), F.sum("size")).first())
+    cut = max(3, int(np.ceil(np.log2(max(1, 2 * size) / ENTRIES))))
+    ask_columns, done = ["bin", "block", "n", "keys", "data"], "doc int, id string, train boolean, n_tokens long, n_known long, base_score double, score double"
+    done_columns = [c.split()[0] for c in done.split(", ")]
+
+    def met(replies: DataFrame | None, work, schema: str) -> DataFrame:
+        """work(block, its replies) of all blocks; it gives rows of ask_columns and, if it scores, a frame of done_columns."""
+
+        def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            out = [pd.DataFrame(columns=ask_columns)]
+            for _, row in left.iterrows():
+                rows, frame = work(Block(row), right)
+                out.append(pd.DataFrame(rows, columns=ask_columns))
+                if frame is not None:
+                    out.append(frame.assign(block=row["block"]))
+            rows = pd.concat([x for x in out if len(x)] or out[:1])
+            # Columns that these rows lack are null, and of a kind that nulls of every type are made from.
+            return pd.DataFrame({c: rows[c] if c in rows else pd.Series(None, rows.index, object) for c in (x.split()[0] for x in schema.split(", "))})
+
+        return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(run, schema)
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             for _, row in x.iterrows():
-                yield pd.DataFrame(Block(row, bits).asked(row["block"], cut, bits), columns=["bin", "block", "n", "keys", "data"])
-
-    asks = "bin int, block long, n int, keys binary, data binary"
-    counts = stored(exchange(blocks.mapInPandas(ask, asks), np.uint32, 1, lambda s: s[:, 0].astype(np.uint32)), "counts")
-    distinct = int(counts.where("n = 1").agg(F.sum("known")).first()[0] or 0)
-    answers = counts.select("block", "n", "bin", "data")
-
-    def test(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for _, row in left.iterrows():
-            block = Block(row, bits)
-            for d, numbers, sums in Model(block, counts_of(right, np.uint32), tokens, distinct).gains(least):
-                given = np.rint(sums * SCALE).clip(-(2**31) + 1, 2**31 - 1).astype(np.int32)
-                rows += dealt(row["block"], d, block.grams[d][2][numbers], given, cut, 64 if d == 1 else bits)
-        return pd.DataFrame(rows, columns=["bin", "block", "n", "keys", "data"])
+                b = Block(row)
+                yield pd.DataFrame(b.asked(1, np.arange(len(b.words)), cut) + b.asked(2, np.flatnonzero(b.place >= 1), cut), columns=ask_columns)
+        released()
+
+    pairs = counted(blocks.mapInPandas(first, ASKS), "counts")
+    distinct = int(pairs.where("n = 1").agg(F.sum("known")).first()[0] or 0)
+    pairs = pairs.select("block", "n", "bin", "data")
+
+    def third(b: Block, replies: pd.DataFrame) -> tuple:
+        m = Model(b, replies, tokens, distinct, least)
+        return b.asked(3, m.at[3], cut), None
+
+    near = pairs.union(counted(met(pairs, third, ASKS), "counts").select(*pairs.columns))
+
+    def test(b: Block, replies: pd.DataFrame) -> tuple:
+        m, rows = Model(b, replies, tokens, distinct, least), []
+        below = m.root(left_out=True)
+        for d in (1, 2):
+            at, context, own = m.near(d)
+            rows += gains(b, d, at, context, own, below[at], cut)
+            below[at] = mixed(context, own, STRENGTHS[1], below[at], True)
+        return rows, None
 
     def retained(sums: np.ndarray) -> np.ndarray:
         return np.where(sums.max(1) > gain * SCALE, 1 + sums.argmax(1), 0).astype(np.uint8)
 
-    requests = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(test, asks)
-    states = stored(exchange(requests, np.int32, len(STRENGTHS), retained), "states").select("block", (F.col("n") + 100).alias("n"), "bin", "data")
-
-    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, row in left.iterrows():
-            known = right["n"] < 100
-            verdicts = {n - 100: v for n, v in counts_of(right[~known], np.uint8).items()}
-            out.append(Model(Block(row, bits), counts_of(right[known], np.uint32), tokens, distinct).scores(verdicts, least))
-        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("id", "train", "n_tokens", "n_known", "base_score", "score")})
-
-    rows = blocks.groupBy("block").cogroup(answers.union(states).groupBy("block")).applyInPandas(score, f"id {kind}, train boolean, n_tokens long, n_known long, base_score double, score double")
-    out = rows.select(F.col("id").alias(id_col), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
-    done = stored(out, "scores")
-    spark.sql(f"DROP TABLE {name}")
-    return done
+    def verdicts(requests: DataFrame) -> DataFrame:
+        return stored(exchange(requests, np.int64, len(STRENGTHS), retained, VERDICT), "states").select(*pairs.columns)
+
+    def score(b: Block, replies: pd.DataFrame) -> tuple:
+        m = Model(b, replies, tokens, distinct, least)
+        p, q = m.root(), m.root(left_out=True)
+        sum_of = lambda v: np.bincount(b.owner, v, b.n)
+        base, last = np.log10(p), np.zeros(0, np.int64)
+        for d in (1, 2):
+            at, context, own = m.near(d)
+            s = strengths(b, d, at, replies)
+            at, context, own, s = (x[s > 0] for x in (at, context, own, s))
+            p[at], q[at] = mixed(context, own, s, p[at]), mixed(context, own, s, q[at], True)
+            last = at
+        # Contexts of three words that are known not to be frequent are left out here.
+        often = last[(b.place[last] >= 3) & (m.count[3][last - 1] >= least)] if 3 in m.count else last[:0]
+        frame = pd.DataFrame({"doc": np.arange(b.n), "id": pd.Series(b.ids, dtype=object), "train": b.train, "n_tokens": b.lengths, "n_known": sum_of(m.count[1] > 0).astype(np.int64), "base_score": sum_of(base), "score": sum_of(np.log10(p))})
+        return carried_on(b, 3, often, p[often], q[often], cut), frame
+
+    both = ASKS + ", " + done
+    out = stored(met(near.union(verdicts(met(near, test, ASKS))), score, both), "scores")
+    scores, depth = out.where("n is null").select("block", *done_columns), 3
+    more = []
+    while not (asks := out.where("keys is not null").select(*ask_columns)).isEmpty():
+        state = out.where("keys is null and n is not null").select(*pairs.columns)
+        replies = counted(asks, "counts").select(*pairs.columns).union(state)
+
+        def longer(b: Block, replies: pd.DataFrame, d: int = depth) -> tuple:
+            """The tokens carried on whose context is frequent, its count and that of the token after it, and probabilities."""
+            at, p, q = carried(replies)
+            at = at.astype(np.int64)
+            context, own = (values_of(replies, n, np.uint64)[b.grams(n, x)[0]].astype(np.float64) for n, x in ((d, at - 1), (d + 1, at)))
+            often = context >= least
+            return at[often], context[often], own[often], p[often], q[often]
+
+        def test_longer(b: Block, replies: pd.DataFrame, d: int = depth, longer=longer) -> tuple:
+            at, context, own, _, q = longer(b, replies)
+            return gains(b, d, at, context, own, q, cut), None
+
+        def score_longer(b: Block, replies: pd.DataFrame, d: int = depth, longer=longer) -> tuple:
+            at, context, own, p, q = longer(b, replies)
+            s = strengths(b, d, at, replies)
+            at, context, own, p, q, s = (x[s > 0] for x in (at, context, own, p, q, s))
+            now = mixed(context, own, s, p)
+            change = np.bincount(b.owner[at], np.log10(now) - np.log10(p), b.n)
+            moved = np.unique(b.owner[at])
+            frame = pd.DataFrame({"doc": moved, "score": change[moved]})
+            return carried_on(b, d + 1, at, now, mixed(context, own, s, q, True), cut), frame
+
+        out = stored(met(replies.union(verdicts(met(replies, test_longer, ASKS))), score_longer, both), "scores")
+        more.append(out.where("n is null").select("block", "doc", F.col("score").alias("change")))
+        depth += 1
+    if more:
+        changes = more[0]
+        for x in more[1:]:
+            changes = changes.union(x)
+        changes = changes.groupBy("block", "doc").agg(F.sum("change").alias("change"))
+        scores = scores.join(changes, ["block", "doc"], "left").withColumn("score", F.col("score") + F.coalesce("change", F.lit(0.0)))
+    return scores.select(F.col("id").cast(kind).alias(id_col), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
