@@ -1,14 +1,22 @@
 """URL filter: host/path rules, and a tree of path templates for what no rule decides.
 
 Paths are first reduced by form, row by row (runs of digits and long hexadecimal strings become placeholders), and
-counted per host. The tree then grows one level at a time: a branch of a node becomes a wildcard if it is rare among
-many siblings and too thin to be tested, or if what follows it and its labelled purity are statistically like those of
-all its siblings together; branches that differ keep their name. A template is rejected if its smoothed labelled purity is below
-`cut`. Everything is DataFrame operations on counts; a hot host is a group of partial counts and is never collected.
+counted per host. Labels are votes on them: by default the verdicts of the rules, on the pages that rules cover. What
+other hosts say of a path of the same form is its expected purity: each host has one vote at most, and the votes of all
+hosts on paths that begin alike (up to the last segment), of all hosts on the same form, of those of its top-level domain
+and of those of its registered domain (its last two labels) are smoothed one by the other, from a prior of mostly good. So pages of hosts without any label are judged by what the hosts that have
+labels show, and rejected only where several agree.
+
+The tree then grows one level at a time: a branch of a node becomes a wildcard if it is rare among many siblings and
+too thin to be tested, or if what follows it and its purity are statistically like those of all its siblings together;
+branches that differ keep their name. A template's purity is its own labels, smoothed by the expected purity of its
+paths; it is rejected below `cut`. A path that is alone in its node keeps the rest of its segments as they are, and
+levels go on until no node has two paths: there is no largest depth. Everything is DataFrame operations on counts; a
+hot host is a group of partial counts and is never collected.
 
 Edge cases: a null url, or one without "://", has an empty host and path, is covered by no rule, and is judged by the
-template of the empty path; repeated rows get a row each; an empty table gives no rows. Segments beyond `max_depth`
-are summed up as "**". Labels that are null are no evidence. Other columns are not read.
+template of the empty path; repeated rows get a row each; an empty table gives no rows. Labels that are null are no
+evidence. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -48,39 +56,68 @@ def shaped(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(path, r"(?<![0-9A-Za-z])(?=[A-Fa-f-]*[0-9])[0-9A-Fa-f]{8,}(?:-[0-9A-Fa-f]{4,}){0,4}(?![0-9A-Za-z])", "{h}"), r"[0-9]+", "{n}")
 
 
-def templates(paths: DataFrame, max_depth: int = 6, many: int = 8, rare: float = 0.02, thin: int = 16, apart: float = 0.15, purity_apart: float = 0.25, weight: float = 4.0, prior: float = 0.9) -> DataFrame:
-    """host, shaped, template for each (host, shaped, n, good, bad).
+def smoothed(good: Column, all_: Column, weight: float, prior: Column) -> Column:
+    return (good + weight * prior) / (all_ + weight)
+
+
+def expected(paths: DataFrame, weight: float = 4.0, prior: float = 0.9, hosts: float = 4.0) -> DataFrame:
+    """paths (host, shaped, n, good, bad) with `expect`, the purity that the hosts' votes on paths of the same form give.
+
+    A host's vote is its good share, and counts as much as its labels weigh against `weight` pages: one at most. Each
+    wider circle of hosts is the prior of the narrower one, and counts as `hosts` votes.
+    """
+    label = F.regexp_extract("host", r"([^.]+\.)?([^.]+)$", 0)
+    begin = F.regexp_replace("shaped", r"/[^/]*/?$", "")
+    own = paths.withColumn("domain", label).withColumn("begin", F.when(begin != "", begin)).withColumn("top", F.regexp_extract("host", r"[^.]+$", 0)).withColumn("labels", F.col("good") + F.col("bad"))
+    votes = own.where("labels > 0").withColumn("w", F.col("labels") / (F.col("labels") + weight)).withColumn("g", F.col("w") * F.col("good") / F.col("labels"))
+    out = own.withColumn("expect", F.lit(prior))
+    for circle in (["begin"], ["shaped"], ["shaped", "top"], ["shaped", "domain"]):
+        told = votes.groupBy(*circle).agg(F.sum("g").alias("g"), F.sum("w").alias("w"))  # forms with labels only
+        out = out.join(told, circle, "left")
+        out = out.withColumn("expect", smoothed(F.coalesce("g", F.lit(0.0)), F.coalesce("w", F.lit(0.0)), hosts, F.col("expect"))).drop("g", "w")
+    return out.select("host", "shaped", "n", "good", "bad", "expect")
+
+
+def templates(paths: DataFrame, many: int = 8, rare: float = 0.02, thin: int = 16, apart: float = 0.15, purity_apart: float = 0.25, weight: float = 4.0) -> DataFrame:
+    """host, shaped, template for each (host, shaped, n, good, bad, expect).
 
     many, rare, thin: a branch with less than `rare` of its node's pages is a wildcard if the node has `many` branches or
     more and the branch has too little evidence to be tested, at every size of the node: less than `thin` pages, and
-    labels that weigh less than the prior. apart: largest total variation between a branch's followers and its node's, beside sampling noise.
+    labels that weigh less than the prior. apart: largest total variation between a branch's followers and its node's,
+    beside sampling noise. purity_apart: largest difference of a wildcard's purity to its siblings'.
     """
-    nodes = paths.withColumn("seg", F.split("shaped", "/")).withColumn("template", F.lit(""))
-    for d in range(1, max_depth + 1):
+    open_ = paths.withColumn("weighed", F.col("n") * F.col("expect")).withColumn("seg", F.split("shaped", "/")).withColumn("template", F.lit(""))
+    closed, d, counts = None, 1, ("n", "good", "bad", "weighed", *(f"f_{k}" for k in FOLLOWERS))
+    while True:
         own, after = F.get("seg", F.lit(d)), F.get("seg", F.lit(d + 1))
         kinds, earlier = {}, F.lit(False)
         for name, test in FOLLOWERS.items():
             kinds[name] = test(after) & ~earlier
             earlier = earlier | F.coalesce(test(after), F.lit(False))
-        branch = nodes.where(own.isNotNull()).groupBy("host", "template", own.alias("own")).agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("bad").alias("bad"), *[F.sum(F.when(F.coalesce(k, F.lit(False)), F.col("n")).otherwise(0)).alias(f"f_{name}") for name, k in kinds.items()])
+        sums = [F.sum(c).alias(c) for c in ("n", "good", "bad", "weighed")] + [F.sum(F.when(F.coalesce(k, F.lit(False)), F.col("n")).otherwise(0)).alias(f"f_{name}") for name, k in kinds.items()]
+        branch = open_.where(own.isNotNull()).groupBy("host", "template", own.alias("own")).agg(F.count("*").alias("paths"), *sums)
         # Pooled counts per node: a group-by and a join, so that a node with many branches is not one task's window.
-        pooled = branch.groupBy("host", "template").agg(*[F.sum(c).alias(f"all_{c}") for c in ("n", "good", "bad", *(f"f_{k}" for k in FOLLOWERS))], F.count("*").alias("branches"))
+        pooled = branch.groupBy("host", "template").agg(*[F.sum(c).alias(f"all_{c}") for c in (*counts, "paths")], F.count("*").alias("branches"))
         both = branch.join(pooled, ["host", "template"])
         far = reduce(lambda a, b: a + b, [F.abs(F.col(f"f_{k}") / F.col("n") - F.col(f"all_f_{k}") / F.col("all_n")) for k in FOLLOWERS]) / 2
-        pure = lambda g, b: (g + weight * prior) / (g + b + weight)
+        pure = lambda g, b, n, e: smoothed(g, g + b, weight, F.try_divide(e, n))
         # Purity is compared with the siblings' alone: few branches have labels, and one that has them all is not like itself.
-        beside = pure(F.col("all_good") - F.col("good"), F.col("all_bad") - F.col("bad"))
-        alike = (far <= apart + 1 / F.sqrt("n")) & (F.abs(pure(F.col("good"), F.col("bad")) - beside) <= purity_apart)
-        formed = F.col("own").contains("{")
-        untested = (F.col("branches") >= many) & (F.col("n") < rare * F.col("all_n")) & (F.col("n") < thin) & (F.col("good") + F.col("bad") < weight)
-        wild = (F.col("branches") > 1) & ~formed & (F.col("own") != "") & (untested | alike)
-        step = both.select("host", "template", "own", F.when(wild, F.lit("*")).otherwise(F.col("own")).alias("name"))
-        joined = nodes.withColumn("own", own).join(step, ["host", "template", "own"], "left")
-        nodes = joined.withColumn("template", F.when(F.col("own").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "name"))).drop("own", "name")
-        nodes = stored(nodes, f"level{d}")
-        if d < max_depth and nodes.where(F.size("seg") > d + 1).isEmpty():
-            break
-    return nodes.select("host", "shaped", F.when(F.size("seg") > max_depth + 1, F.concat("template", F.lit("/**"))).otherwise(F.col("template")).alias("template"), "n", "good", "bad")
+        own_, others = [F.col(c) for c in ("good", "bad", "n", "weighed")], [F.col(f"all_{c}") - F.col(c) for c in ("good", "bad", "n", "weighed")]
+        alike = (far <= apart + 1 / F.sqrt("n")) & (F.abs(pure(*own_) - pure(*others)) <= purity_apart)
+        # What has no labels to speak of is compared by what other hosts say.
+        foreign = F.abs(F.try_divide(own_[3], own_[2]) - F.try_divide(others[3], others[2])) > purity_apart
+        untested = (F.col("branches") >= many) & (F.col("n") < rare * F.col("all_n")) & (F.col("n") < thin) & (F.col("good") + F.col("bad") < weight) & ~foreign
+        wild = (F.col("branches") > 1) & ~F.col("own").contains("{") & (F.col("own") != "") & (untested | alike)
+        step = both.select("host", "template", "own", "all_paths", F.when(wild, F.lit("*")).otherwise(F.col("own")).alias("name"))
+        joined = open_.withColumn("own", own).join(step, ["host", "template", "own"], "left")
+        ends, alone = F.col("own").isNull(), F.col("all_paths") == 1
+        rest = F.array_join(F.slice("seg", d + 1, F.greatest(F.lit(1), F.size("seg") - d)), "/")
+        grown = F.when(ends, F.col("template")).otherwise(F.concat("template", F.lit("/"), F.when(alone, rest).otherwise(F.col("name"))))
+        level = stored(joined.select("host", "shaped", "n", "good", "bad", "expect", "weighed", "seg", grown.alias("template"), (ends | alone).alias("closed")), f"level{d}")
+        now = level.where("closed").select("host", "shaped", "template", "n", "good", "bad", "weighed")
+        closed, open_, d = now if closed is None else closed.union(now), level.where("not closed").drop("closed"), d + 1
+        if open_.isEmpty():
+            return closed
 
 
 def judged(pages: DataFrame, rules: list[tuple[str, str]], labels: Column | None = None, cut: float = 0.5, weight: float = 4.0, prior: float = 0.9, id_col: str = "page_id", url_col: str = "url", **growth) -> DataFrame:
@@ -96,9 +133,9 @@ def judged(pages: DataFrame, rules: list[tuple[str, str]], labels: Column | None
     if labels is None:
         rows = rows.withColumn("label", F.col("ruled") == "allow")
     paths = rows.groupBy("host", "shaped").agg(F.count("*").alias("n"), F.count_if("label").alias("good"), F.count_if(~F.col("label")).alias("bad"))
-    tree = templates(stored(paths, "paths"), weight=weight, prior=prior, **growth)
-    totals = tree.groupBy("host", "template").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-    purity = totals.select("host", "template", ((F.col("good") + weight * prior) / (F.col("good") + F.col("bad") + weight)).alias("purity"))
+    tree = templates(stored(expected(stored(paths, "paths"), weight, prior), "expected"), weight=weight, **growth)
+    totals = tree.groupBy("host", "template").agg(*[F.sum(c).alias(c) for c in ("n", "good", "bad", "weighed")])
+    purity = totals.select("host", "template", smoothed(F.col("good"), F.col("good") + F.col("bad"), weight, F.col("weighed") / F.col("n")).alias("purity"))
     known = stored(tree.select("host", "shaped", "template").join(purity, ["host", "template"]), "templates")
     out = rows.join(known, ["host", "shaped"])
     method = F.when(F.col("purity") < cut, F.lit("block")).otherwise(F.lit("allow"))
