@@ -26,8 +26,8 @@ from trialforge.llm._common import stored
 #: Fingerprints held in one filter at most, before it is emitted and another one begins.
 FILTER_CAPACITY = 1_000_000
 REMAINDER_BITS = 32
-#: 64-bit words of the sieve: 1 MB, whatever the input.
-SIEVE_WORDS = 131_072
+#: 64-bit words of a sieve: 16 bits for each fingerprint, but 1 MB at least and 8 MB at most.
+SIEVE_WORDS, SIEVE_MOST = 1 << 17, 1 << 20
 
 
 class CountingQuotientFilter:
@@ -135,18 +135,22 @@ def repeated_fingerprints(fps: DataFrame, n_rows: int) -> DataFrame:
     return fps.select("fp").mapInPandas(build, "bin int, data binary").groupBy("bin").applyInPandas(merge, "fp long")
 
 
-def positions(fp: Column) -> list[Column]:
-    return [F.pmod(F.xxhash64(fp, F.lit(k)), F.lit(64 * SIEVE_WORDS)) for k in range(3)]
+def positions(fp: Column, words: int) -> list[Column]:
+    return [F.pmod(F.xxhash64(fp, F.lit(k)), F.lit(64 * words)) for k in range(3)]
 
 
 class Sieve:
-    """A Bloom filter of a fixed size over the repeated fingerprints: what it does not hold is unique, so its text need
+    """A Bloom filter of a bounded size over the repeated fingerprints: what it does not hold is unique, so its text need
     not be shuffled. With more fingerprints than it is made for it holds back less, and nothing else changes."""
 
     def __init__(self, again: DataFrame):
-        at = again.select(F.explode(F.array(*positions(F.col("fp")))).alias("at"))
-        words = at.groupBy(F.expr("at div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits")).collect()  # SIEVE_WORDS rows at most
-        self.words = np.zeros(SIEVE_WORDS, np.int64)
+        size = SIEVE_WORDS
+        n = again.count()
+        while size < SIEVE_MOST and 4 * size < n:
+            size *= 2
+        at = again.select(F.explode(F.array(*positions(F.col("fp"), size))).alias("at"))
+        words = at.groupBy(F.expr("at div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits")).collect()  # SIEVE_MOST rows at most
+        self.words = np.zeros(size, np.int64)
         self.words[[r["word"] for r in words]] = [r["bits"] for r in words]
 
     def may_hold(self, fp: Column) -> Column:
@@ -160,7 +164,7 @@ class Sieve:
                 out &= (words[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1) == 1
             return pd.Series(out)
 
-        return run(*positions(fp))
+        return run(*positions(fp, len(self.words)))
 
 
 def duplicate_classes(docs: DataFrame, again: DataFrame, sieve: Sieve, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -63,10 +63,12 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page written to WARC archives and read back through the capture index."""
-    directory, folder = warc.archive(read(spark, sf_dir, "pages"), min_bytes=0)
-    back = warc.read_records(directory, folder)
-    return back.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """Every page written to WARC archives, and every page's url looked up in the capture index and read back."""
+    pages = read(spark, sf_dir, "pages")
+    directory, folder = warc.archive(pages, min_bytes=0)
+    kind = pages.schema["page_id"].dataType
+    back = warc.look_up(pages, directory, folder)
+    return back.select(F.col("id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
 
 
 # base32 by five bits at a time over the 160 bits of the digest

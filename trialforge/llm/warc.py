@@ -3,16 +3,21 @@
 write_archives() writes one WARC/1.1 record per row, each a gzip member of its own, into files of the shared folder,
 and returns a manifest of where each record lies. Files are named by task attempt, and only those that the stored
 manifest names are read, so attempts of lost executors do no harm. Rows with equal payloads of `min_bytes` or more
-become one response and revisits of it.
+become one response and revisits of it. Which is which is settled on digests alone; a revisit is written without its
+payload, and a sieve of the repeated digests keeps unique payloads out of the shuffle: only one payload of each repeated
+digest (and task) is moved.
 
-write_index() sorts the captures by reversed-host key into compressed blocks of lines; a directory holds the first key
-of each block and its place. CaptureIndex answers look-ups: a binary search in the directory, one range read of a
-block, a binary search in it, one range read of the record. read_records() takes all captures of an index, in order of
-their place in the archives, and joins neighbouring ranges into one read.
+write_index() sorts the captures by reversed-host key into compressed blocks of lines; a sparse directory holds the
+first and last key of each block and its place, one line for BLOCK_LINES captures, in one sorted file. look_up() takes
+any number of urls: their keys are sorted and dealt into ranges, each range searches the directory by bisection, by
+range reads, from where the last key was found; the blocks that were met are read once each, searched by bisection for
+the keys that want them, and the records read in order of their place, neighbouring ones in one read. CaptureIndex does
+the same for one url in the driver; read_records() reads all captures of an index without a search.
 
 Edge cases: a null payload counts as empty, a null url as the empty url; a null id is written as an empty one and comes
-back null, and never is a response that other rows refer to unless its whole group has none. Repeated rows are written
-each, and share their verdict. An empty table makes no archive and gives no rows. Other columns are not read.
+back null, and never is a response that other rows refer to unless its whole group has none. Ids may be of any type
+that has an order; they are written as text. Repeated rows are written each, and share their verdict. An empty table
+makes no archive and gives no rows; urls without a capture give none. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,6 +30,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pandas as pd
 from pyarrow import fs as arrow_fs
@@ -33,6 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialforge.llm._common import new_path, raw_text, stored
+from trialforge.llm.exact_dedup import Sieve
 
 BLOCK_LINES = 3000
 ROLL_BYTES = 256_000_000
@@ -59,10 +66,11 @@ def digest_text(sha1: bytes) -> str:
     return base64.b32encode(sha1).decode()
 
 
-def record(page: int | None, url: str, payload: bytes, sha1: bytes, refers_to: int | None, revisit: bool, date: str = DATE) -> bytes:
-    """One record, uncompressed. A revisit has the HTTP headers of its payload but not the payload."""
-    name = lambda x: f"<urn:page:{'' if x is None else x}>"
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+def record(page: str | None, url: str, payload: bytes | None, size: int, sha1: bytes, refers_to: str | None, date: str = DATE) -> bytes:
+    """One record, uncompressed. A revisit (no payload) has the HTTP headers of its payload of `size` bytes."""
+    name = lambda x: f"<urn:page:{'' if x is None else 'x' + quote(x, safe='')}>"
+    revisit = payload is None
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http if revisit else http + payload
     target = re.sub(r"[\r\n]+", " ", url)
     head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {name(page)}", f"WARC-Date: {date}", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha1:{digest_text(sha1)}", "Content-Type: application/http; msgtype=response"]
@@ -87,10 +95,19 @@ def parsed(data: bytes) -> tuple[dict[str, str], bytes, bytes]:
 
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """Writes all rows below folder; the stored manifest: id, key, file, offset, length (of the compressed record)."""
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), raw_text(F.col(payload_col)).alias("payload")).withColumn("sha", F.unhex(F.sha1("payload")))
-    shared = rows.where(F.length("payload") >= min_bytes).groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first", F.lit(True).alias("shared"))
-    told = rows.join(stored(shared, "payloads"), "sha", "left")
-    told = told.withColumn("revisit", F.coalesce("shared", F.lit(False)) & (F.length("payload") >= min_bytes) & ~F.col("id").eqNullSafe(F.col("first")))
+    own = raw_text(F.col(payload_col))
+    rows = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), own.alias("payload"), F.octet_length(own).cast("long").alias("size"), F.unhex(F.sha1(own)).alias("sha")).withColumn("fp", F.xxhash64("sha"))
+    shared = stored(rows.where(F.col("size") >= min_bytes).groupBy("sha", "fp").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "fp", "first", F.lit(True).alias("shared")), "payloads")
+    suspect = Sieve(shared.select("fp")).may_hold(F.col("fp"))
+    none = F.lit(None)
+    alone = rows.withColumn("suspect", suspect).where("not suspect").select("id", "url", "payload", "size", "sha", none.cast("string").alias("refers_to"))
+    # What is left: rows without their payloads, their verdicts, and one payload of each digest.
+    light = rows.select("id", "url", "size", "sha", "fp").withColumn("suspect", suspect).where("suspect").select("id", "url", "size", "sha").join(shared.select("sha", "first", "shared"), "sha", "left")
+    again = F.coalesce("shared", F.lit(False)) & (F.col("size") >= min_bytes) & ~F.col("id").eqNullSafe(F.col("first"))
+    told = light.withColumn("revisit", again)
+    payloads = rows.select("sha", "payload", "fp").withColumn("suspect", suspect).where("suspect").groupBy("sha").agg(F.first("payload").alias("payload"))
+    revisits = told.where("revisit").select("id", "url", none.cast("binary").alias("payload"), "size", "sha", F.col("first").cast("string").alias("refers_to"))
+    responses = told.where("not revisit").join(payloads, "sha").select("id", "url", "payload", "size", "sha", none.cast("string").alias("refers_to"))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         context = TaskContext.get()
@@ -100,10 +117,9 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: st
         try:
             for x in batches:
                 lines = []
-                for id_, url, payload, sha, first, revisit in zip(x["id"].astype(object), x["url"], x["payload"], x["sha"], x["first"].astype(object), x["revisit"], strict=True):
-                    id_, first = (None if pd.isna(v) else int(v) for v in (id_, first))
+                for id_, url, payload, size, sha, first in zip(x["id"], x["url"], x["payload"], x["size"].tolist(), x["sha"], x["refers_to"], strict=True):
                     packer = zlib.compressobj(6, zlib.DEFLATED, 31)
-                    data = packer.compress(record(id_, url, payload, sha, first, revisit)) + packer.flush()
+                    data = packer.compress(record(id_, url, payload, size, sha, first)) + packer.flush()
                     if out is None or at + len(data) > ROLL_BYTES and at:
                         if out is not None:
                             out.close()
@@ -112,12 +128,13 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: st
                     out.write(data)
                     lines.append((id_, capture_key(url), name, at, len(data)))
                     at += len(data)
-                yield pd.DataFrame(lines, columns=["id", "key", "file", "offset", "length"]).astype({"id": "Int64"})
+                yield pd.DataFrame(lines, columns=["id", "key", "file", "offset", "length"])
         finally:
             if out is not None:
                 out.close()
 
-    return stored(told.select("id", "url", "payload", "sha", "first", "revisit").mapInPandas(write, "id long, key string, file string, offset long, length long"), "manifest")
+    every = [x.withColumn("id", F.col("id").cast("string")) for x in (alone, revisits, responses)]
+    return stored(every[0].unionByName(every[1]).unionByName(every[2]).mapInPandas(write, "id string, key string, file string, offset long, length long"), "manifest")
 
 
 def write_index(manifest: DataFrame, folder: str) -> DataFrame:
@@ -167,7 +184,7 @@ def block_lines(data: bytes) -> list[list]:
 def described(data: bytes) -> tuple:
     """id, payload bytes, digest, type and what it refers to, of an uncompressed record."""
     fields, http, payload = parsed(data)
-    page = lambda x: int(m[1]) if (m := re.fullmatch(r"<urn:page:(-?\d+)>", x)) else None
+    page = lambda x: unquote(m[1]) if (m := re.fullmatch(r"<urn:page:x(.*)>", x)) else None
     revisit = fields["WARC-Type"] == "revisit"
     size = int(re.search(rb"Content-Length: (\d+)", http)[1]) if revisit else len(payload)
     digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
@@ -176,14 +193,15 @@ def described(data: bytes) -> tuple:
     return page(fields["WARC-Record-ID"]), fields["WARC-Target-URI"], None if revisit else payload, size, digest, fields["WARC-Type"], page(fields["WARC-Refers-To"]) if revisit else None
 
 
-def read_records(directory: DataFrame, folder: str) -> DataFrame:
-    """id, url, payload (null for revisits), payload_bytes, payload_digest, record_type, refers_to of every capture in the index."""
+RECORD = "id string, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to string"
+PLACES = "key string, file string, offset long, length long"
 
-    def captures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        store, root = store_of(f"{folder}/index")
-        for x in batches:
-            for file, offset, length in zip(x["file"], x["offset"].tolist(), x["length"].tolist(), strict=True):
-                yield pd.DataFrame(block_lines(read_range(store, f"{root}/{file}", offset, length)), columns=["key", "file", "offset", "length"])
+
+def records_at(places: DataFrame, folder: str, tasks: int) -> DataFrame:
+    """RECORD of the records at file, offset and length, in order of their place; neighbouring ones are read at once."""
+
+    def frame(out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=["id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
     def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, root = store_of(f"{folder}/archive")
@@ -203,34 +221,98 @@ def read_records(directory: DataFrame, folder: str) -> DataFrame:
                     out = []
             yield frame(out)
 
-    def frame(out: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(out, columns=["id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"]).astype({"id": "Int64", "refers_to": "Int64"})
-
-    # Places are few bytes but stand for much reading: the number of tasks follows the captures, not the shuffled bytes.
-    lines = directory.agg(F.sum("lines")).first()[0] or 0
-    tasks = max(int(directory.sparkSession.conf.get("spark.sql.shuffle.partitions")), lines // TASK_LINES)
-    places = directory.select("file", "offset", "length").repartition(tasks, "file", "offset").mapInPandas(captures, "key string, file string, offset long, length long")
     dealt = places.select("file", "offset", "length").repartition(tasks, "file", F.floor(F.col("offset") / (READ_BYTES // 4))).sortWithinPartitions("file", "offset")
-    return dealt.mapInPandas(records, "id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return dealt.mapInPandas(records, RECORD)
+
+
+def tasks_for(spark: SparkSession, lines: int) -> int:
+    """Places are few bytes but stand for much reading: the number of tasks follows the captures, not the shuffled bytes."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), lines // TASK_LINES)
+
+
+def read_records(directory: DataFrame, folder: str) -> DataFrame:
+    """RECORD of every capture in the index, without a search."""
+
+    def captures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, root = store_of(f"{folder}/index")
+        for x in batches:
+            for file, offset, length in zip(x["file"], x["offset"].tolist(), x["length"].tolist(), strict=True):
+                yield pd.DataFrame(block_lines(read_range(store, f"{root}/{file}", offset, length)), columns=["key", "file", "offset", "length"])
+
+    tasks = tasks_for(directory.sparkSession, directory.agg(F.sum("lines")).first()[0] or 0)
+    return records_at(directory.select("file", "offset", "length").repartition(tasks, "file", "offset").mapInPandas(captures, PLACES), folder, tasks)
+
+
+def look_up(urls: DataFrame, directory: DataFrame, folder: str, url_col: str = "url") -> DataFrame:
+    """RECORD of every capture of the urls, each capture once, found through the index."""
+    spark, name = urls.sparkSession, SortedLines.write(directory, f"{folder}/index")
+    lines, count = directory.agg(F.sum("lines"), F.count("*")).first()
+
+    @F.pandas_udf("string")
+    def key_of(url: pd.Series) -> pd.Series:
+        return url.map(capture_key)
+
+    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lines, at = SortedLines(f"{folder}/index", name, count), 0
+        for x in batches:
+            out = []
+            for key in x["key"]:
+                at = lines.first_from(key, at)
+                k = at
+                while k < count and (line := lines[k])[0] <= key:
+                    out.append((key, *line[2:5]))
+                    k += 1
+            yield pd.DataFrame(out, columns=["key", "file", "offset", "length"])
+
+    def captures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, root = store_of(f"{folder}/index")
+        at, rows, keys = None, [], []
+        for x in batches:
+            out = []
+            for key, *place in zip(x["key"], x["file"], x["offset"].tolist(), x["length"].tolist(), strict=True):
+                if place != at:
+                    at, rows = place, block_lines(read_range(store, f"{root}/{place[0]}", *place[1:]))
+                    keys = [r[0] for r in rows]
+                out += rows[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)]
+            yield pd.DataFrame(out, columns=["key", "file", "offset", "length"])
+
+    tasks = tasks_for(spark, lines or 0)
+    wanted = urls.select(F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url")).distinct().select(key_of("url").alias("key")).distinct()
+    met = wanted.repartitionByRange(tasks, "key").sortWithinPartitions("key").mapInPandas(blocks, PLACES)
+    # A key with many captures is many blocks, and each block is a task's work of its own.
+    dealt = met.repartition(tasks, "file", "offset").sortWithinPartitions("file", "offset", "key")
+    return records_at(dealt.mapInPandas(captures, PLACES), folder, tasks)
 
 
 class SortedLines:
     """The directory as one file of lines sorted by key, and one of the places where they end; a line is two range reads."""
 
-    def __init__(self, directory: DataFrame, folder: str):
+    def __init__(self, folder: str, name: str, count: int):
+        store, root = store_of(folder)
+        self.count, self.met = count, (-1, None)
+        self.lines, self.ends = store.open_input_file(f"{root}/{name}.lines"), store.open_input_file(f"{root}/{name}.ends")
+
+    @staticmethod
+    def write(directory: DataFrame, folder: str) -> str:
+        """Writes both files below folder; their name. One line for BLOCK_LINES captures goes through the driver, range by range."""
         store, root = store_of(folder)
         store.create_dir(root, recursive=True)
-        name = f"{root}/directory-{uuid.uuid4().hex}"
-        self.count, end = 0, 0
-        with store.open_output_stream(f"{name}.lines", compression=None) as lines, store.open_output_stream(f"{name}.ends", compression=None) as ends:
+        name, end = f"directory-{uuid.uuid4().hex}", 0
+        with store.open_output_stream(f"{root}/{name}.lines", compression=None) as lines, store.open_output_stream(f"{root}/{name}.ends", compression=None) as ends:
             ends.write((0).to_bytes(8, "little"))
             for r in directory.orderBy("first", "last", "file", "offset").toLocalIterator():
                 line = json.dumps(tuple(r), ensure_ascii=False).encode()
                 lines.write(line)
                 end += len(line)
                 ends.write(end.to_bytes(8, "little"))
-                self.count += 1
-        self.lines, self.ends = store.open_input_file(f"{name}.lines"), store.open_input_file(f"{name}.ends")
+        return name
+
+    def first_from(self, key: str, at: int = 0) -> int:
+        """The first block from `at` on whose last key is not below key: steps that double, then bisection between the last two."""
+        step = 1
+        while at + step < self.count and self[at + step - 1][1] < key:
+            at, step = at + step, 2 * step
+        return bisect.bisect_left(self, key, at, min(self.count, at + step), key=lambda x: x[1])
 
     def __len__(self) -> int:
         return self.count
@@ -239,16 +321,20 @@ class SortedLines:
         """first, last, file, offset, length, lines of block k."""
         if not 0 <= k < self.count:
             raise IndexError(k)
+        if self.met[0] == k:
+            return self.met[1]
         places = self.ends.read_at(16, 8 * k)
         begin, end = int.from_bytes(places[:8], "little"), int.from_bytes(places[8:], "little")
-        return json.loads(self.lines.read_at(end - begin, begin))
+        self.met = k, json.loads(self.lines.read_at(end - begin, begin))
+        return self.met[1]
 
 
 class CaptureIndex:
     """Look-ups by url. The directory has one line for BLOCK_LINES captures; it is sorted once, and a look-up reads only the lines that its binary search meets."""
 
     def __init__(self, directory: DataFrame, folder: str):
-        self.directory, self.index, self.archive = SortedLines(directory, f"{folder}/index"), store_of(f"{folder}/index"), store_of(f"{folder}/archive")
+        self.directory = SortedLines(f"{folder}/index", SortedLines.write(directory, f"{folder}/index"), directory.count())
+        self.index, self.archive = store_of(f"{folder}/index"), store_of(f"{folder}/archive")
 
     def captures(self, url: str) -> list[tuple[str, int, int]]:
         """file, offset and length of each capture of a url."""
