@@ -85,11 +85,12 @@ def edited(rng, words, n):
     return " ".join(out)
 
 
-@pytest.mark.parametrize("block,slice_", [(1_000, 2_000), (7, 9)])
-def test_near_groups(spark, monkeypatch, block, slice_):
-    """Dense groups around and beyond the threshold, with members that only other members link."""
-    monkeypatch.setattr(near_dedup, "STAR_BLOCK", block)
-    monkeypatch.setattr(near_dedup, "STAR_SLICE", slice_)
+@pytest.mark.parametrize("least,part", [(256, 200_000), (7, 200_000), (7, 12)])
+def test_near_groups(spark, monkeypatch, least, part):
+    """Dense groups around and beyond the threshold, with members that only other members link; in one task, as a grid, and with buckets in parts."""
+    monkeypatch.setattr(near_dedup, "MEET_LEAST", least)
+    monkeypatch.setattr(near_dedup, "MEET_MOST", max(least, 9))
+    monkeypatch.setattr(near_dedup, "BUCKET_PART", part)
     rng = random.Random(5)
     words = [f"w{i}" for i in range(300)]
     rows = [(k, edited(rng, words, rng.choice([0, 1, 2, 3, 5, 6, 8]))) for k in range(60)]
@@ -150,3 +151,14 @@ def test_shingles_of_pieces():
         for s, t in zip(whole, column.to_pylist(), strict=True):
             w = t.lower().split()
             assert len(s) == len({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else ())
+
+
+def test_ids_of_text(spark):
+    """Ids that are no numbers: the smallest in their own order stands for its component."""
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(10**9)}" for _ in range(100)]
+    rows = [(i, edited(rng, words, 1)) for i in ("b", "10", "a", "9")] + [("z", "other text"), (None, " ".join(words)), ("e", "")]
+    out = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string"), 80)
+    assert out.schema["component_id"].dataType.typeName() == "string"
+    assert {(r["doc_id"], r["component_id"], r["kept"]) for r in out.collect()} == {("b", "10", False), ("10", "10", True), ("a", "10", False), ("9", "10", False), ("z", "z", True), (None, None, True), ("e", "e", True)}
+    assert sorted(str(r["doc_id"]) for r in near_dedup.distinct_rows(spark.createDataFrame(rows, "doc_id string, text string"), 80).collect()) == ["10", "None", "e", "z"]

@@ -10,7 +10,7 @@ majority signature, then the one closest to that of the members left, and so on;
 Once the confirmed links' components are known, only pairs of different components are left to test. Within a star,
 each member is reduced to its symmetric difference with the centre; two members' symmetric difference follows from the
 sizes of theirs and what these share, so members outside the centre's component find all their links by an inverted
-index over small differences, in blocks of members, and only links come out. (Members that share no difference cannot
+index over small differences, in a grid of blocks of members, and only links come out. (Members that share no difference cannot
 be linked if one of them is not linked with the centre.) Between stars of a bucket, members outside the first centre's
 component look for partners by their signatures. So no link between components is lost, and a dense group costs about
 one test for each member. (A pair with similarity s shares a bucket with probability 1 - (1 - s**ROWS)**BANDS: all but
@@ -18,7 +18,7 @@ one test for each member. (A pair with similarity s shares a bucket with probabi
 
 Components: large-star and small-star steps on links, until nothing changes.
 
-Edge cases: null and empty texts have an empty set and are linked with nothing; texts under five words have one shingle,
+Edge cases: ids may be of any type that has an order. Null and empty texts have an empty set and are linked with nothing; texts under five words have one shingle,
 their whole sequence. Repeated rows are in one component and share their verdict. An id with several texts has a node
 and a verdict for each of their sets. Rows with a null id are answered but link nothing. An empty table gives no rows. Other columns are not read.
 """
@@ -41,7 +41,9 @@ from trialforge.llm._common import as_text, mix64, pieces_of, raw_text, released
 WORDS, K, B, ROWS = 5, 128, 2, 4
 BANDS = K // ROWS
 SLACK = 6.0
-AT_ONCE, STAR_BLOCK, STAR_SLICE, STAR_CHUNK, MEETINGS = 4_000_000, 1_000, 2_000, 20_000, 4_000_000
+AT_ONCE, MEET_LEAST, MEET_MOST, STAR_CHUNK, MEETINGS = 4_000_000, 256, 20_000, 20_000, 4_000_000
+#: Members of a bucket that one task takes (44 bytes each).
+BUCKET_PART = 200_000
 PACKED = K * B // 8
 _CELLS = mix64(np.arange(1, 2 * K + 1, dtype=np.uint64))
 MULTIPLY = (_CELLS[:K] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -150,23 +152,29 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str)
                 yield pa.RecordBatch.from_arrays([own, pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], ["id", "set_key", "set"])
         released()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted.select("id"), "id", "left_semi")
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted.select("id"), "id", "left_semi")
     # A repeated id with another text has another set_key.
-    return rows.select("id", raw_text(F.col("text")).alias("raw")).mapInArrow(run, "id long, set_key binary, set binary").join(wanted, ["id", "set_key"]).select("node", "set").dropDuplicates(["node"])
+    return rows.select("id", raw_text(F.col("text")).alias("raw")).mapInArrow(run, f"id {kind}, set_key binary, set binary").join(wanted, ["id", "set_key"]).select("node", "set").dropDuplicates(["node"])
 
 
 def grouped(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
     """The rows of each batch, cut so that no key is in two frames. Rows come sorted by key."""
-    rest: pd.DataFrame | None = None
+    rest: list[pd.DataFrame] = []  # the rows so far of the last key
     for x in batches:
-        x = x if rest is None or not len(rest) else pd.concat([rest, x], ignore_index=True)
-        if len(x):
-            cut = int(np.searchsorted(x[key].to_numpy(), x[key].iloc[-1], "left"))
-            rest = x.iloc[cut:].reset_index(drop=True)
-            if cut:
-                yield x.iloc[:cut]
-    if rest is not None and len(rest):
-        yield rest
+        if not len(x):
+            continue
+        keys = x[key].to_numpy()
+        if rest and rest[0][key].iloc[0] != keys[0]:
+            yield pd.concat(rest, ignore_index=True)
+            rest = []
+        cut = int(np.searchsorted(keys, keys[-1], "left"))
+        if cut:
+            yield pd.concat([*rest, x.iloc[:cut]], ignore_index=True)
+            rest = []
+        rest.append(x.iloc[cut:])
+    if rest:
+        yield pd.concat(rest, ignore_index=True)
 
 
 def spans(keys: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -196,15 +204,32 @@ def star_pairs(nodes: np.ndarray, sizes: np.ndarray, sigs: np.ndarray, threshold
     return out
 
 
+def close(sig: np.ndarray, size: int, sigs: np.ndarray, sizes: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of many may be as similar to one as the threshold says, by estimates and sizes."""
+    return (estimate(sig, sigs) >= floor_of(threshold)) & (np.minimum(sizes, size) >= threshold * np.maximum(sizes, size) - 1e-9)
+
+
+def of_bytes(column: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint8).reshape(-1, PACKED)
+
+
+MEMBERS = "key long, node long, n long, sig binary, centre long, first boolean"
+
+
 def buckets_of(nodes: DataFrame, threshold: float) -> DataFrame:
-    """key, node, n, sig, centre, first of the members of every bucket with two members or more."""
+    """key, node, n, sig, centre, first of the members of every bucket with two members or more.
+
+    A bucket of more than BUCKET_PART members is not one task's: its parts, by hash, each tell the member closest to their
+    majority, and the member closest to the majority of these is the bucket's first centre. What it does not take is left
+    to the parts, each with centres of its own.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in grouped(batches, "key"):
             keys, node, n = x["key"].to_numpy(), x["node"].to_numpy(), x["n"].to_numpy()
             out = []
             for a, b in spans(keys):
-                sigs = np.frombuffer(b"".join(x["sig"].iloc[a:b]), np.uint8).reshape(-1, PACKED)
+                sigs = of_bytes(x["sig"].iloc[a:b])
                 at = {int(v): i for i, v in enumerate(node[a:b])}
                 for own, centre, first in star_pairs(node[a:b], n[a:b], sigs, threshold):
                     k = at[own]
@@ -213,23 +238,76 @@ def buckets_of(nodes: DataFrame, threshold: float) -> DataFrame:
                 yield pd.DataFrame(out, columns=["key", "node", "n", "sig", "centre", "first"])
 
     rows = nodes.select(F.explode("bands").alias("key"), "node", "n", "sig")
-    dealt = rows.repartition("key").sortWithinPartitions("key", "node")
-    return dealt.mapInPandas(run, "key long, node long, n long, sig binary, centre long, first boolean")
+    giant = stored(rows.groupBy("key").agg(F.count("*").alias("members")).where(F.col("members") > BUCKET_PART).select("key", F.ceil(F.col("members") / BUCKET_PART).alias("parts")), "giant")
+    if giant.isEmpty():
+        dealt = rows.repartition("key").sortWithinPartitions("key", "node")
+        return dealt.mapInPandas(run, MEMBERS)
+
+    def middles(x: pd.DataFrame) -> pd.DataFrame:
+        return x.iloc[[majority(of_bytes(x["sig"]))]]
+
+    def taken(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            near = [bool(close(np.frombuffer(c, np.uint8), m, np.frombuffer(s, np.uint8)[None], np.array([n]), threshold)[0]) for c, m, s, n in zip(x["middle"], x["middle_n"], x["sig"], x["n"], strict=True)]
+            yield x[["key", "salt", "node", "n", "sig", "centre"]].assign(near=np.array(near, bool) | (x["node"] == x["centre"]))
+
+    small = rows.join(giant, "key", "left_anti").repartition("key").sortWithinPartitions("key", "node").mapInPandas(run, MEMBERS)
+    salted = stored(rows.join(giant, "key").withColumn("salt", F.pmod(F.xxhash64("node"), "parts")).drop("parts"), "salted")
+    shape = "key long, node long, n long, sig binary, salt long"
+    tops = salted.groupBy("key", "salt").applyInPandas(middles, shape).groupBy("key").applyInPandas(middles, shape)
+    tops = stored(tops.select("key", F.col("node").alias("centre"), F.col("n").alias("middle_n"), F.col("sig").alias("middle")), "tops")
+    judged = stored(salted.join(tops, "key").mapInPandas(taken, "key long, salt long, node long, n long, sig binary, centre long, near boolean"), "taken")
+    left = judged.where("not near").select(F.xxhash64("key", "salt").alias("key"), F.col("key").alias("bucket"), "node", "n", "sig")
+    # Parts are buckets of their own here, and go back into their bucket; a member alone in its part is its own centre.
+    own = left.select("key", "node", "n", "sig").repartition("key").sortWithinPartitions("key", "node").mapInPandas(run, MEMBERS)
+    rest = left.join(own.select("key", "node", "centre"), ["key", "node"], "left").select(F.col("bucket").alias("key"), "node", "n", "sig", F.coalesce("centre", "node").alias("centre"), F.lit(False).alias("first"))
+    return small.unionByName(judged.where("near").select("key", "node", "n", "sig", "centre", F.lit(True).alias("first"))).unionByName(rest)
+
+
+def grid(rows: DataFrame, key: str) -> DataFrame:
+    """rows with role (0: the rows `outside`, 1: all), block and slice: within a key every query meets every row in one
+    group. Groups have about as many rows of each role as a 64th of the key's, MEET_LEAST at least and MEET_MOST at most,
+    so that a row is copied 64 times at most up to 64 * MEET_MOST members."""
+    sizes = rows.groupBy(key).agg(F.sum(F.col("outside").cast("long")).alias("queries"), F.count("*").alias("members")).where("queries > 0 and members > 1")
+    side = F.least(F.lit(MEET_MOST), F.greatest(F.lit(MEET_LEAST), F.ceil(F.col("members") / 64)))
+    sizes = stored(sizes.select(key, F.ceil(F.col("queries") / side).alias("blocks"), F.ceil(F.col("members") / side).alias("slices")), "sides")
+    sized = stored(rows.join(sizes, key), "sized", large_rows=True)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    part = lambda n: F.pmod(F.xxhash64("node"), n)
+    queries = sized.where("outside").select(F.lit(0).alias("role"), part("blocks").alias("block"), every("slices").alias("slice"), *rows.columns)
+    targets = sized.select(F.lit(1).alias("role"), every("blocks").alias("block"), part("slices").alias("slice"), *rows.columns)
+    return queries.union(targets).repartition(key, "block", "slice").sortWithinPartitions(key, "block", "slice", "role", "node")
+
+
+def meetings(batches: Iterator[pd.DataFrame], key: str) -> Iterator[tuple[pd.DataFrame, pd.DataFrame]]:
+    """Queries and targets (up to STAR_CHUNK at a time) of each group of a grid."""
+    at, queries = None, []
+    for x in batches:
+        for group, part in x.groupby([key, "block", "slice"], sort=True):
+            if group != at:
+                at, queries = group, []
+            asks = part[part["role"] == 0]
+            if len(asks):
+                queries.append(asks)
+            rest = part[part["role"] == 1]
+            if queries and len(rest):
+                whole = pd.concat(queries) if len(queries) > 1 else queries[0]
+                for a in range(0, len(rest), STAR_CHUNK):
+                    yield whole, rest.iloc[a : a + STAR_CHUNK]
 
 
 def star_links(stars: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b: links between members of one star in different components, one for each member and component it reaches.
 
-    stars: node, centre. Members outside the centre's component are queries, in blocks of about STAR_BLOCK; all members
-    are targets, in slices of about STAR_SLICE. Each block meets each slice in a group of its own, so that no group is
-    larger than both.
+    stars: node, centre. Members outside the centre's component are queries, all members are targets, dealt out as a grid.
     """
     own = stars.join(labels, "node", "left").select("node", "centre", F.coalesce("comp", "node").alias("comp"))
     main = labels.select(F.col("node").alias("centre"), F.col("comp").alias("main"))
-    own = own.join(main, "centre", "left").withColumn("outside", F.col("comp") != F.coalesce("main", "centre"))
-    open_ = own.groupBy("centre").agg(F.sum(F.col("outside").cast("long")).alias("queries"), F.count("*").alias("members")).where("queries > 0 and members > 1")
-    rows = own.join(open_.select("centre", F.ceil(F.col("queries") / STAR_BLOCK).alias("blocks"), F.ceil(F.col("members") / STAR_SLICE).alias("slices")), "centre")
-    rows = rows.join(sets, "node").join(sets.select(F.col("node").alias("centre"), F.col("set").alias("middle")), "centre")
+    # Stored, so that a large star is a skewed join's and not one task's.
+    own = stored(own.join(main, "centre", "left").select("node", "centre", "comp", (F.col("comp") != F.coalesce("main", "centre")).alias("outside")), "members")
+    open_ = stored(own.groupBy("centre").agg(F.bool_or("outside").alias("any")).where("any").select("centre"), "open")
+    rows = stored(own.join(open_, "centre").join(sets, "node"), "with_sets", large_rows=True)
+    rows = rows.join(sets.select(F.col("node").alias("centre"), F.col("set").alias("middle")), "centre")
 
     def reduce_(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
@@ -238,31 +316,15 @@ def star_links(stars: DataFrame, labels: DataFrame, sets: DataFrame, percent: in
                 both = np.sort(np.concatenate([np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)]))
                 twice = np.append(both[1:] == both[:-1], False)
                 differ.append(both[~(twice | np.append(False, twice[:-1]))].tobytes())
-            yield x[["centre", "blocks", "slices", "outside", "node", "comp"]].assign(n=[len(p) // 8 for p in x["set"]], differ=differ)
+            yield x[["centre", "outside", "node", "comp"]].assign(n=[len(p) // 8 for p in x["set"]], differ=differ)
 
-    small = rows.select("centre", "blocks", "slices", "outside", "node", "comp", "set", "middle").mapInPandas(reduce_, "centre long, blocks long, slices long, outside boolean, node long, comp long, n long, differ binary")
-    small = stored(small, "differences", large_rows=True)
-    keep = ["centre", "node", "comp", "n", "differ"]
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    part = lambda n: F.pmod(F.xxhash64("node"), n)
-    queries = small.where("outside").select(F.lit(0).alias("role"), part("blocks").alias("block"), every("slices").alias("slice"), *keep)
-    targets = small.select(F.lit(1).alias("role"), every("blocks").alias("block"), part("slices").alias("slice"), *keep)
+    small = rows.select("centre", "outside", "node", "comp", "set", "middle").mapInPandas(reduce_, "centre long, outside boolean, node long, comp long, n long, differ binary")
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, queries_ = None, []
-        for x in batches:
-            for key, part in x.groupby(["centre", "block", "slice"], sort=True):
-                if key != at:
-                    at, queries_ = key, []
-                asks = part[part["role"] == 0]
-                if len(asks):
-                    queries_.append(asks)
-                rest = part[part["role"] == 1]
-                for a in range(0, len(rest), STAR_CHUNK):
-                    yield met(pd.concat(queries_), rest.iloc[a : a + STAR_CHUNK], percent) if queries_ else pd.DataFrame({"a": [], "b": []})
+        for queries, targets in meetings(batches, "centre"):
+            yield met(queries, targets, percent)
 
-    dealt = queries.union(targets).repartition("centre", "block", "slice").sortWithinPartitions("centre", "block", "slice", "role", "node")
-    return dealt.mapInPandas(meet, "a long, b long").distinct()
+    return grid(stored(small, "differences", large_rows=True), "centre").mapInPandas(meet, "a long, b long").distinct()
 
 
 def met(queries: pd.DataFrame, targets: pd.DataFrame, percent: int) -> pd.DataFrame:
@@ -297,30 +359,22 @@ def cross_pairs(buckets: DataFrame, labels: DataFrame, threshold: float, low: fl
     """a, b: pairs of one bucket with an estimate in [low, high), of different components and different stars, so not with the bucket's first centre."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in grouped(batches, "key"):
-            keys, node, n, comp, first, centre = (x[c].to_numpy() for c in ("key", "node", "n", "comp", "first", "centre"))
-            out = []
-            for a, b in spans(keys):
-                if (comp[a:b] == comp[a]).all():
-                    continue
-                sigs = np.frombuffer(b"".join(x["sig"].iloc[a:b]), np.uint8).reshape(-1, PACKED)
-                own, size, part = node[a:b], n[a:b], comp[a:b]
-                main = part[first[a:b]][0] if first[a:b].any() else part[0]
-                outside = np.flatnonzero(part != main)
-                for k in outside:
-                    fits = (part != part[k]) & (centre[a:b] != centre[a + k]) & ((part == main) | (own > own[k]))
-                    fits &= np.minimum(size, size[k]) >= threshold * np.maximum(size, size[k]) - 1e-9
-                    spots = np.flatnonzero(fits)
-                    e = estimate(sigs[k], sigs[spots])
-                    for m in spots[(e >= low) & (e < high)]:
-                        out.append((min(own[k], own[m]), max(own[k], own[m])))
-            if out:
-                yield pd.DataFrame(out, columns=["a", "b"])
+        for queries, targets in meetings(batches, "key"):
+            out, sigs = [], of_bytes(targets["sig"])
+            node, n, comp, centre, inside = (targets[c].to_numpy() for c in ("node", "n", "comp", "centre", "outside"))
+            for own, size, part, c, sig in zip(queries["node"], queries["n"], queries["comp"], queries["centre"], queries["sig"], strict=True):
+                # Of two queries, the one with the larger number asks.
+                fits = (comp != part) & (centre != c) & (~inside | (node < own)) & (np.minimum(n, size) >= threshold * np.maximum(n, size) - 1e-9)
+                spots = np.flatnonzero(fits)
+                e = estimate(np.frombuffer(sig, np.uint8), sigs[spots])
+                out += [(min(own, node[m]), max(own, node[m])) for m in spots[(e >= low) & (e < high)]]
+            yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     rows = buckets.join(labels, "node", "left").select("key", "node", "n", "sig", "centre", F.coalesce("comp", "node").alias("comp"), (F.col("first") & (F.col("node") == F.col("centre"))).alias("first"))
-    mixed = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    dealt = rows.join(mixed, "key", "left_semi").repartition("key").sortWithinPartitions("key", "node")
-    return dealt.mapInPandas(run, "a long, b long").distinct()
+    # The main component of a bucket is its first centre's; without one, the smallest.
+    mixed = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min(F.when(F.col("first"), F.col("comp"))).alias("main")).where("x <> y").select("key", F.coalesce("main", "x").alias("main"))
+    dealt = rows.drop("first").join(stored(mixed, "mixed"), "key").withColumn("outside", F.col("comp") != F.col("main")).drop("main")
+    return grid(stored(dealt, "mixed_rows"), "key").mapInPandas(run, "a long, b long").distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -368,9 +422,10 @@ def set_keys(raw: pd.Series) -> pd.Series:
 
 
 def numbered(nodes: DataFrame) -> tuple[DataFrame, bool]:
-    """nodes with node, and whether sets share an id. node is the id, or, where sets share an id, the place in the order of ids and sets: the smallest node of a component has its smallest id."""
-    if nodes.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        return nodes.withColumn("node", F.col("id")), False
+    """nodes with node, and whether it is a number of its own. node is the id, or, where ids are no integers or sets share one, the place in the order of ids and sets: the smallest node of a component has its smallest id."""
+    integral = nodes.schema["id"].dataType.typeName() in ("byte", "short", "integer", "long")
+    if integral and nodes.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return nodes.withColumn("node", F.col("id").cast("long")), False
     ordered = nodes.repartitionByRange("id", "set_key").sortWithinPartitions("id", "set_key")
     return stored(ordered.withColumn("node", F.monotonically_increasing_id()), "numbered"), True
 
@@ -379,7 +434,7 @@ def verdicts(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataF
     """id, n_shingles, set_key, component_id, kept of every row; kept are the rows with the smallest id, and of its sets the smallest, of each component."""
     threshold = percent / 100
     own = stored(profiles(docs, id_col, text_col), "profiles")
-    nodes = own.where("set_key is not null and id is not null").groupBy("set_key").agg(F.min(F.struct(F.col("id").cast("long").alias("id"), F.col("n_shingles").alias("n"), "sig", "bands")).alias("x"), F.count("*").alias("rows"))
+    nodes = own.where("set_key is not null and id is not null").groupBy("set_key").agg(F.min(F.struct("id", F.col("n_shingles").alias("n"), "sig", "bands")).alias("x"), F.count("*").alias("rows"))
     nodes, shared = numbered(stored(nodes.select("set_key", "x.id", "x.n", "x.sig", "x.bands", "rows"), "nodes"))
     buckets = stored(buckets_of(nodes, threshold), "buckets")
     wanted = stored(buckets.select("node").distinct().join(nodes.select("node", "id", "set_key"), "node"), "wanted")
@@ -403,11 +458,10 @@ def verdicts(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataF
     if shared:
         special = special.join(nodes.select(F.col("node").alias("comp"), F.col("id").alias("least")), "comp")
     else:
-        special = special.withColumn("least", F.col("comp"))
+        special = special.withColumn("least", F.col("comp").cast(docs.schema[id_col].dataType))
     special = special.select("set_key", "least", (F.col("node") == F.col("comp")).alias("first"))
     joined = own.select("id", "n_shingles", "set_key").join(stored(special, "special"), "set_key", "left")
-    kind = docs.schema[id_col].dataType
-    component = F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("least", F.col("id").cast("long"))).cast(kind)
+    component = F.when(F.col("id").isNotNull(), F.coalesce("least", "id"))
     first = F.col("id").isNull() | F.coalesce("first", F.lit(True))
     return joined.select("id", "n_shingles", "set_key", component.alias("component_id"), first.alias("first")).select("id", "n_shingles", "set_key", "component_id", (F.col("id").eqNullSafe(F.col("component_id")) & F.col("first")).alias("kept"))
 
