@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trialforge.functions import parsing
-from trialforge.operators import analysis, decisions, integrity, matching, progress, ranking, scoring, timeline
+from trialforge.operators import analysis, decisions, integrity, matching, prefix, progress, ranking, scoring, timeline
 
 random.seed(42)
 BASE = {"v1": 3.5, "v2": 4.0, "v3": 4.2, "v4": 3.8}
@@ -196,3 +196,64 @@ def test_novelty(spark):
     df = spark.createDataFrame([("g", [1.0, 0.0]), ("g", [0.0, 2.0]), ("g", [1.0, 1.0]), ("h", [1.0, 1.0]), ("z", [0.0, 0.0]), ("z", [1.0, 0.0])], "k string, embedding array<float>")
     got = {r["k"]: r["mean_similarity"] for r in analysis.novelty(df, ["k"]).collect()}
     assert got["g"] == pytest.approx(2 * 0.7071 / 3, abs=1e-3) and got["z"] == 0 and "h" not in got
+
+
+def test_staged_run(spark):
+    """Stages work on what is pending, the analysis waits for all, and a cost cap stops generation only."""
+    matrix = progress.expected(spark, ["v1"], ["t1"], [0, 1, 2])
+    schema = "run_id string, variant_id string, task_id string, repetition long, status string, total_cost_usd double"
+    runs, scored, checked, log = [("a", "v1", "t1", 0, "completed", 2.0)], [], ["a"], []
+    ids = lambda x: spark.createDataFrame([(i,) for i in x], "run_id string")
+    state = lambda: (spark.createDataFrame(runs, schema), ids(scored), ids(checked))
+    name = lambda r: {(x[1], x[2], x[3]): x[0] for x in runs}[r["variant_id"], r["task_id"], r["repetition"]]
+
+    def generate(work):
+        for r in work.collect():
+            log.append(("generate", r["repetition"]))
+            runs.append((f"n{r['repetition']}", *r, "completed" if r["repetition"] == 1 else "failed", 2.0))
+
+    def evaluate(work):
+        scored.extend(name(r) for r in work.collect())
+
+    def coherence(work):
+        checked.extend(name(r) for r in work.collect())
+
+    go = lambda **more: progress.staged_run(matrix, state, generate, evaluate, coherence, lambda: spark.range(1), **more)
+    assert go(limit=2.0) is None and log == [] and scored == ["a"] and checked == ["a"]
+    assert go(limit=100.0) is None and sorted(log) == [("generate", 1), ("generate", 2)] and sorted(scored) == sorted(checked) == ["a", "n1"]
+    runs[:] = [r if r[0] != "n2" else (*r[:4], "completed", 2.0) for r in runs]
+    assert go().count() == 1 and "n2" in scored
+
+
+def test_running_sums(spark):
+    """Sums over ranges are those of one window, over ties and lanes."""
+    rng = random.Random(4)
+    rows = [(k % 3 if k % 50 else None, float(rng.randrange(40)), k, rng.randrange(9)) for k in range(900)]
+    df = spark.createDataFrame(rows, "lane int, x double, id long, v long").repartition(5)
+    for lanes in (None, ["lane"]):
+        got = {r["id"]: r["s"] for r in prefix.sums_before(df, ["x", "id"], F.col("v"), "s", lanes).collect()}
+        seen = {}
+        for lane, x, i, v in sorted(rows, key=lambda r: r[1:3]):
+            key = lane if lanes else 0
+            assert got[i] == seen.get(key, 0)
+            seen[key] = seen.get(key, 0) + v
+    assert prefix.sums_before(df.limit(0), ["x"], F.col("v"), "s").count() == 0
+
+
+def test_ordinal_alpha_by_pairs(spark):
+    """Against the definition over all pairs of values."""
+    rng = random.Random(8)
+    rows = [(f"d{d}", f"u{u}", float(rng.randrange(1, 6))) for d in range(6) for u in range(8) for _ in range(rng.randrange(0, 5))] + [("same", u, 2.0) for u in "aabb"]
+    got = {r["design_id"]: r["alpha"] for r in scoring.ordinal_alpha(spark.createDataFrame(rows, "design_id string, dimension string, score double")).collect()}
+    for d in {r[0] for r in rows}:
+        units = {}
+        for _, u, s in (r for r in rows if r[0] == d):
+            units.setdefault(u, []).append(s)
+        units = [v for v in units.values() if len(v) >= 2]
+        values = [s for v in units for s in v]
+        n = {c: values.count(c) for c in values}
+        distance = lambda c, k: (sum(n[g] for g in n if min(c, k) <= g <= max(c, k)) - (n[c] + n[k]) / 2) ** 2  # noqa: B023, E731
+        observed = sum(distance(a, b) / (len(v) - 1) for v in units for i, a in enumerate(v) for j, b in enumerate(v) if i != j) / max(1, len(values))
+        total = sum(distance(a, b) for i, a in enumerate(values) for j, b in enumerate(values) if i != j)
+        want = None if not total else 1 - observed / (total / (len(values) * (len(values) - 1)))
+        assert got[d] is None if want is None else got[d] == pytest.approx(want, abs=1e-9)

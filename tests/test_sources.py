@@ -1,9 +1,10 @@
 """Stores, configuration and sinks."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from trialforge.sources import config, schemas, sinks
-from trialforge.sources.store import Store
+from trialforge.sources.store import Store, found_runs, without_results
 
 
 def runs(spark, *rows):
@@ -41,19 +42,55 @@ def test_violations(spark):
 
 
 def test_interpolation():
-    env = {"A": "1"}
-    assert config.interpolated({"x": ["${A}", "${B:-two}", "${C}", 3]}, env) == {"x": ["1", "two", "${C}", 3]}
+    env = {"A": "1", "EMPTY": ""}
+    assert config.interpolated({"x": ["${A}", "${B:-two}", "${C}", 3, "${A:-9}-${B:-}", "${EMPTY:-d}|${EMPTY}"]}, env) == {"x": ["1", "two", "${C}", 3, "1-", "|"]}
+
+
+def test_variants_of_files(tmp_path):
+    """Files with a wrapper extend others by name, one level; agents named one by one become lists; empty variables count as set."""
+    files = {
+        "a.yaml": "variant:\n  id: a\n  extends: none_of_this_counts.yaml\n  flow: {rounds: 2, mode: x}\n  agents:\n    lead: {model: m1}\n    reviewers: {model: m2, n: 2}\n",
+        "b.yaml": "variant:\n  extends: a.yaml\n  id: b\n  flow: {rounds: 3}\n  agents:\n    reviewers: {model: '${M:-m3}'}\n",
+        "c.yaml": "variant:\n  id: c\n  extends: b.yaml\n",
+        "d.yaml": "id: d\nagents:\n  participant_2: {model: y}\n  participant_1: {model: x, id: own}\n  debater_1: {model: z}\n  debaters: [{id: q}]\n",
+        "none_of_this_counts.yaml": "{}",
+    }
+    for name, text in files.items():
+        (tmp_path / name).write_text(text)
+    trees = config.load_variants(str(tmp_path), {"M": ""})
+    assert trees["b"] == {"id": "b", "flow": {"rounds": 3, "mode": "x"}, "agents": {"lead": {"model": "m1"}, "reviewers": {"model": "", "n": 2}}}
+    assert trees["c"] == {"id": "c", "flow": {"rounds": 3}, "agents": {"reviewers": {"model": ""}}}  # what b extends does not count
+    assert trees["d"]["agents"] == {"participants": [{"id": "own", "model": "x"}, {"id": "participant_2", "model": "y"}], "debater_1": {"model": "z"}, "debaters": [{"id": "q"}]}
+    (tmp_path / "e.yaml").write_text("variant: {id: e, extends: missing.yaml}")
+    with pytest.raises(FileNotFoundError):
+        config.load_variants(str(tmp_path))
 
 
 def test_inheritance_and_agents(spark):
-    trees = {"base": {"flow": {"a": 1, "b": 2}}, "child": {"inherits": "base", "flow": {"b": 3}}}
+    trees = {"base": {"flow": {"a": 1, "b": 2}}, "child": {"extends": "base", "flow": {"b": 3}}}
     assert config.inherited(trees)["child"] == {"flow": {"a": 1, "b": 3}}
     assert config.named_agents({"lead": {"model": "m"}}) == [{"id": "lead", "model": "m"}]
+    assert config.named_agents({"debaters": [{"id": "x"}, {"model": "m"}]}) == [{"id": "x"}, {"id": "debaters_1", "model": "m"}]
     assert config.named_agents([{"model": "m"}]) == [{"id": "agent_0", "model": "m"}]
     rows = config.dimension(spark, {"t1": {"complexity": "simple", "m": {"p": 2}}, "t2": {}}, {"complexity": "complexity", "p": "m.p"}).collect()
     assert [tuple(r) for r in rows] == [("t1", "simple", "2"), ("t2", None, None)]
 
 
+def test_results_to_make_again(spark):
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "design_id string")
+    tables = {"evaluations": ids("a", "a", "b", None), "scores_median": ids("a", "b"), "coherence_checks": ids("a")}
+    left = without_results(tables, ids("a"))
+    assert {k: sorted(str(r["design_id"]) for r in df.collect()) for k, df in left.items()} == {"evaluations": ["None", "b"], "scores_median": ["b"], "coherence_checks": ["a"]}
+    assert without_results(tables, ids("a"), ("coherence_checks",))["coherence_checks"].count() == 0
+
+
+def test_runs_of_files(spark, tmp_path):
+    for name, text in (("x", '{"run_id": "r1"}'), ("y", "{}"), ("z", "no json")):
+        (tmp_path / f"{name}.json").write_text(text)
+    got = {r["file"].rsplit("/", 1)[1]: r["run_id"] for r in found_runs(spark, f"file://{tmp_path}/*.json").collect()}
+    assert got == {"x.json": "r1", "y.json": "unknown", "z.json": "unknown"}
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("a", 1.23456), ("b", None)], "name string, value double")
     assert "| a | 1.235 |" in sinks.markdown(df, "T")

@@ -85,3 +85,47 @@ def test_group(spark):
     with pytest.raises(ValueError):
         group.start("a", Fake)
     assert group.stop() == ["b", "a"]
+
+
+def test_retries():
+    """Delays are drawn up to ends that double; only listed exceptions are tried again."""
+    drawn, slept = [], []
+
+    def failing(times, error=OSError):
+        left = [times]
+
+        def call():
+            left[0] -= 1
+            if left[0] >= 0:
+                raise error("no")
+            return ["x"]
+
+        return call
+
+    def go(call):
+        drawn.clear(), slept.clear()
+        return M.retried(call, 3, 0.5, (OSError,), lambda a, b: drawn.append((a, b)) or b / 2, slept.append)
+
+    assert go(failing(0)) == (["x"], None, 1) and slept == []
+    assert go(failing(2)) == (["x"], None, 3) and drawn == [(0.0, 0.5), (0.0, 1.0)] and slept == [0.25, 0.5]
+    result, error, attempts = go(failing(9))
+    assert result is None and isinstance(error, OSError) and attempts == 4 and len(slept) == 3
+    result, error, attempts = go(failing(1, KeyError))
+    assert result is None and isinstance(error, KeyError) and attempts == 1 and slept == []
+
+
+def test_handled_retries(spark, tmp_path):
+    data = spark.createDataFrame([("a", 0, 0, 1, "x"), ("a", 0, 0, 2, "y"), ("b", 0, 0, 3, "z")], "key string, slot long, batch long, request_id long, text string")
+    folder = str(tmp_path)
+
+    def flaky(xs):
+        import os
+
+        mark = f"{folder}/{xs[0]}"
+        if not os.path.exists(mark):
+            open(mark, "w").close()
+            raise OSError("busy")
+        return [x.upper() for x in xs]
+
+    rows = M.handled(data, flaky, ["text", "request_id"], retries=1, base=0.01, retryable=(OSError,)).collect()
+    assert {(r["request_id"], r["result"], r["error"], r["attempts"]) for r in rows} == {(1, "X", None, 2), (2, "Y", None, 2), (3, "Z", None, 2)}

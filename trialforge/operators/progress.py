@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +37,36 @@ def stage_counts(work: DataFrame) -> DataFrame:
     return work.select(stages).select("x.*").groupBy("stage").agg(F.sum(F.col("open").cast("long")).alias("pending"), F.sum((~F.col("open")).cast("long")).alias("done"))
 
 
+def next_stages(work: DataFrame) -> DataFrame:
+    """TRIPLE and `ready`: the stages that can start now. Evaluation and coherence wait for the run of their own triple only, and not for each other."""
+    ready = F.when(F.col("generate"), F.array(F.lit("generate"))).otherwise(F.array_compact(F.array(F.when(F.col("evaluate"), "evaluate"), F.when(F.col("coherence"), "coherence"))))
+    return work.select(*TRIPLE, F.array_join(ready, "+").alias("ready"))
+
+
+def barrier(work: DataFrame) -> DataFrame:
+    """One row: triples, the open ones, and whether the analysis may begin, which waits for all of them."""
+    open_ = F.col("generate") | F.col("evaluate") | F.col("coherence")
+    return work.agg(F.count("*").alias("triples"), F.count_if(open_).alias("open"), (F.count_if(open_) == 0).alias("analyse"))
+
+
+def staged_run(matrix: DataFrame, state: Callable[[], tuple[DataFrame, DataFrame, DataFrame]], generate: Callable[[DataFrame], None], evaluate: Callable[[DataFrame], None], coherence: Callable[[DataFrame], None], analyse: Callable[[], DataFrame], limit: float = float("inf"), order: list[str] | None = None) -> DataFrame | None:
+    """Runs what is pending, stage by stage, and the analysis behind the barrier; None while anything is open.
+
+    state() gives runs, scored and checked as they are now; a stage's function gets the triples (or runs) that it is to
+    work on and stores what it makes, so that a run that was broken off goes on where it stood. Generation stops when
+    the completed runs have cost `limit`; evaluation and coherence don't wait for each other. order: columns by which
+    triples are dealt (by hash as a default).
+    """
+    now = lambda: pending(matrix, *state())
+    runs, _, _ = state()
+    spent = runs.where("status = 'completed'").agg(F.sum("total_cost_usd")).first()[0] if "total_cost_usd" in runs.columns else 0
+    if (spent or 0) < limit:
+        generate(now().where("generate").select(*TRIPLE).orderBy(*(order or hash_order(*TRIPLE))))
+    for name, work in (("evaluate", evaluate), ("coherence", coherence)):
+        work(now().where(F.col(name) & ~F.col("generate")).select(*TRIPLE))
+    return analyse() if barrier(now()).first()["analyse"] else None
+
+
 def completeness(matrix: DataFrame, runs: DataFrame, designs: DataFrame, scored: DataFrame, checked: DataFrame) -> DataFrame:
     """One row: expected, actual (all completed triples, inside the matrix or not), missing, final designs, evaluated and checked designs, and the ratios. designs: design_id, run_id."""
     done = runs.where("status = 'completed'")

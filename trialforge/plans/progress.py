@@ -19,15 +19,18 @@ def matrix(spark):
 
 
 def _scored(spark, sf):
-    """Runs with a median: every third order with lines has none yet."""
-    return A.medians(spark, sf).where("design_id % 3 <> 0").select(F.col("design_id").alias("run_id"), "design_id")
+    """Runs whose designs are scored: those with two raters or more."""
+    many = A.evaluations(spark, sf).groupBy("design_id").agg(F.count("*").alias("n")).where("n >= 2")
+    return many.select(F.col("design_id").alias("run_id"), "design_id")
 
 
 def _checked(spark, sf):
-    return A.coherence_checks(spark, sf).where("design_id % 4 <> 0").select(F.col("design_id").alias("run_id"), "design_id").distinct()
+    """Runs whose designs are checked: those with three pairs or more."""
+    many = A.coherence_checks(spark, sf).groupBy("design_id").agg(F.count("*").alias("n")).where("n >= 3")
+    return many.select(F.col("design_id").alias("run_id"), "design_id")
 
 
-_STATE = {"scored": "SELECT design_id AS run_id, design_id FROM medians WHERE design_id % 3 <> 0", "checked": "SELECT DISTINCT design_id AS run_id, design_id FROM checks WHERE design_id % 4 <> 0", "matrix": _MATRIX}
+_STATE = {"scored": "SELECT design_id AS run_id, design_id FROM evaluations GROUP BY design_id HAVING count(*) >= 2", "checked": "SELECT design_id AS run_id, design_id FROM checks GROUP BY design_id HAVING count(*) >= 3", "matrix": _MATRIX}
 
 
 @query("SELECT 'customer' AS table_name, count(*) AS rows FROM customer UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem UNION ALL SELECT 'events', count(*) FROM events")
@@ -49,24 +52,26 @@ def upsert_latest(spark, sf):
     return store.newest(rows, ["o_custkey"], [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()]).select(F.col("o_custkey").alias("key"), "o_orderkey", "o_totalprice")
 
 
-@query("SELECT o_orderkey AS key, CASE WHEN o_orderkey % 10 = 0 THEN 'new' ELSE o_orderstatus END AS status FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 10 = 0")
+@query("SELECT o_orderkey AS key, CASE WHEN o_orderstatus = 'P' THEN 'new' ELSE o_orderstatus END AS status FROM orders")
 def upsert_replace(spark, sf):
+    """All orders, with those in one state written anew."""
     rows = A.table(spark, sf, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"))
-    return store.upserted(rows.where("key % 2 = 0"), rows.where("key % 10 = 0").withColumn("status", F.lit("new")), ["key"])
+    return store.upserted(rows, rows.where("status = 'P'").withColumn("status", F.lit("new")), ["key"])
 
 
-@query("SELECT o_orderkey AS key, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus ELSE 'new' END AS status FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 5 = 0")
+@query("SELECT o_orderkey AS key, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN o_orderstatus ELSE 'new' END AS status FROM orders")
 def insert_or_ignore(spark, sf):
-    rows = A.table(spark, sf, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"))
-    return store.inserted(rows.where("key % 2 = 0"), rows.where("key % 5 = 0").withColumn("status", F.lit("new")), ["key"])
+    """All orders inserted into a table that has the urgent ones already."""
+    rows = A.table(spark, sf, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"), "o_orderpriority")
+    return store.inserted(rows.where("o_orderpriority in ('1-URGENT', '2-HIGH')").select("key", "status"), rows.select("key", F.lit("new").alias("status")), ["key"])
 
 
-@query("SELECT o_orderkey AS key, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus END AS status, CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey END AS customer FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 2 = 0")
+@query("SELECT o_orderkey AS key, CASE WHEN o_orderstatus = 'F' THEN o_orderpriority END AS priority, CASE WHEN o_orderstatus <> 'F' THEN o_custkey END AS customer FROM orders")
 def merge_import(spark, sf):
-    """Exports of two nodes with different columns as one table; the first node wins where keys meet."""
+    """Exports of two nodes with different columns as one table; the first node, which has the finished orders, wins where keys meet."""
     rows = A.table(spark, sf, "orders")
-    first = rows.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"))
-    second = rows.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("customer"))
+    first = rows.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("key"), F.col("o_orderpriority").alias("priority"))
+    second = rows.select(F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("customer"))
     return store.merged([first, second], ["key"])
 
 
@@ -92,12 +97,12 @@ _PENDING = """SELECT m.variant_id, m.task_id, m.repetition, d.run_id IS NULL AS
     FROM matrix m LEFT JOIN (SELECT variant_id, task_id, repetition, max(run_id) AS run_id FROM runs WHERE status = 'completed' GROUP BY ALL) d USING (variant_id, task_id, repetition)"""
 
 
-@query(sql(_PENDING, "runs", "medians", "checks", **_STATE))
+@query(sql(_PENDING, "runs", "evaluations", "checks", **_STATE))
 def pending_work(spark, sf):
     return progress.pending(matrix(spark), A.runs(spark, sf), _scored(spark, sf), _checked(spark, sf))
 
 
-@query(sql("SELECT stage, CAST(sum(CAST(p AS INT)) AS BIGINT) AS pending, CAST(sum(CAST(NOT p AS INT)) AS BIGINT) AS done FROM (SELECT 'generate' AS stage, generate AS p FROM w UNION ALL SELECT 'evaluate', evaluate FROM w UNION ALL SELECT 'coherence', coherence FROM w) GROUP BY stage", "runs", "medians", "checks", **_STATE, w=_PENDING))
+@query(sql("SELECT stage, CAST(sum(CAST(p AS INT)) AS BIGINT) AS pending, CAST(sum(CAST(NOT p AS INT)) AS BIGINT) AS done FROM (SELECT 'generate' AS stage, generate AS p FROM w UNION ALL SELECT 'evaluate', evaluate FROM w UNION ALL SELECT 'coherence', coherence FROM w) GROUP BY stage", "runs", "evaluations", "checks", **_STATE, w=_PENDING))
 def stage_counts(spark, sf):
     return progress.stage_counts(pending_work(spark, sf))
 
@@ -108,7 +113,7 @@ def stage_counts(spark, sf):
         (SELECT count(*) FROM (SELECT * FROM matrix EXCEPT SELECT variant_id, task_id, repetition FROM runs WHERE status = 'completed')) AS missing_runs, (SELECT count(*) FROM runs WHERE status = 'completed') AS final_designs,
         (SELECT count(*) FROM runs WHERE status = 'completed' AND run_id NOT IN (SELECT design_id FROM scored)) AS unevaluated, (SELECT count(*) FROM runs WHERE status = 'completed' AND run_id NOT IN (SELECT design_id FROM checked)) AS unchecked)""",
         "runs",
-        "medians",
+        "evaluations",
         "checks",
         **_STATE,
     ).replace("actual_runs / expected_runs", "round(actual_runs / expected_runs, 6)")

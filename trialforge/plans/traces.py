@@ -98,10 +98,18 @@ def windowed_counts(spark, sf):
     return rounded(microbatch.windowed_counts(rows, "event_type", "1 hour", "1 day"))
 
 
-@query()
+# One step of the recursion is one request of each key: tokens and requests left refill with time, and a request waits for both.
+_LIMITED = """WITH RECURSIVE q AS (SELECT step AS key, trace_id AS request_id, started_us / 1e6 AS "at", least(CAST(k AS DOUBLE), 100) AS tokens, row_number() OVER (PARTITION BY step ORDER BY started_us, trace_id) AS i FROM traces),
+    f AS (SELECT key, i, request_id, "at", r - 1 AS r, t - tokens AS t, granted_at FROM (SELECT key, i, request_id, "at", tokens, least(2.0::DOUBLE, 2 + wait * 2 / 60) AS r, least(100.0::DOUBLE, 100 + wait * 100 / 60) AS t, "at" + wait AS granted_at FROM (SELECT *, greatest(0.0::DOUBLE, (tokens - 100) * 60 / 100) AS wait FROM q WHERE i = 1))
+    UNION ALL SELECT key, i, request_id, "at", least(2.0::DOUBLE, r + wait * 2 / 60) - 1, least(100.0::DOUBLE, t + wait * 100 / 60) - tokens, began + wait FROM (SELECT *, greatest(0.0::DOUBLE, (1 - r) * 60 / 2, (tokens - t) * 60 / 100) AS wait FROM
+    (SELECT q.key, q.i, q.request_id, q."at", q.tokens, greatest(q."at", f.granted_at) AS began, least(2.0::DOUBLE, f.r + (greatest(q."at", f.granted_at) - f.granted_at) * 2 / 60) AS r, least(100.0::DOUBLE, f.t + (greatest(q."at", f.granted_at) - f.granted_at) * 100 / 60) AS t FROM f JOIN q ON q.key = f.key AND q.i = f.i + 1)))
+    SELECT key, request_id, round("at", 3) AS "at", round(granted_at, 3) AS granted_at, round(granted_at - "at", 3) AS waited FROM f"""
+
+
+@query(sql(f"SELECT * FROM ({_LIMITED})", "traces"))
 def rate_limit_fold(spark, sf):
     rows = requests(spark, sf).select("key", "request_id", (F.col("ts_us") / 1e6).alias("at"), F.col("k").cast("double").alias("tokens"))
-    return microbatch.rate_limited(rows, microbatch.Limits(rpm=2, tpm=100))
+    return rounded(microbatch.rate_limited(rows, microbatch.Limits(rpm=2, tpm=100)), 3)
 
 
 @query(

@@ -9,14 +9,15 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Fixed value: the syntax of variables.
 VARIABLE = re.compile(r"\$\{([A-Za-z_][A-Za-z0-9_]*)(?::-([^}]*))?\}")
 
 
 def interpolated(value: Any, env: dict[str, str] | None = None) -> Any:
-    """${NAME} and ${NAME:-default} in all strings; what has neither value nor default stays as it is."""
+    """${NAME} and ${NAME:-default} in all strings; a variable that is set to nothing counts as set, and what has neither value nor default stays as it is."""
     env = os.environ if env is None else env
     if isinstance(value, str):
-        return VARIABLE.sub(lambda m: env.get(m[1]) or (m[2] if m[2] is not None else env.get(m[1], m[0])), value)
+        return VARIABLE.sub(lambda m: next(x for x in (env.get(m[1]), m[2], m[0]) if x is not None), value)
     if isinstance(value, dict):
         return {k: interpolated(v, env) for k, v in value.items()}
     return [interpolated(v, env) for v in value] if isinstance(value, list) else value
@@ -30,25 +31,66 @@ def merged(base: dict, over: dict) -> dict:
     return out
 
 
-def inherited(trees: dict[str, dict], parent_key: str = "inherits") -> dict[str, dict]:
-    """Each tree on the one it names; one level."""
-    return {name: {k: v for k, v in merged(trees[t[parent_key]], t).items() if k != parent_key} if t.get(parent_key) in trees else t for name, t in trees.items()}
+#: Keys of agents that are named one by one, and the list they make up.
+NAMED = {"participant_": "participants", "debater_": "debaters"}
+
+
+def unwrapped(tree: dict, kind: str) -> dict:
+    """What stands under the file's one key (variant, task, model), or the whole of a file without it."""
+    return tree.get(kind, tree)
+
+
+def inherited(trees: dict[str, dict], parent_key: str = "extends") -> dict[str, dict]:
+    """Each tree on the one it names, which is a key of trees (a file's name); what that one extends itself does not count."""
+    out = {}
+    for name, tree in trees.items():
+        own = {k: v for k, v in tree.items() if k != parent_key}
+        if (parent := tree.get(parent_key)) is not None:
+            if parent not in trees:
+                raise FileNotFoundError(f"{name} extends {parent}, which is not there")
+            own = merged({k: v for k, v in trees[parent].items() if k != parent_key}, own)
+        out[name] = own
+    return out
+
+
+def grouped_agents(tree: dict) -> dict:
+    """The tree with agents named participant_1, debater_2 and so on as lists, in the order of their names; a list that is there already stays."""
+    agents = tree.get("agents")
+    if not isinstance(agents, dict):
+        return tree
+    agents = dict(agents)
+    for prefix, plural in NAMED.items():
+        names = sorted(k for k in agents if k.startswith(prefix)) if plural not in agents else []
+        if names:
+            agents[plural] = [{"id": k, **agents.pop(k)} for k in names]
+    return {**tree, "agents": agents}
 
 
 def named_agents(agents: Any) -> list[dict]:
-    """Agents as a list of records with an id, whether they were listed or named."""
+    """Agents as a list of records with an id, whether they were listed or named; a name that stands for a list gives one for each."""
     if isinstance(agents, dict):
-        return [{"id": k, **(v or {})} for k, v in agents.items()]
+        out = []
+        for name, value in agents.items():
+            out += [{"id": f"{name}_{i}", **a} for i, a in enumerate(value)] if isinstance(value, list) else [{"id": name, **(value or {})}]
+        return out
     return [{"id": a.get("id", f"agent_{i}"), **a} for i, a in enumerate(agents or [])]
 
 
-def load_tree(folder: str, env: dict[str, str] | None = None) -> dict[str, dict]:
-    """Files *.yaml of a folder, not of folders below it, by their id or name."""
+def load_variants(folder: str, env: dict[str, str] | None = None) -> dict[str, dict]:
+    """Variants of the files *.yaml of a folder by id: interpolated, on what they extend, with agents grouped."""
+    import yaml
+
+    files = {p.name: unwrapped(interpolated(yaml.safe_load(p.read_text()) or {}, env), "variant") for p in sorted(Path(folder).glob("*.yaml"))}
+    return {tree.get("id", Path(name).stem): grouped_agents(tree) for name, tree in inherited(files).items()}
+
+
+def load_tree(folder: str, env: dict[str, str] | None = None, kind: str = "") -> dict[str, dict]:
+    """Files *.yaml of a folder, not of folders below it, by their id or name. kind: the key that may wrap a file's content."""
     import yaml
 
     out = {}
     for p in sorted(Path(folder).glob("*.yaml")):
-        tree = interpolated(yaml.safe_load(p.read_text()) or {}, env)
+        tree = unwrapped(interpolated(yaml.safe_load(p.read_text()) or {}, env), kind)
         out[tree.get("id", p.stem)] = tree
     return out
 

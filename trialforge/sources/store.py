@@ -129,3 +129,15 @@ def without_runs(tables: dict[str, DataFrame], run_ids: DataFrame) -> dict[str,
         if name == "reviews":
             out[name] = out[name].join(designs, "design_id", "left_anti")
     return out
+
+
+def without_results(tables: dict[str, DataFrame], designs: DataFrame, results: tuple[str, ...] = ("evaluations", "scores_median")) -> dict[str, DataFrame]:
+    """The tables with the results of some designs (design_id) taken out, so that they can be made again; all else stays."""
+    doomed = designs.select("design_id").distinct()
+    return {name: df.join(doomed, "design_id", "left_anti") if name in results else df for name, df in tables.items()}
+
+
+def found_runs(spark: SparkSession, pattern: str, column: str = "run_id", unknown: str = "unknown") -> DataFrame:
+    """file, run_id of each JSON file that the pattern meets; a file without the field has `unknown`."""
+    lines = spark.read.text(pattern, wholetext=True).select(F.input_file_name().alias("file"), F.get_json_object("value", f"$.{column}").alias("run_id"))
+    return lines.select("file", F.coalesce("run_id", F.lit(unknown)).alias("run_id"))

@@ -5,14 +5,18 @@ The streams are Structured Streaming queries over file sources; windows are by e
 
 from __future__ import annotations
 
+import random
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from time import sleep as pause
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from trialforge.operators.matching import chunked
+
 
 def flushes(requests: DataFrame, key: str, window_us: int, max_batch: int, time: str = "ts_us", order: str = "request_id") -> DataFrame:
     """requests with slot and batch: a batch is flushed when it is full, or when its window (of event time) ends."""
@@ -118,17 +122,61 @@ class Group:
         return order
 
 
-def handled(rows: DataFrame, handler: Callable[[list], list], columns: list[str], out: str = "result") -> DataFrame:
-    """rows of batches (key, slot, batch) put through a handler of lists; an exception, or results of another number, fails the whole batch."""
+def longest_delays(retries: int, base: float) -> list[float]:
+    """Upper ends of the delays before each retry: they double; a delay is drawn evenly from 0 to its end."""
+    return [base * 2**k for k in range(retries)]
+
+
+def retried(call: Callable[[], list], retries: int, base: float, retryable: tuple[type[Exception], ...], draw: Callable[[float, float], float] = random.uniform, sleep: Callable[[float], None] = pause) -> tuple[list | None, Exception | None, int]:
+    """What call() gives, or the exception it ended with, and the number of attempts. Only retryable exceptions are tried again."""
+    ends = longest_delays(retries, base)
+    for attempt in range(retries + 1):
+        try:
+            return call(), None, attempt + 1
+        except retryable as e:
+            if attempt == retries:
+                return None, e, attempt + 1
+            sleep(draw(0.0, ends[attempt]))
+        except Exception as e:  # noqa: BLE001  (any other failure of the handler is the batch's at once)
+            return None, e, attempt + 1
+    raise AssertionError
+
+
+def handled(rows: DataFrame, handler: Callable[[list], list], columns: list[str], out: str = "result", retries: int = 0, base: float = 1.0, retryable: tuple[type[Exception], ...] = (Exception,)) -> DataFrame:
+    """rows of batches (key, slot, batch) put through a handler of lists, with `attempts`; an exception that is left after
+    all retries, or results of another number, fails the whole batch."""
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
 
     def run(x: pd.DataFrame) -> pd.DataFrame:
         x = x.sort_values(columns[-1], kind="stable")
-        try:
-            results = handler(x[columns[0]].tolist())
-            error = None if len(results) == len(x) else f"{len(results)} results for {len(x)} items"
-        except Exception as e:  # noqa: BLE001  (any failure of the handler is the batch's)
-            results, error = [], f"{type(e).__name__}: {e}"
-        return x.assign(**{out: [None] * len(x) if error else [str(r) for r in results], "error": error})
+        results, failure, attempts = retried(lambda: handler(x[columns[0]].tolist()), retries, base, retryable)
+        error = f"{type(failure).__name__}: {failure}" if failure else None if len(results) == len(x) else f"{len(results)} results for {len(x)} items"
+        return x.assign(**{out: [None] * len(x) if error else [str(r) for r in results], "error": error, "attempts": attempts})
+
+    return rows.groupBy("key", "slot", "batch").applyInPandas(run, f"{schema}, {out} string, error string, attempts int")
+
+
+def retry_log(log: DataFrame, failures, retries: int, base: float) -> DataFrame:
+    """log of batches with attempts, exhausted and longest_wait (seconds), where a batch fails `failures` times before it succeeds."""
+    waited = F.least(failures, F.lit(retries))
+    return log.withColumn("attempts", waited + 1).withColumn("exhausted", failures > retries).withColumn("longest_wait", base * (F.pow(F.lit(2.0), waited) - 1))
+
+
+def retry_stats(retried_log: DataFrame, key: str) -> DataFrame:
+    """key: retries, exhausted batches, longest total wait."""
+    return retried_log.groupBy(key).agg(F.sum(F.col("attempts") - 1).alias("retries"), F.count_if("exhausted").alias("exhausted"), F.sum("longest_wait").alias("longest_wait"))
+
+
+def providers(responses: DataFrame, order: str) -> DataFrame:
+    """One row of each provider and model: requests, tokens and cost so far, the limit that its first response told (later ones don't change it), and its last state.
+
+    responses: provider, model, tokens, cost, told_limit (null if a response tells none), state.
+    """
+    first = F.min_by(F.col("told_limit"), F.when(F.col("told_limit").isNotNull(), F.col(order)))
+    return responses.groupBy("provider", "model").agg(F.count("*").alias("requests"), F.sum("tokens").alias("tokens"), F.sum("cost").alias("cost"), first.alias("limit_rpm"), F.max_by("state", order).alias("state"))
+
 
-    return rows.groupBy("key", "slot", "batch").applyInPandas(run, f"{schema}, {out} string, error string")
+def by_provider(requests: DataFrame, provider: str, order: list, size: int) -> DataFrame:
+    """provider, chunk, n, first, last: the calls that a flush makes of collected requests, `size` of one provider at most in each."""
+    numbered = chunked(requests, order, size, [provider])
+    return numbered.groupBy(provider, "chunk").agg(F.count("*").alias("n"), F.min(order[0]).alias("first"), F.max(order[0]).alias("last"))
