@@ -1,26 +1,74 @@
 """Pieces against the library, the scan against one pass over the whole text."""
 
 import random
+import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from tests.llm.conftest import TEXTS
 from tests.llm.test_counts_packing import ODD
+from trialforge.llm import queries
 from trialforge.llm import sentence_pieces as S
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
+LIBRARY = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+PIECES = S.MergePieces(MODEL)
+
+
+def encoded(texts, pieces=PIECES):
+    ids, bounds = pieces.encode(pa.array([t.encode() for t in texts], pa.binary()))
+    return [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])]
+
+
 def test_encoder_equals_library(small):
-    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
-    texts = ODD + ["  a  b \n c", "▁x ▁▁y", "<s>x</s>"] + [r["text"] for r in small.collect()]
-    pieces = S.MergePieces(MODEL)
-    got = pieces.encode([t.encode() for t in texts])
-    assert [np.frombuffer(g, "<u2").tolist() for g in got] == library.encode(texts)
-    assert [pieces.decode(g).decode() for g in got] == [t.replace("▁", " ") for t in texts]
+    texts = ODD + ["  a  b \n c", "▁x ▁▁y", "<s>x</s>", "=" * 500, "a" * 3000, "ab" * 700, " " * 300, "thethethe" * 40 + "é" * 90] + [r["text"] for r in small.collect()]
+    got = encoded(texts)
+    assert got == LIBRARY.encode(texts)
+    assert [PIECES.decode(np.array(g, int)).decode() for g in got] == [t.replace("▁", " ") for t in texts]
+
+
+LETTERS = [*"aabtehinsor .,\n\t01239-=_éüñ中の\x00\x1c\U0001f600▁", "the", "  ", "ing", "tion", "====", "<0x0A>", "</s>"]
+
+
+@given(st.lists(st.lists(st.sampled_from(LETTERS), max_size=60).map("".join), max_size=6))
+@settings(max_examples=200, deadline=None)
+def test_encoder_on_odd_texts(texts):
+    assert encoded(texts) == LIBRARY.encode(texts)
+
+
+@pytest.mark.parametrize("chunk", [17, 23, 64])
+def test_scan_of_long_segments(chunk):
+    """Matrices over the pieces at each cut, their products, and tracing chunk by chunk give what merging the whole gives."""
+    rng = random.Random(chunk)
+    for _ in range(25):
+        text = "".join(rng.choice(["a", "the", "ing", "er", "on", "b", "tion", "at"]) for _ in range(rng.randrange(10, 120)))
+        assert PIECES.scan(text, chunk) == PIECES.pairs.merged(text)
+
+
+def test_memory_is_bounded(monkeypatch, small):
+    monkeypatch.setattr(S, "REMEMBERED", 50)
+    pieces, texts = S.MergePieces(MODEL), ODD + [r["text"] or "" for r in small.limit(20).collect()]
+    for t in texts + texts:
+        assert encoded([t], pieces) == [LIBRARY.encode(t)]
+    assert len(pieces.known.keys) < 50_000
+
+
+def test_op8_query(spark, sf, small):
+    texts = {r["doc_id"]: r["text"] or "" for r in small.collect()}
+    rows = queries.op8_sentence_pieces(spark, sf).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        want = LIBRARY.encode(texts[r["doc_id"]])
+        assert (r["n_tokens"], r["ids_crc32"]) == (len(want), zlib.crc32(np.array(want, "<u4").tobytes()))
+        assert r["round_trip"] == (LIBRARY.decode(want) == texts[r["doc_id"]])
 
 
 def test_encoded_edges(edge, none):

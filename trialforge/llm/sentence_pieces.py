@@ -1,32 +1,127 @@
-"""SentencePiece encoding and decoding.
+"""SentencePiece encoding and decoding by a max-plus scan over chunks.
 
-Unigram vocabularies: a max-plus parallel scan. A document is cut into chunks; a chunk's state at a boundary is how far
-the piece that crosses it reaches into the next chunk. Each chunk gives a matrix of best scores from entry to exit state;
-matrices combine associatively (maximum of sums), the best states at all boundaries follow from their products, and
-each chunk is then traced back by itself between the states it got.
+A document is cut into chunks. A chunk gives a matrix of best scores from each state at its entry to each state at its
+exit; matrices combine associatively (maximum of sums), the best states at all boundaries follow from their products,
+and each chunk is then traced back by itself between the states it got.
 
-Merge-based (BPE) vocabularies: the scan can't give their results, because their segmentation follows merge ranks and
-is not the best sum of scores. Their pieces have white space only at their front, so no merge crosses into a run of
-spaces: a document falls apart there, each distinct part is encoded once by the library, and parts are put together.
+Unigram vocabularies (scanned): a state is how far the piece that crosses the boundary reaches into the next chunk, and
+scores are those of the pieces.
+
+Merge-based (BPE) vocabularies (encoded): the pieces that merging by rank gives are the ones of which each two
+neighbours, encoded together, stay as they are. So a state is the piece at the boundary, and a step from one piece to the
+next scores 0 if the two stay and minus infinity otherwise; the one path above minus infinity is the encoding. Where no
+piece spans two neighbouring characters, every path has a border and nothing merges across: such a cut has one state, its
+matrices are single zeros, and a document falls apart into segments there. Each distinct segment is traced once, many
+at a time in arrays, and remembered up to a bound; only segments longer than LONG are cut again, with matrices over all
+pieces that can lie across the cut. Whether two pieces stay is found by merging the two, once for each pair.
 
 Edge cases: null text counts as empty and has no ids; repeated rows are encoded each; an empty table gives no rows;
-texts of any length and parts of any length are encoded whole. Other columns are not read.
+texts of any length and segments of any length are encoded whole. Other columns are not read.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialforge.llm._common import chunks, held, raw_text, stored, trimmed
+from trialforge.llm._common import held, mix64, pieces_of, raw_text, released, stored
 
 SPACE = "▁"
-REMEMBERED, AT_ONCE, CHUNK = 300_000, 4_000_000, 65_536
+#: Segments remembered by a worker, bytes of text at once, characters of a chunk, and of a segment that is cut.
+REMEMBERED, AT_ONCE, CHUNK, LONG = 1_000_000, 4_000_000, 65_536, 64
+BASE = 0x9E3779B97F4A7C15
+UNIT_ = pow(BASE, -1, 1 << 64)
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base ** 0, 1, ... modulo 2**64."""
+    out = np.full(n, np.uint64(base & (2**64 - 1)))
+    if n:
+        out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+class Hashes:
+    """Hashes of all substrings of an array of characters, from one pass over it."""
+
+    def __init__(self, points: np.ndarray):
+        n = len(points)
+        self.upto = np.zeros(n + 1, np.uint64)
+        np.cumsum((mix64(points.astype(np.uint64) + np.uint64(1)) | np.uint64(1)) * powers(BASE, n), out=self.upto[1:])
+        self.back = powers(UNIT_, n + 1)
+
+    def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        return mix64((self.upto[stop] - self.upto[start]) * self.back[start] + (stop - start).astype(np.uint64))
+
+
+class Table:
+    """Numbers by sorted 64-bit keys; -1 for what is not in it."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order]
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        order = np.argsort(keys)
+        at = np.searchsorted(self.keys, keys[order])
+        self.keys, self.values = np.insert(self.keys, at, keys[order]), np.insert(self.values, at, values[order])
+
+    def look_up(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.full(len(keys), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.values[at], -1)
+
+
+class Pairs:
+    """Whether two pieces, encoded together, stay as they are. Characters that are no piece merge with nothing."""
+
+    def __init__(self, names: list[str], scores: dict[str, float]):
+        self.names, self.scores, self.number = names, scores, {p: i for i, p in enumerate(names)}
+        self.known, self.fresh = Table(np.zeros(0, np.int64), np.zeros(0, np.int64)), {}
+
+    def merged(self, text: str) -> list[str]:
+        """The pieces of a short text: the best-scored neighbours merge, the first ones of equals, until none do."""
+        out = list(text)
+        while True:
+            best, at = None, -1
+            for k in range(len(out) - 1):
+                score = self.scores.get(out[k] + out[k + 1])
+                if score is not None and (best is None or score > best):
+                    best, at = score, k
+            if best is None:
+                return out
+            out[at : at + 2] = [out[at] + out[at + 1]]
+
+    def stay(self, a: str, b: str) -> bool:
+        return self.merged(a + b) == [a, b]
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """For numbers of pieces."""
+        keys = a * len(self.names) + b
+        out = self.known.look_up(keys)
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            distinct, which = np.unique(keys[new], return_inverse=True)
+            for k in distinct.tolist():
+                if k not in self.fresh:
+                    x, y = divmod(k, len(self.names))
+                    self.fresh[k] = int(self.stay(self.names[x], self.names[y]))
+            out[new] = np.fromiter((self.fresh[k] for k in distinct.tolist()), np.int64, len(distinct))[which]
+        return out > 0
+
+    def settle(self, bound: int) -> None:
+        """Puts fresh pairs into the sorted table, or begins anew where there are too many."""
+        keys, values = (np.fromiter(x, np.int64, len(self.fresh)) for x in (self.fresh.keys(), self.fresh.values()))
+        if len(self.known.keys) > bound:
+            self.known = Table(keys[:0], values[:0])
+        self.known.add(keys, values)
+        self.fresh = {}
 
 
 class MergePieces:
@@ -35,48 +130,248 @@ class MergePieces:
     def __init__(self, path: str):
         import sentencepiece
 
-        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
-        if any(SPACE in p.lstrip(SPACE) for p in pieces):
-            raise ValueError("pieces with white space inside: documents can't be cut at spaces")
-        self.bytes = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else b"" if self.model.is_control(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
-        self.known: dict[str, bytes] = {}
-        self.space = np.array([self.model.piece_to_id(SPACE)], "<u2").tobytes()
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        every = range(model.get_piece_size())
+        names = {i: model.id_to_piece(i) for i in every}
+        scores = {p: model.get_score(i) for i, p in names.items() if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))}
+        self.bytes = pa.array([bytes([int(names[i][3:5], 16)]) if model.is_byte(i) else b"" if model.is_control(i) else names[i].replace(SPACE, " ").encode() for i in every], pa.large_binary())
+        byte_ids = {int(names[i][3:5], 16): i for i in every if model.is_byte(i)}
+        self.of_byte = np.array([byte_ids[b] for b in range(256)])
+        self.kind = np.dtype("<u2" if len(every) <= 1 << 16 else "<u4")
+        # Pieces by number; the last one stands for a character that is none and spans no border.
+        pieces = sorted(scores)
+        self.pairs, self.width, self.none = Pairs(pieces, scores), max(map(len, pieces)), len(pieces)
+        self.id_of = np.array([model.piece_to_id(p) for p in pieces] + [0])
+        points = [np.array([ord(c) for c in p]) for p in pieces]
+        ends = np.cumsum([len(p) for p in points])
+        hashes, starts = Hashes(np.concatenate(points)), ends - [len(p) for p in points]
+        self.table = Table(hashes.of(starts, ends), np.arange(len(pieces)))
+        heads = np.concatenate([np.stack([np.full(len(p), s), s + np.arange(1, len(p) + 1)]) for s, p in zip(starts, points, strict=True)], axis=1)
+        self.prefixes = Table(*np.unique(hashes.of(*heads), return_index=True))
+        # Characters of pieces by class, 0 for all others, and which of them ever stand side by side in a piece.
+        letters = np.unique(np.concatenate(points))
+        if not all(chr(c) in scores for c in letters):
+            raise ValueError("a character of the pieces is no piece itself")
+        self.class_of = np.zeros(0x110000, np.int32)
+        self.class_of[letters] = np.arange(1, len(letters) + 1)
+        self.beside = np.zeros((len(letters) + 1,) * 2, bool)
+        for p in points:
+            self.beside[self.class_of[p[:-1]], self.class_of[p[1:]]] = True
+        self.stays: dict[tuple[str, str], bool] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.starts, self.flat = Table(np.zeros(0, np.uint64), np.zeros(0, np.int64)), np.zeros(1, np.int64), np.zeros(0, self.kind)
+
+    def candidates(self, points: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """start, length and number of every piece in the characters; a piece does not reach further than `room`."""
+        hashes, alive = Hashes(points), np.arange(len(points))
+        out = []
+        for n in range(1, self.width + 1):
+            alive = alive[room[alive] >= n]
+            keys = hashes.of(alive, alive + n)
+            number = self.table.look_up(keys)
+            if n == 1:
+                number = np.where(number < 0, self.none, number)
+            met = number >= 0
+            out.append((alive[met], np.full(int(met.sum()), n), number[met]))
+            alive = alive[self.prefixes.look_up(keys) >= 0]
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    def traced(self, points: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the pieces of segments, one after the other, and how many each has. starts: where they begin (and, last, the end).
+
+        Of the pieces that end at a character, the one that stays beside the last piece before it is the last piece of
+        the encoding up to there. Segments are walked along side by side.
+        """
+        size = np.diff(starts)
+        place = np.arange(len(points)) - np.repeat(starts[:-1], size)
+        room = np.repeat(size, size) - place
+        at, n, number = self.candidates(points, room)
+        end = at + n - 1
+        order = np.lexsort((n, place[end]))
+        at, n, number, end = at[order], n[order], number[order], end[order]
+        last, length = np.full(len(points), -1, np.int64), np.zeros(len(points), np.int64)
+        steps = np.searchsorted(place[end], np.arange(int(size.max(initial=0)) + 1))
+        for a, b in zip(steps, steps[1:], strict=False):
+            x, m, c, e = at[a:b], n[a:b], number[a:b], end[a:b]
+            before = np.where(place[x] > 0, last[np.maximum(x - 1, 0)], self.none)
+            free = (before == self.none) | (c == self.none)
+            good = np.zeros(b - a, bool)
+            good[free & (before >= 0)] = True
+            ask = np.flatnonzero(~free & (before >= 0))
+            good[ask] = self.pairs(before[ask], c[ask])
+            last[e[good]], length[e[good]] = c[good], m[good]
+        # Back from the ends, all segments at once.
+        marks, spot = np.zeros(len(points), bool), starts[1:][size > 0] - 1
+        floor = starts[:-1][size > 0]
+        while len(spot):
+            marks[spot] = True
+            spot = spot - length[spot]
+            going = spot >= floor
+            spot, floor = spot[going], floor[going]
+        count = np.add.reduceat(np.append(marks, False), np.minimum(starts[:-1], len(points))) if len(size) else size
+        return last[marks], np.where(size > 0, count, 0)
+
+    def loose(self, points: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """The characters that are no piece, in order: those without a class."""
+        return points[self.class_of[points] == 0] if (number == self.none).any() else points[:0]
+
+    def across(self, text: str, cut: int) -> list[tuple[int, int]]:
+        """Begin and end of the pieces that hold the character before the cut: the states there."""
+        out = []
+        for s in range(max(0, cut - self.width), cut):
+            out += [(s, e) for e in range(cut, min(len(text), s + self.width) + 1) if text[s:e] in self.pairs.scores or e == s + 1]
+        return out
 
-    def parts(self, text: str) -> list[str]:
-        """Runs of spaces, each with what follows it; the model puts one space before a text."""
-        return re.findall(r" +[^ ]*", " " + text.replace(SPACE, " ")) if text else []
+    def reached(self, text: str, entry: tuple[int, int], stop: int) -> list[dict[int, int]]:
+        """From an entry state: for each place, the pieces that can end there (their begin) and the begin of the piece before each."""
+        known = self.stays = self.stays if len(self.stays) < REMEMBERED // 10 else {}
+
+        def stay(a: str, b: str) -> bool:
+            if (a, b) not in known:
+                known[a, b] = not a or self.pairs.stay(a, b)
+            return known[a, b]
+
+        out: list[dict[int, int]] = [{} for _ in range(len(text) + 1)]
+        out[entry[1]][entry[0]] = -1
+        for at in range(entry[1], stop):
+            for begin in out[at]:
+                for e in range(at + 1, min(len(text), at + self.width) + 1):
+                    if (text[at:e] in self.pairs.scores or e == at + 1) and stay(text[begin:at], text[at:e]):
+                        out[e][at] = begin
+        return out
 
-    def encode(self, raw: list[bytes]) -> list[bytes]:
-        """Little-endian 16-bit ids of each text."""
+    def scan(self, text: str, chunk: int = LONG) -> list[str]:
+        """The pieces of a long segment, chunk by chunk."""
+        cuts = [*range(chunk, len(text) - self.width, chunk), len(text)]
+        states = [[(0, 0)], *(self.across(text, c) for c in cuts[:-1]), [(s, e) for s, e in self.across(text, len(text)) if e == len(text)]]
+        matrices, windows = [], []
+        for k, cut in enumerate(cuts):
+            low, high = min(s for s, _ in states[k]), min(len(text), cut + self.width)
+            window = text[low:high]
+            found = [self.reached(window, (s - low, e - low), min(cut, len(text)) - low) for s, e in states[k]]
+            # An exit is reached as a piece that ends at its end and begins before the cut.
+            matrices.append(np.array([[0.0 if s - low in f[e - low] and s - low < cut - low else -np.inf for s, e in states[k + 1]] for f in found]))
+            windows.append((low, found))
+        path = best_states(matrices)
         out = []
-        for cut in chunks(raw, AT_ONCE):
-            self.known = trimmed(self.known, REMEMBERED)
-            split = [self.parts(x.decode("utf-8", "replace")) for x in raw[cut]]
-            new = list(set().union(*split) - self.known.keys())
-            for part, ids in zip(new, self.model.encode([x[1:] for x in new], num_threads=1), strict=True):
-                self.known[part] = np.array(ids, "<u2").tobytes() if part != " " else self.space  # nothing but the space put first
-            out += [b"".join(map(self.known.__getitem__, x)) for x in split]
+        for k, (low, found) in enumerate(windows):
+            entry, (s, e) = states[k][path[k]], states[k + 1][path[k + 1]]
+            own, f = [], found[path[k]]
+            s, e = s - low, e - low
+            while e > entry[1] - low:
+                own.append(text[s + low : e + low])
+                s, e = f[e][s], s
+            out += own[::-1]
         return out
 
-    def decode(self, ids: bytes) -> bytes:
+    def learn(self, points: np.ndarray, starts: np.ndarray, stops: np.ndarray, keys: np.ndarray) -> None:
+        """Traces new segments and remembers their ids."""
+        size = stops - starts
+        long = size > LONG
+        spots = np.repeat(starts[~long] - np.cumsum(size[~long]) + size[~long], size[~long]) + np.arange(int(size[~long].sum()))
+        number, count = self.traced(points[spots], np.append(0, np.cumsum(size[~long])))
+        # Characters that are no piece are ids of their bytes; a segment of one is that character alone.
+        ids, counts = self.id_of[number], np.empty(len(starts), np.int64)
+        counts[~long] = count
+        parts, keep = [], number != self.none
+        if not keep.all():
+            chars = self.loose(points[spots], number)
+            parts = [self.of_byte[list(chr(c).encode("utf-8", "surrogatepass"))] for c in chars]
+            wide = np.ones(len(number), np.int64)
+            wide[~keep] = [len(x) for x in parts]
+            out = np.repeat(ids, wide)
+            first = np.cumsum(wide) - wide
+            for f, x in zip(first[~keep], parts, strict=True):
+                out[f : f + len(x)] = x
+            owner = np.repeat(np.arange(len(count)), count)
+            counts[~long] = np.bincount(owner, wide, len(count)).astype(np.int64)
+            ids = out
+        lists = [ids]
+        for k in np.flatnonzero(long):
+            text = "".join(map(chr, points[starts[k] : stops[k]]))
+            own = np.concatenate([self.id_of[[self.pairs.number[p]]] if p in self.pairs.number else self.of_byte[list(p.encode("utf-8", "surrogatepass"))] for p in self.scan(text)])
+            lists.append(own)
+            counts[k] = len(own)
+        order = np.append(np.flatnonzero(~long), np.flatnonzero(long))
+        begin = len(self.flat) + np.cumsum(counts[order]) - counts[order]
+        free = len(self.starts) - 1
+        self.flat = np.append(self.flat, np.concatenate(lists).astype(self.kind))
+        self.starts = np.append(self.starts, begin + counts[order])
+        self.known.add(keys[order], free + np.arange(len(order)))
+
+    def encode(self, raw: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (bytes), one after the other, and where they begin (and, last, how many there are)."""
+        texts = [(" " + x.decode("utf-8", "replace")).replace(" ", SPACE) if x else "" for x in raw.to_pylist()]
+        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        bounds = np.append(0, np.cumsum([len(t) for t in texts]))
+        if not len(points):
+            return np.zeros(0, self.kind), bounds
+        kinds = self.class_of[points]
+        cut = np.append(True, ~self.beside[kinds[:-1], kinds[1:]])
+        cut[bounds[:-1][bounds[:-1] < len(points)]] = True
+        starts = np.flatnonzero(cut)
+        stops = np.append(starts[1:], len(points))
+        keys, first, which = np.unique(Hashes(points).of(starts, stops), return_index=True, return_inverse=True)
+        if len(self.known.keys) > REMEMBERED:
+            self.forget()
+        new = np.flatnonzero(self.known.look_up(keys) < 0)
+        if len(new):
+            self.learn(points, starts[first[new]], stops[first[new]], keys[new])
+        self.pairs.settle(2 * REMEMBERED)
+        number = self.known.look_up(keys)
+        begin, size = self.starts[number], self.starts[number + 1] - self.starts[number]
+        n = size[which]
+        upto = np.cumsum(n)
+        ids = self.flat[np.repeat(begin[which] - upto + n, n) + np.arange(int(upto[-1]))]
+        return ids, np.append(0, upto)[np.searchsorted(starts, bounds)]
+
+    def spelled(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[memoryview, np.ndarray]:
+        """The bytes of ids, end to end, and where those of each text begin; a text begins with the space that the model puts first."""
+        if not len(ids):
+            return memoryview(b""), np.zeros(len(bounds), np.int64)
+        taken = self.bytes.take(pa.array(ids.astype(np.int64)))
+        _, ends, data = taken.buffers()
+        return memoryview(data or b""), np.frombuffer(ends, np.int64)[: len(ids) + 1][bounds]
+
+    def decode(self, ids: np.ndarray) -> bytes:
         """The text of ids; the space that the model put first is taken away."""
-        return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u2").tolist())).removeprefix(b" ")
+        back, at = self.spelled(ids, np.array([0, len(ids)]))
+        return bytes(back[at[0] : at[1]]).removeprefix(b" ")
+
+
+def best_states(matrices: list[np.ndarray]) -> list[int]:
+    """The states at the entry of each chunk and at the end of the best path; the first chunk has one entry."""
+    forward = [np.zeros(1)]
+    for m in matrices:
+        forward.append((forward[-1][:, None] + m).max(0))
+    states = [int(np.argmax(forward[-1]))]
+    for f, m in zip(reversed(forward[:-1]), reversed(matrices), strict=True):
+        states.append(int(np.argmax(f + m[:, states[-1]])))
+    return states[::-1]
 
 
 def encoded(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, ids (binary, little-endian 32 bits each), round_trip (decoding gives the text back) of every row, by a merge-based model."""
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = held(MergePieces, model)
         for x in batches:
-            raw = x["raw"].tolist()
-            ids = pieces.encode(raw)
-            yield pd.DataFrame({"id": x["id"], "n_tokens": [len(i) // 2 for i in ids], "ids": [np.frombuffer(i, "<u2").astype("<u4").tobytes() for i in ids], "round_trip": [pieces.decode(i) == t for i, t in zip(ids, raw, strict=True)]})
+            done = 0
+            for raw in pieces_of(x.column("raw"), AT_ONCE):
+                own, done = x.column("id").slice(done, len(raw)), done + len(raw)
+                ids, bounds = pieces.encode(raw)
+                back, at = pieces.spelled(ids, bounds)
+                same = [bytes(back[a + 1 : b]) == t if b > a else not t for a, b, t in zip(at.tolist(), at[1:].tolist(), raw.to_pylist(), strict=False)]
+                wide = ids.astype("<u4")
+                data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(raw), [None, pa.py_buffer((4 * bounds).astype(np.int64)), pa.py_buffer(wide)])
+                yield pa.RecordBatch.from_arrays([own, pa.array(np.diff(bounds).astype(np.int64)), data.cast(pa.binary()), pa.array(same, pa.bool_())], ["id", "n_tokens", "ids", "round_trip"])
+        released()
 
     rows = docs.select(F.col(id_col).alias("id"), raw_text(F.col(text_col)).alias("raw"))
-    return rows.mapInPandas(run, f"id {kind}, n_tokens long, ids binary, round_trip boolean").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, f"id {kind}, n_tokens long, ids binary, round_trip boolean").withColumnRenamed("id", id_col)
 
 
 class Lattice:
