@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tests.llm.conftest import TEXTS
-from trialforge.llm import packing, token_counts
+from trialforge.llm import packing, queries, token_counts
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 LIBRARY = Tokenizer.from_file(WORDS)
@@ -164,9 +164,22 @@ def test_schedule_keeps_proportions():
     assert np.abs(parts - 1000 * np.array(totals) / sum(totals)).max() <= 1
 
 
-def test_query_digests(spark, sf):
-    from trialforge.llm import queries
-
-    row = queries.op7_packing(spark, sf).orderBy("doc_id", "start").first()
-    ids = ids_of(spark.read.parquet(f"{sf}/documents.parquet").where(f"doc_id = {row['doc_id']}").first()["text"])
-    assert row["ids_crc32"] == zlib.crc32(np.array(ids[: row["length"]], "<u4").tobytes()) and row["doc_tokens"] == len(ids)
+def test_op7_query(spark, sf, small):
+    """Every piece of the query: its ids are those of its place in its document, and all is packed."""
+    texts = {r["doc_id"]: np.array(ids_of(r["text"]), "<u4") for r in small.collect()}
+    rows = queries.op7_packing(spark, sf).collect()
+    for r in rows:
+        part = texts[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert (r["ids_crc32"], r["doc_tokens"]) == (zlib.crc32(part.tobytes()), len(texts[r["doc_id"]]))
+    assert sorted(i for r in rows for i in [(r["doc_id"], r["start"] + k) for k in range(r["length"])]) == sorted((d, k) for d, t in texts.items() for k in range(len(t)))
+    at = {}
+    for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == at.get(r["sequence_id"], 0)
+        at[r["sequence_id"]] = r["offset"] + r["length"]
+    assert all(n == 4096 for s, n in at.items() if s < max(at))
+
+
+def test_op9_query(spark, sf, small):
+    texts = [(r["doc_id"], r["text"] or "") for r in small.collect()]
+    want = {i: (len(t.encode()), n, n > 1024) for (i, t), n in zip(texts, library_counts([t for _, t in texts]), strict=True)}
+    assert {r["doc_id"]: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in queries.op9_token_counts(spark, sf).collect()} == want

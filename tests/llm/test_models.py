@@ -128,6 +128,44 @@ def test_op1_base(spark, small, sf):
         assert r["base_score"] == pytest.approx(w[5], rel=1e-9) and r["score"] == pytest.approx(w[6], rel=1e-9)
 
 
+def test_op3_brute_force(spark, sf, small):
+    """The query against bundles added up trigram by trigram."""
+    docs = small.select("doc_id", "text", "lang").collect()
+    vectors = {}
+
+    def bundle(text):
+        letters, out = [0], np.zeros(language_id.DIMENSIONS)
+        for ch in text:
+            c = ord(ch.lower()[0]) if ch.isalpha() else 0
+            if c or letters[-1]:
+                letters.append(c)
+        if letters[-1]:
+            letters.append(0)
+        for t, n in collections.Counter(zip(letters, letters[1:], letters[2:], strict=False)).items():
+            if t not in vectors:
+                a, b, c = (language_id.letter_vectors(np.array([x]), 7)[0].astype(int) for x in t)
+                vectors[t] = np.roll(a, 2) * np.roll(b, 1) * c
+            out += n * vectors[t]
+        return out, any(letters)
+
+    own = {r["doc_id"]: bundle(r["text"] or "") for r in docs}
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    names = sorted({r["lang"] for r in docs if r["lang"] and r["text"] is not None and not held(r["doc_id"])})
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    sums = unit(np.array([sum(own[r["doc_id"]][0] for r in docs if r["lang"] == k and not held(r["doc_id"])) for k in names]))
+    prototypes = unit(sums - sums.mean(0))
+    rows = queries.op3_language_id(spark, sf).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        v, letters = own[r["doc_id"]]
+        assert r["held_out"] == held(r["doc_id"])
+        if not letters:
+            assert (r["lang_pred"], r["score"]) == ("und", 0)
+            continue
+        cosine = prototypes @ v / np.linalg.norm(v)
+        assert r["score"] == pytest.approx(max(0, cosine.max()), abs=1e-4) and cosine[names.index(r["lang_pred"])] >= cosine.max() - 1e-5
+
+
 def test_language_accuracy(spark, sf, small):
     got = queries.op3_language_id(spark, sf).join(small.select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert np.mean([r["lang"] == r["lang_pred"] for r in got]) >= 0.95 and all(0 <= r["score"] <= 1 for r in got)
