@@ -1,5 +1,7 @@
 """Stores, configuration and sinks."""
 
+from xml.etree import ElementTree
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,3 +102,25 @@ def test_sinks(spark, tmp_path):
     sinks.write_chrome(events, f"file://{tmp_path}/t")
     assert spark.read.json(f"file://{tmp_path}/t").select(F.sum("dur")).first()[0] == 2
     assert '"traceEvents"' in sinks.chrome_document(events)
+
+
+def test_pages(spark):
+    """Charts are well-formed, hold every row that can be drawn, and escape names."""
+    df = spark.createDataFrame([("a<b", 1.0, 2.0, True), ("c", 3.0, 1.0, False), ("d", 2.0, 4.0, True), ("e", None, 1.0, False)], "name string, x double, y double, best boolean")
+    text = sinks.scatter_page(df, "x", "y", "name", "T & U", "best")
+    root = ElementTree.fromstring(text[text.index("<svg") :])
+    tags = [e.tag.rsplit("}", 1)[1] for e in root.iter()]
+    assert tags.count("circle") == 3 and tags.count("polyline") == 1 and "a&lt;b" in text and "T &amp; U" in text
+    grid = spark.createDataFrame([("v1", 1.0, None), ("v2", 2.0, 3.0)], "variant_id string, t1 double, t2 double")
+    root = ElementTree.fromstring(sinks.heatmap_page(grid, "variant_id", "H").split("</title>")[1])
+    assert sum(e.tag.endswith("rect") for e in root.iter()) == 3
+    boxes = spark.createDataFrame([("v1", 1.0, 2.0, 2.5, 3.0, 4.0), ("v2", 1.0, 1.0, 1.0, 1.0, None)], "variant_id string, low double, q25 double, median double, q75 double, high double")
+    root = ElementTree.fromstring(sinks.boxplot_page(boxes, "variant_id", "B").split("</title>")[1])
+    assert sum(e.tag.endswith("rect") for e in root.iter()) == 1
+    for page in (sinks.scatter_page(df.limit(0), "x", "y", "name", "T"), sinks.heatmap_page(grid.limit(0), "variant_id", "H"), sinks.boxplot_page(boxes.limit(0), "variant_id", "B")):
+        ElementTree.fromstring(page.split("</title>")[1])
+
+
+def test_console_table(spark):
+    df = spark.createDataFrame([("a", 1.5, 10), ("long name", None, 2)], "name string, value double, n long")
+    assert sinks.console_table(df, "T") == "T\nname      | value |  n\n----------+-------+---\na         | 1.500 | 10\nlong name |       |  2\n"
