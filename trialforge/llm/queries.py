@@ -17,18 +17,30 @@ URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example
 
 
 def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of every whole text under the 32,000-piece model, and whether decoding gives the text back."""
+    """Ids of every whole text under the 32,000-piece model, and whether decoding gives the text back.
+
+    Null and empty texts have no ids; repeated rows get a row each; a null id stays null; an empty table gives no rows. A
+    text with the sign that the model puts for spaces does not come back as it was.
+    """
     out = sentence_pieces.encoded(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return out.select("doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), "round_trip")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of every whole text under the byte-level vocabulary."""
+    """Tokens of every whole text under the byte-level vocabulary.
+
+    Null counts as empty (0 bytes, 0 tokens); special strings inside texts are one token; repeated rows get a row each; an
+    empty table gives no rows.
+    """
     return count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups of equal texts over all documents."""
+    """Groups of equal texts over all documents.
+
+    Null counts as empty, so null and empty texts are one group; repeated rows are members each; an empty table gives no
+    rows.
+    """
     return exact_dedup.annotate(read(spark, sf_dir, "documents"))
 
 
@@ -39,31 +51,51 @@ ORACLE_SQL["op5_exact_dedup"] = """
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statistics and verdict of every document."""
+    """Statistics and verdict of every document.
+
+    Null and empty texts have no words and fail the base rule; without labels of both kinds the base rule alone decides;
+    repeated rows get a row each; an empty table gives no rows.
+    """
     out = quality.judged(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels"))
     return out.select("row.doc_id", "stats.n_words", "stats.word_chars", "stats.n_symbols", "stats.n_dup_lines", "stats.n_repeat_words", "stats.base_failed", "kept", F.col("stats.good").alias("quality_score"))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of 4096 tokens."""
+    """Pieces of all documents in sequences of 4096 tokens.
+
+    A null or empty text is its end id alone; null sources are one queue; repeated rows are packed each; an empty table
+    gives no rows.
+    """
     pieces = packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, length=4096)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source")
 
 
 def op4_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdict on every page's url."""
+    """Verdict on every page's url.
+
+    A null url, or one without "://", has an empty host and path and no rule; repeated rows get a row each; an empty table
+    gives no rows.
+    """
     return url_templates.judged(read(spark, sf_dir, "pages"), URL_RULES)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Language of every document, learned from three quarters of them."""
+    """Language of every document, learned from three quarters of them.
+
+    Null texts and texts without a letter are "und" with score 0, and so is all where nothing can be learned; null labels
+    are no training rows; repeated rows get a row each; an empty table gives no rows.
+    """
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = language_id.identified(docs, ~fold(F.col("doc_id"), 4, 2))
     return out.select("row.doc_id", fold(F.col("row.doc_id"), 4, 2).alias("held_out"), "told.*")
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page written to WARC archives, and every page's url looked up in the capture index and read back."""
+    """Every page written to WARC archives, and every page's url looked up in the capture index and read back.
+
+    Null payloads count as empty and null urls as the empty url; repeated rows are written and read each; an empty table
+    gives no rows.
+    """
     pages = read(spark, sf_dir, "pages")
     directory, folder = warc.archive(pages, min_bytes=0)
     kind = pages.schema["page_id"].dataType
@@ -83,12 +115,20 @@ ORACLE_SQL["op10_warc"] = """
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of near-duplicate documents."""
+    """Components of near-duplicate documents.
+
+    Null and empty texts have no shingles and are linked with nothing; texts under five words have one; repeated rows are
+    one component; rows with a null id link nothing; an empty table gives no rows.
+    """
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), percent=85)
 
 
 def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Score of every document under a suffix tree learned from six sevenths of them."""
+    """Score of every document under a suffix tree learned from six sevenths of them.
+
+    Null and empty texts are their end token alone; a null id is held out by the hash of the empty text; repeated rows
+    count and are answered each; an empty table gives no rows.
+    """
     return suffix_tree.scored(read(spark, sf_dir, "documents"), ~fold(F.col("doc_id"), 7, 2))
 
 
