@@ -85,10 +85,11 @@ def edited(rng, words, n):
     return " ".join(out)
 
 
-@pytest.mark.parametrize("least,part", [(256, 200_000), (7, 200_000), (7, 12)])
+@pytest.mark.parametrize("least,part", [(128, 200_000), (7, 200_000), (7, 12)])
 def test_near_groups(spark, monkeypatch, least, part):
     """Dense groups around and beyond the threshold, with members that only other members link; in one task, as a grid, and with buckets in parts."""
     monkeypatch.setattr(near_dedup, "MEET_LEAST", least)
+    monkeypatch.setattr(near_dedup, "PAIR_LEAST", 4 * least)
     monkeypatch.setattr(near_dedup, "MEET_MOST", max(least, 9))
     monkeypatch.setattr(near_dedup, "BUCKET_PART", part)
     rng = random.Random(5)

@@ -41,9 +41,9 @@ from trialforge.llm._common import as_text, mix64, pieces_of, raw_text, released
 WORDS, K, B, ROWS = 5, 128, 2, 4
 BANDS = K // ROWS
 SLACK = 6.0
-AT_ONCE, MEET_LEAST, MEET_MOST, STAR_CHUNK, MEETINGS = 4_000_000, 256, 20_000, 20_000, 4_000_000
-#: Members of a bucket that one task takes (44 bytes each).
-BUCKET_PART = 200_000
+AT_ONCE, MEET_LEAST, MEET_MOST, STAR_CHUNK, MEETINGS = 4_000_000, 128, 20_000, 20_000, 4_000_000
+#: Members of a bucket that one task takes (44 bytes each), and the least rows of a side where only signatures meet.
+BUCKET_PART, PAIR_LEAST = 200_000, 512
 PACKED = K * B // 8
 _CELLS = mix64(np.arange(1, 2 * K + 1, dtype=np.uint64))
 MULTIPLY = (_CELLS[:K] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -209,7 +209,7 @@ def close(sig: np.ndarray, size: int, sigs: np.ndarray, sizes: np.ndarray, thres
     return (estimate(sig, sigs) >= floor_of(threshold)) & (np.minimum(sizes, size) >= threshold * np.maximum(sizes, size) - 1e-9)
 
 
-def of_bytes(column: pd.Series) -> np.ndarray:
+def of_bytes(column) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint8).reshape(-1, PACKED)
 
 
@@ -264,12 +264,12 @@ def buckets_of(nodes: DataFrame, threshold: float) -> DataFrame:
     return small.unionByName(judged.where("near").select("key", "node", "n", "sig", "centre", F.lit(True).alias("first"))).unionByName(rest)
 
 
-def grid(rows: DataFrame, key: str) -> DataFrame:
+def grid(rows: DataFrame, key: str, least: int) -> DataFrame:
     """rows with role (0: the rows `outside`, 1: all), block and slice: within a key every query meets every row in one
-    group. Groups have about as many rows of each role as a 64th of the key's, MEET_LEAST at least and MEET_MOST at most,
-    so that a row is copied 64 times at most up to 64 * MEET_MOST members."""
+    group. Groups have about as many rows of each role as a 64th of the key's, `least` at least and MEET_MOST at most, so
+    that a row is copied 64 times at most up to 64 * MEET_MOST members."""
     sizes = rows.groupBy(key).agg(F.sum(F.col("outside").cast("long")).alias("queries"), F.count("*").alias("members")).where("queries > 0 and members > 1")
-    side = F.least(F.lit(MEET_MOST), F.greatest(F.lit(MEET_LEAST), F.ceil(F.col("members") / 64)))
+    side = F.least(F.lit(MEET_MOST), F.greatest(F.lit(least), F.ceil(F.col("members") / 64)))
     sizes = stored(sizes.select(key, F.ceil(F.col("queries") / side).alias("blocks"), F.ceil(F.col("members") / side).alias("slices")), "sides")
     sized = stored(rows.join(sizes, key), "sized", large_rows=True)
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
@@ -279,21 +279,24 @@ def grid(rows: DataFrame, key: str) -> DataFrame:
     return queries.union(targets).repartition(key, "block", "slice").sortWithinPartitions(key, "block", "slice", "role", "node")
 
 
-def meetings(batches: Iterator[pd.DataFrame], key: str) -> Iterator[tuple[pd.DataFrame, pd.DataFrame]]:
-    """Queries and targets (up to STAR_CHUNK at a time) of each group of a grid."""
-    at, queries = None, []
+def meetings(batches: Iterator[pd.DataFrame], key: str) -> Iterator[tuple[dict[str, np.ndarray], dict[str, np.ndarray]]]:
+    """Queries and targets (up to STAR_CHUNK at a time) of each group of a grid, by column. Rows come sorted by group and role."""
+    at, queries = None, {}
     for x in batches:
-        for group, part in x.groupby([key, "block", "slice"], sort=True):
-            if group != at:
-                at, queries = group, []
-            asks = part[part["role"] == 0]
-            if len(asks):
-                queries.append(asks)
-            rest = part[part["role"] == 1]
-            if queries and len(rest):
-                whole = pd.concat(queries) if len(queries) > 1 else queries[0]
-                for a in range(0, len(rest), STAR_CHUNK):
-                    yield whole, rest.iloc[a : a + STAR_CHUNK]
+        columns = {c: x[c].to_numpy() for c in x.columns}
+        group = np.stack([columns[c] for c in (key, "block", "slice")], 1)
+        edges = np.flatnonzero(np.append(True, (group[1:] != group[:-1]).any(1))) if len(x) else np.zeros(0, np.int64)
+        split = np.append(0, np.cumsum(columns["role"]))
+        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(x)], strict=True):
+            middle = b - int(split[b] - split[a])  # queries stand first
+            asks = {c: v[a:middle] for c, v in columns.items()}
+            if at is not None and (group[a] == at).all():
+                queries = {c: np.concatenate([queries[c], v]) for c, v in asks.items()} if middle > a else queries
+            else:
+                at, queries = group[a], asks
+            if len(queries["role"]):
+                for k in range(middle, b, STAR_CHUNK):
+                    yield queries, {c: v[k : min(b, k + STAR_CHUNK)] for c, v in columns.items()}
 
 
 def star_links(stars: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -324,28 +327,28 @@ def star_links(stars: DataFrame, labels: DataFrame, sets: DataFrame, percent: in
         for queries, targets in meetings(batches, "centre"):
             yield met(queries, targets, percent)
 
-    return grid(stored(small, "differences", large_rows=True), "centre").mapInPandas(meet, "a long, b long").distinct()
+    return grid(stored(small, "differences", large_rows=True), "centre", MEET_LEAST).mapInPandas(meet, "a long, b long").distinct()
 
 
-def met(queries: pd.DataFrame, targets: pd.DataFrame, percent: int) -> pd.DataFrame:
+def met(queries: dict[str, np.ndarray], targets: dict[str, np.ndarray], percent: int) -> pd.DataFrame:
     """Links of queries with targets in other components, one for each query and component, from differences with a common centre."""
-    sizes = [queries["differ"].str.len().to_numpy() // 8, targets["differ"].str.len().to_numpy() // 8]
+    sizes = [np.fromiter(map(len, x["differ"]), np.int64, len(x["differ"])) // 8 for x in (queries, targets)]
     flat = [np.frombuffer(b"".join(x["differ"]), np.uint64) for x in (queries, targets)]
     owner = [np.repeat(np.arange(len(s)), s) for s in sizes]
     order = np.argsort(flat[0], kind="stable")
     index, whose = flat[0][order], owner[0][order]
     low, high = np.searchsorted(index, flat[1], "left"), np.searchsorted(index, flat[1], "right")
     n, out, begin = high - low, [], 0
-    comp, node, size = ([x[c].to_numpy() for x in (queries, targets)] for c in ("comp", "node", "n"))
+    comp, node, size = ([x[c] for x in (queries, targets)] for c in ("comp", "node", "n"))
     last = np.flatnonzero(np.append(owner[1][1:] != owner[1][:-1], True)) + 1 if len(owner[1]) else np.zeros(0, np.int64)
     share = np.cumsum(n)[last - 1] // MEETINGS  # whole targets, about MEETINGS shared elements at a time
     stops = last[np.append(share[1:] != share[:-1], True)] if len(last) else last
     for e in stops:
         m = n[begin:e]
         spot = np.repeat(low[begin:e] - (np.cumsum(m) - m), m) + np.arange(m.sum())
-        pair = np.repeat(owner[1][begin:e], m) * len(queries) + whose[spot]
+        pair = np.repeat(owner[1][begin:e], m) * len(sizes[0]) + whose[spot]
         pairs, shared = np.unique(pair, return_counts=True)
-        t, q = pairs // len(queries), pairs % len(queries)
+        t, q = pairs // len(sizes[0]), pairs % len(sizes[0])
         apart = sizes[0][q] + sizes[1][t] - 2 * shared
         total = size[0][q] + size[1][t]
         good = (comp[0][q] != comp[1][t]) & (100 * (total - apart) >= percent * (total + apart))
@@ -359,22 +362,26 @@ def cross_pairs(buckets: DataFrame, labels: DataFrame, threshold: float, low: fl
     """a, b: pairs of one bucket with an estimate in [low, high), of different components and different stars, so not with the bucket's first centre."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out: list[tuple[int, int]] = []
         for queries, targets in meetings(batches, "key"):
-            out, sigs = [], of_bytes(targets["sig"])
-            node, n, comp, centre, inside = (targets[c].to_numpy() for c in ("node", "n", "comp", "centre", "outside"))
+            sigs = of_bytes(targets["sig"])
+            node, n, comp, centre, inside = (targets[c] for c in ("node", "n", "comp", "centre", "outside"))
             for own, size, part, c, sig in zip(queries["node"], queries["n"], queries["comp"], queries["centre"], queries["sig"], strict=True):
                 # Of two queries, the one with the larger number asks.
                 fits = (comp != part) & (centre != c) & (~inside | (node < own)) & (np.minimum(n, size) >= threshold * np.maximum(n, size) - 1e-9)
-                spots = np.flatnonzero(fits)
-                e = estimate(np.frombuffer(sig, np.uint8), sigs[spots])
-                out += [(min(own, node[m]), max(own, node[m])) for m in spots[(e >= low) & (e < high)]]
-            yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+                if len(spots := np.flatnonzero(fits)):
+                    e = estimate(np.frombuffer(sig, np.uint8), sigs[spots])
+                    out += [(min(own, node[m]), max(own, node[m])) for m in spots[(e >= low) & (e < high)]]
+            if len(out) > STAR_CHUNK:
+                yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+                out = []
+        yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     rows = buckets.join(labels, "node", "left").select("key", "node", "n", "sig", "centre", F.coalesce("comp", "node").alias("comp"), (F.col("first") & (F.col("node") == F.col("centre"))).alias("first"))
     # The main component of a bucket is its first centre's; without one, the smallest.
     mixed = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min(F.when(F.col("first"), F.col("comp"))).alias("main")).where("x <> y").select("key", F.coalesce("main", "x").alias("main"))
     dealt = rows.drop("first").join(stored(mixed, "mixed"), "key").withColumn("outside", F.col("comp") != F.col("main")).drop("main")
-    return grid(stored(dealt, "mixed_rows"), "key").mapInPandas(run, "a long, b long").distinct()
+    return grid(stored(dealt, "mixed_rows"), "key", PAIR_LEAST).mapInPandas(run, "a long, b long").distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
