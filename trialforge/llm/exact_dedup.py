@@ -89,7 +89,7 @@ def merged(filters: Iterator[CountingQuotientFilter]) -> CountingQuotientFilter:
     """The filter of the multiset union: entries of all filters in order, counts of equal ones added."""
     held = [x.entries() for x in filters]
     keys, counts = (np.concatenate([x[k] for x in held]) if held else np.zeros(0, t) for k, t in ((0, np.uint64), (1, np.int64)))
-    order = np.argsort(keys, kind="stable")  # sorted runs, one after another
+    order = np.argsort(keys, kind="stable")  # for these a timsort: it finds the sorted runs, one of each filter, and merges them
     keys, counts = keys[order], counts[order]
     if len(keys):
         first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
