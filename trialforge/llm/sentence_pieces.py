@@ -33,7 +33,7 @@ from trialforge.llm._common import held, mix64, pieces_of, raw_text, released, s
 
 SPACE = "▁"
 #: Segments remembered by a worker, bytes of text at once, characters of a chunk, and of a segment that is cut.
-REMEMBERED, AT_ONCE, CHUNK, LONG = 1_000_000, 4_000_000, 65_536, 64
+REMEMBERED, AT_ONCE, CHUNK, LONG = 1_000_000, 2_000_000, 65_536, 64
 BASE = 0x9E3779B97F4A7C15
 UNIT_ = pow(BASE, -1, 1 << 64)
 
