@@ -19,19 +19,37 @@ LIBRARY = Tokenizer.from_file(WORDS)
 ODD = ["", " ", "  ", " a", "a ", "a  b   c", "\n\n a\n\nb  ", "a \n b\t c", "aaaaaaa" * 50, "don't 12ab34 ½ Ⅷ", "x<|endoftext|> y  <|endoftext|>", "\x00\x1f\x1d a\x85b", "é́\U0001f600 ́", "  中文 の", "ab" * 700 + "aaa" * 77]
 
 
+BYTE_LIBRARY = Tokenizer.from_file(BYTES)
+
+
 def library_counts(texts):
-    return [len(x.ids) for x in Tokenizer.from_file(BYTES).encode_batch(texts, add_special_tokens=False)]
+    return [len(x.ids) for x in BYTE_LIBRARY.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_counter_equals_library(small):
     texts = ODD + [r["text"] or "" for r in small.select("text").collect()]
-    assert token_counts.Counter(BYTES)([t.encode() for t in texts]) == library_counts(texts)
+    assert counted(token_counts.Counter(BYTES), texts) == library_counts(texts)
+
+
+def counted(counter, texts):
+    return counter(pa.array([t.encode() for t in texts], pa.binary())).tolist()
+
+
+COUNTER = token_counts.Counter(BYTES)
+SPACED = [*"aZ'stredm019 .,<|>\n\t\x0b\x1c\x85\xa0é\u0301中の\u2003\u3000\U0001f600½", "  ", " \n", "\n ", "<|endoftext|>", " the"]
+
+
+@given(st.lists(st.lists(st.sampled_from(SPACED), max_size=30).map("".join), max_size=8))
+@settings(max_examples=150, deadline=None)
+def test_counter_on_odd_texts(texts):
+    assert counted(COUNTER, texts) == library_counts(texts)
 
 
 def test_counter_forgets(monkeypatch):
     monkeypatch.setattr(token_counts, "REMEMBERED", 2)
     monkeypatch.setattr(token_counts, "AT_ONCE", 5)
-    assert token_counts.Counter(BYTES)([t.encode() for t in ODD]) == library_counts(ODD)
+    counter = token_counts.Counter(BYTES)
+    assert counted(counter, ODD + ODD) == library_counts(ODD) * 2
 
 
 def test_count_tokens_edges(edge, none):

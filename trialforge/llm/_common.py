@@ -6,7 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
-from itertools import islice
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -33,27 +33,47 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/trialforge/{name}-{uuid.uuid4().hex}"
 
 
-#: Rows of an Arrow batch at most, where rows are large.
-FEW_ROWS = 500
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows, and bytes, of an Arrow batch at most, where rows are large.
+FEW_ROWS, FEW_BYTES = 64, 16 << 20
+BATCH, BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def stored(df: DataFrame, name: str, large_rows: bool = False) -> DataFrame:
-    """The frame, written once in the shared folder and read back: later steps do not depend on the executors that made it."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    usual = spark.conf.get(BATCH)
+#: Whether Spark deletes a query's shuffle files when it has ended.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def settings(spark: SparkSession, **wanted) -> Iterator[None]:
+    """Settings of the session for as long as it takes to write a table."""
+    usual = {k: spark.conf.get(k, None) for k in wanted}
     try:
-        if large_rows:
-            spark.conf.set(BATCH, FEW_ROWS)
-        df.write.option("compression", "zstd").parquet(path)
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
     finally:
-        spark.conf.set(BATCH, usual)
-    return spark.read.schema(df.schema).parquet(path)
+        for k, v in usual.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def stored(df: DataFrame, name: str, large_rows: bool = False) -> DataFrame:
+    """The frame, written once in the shared folder and read back: later steps do not depend on the executors that made
+    it, nor on the shuffle files that led to it, which are deleted at once."""
+    return stored_at(df, name, large_rows)[0]
 
 
-def trimmed(memory: dict, bound: int) -> dict:
-    """memory, or its older half if it is over the bound: what is frequent came in early."""
-    return memory if len(memory) <= bound else dict(islice(memory.items(), bound // 2))
+def dropped(spark: SparkSession, *paths: str) -> None:
+    """Deletes tables that no later step reads."""
+    for x in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stored_at(df: DataFrame, name: str, large_rows: bool = False) -> tuple[DataFrame, str]:
+    """The same, and where it is."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    with settings(spark, **{CLEAN: "true"} | ({BATCH: str(FEW_ROWS), BYTES: f"{FEW_BYTES}b"} if large_rows else {})):
+        df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 _held: dict = {}
@@ -68,6 +88,11 @@ def held(kind: type, *arguments):
     return _held[key]
 
 
+def unheld() -> None:
+    """Lets go of what held() keeps, in a worker whose task needs none of it."""
+    _held.clear()
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -94,11 +119,6 @@ def chunks(values: list[bytes], limit: int) -> Iterator[slice]:
         yield slice(start, len(values))
 
 
-def spread(df: DataFrame, *keys: str, n: int | None = None) -> DataFrame:
-    """Rows dealt out by keys over n partitions, or as many as the session asks for."""
-    return df.repartition(n, *keys) if n else df.repartition(*keys)
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit multiplicative hash: every input bit reaches every output bit."""
     x = x.astype(np.uint64, copy=True)

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialforge.llm._common import chunks, mix64, raw_text, released
+from trialforge.llm._common import chunks, mix64, raw_text, released, unheld
 
 DIMENSIONS = 1024
 AT_ONCE = 2_000_000
@@ -94,6 +94,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", seed:
     """Languages and their prototypes (unit rows) from all rows of docs."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unheld()
         for x in batches:
             raw, lang = x["raw"].tolist(), x["lang"].to_numpy()
             for part in parts_of(raw):

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialforge.llm._common import as_text, mix64, pieces_of, raw_text, released, stored, words_in
+from trialforge.llm._common import as_text, mix64, pieces_of, raw_text, released, stored, unheld, words_in
 
 WORDS, K, B, ROWS = 5, 128, 2, 4
 BANDS = K // ROWS
@@ -119,6 +119,7 @@ def profiles(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unheld()
         for x in batches:
             done = 0
             for raw in pieces_of(x.column("raw"), AT_ONCE):
@@ -236,6 +237,7 @@ def buckets_of(nodes: DataFrame, threshold: float) -> DataFrame:
                     out.append((keys[a], own, n[a + k], sigs[k].tobytes(), centre, first))
             if out:
                 yield pd.DataFrame(out, columns=["key", "node", "n", "sig", "centre", "first"])
+        released()
 
     rows = nodes.select(F.explode("bands").alias("key"), "node", "n", "sig")
     giant = stored(rows.groupBy("key").agg(F.count("*").alias("members")).where(F.col("members") > BUCKET_PART).select("key", F.ceil(F.col("members") / BUCKET_PART).alias("parts")), "giant")
@@ -396,6 +398,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 same = int((both[1:] == both[:-1]).sum())
                 good.append(100 * same >= percent * (len(u) + len(v) - same))
             yield x.loc[good, ["a", "b"]]
+        released()
 
     left, right = sets.select(F.col("node").alias("a"), F.col("set").alias("p")), sets.select(F.col("node").alias("b"), F.col("set").alias("q"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "p", "q").mapInPandas(run, "a long, b long")

@@ -281,7 +281,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, length: int = 4096,
     """
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
     queue = F.coalesce(F.concat(F.lit("="), F.col(queue_col).cast("string")), F.lit(""))
-    blocks = stored(encoded(docs, vocabulary, end_id, id_col, text_col, queue), "encoded", large_rows=True)
+    blocks = stored(encoded(docs, vocabulary, end_id, id_col, text_col, queue), "encoded")
     names = blocks.groupBy("queue").agg(F.sum("n").alias("n"))
     if names.limit(max_queues + 1).count() > max_queues:
         wanted = [f"={t}" if t is not None else "" for t in targets or {}]
@@ -293,7 +293,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, length: int = 4096,
         sums = blocks.groupBy("part", "lane", "queue").agg(F.sum("n").alias("n"))
         inner = F.sum("n").over(Window.partitionBy("part", "lane").orderBy("queue")) - F.col("n")
         shift = sums.select("part", "queue", inner.alias("inner"))
-        blocks = stored(blocks.join(shift, ["part", "queue"]).select("part", "id", "queue", "lane", (F.col("start") + F.col("inner")).alias("start"), "n", "ids"), "lanes", large_rows=True)
+        blocks = stored(blocks.join(shift, ["part", "queue"]).select("part", "id", "queue", "lane", (F.col("start") + F.col("inner")).alias("start"), "n", "ids"), "lanes")
     else:
         blocks = blocks.withColumn("lane", F.col("queue"))
     sums = blocks.groupBy("lane", "part").agg(F.sum("n").alias("n"))

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialforge.llm._common import as_text, chunks, mix64, raw_text, released, words_in
+from trialforge.llm._common import as_text, chunks, mix64, raw_text, released, unheld, words_in
 
 WINDOW = 8
 AT_ONCE = 4_000_000
@@ -168,6 +168,7 @@ def measured(score: Trees | None = None, features: bool = False):
     """A column function from texts as bytes to a struct of their statistics, base_failed, the model's probability `good` (null without a model) and, if asked for, the features."""
     @F.pandas_udf(", ".join(f"{c} long" for c in BASE) + ", base_failed boolean, good double" + ", features array<double>" * features)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        unheld()
         for x in batches:
             s = statistics(x.tolist())
             f = s[list(FEATURES)].to_numpy(np.float64)

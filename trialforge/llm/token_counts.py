@@ -17,20 +17,21 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialforge.llm._common import chunks, held, raw_text, trimmed
+from trialforge.llm._common import as_text, chunks, held, pieces_of, raw_text, released
 
 #: The white space and the splitting pattern that the vocabulary's library uses.
 SPACE = r"\t-\r \x85\xa0  -     　"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
 NONE = np.int64(1 << 40)
-#: Pre-tokens remembered by a worker, and bytes of text handled at once.
-REMEMBERED, AT_ONCE = 600_000, 8_000_000
+#: Pieces remembered by a worker (about 30 bytes each), and bytes of text handled at once.
+REMEMBERED, AT_ONCE = 800_000, 6_000_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -103,54 +104,94 @@ def merged_lengths(table: MergeTable, tokens: list[bytes]) -> np.ndarray:
 class Counter:
     """Counts of whole texts.
 
-    A text falls apart at its single spaces, each space going with what follows, and the pieces are counted apart and
-    remembered, up to a bound. That is exact unless a space stands between two white characters (or one and the end):
-    there the pattern looks across pieces, and the text is matched as a whole.
+    A text falls apart at its single spaces, each space going with what follows, and the distinct pieces are counted apart
+    and remembered, those used most if there are too many. That is exact unless a space stands between two white
+    characters (or one and the end): there the pattern looks across pieces, and the text is matched as a whole. So is one
+    with a special string.
     """
 
     def __init__(self, path: str, pattern: str = PATTERN):
-        self.table, self.pattern, self.known = MergeTable(path), regex.compile(pattern), {}
+        self.table, self.pattern = MergeTable(path), regex.compile(pattern)
         self.special = re.compile("|".join(map(re.escape, self.table.specials))) if self.table.specials else None
-        self.across = re.compile(rf"(?<=[{SPACE}]) (?:[{SPACE}]|\Z)")
+        self.across = rf"[{SPACE}] (?:[{SPACE}]|\z)"
+        self.known, self.sizes, self.uses = pa.array([], pa.large_string()), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def learn(self, parts: set[str]) -> None:
-        new = list(parts - self.known.keys())
-        found = [self.pattern.findall(x) for x in new]
+    def measured(self, pieces: list[str]) -> np.ndarray:
+        """The tokens of each piece, all merged together."""
+        found = [self.pattern.findall(x) for x in pieces]
         tokens = list(set().union(*found))
         size = dict(zip(tokens, merged_lengths(self.table, [x.encode("utf-8", "surrogatepass") for x in tokens]).tolist(), strict=True)) if tokens else {}
-        self.known.update(zip(new, (sum(map(size.__getitem__, x)) for x in found), strict=True))
-
-    def __call__(self, raw: list[bytes]) -> list[int]:
-        counts = [0] * len(raw)
-        for part in chunks(raw, AT_ONCE):
-            self.known = trimmed(self.known, REMEMBERED)
-            found: list[tuple[int, list[str]]] = []
-            for i in range(part.start, part.stop):
-                text = raw[i].decode("utf-8", "replace")
-                pieces = self.special.split(text) if self.special else [text]
-                counts[i] = len(pieces) - 1
-                for x in pieces:
-                    if self.across.search(x):
-                        found.append((i, self.pattern.findall(x)))
-                    else:
-                        first, *rest = x.split(" ")
-                        found.append((i, [first, *[" " + y for y in rest]]))
-            self.learn(set().union(*(x for _, x in found)))
-            for i, pieces in found:
-                counts[i] += sum(map(self.known.__getitem__, pieces))
-        return counts
+        return np.fromiter((sum(map(size.__getitem__, x)) for x in found), np.int64, len(found))
+
+    def sizes_of(self, pieces: pa.Array) -> np.ndarray:
+        """The tokens of distinct pieces, those that are not known measured and remembered."""
+        at = pc.index_in(pieces, self.known)
+        new = np.flatnonzero(at.is_null().to_numpy(zero_copy_only=False))
+        at = at.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        if len(new):
+            some = pieces.take(pa.array(new))
+            at[new] = len(self.known) + np.arange(len(new))
+            self.sizes = np.append(self.sizes, self.measured(some.to_pylist()))
+            self.known, self.uses = pa.concat_arrays([self.known, some]), np.append(self.uses, np.zeros(len(new), np.int64))
+        self.uses[at] += 1
+        return self.sizes[at]
+
+    def trim(self) -> None:
+        if len(self.known) > REMEMBERED:
+            keep = np.sort(np.argsort(-self.uses, kind="stable")[: REMEMBERED // 2])
+            self.known, self.sizes, self.uses = self.known.take(pa.array(keep)), self.sizes[keep], self.uses[keep] // 2
+
+    def in_pieces(self, text: pa.Array) -> np.ndarray:
+        """Counts of texts that fall apart at each space."""
+        split = pc.split_pattern(text, " ")
+        starts, values = split.offsets.to_numpy().astype(np.int64), split.values
+        first = np.zeros(len(values), bool)
+        first[starts[:-1]] = True
+        out = np.zeros(len(values), np.int64)
+        for mask, space in ((first, ""), (~first, " ")):
+            coded = values.filter(pa.array(mask)).dictionary_encode()
+            pieces = pc.binary_join_element_wise(pa.scalar(space, pa.large_string()), coded.dictionary, pa.scalar("", pa.large_string()))
+            out[mask] = self.sizes_of(pieces)[coded.indices.to_numpy()] if len(coded) else 0
+        return np.diff(np.append(0, np.cumsum(out))[starts])
+
+    def whole(self, texts: list[str]) -> list[int]:
+        """Counts of texts, each matched as a whole between its special strings."""
+        parts = [self.special.split(x) if self.special else [x] for x in texts]
+        sizes = iter(self.measured([y for x in parts for y in x]).tolist())
+        return [len(x) - 1 + sum(next(sizes) for _ in x) for x in parts]
+
+    def __call__(self, raw: pa.Array) -> np.ndarray:
+        """The tokens of each text (bytes)."""
+        out = []
+        for part in pieces_of(raw, AT_ONCE):
+            self.trim()
+            try:
+                text = as_text(part.cast(pa.large_string()))
+            except pa.ArrowInvalid:
+                text = pa.array([x.decode("utf-8", "replace") for x in part.to_pylist()], pa.large_string())
+            slow = pc.match_substring_regex(text, self.across).to_numpy(zero_copy_only=False).copy()
+            for x in self.table.specials:
+                slow |= pc.match_substring(text, x).to_numpy(zero_copy_only=False)
+            counts = np.zeros(len(text), np.int64)
+            if not slow.all():
+                counts[~slow] = self.in_pieces(text.filter(pa.array(~slow)))
+            odd = text.filter(pa.array(slow)).to_pylist()
+            counts[slow] = [n for k in chunks(odd, AT_ONCE) for n in self.whole(odd[k])]
+            out.append(counts)
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 def count_tokens(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024) -> DataFrame:
     """One row per row of df: id, n_bytes, n_tokens, over_limit. `vocabulary` is the path of a byte-level BPE file on every executor."""
     kind = df.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = held(Counter, vocabulary)
         for x in batches:
-            raw = x["raw"].tolist()
-            yield pd.DataFrame({"id": x["id"], "n_bytes": [len(t) for t in raw], "n_tokens": counter(raw)})
+            raw = x.column("raw")
+            yield pa.RecordBatch.from_arrays([x.column("id"), pc.binary_length(raw).cast(pa.int64()), pa.array(counter(raw))], ["id", "n_bytes", "n_tokens"])
+        released()
 
     rows = df.select(F.col(id_col).alias("id"), raw_text(F.col(text_col)).alias("raw"))
-    counted = rows.mapInPandas(run, f"id {kind}, n_bytes long, n_tokens long")
+    counted = rows.mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long")
     return counted.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
