@@ -17,7 +17,7 @@ def tokens(t):
     return (t or "").encode().lower().split() + [b"\n"]
 
 
-def brute_scores(rows, least=4, gain=2.0):
+def brute_scores(rows, least=4, deep=32, gain=2.0):
     """The suffix tree by dictionaries, contexts of any length. rows: id, text, train. Also the length of the longest state."""
     texts = [(tokens(t), train) for _, t, train in rows]
     count = collections.defaultdict(collections.Counter)
@@ -34,24 +34,25 @@ def brute_scores(rows, least=4, gain=2.0):
     space = total + distinct + 1
     mix = lambda c, x, s, below, one: (max(x - one, 0) + s * c * below) / max(c - one + s * c, 1e-12)
     around = lambda w, k, d: (count[d][tuple(w[k - d : k])], count[d + 1][tuple(w[k - d : k + 1])])
+    open_ = lambda w, k, d: around(w, k, d)[1] < around(w, k, d)[0]  # noqa: E731  (the context is followed by other words too)
     states = {}
 
     def settle(sums):
-        found = {s: suffix_tree.STRENGTHS[int(g.argmax())] for s, g in sums.items() if g.max() > gain * 2**20}
+        found = {s: suffix_tree.STRENGTHS[int(g.argmax())] for s, g in sums.items() if g.max() > gain * suffix_tree.SCALE}
         states.update(found)
         return found
 
     def gained(sums, w, k, d, below):
         c, x = around(w, k, d)
-        sums[tuple(w[k - d : k])] += np.rint(2**20 * (np.log([mix(c, x, s, below, 1) for s in suffix_tree.STRENGTHS]) - np.log(below)))
-        return mix(c, x, 1.0, below, 1)
+        sums[tuple(w[k - d : k])] += np.rint(suffix_tree.SCALE * (np.log([mix(c, x, s, below, 1) for s in suffix_tree.STRENGTHS]) - np.log(below)))
+        return mix(c, x, suffix_tree.STRENGTHS[1], below, 1)
 
     sums = collections.defaultdict(lambda: np.zeros(3))
     for w, train in texts:
         for k in range(len(w)) if train else ():
             below = max(count[1][(w[k],)], 1) / max(1, space - 1)
             for d in (1, 2):
-                if k >= d and count[d][tuple(w[k - d : k])] >= least:
+                if k >= d and count[d][tuple(w[k - d : k])] >= least and (d == 1 or open_(w, k, 1)):
                     below = gained(sums, w, k, d, below)
     new, d = settle(sums), 2
     while any(len(s) == d for s in new):
@@ -60,7 +61,7 @@ def brute_scores(rows, least=4, gain=2.0):
         sums = collections.defaultdict(lambda: np.zeros(3))
         for w, train in texts:
             for k in range(d, len(w)) if train else ():
-                if count[d][tuple(w[k - d : k])] < least or tuple(w[k - d + 1 : k]) not in states:
+                if count[d][tuple(w[k - d : k])] < deep or tuple(w[k - d + 1 : k]) not in states or not open_(w, k, d - 1):
                     continue
                 below = max(count[1][(w[k],)], 1) / max(1, space - 1)
                 for e in range(1, d):
@@ -95,11 +96,15 @@ def test_suffix_tree_brute_force(spark):
         for _ in range(rng.randrange(0, 120)):
             w.append(rng.choice(follow.get(w[-1], ["a1"])) if rng.random() < 0.8 else f"b{rng.randrange(500)}")
         rows.append((i, " ".join(w), zlib.crc32(str(i).encode()) % 7 != 2))
-    passage = " ".join(f"p{k}" for k in range(12))
-    rows += [(100 + i, f"x{i} {passage} y{i}", True) for i in range(500)]
+    likely = [rng.choice([0.05, 0.95]) for _ in range(16)]  # of "u", after each four words
+    for i in range(60):
+        w = [rng.choice("uv") for _ in range(4)]
+        for _ in range(100):
+            w.append("u" if rng.random() < likely[sum((x == "u") << k for k, x in enumerate(w[-4:]))] else "v")
+        rows.append((100 + i, " ".join(w), i % 9 > 0))
     df = spark.createDataFrame(rows, "doc_id long, text string, train boolean")
     got = sorted(tuple(r) for r in suffix_tree.scored(df.repartition(7), F.col("train")).collect())
-    assert got == sorted(tuple(r) for r in suffix_tree.scored(df.coalesce(1), F.col("train")).collect())
+    assert got == sorted(tuple(r) for r in suffix_tree.scored(df.coalesce(1), F.col("train"), window=2).collect())
     want, depth = brute_scores(rows)
     want.sort()
     assert depth >= 4  # contexts grow beyond three words where that helps

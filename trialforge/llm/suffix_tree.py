@@ -1,11 +1,11 @@
 """LM scoring by a probabilistic suffix tree over words.
 
 Contexts are the last words of a text, as many as the test asks for. A context becomes a state if it occurs `least`
-times or more and a divergence test retains it: the gain in log-likelihood over its parent, summed over all its training
+times or more (`deep` times from three words on) and a divergence test retains it: the gain in log-likelihood over its parent, summed over all its training
 occurrences, each with itself left out, is above `gain` for one of three smoothing strengths; the best strength stays
-with the state. Contexts of one and two words are all tested; a longer one is tested where its parent is a state, and
-contexts grow by a word until no state is left to extend. There is no largest depth: what a longer context can add
-shrinks with every word, so the growth ends by itself. A text is scored by the longest state that is a suffix of what
+with the state. A context is tested where its parent does not tell the next word alone already, that is, where the
+parent is not always followed by one word, and, from three words on, where the parent is a state: contexts grow by a word
+until there is none left to extend. There is no largest depth. A text is scored by the longest state that is a suffix of what
 came before each token; a state's distribution is smoothed with that of the next shorter state, down to the root, whose
 unigrams are smoothed by adding one (with one share for all unknown words). Each distribution sums to one over the known
 tokens and the unknown one.
@@ -14,9 +14,9 @@ The model is never gathered in one place. Texts are encoded into blocks, kept in
 are not shuffled again. A block asks once for the n-grams it has, by sorted 64-bit hashes dealt into ranges; each range
 adds up the training counts of all blocks and answers each block in the order it asked. Exchanges of this kind add up
 the gains of the contexts and answer which are states. Hot n-grams cost a block one entry. N-grams of three words are
-only asked for after frequent contexts, longer ones only after states, and only the tokens concerned are carried on.
-Gains are rounded to 2**-20 of a nat token by token and added as integers, so that states do not depend on how texts
-are dealt into blocks. Keys of 64 bits are taken as exact: among n different n-grams two share one with a probability
+only asked for after such contexts, longer ones only after states, and only the tokens concerned are carried on.
+Gains are rounded to 64ths of a nat token by token and added as integers, so that states do not depend on how texts are
+dealt into blocks, and what a longer context adds to a token ends where it rounds to nothing. Keys of 64 bits are taken as exact: among n different n-grams two share one with a probability
 of n * n / 2**65.
 
 Edge cases: null and empty texts are their end token alone; without training texts nothing is known and each token has
@@ -28,6 +28,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -39,14 +40,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialforge.llm._common import as_text, chunks, mix64, new_path, raw_text, released, stored, words_in
+from trialforge.llm._common import CLEAN, as_text, dropped, mix64, new_path, pieces_of, raw_text, released, settings, stored, stored_at, words_in
 
-STRENGTHS = (0.25, 1.0, 4.0)
-AT_ONCE, ENTRIES = 6_000_000, 2_000_000
+STRENGTHS = (0.05, 0.5, 4.0)
+AT_ONCE, ENTRIES = 8_000_000, 2_000_000
 END = np.uint64(0x5851F42D4C957F2D)
-SCALE = 1 << 20  # gains are added up in whole parts of a nat
-#: Tags of rows beside the orders of n-grams: verdicts on contexts of d words are VERDICT + d; tokens carried on, and their probabilities with all counts and with themselves left out.
-VERDICT, CARRIED = 1_000_000, (2_000_000, 2_000_001, 2_000_002)
+SCALE = 64  # gains of tokens are counted in whole parts of a nat
+#: Tags of rows beside the orders of n-grams: verdicts on contexts of d words are VERDICT + d; CARRIED are tokens carried on, with the words before each up to the next multiple of WINDOW.
+VERDICT, CARRIED, WINDOW = 1_000_000, 2_000_000, 4
 
 
 def squeezed(values: np.ndarray) -> bytes:
@@ -72,46 +73,95 @@ def unsqueezed_keys(data: bytes) -> np.ndarray:
 def encoded(docs: DataFrame, training: Column, id_col: str, text_col: str) -> DataFrame:
     """block, ids, train, lengths, vocab, seq, tokens (training tokens), size (all tokens)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 28
         for x in batches:
-            raw, ids, train = x["raw"].tolist(), x["id"].astype(object).where(x["id"].notna(), None).tolist(), x["train"].to_numpy(bool)
-            for part in chunks(raw, AT_ONCE):
-                index, starts, words = words_in(pc.ascii_lower(as_text(pa.array(raw[part], pa.large_binary()))))
+            done = 0
+            for raw in pieces_of(x.column("raw"), AT_ONCE):
+                own = x.slice(done, len(raw))
+                done += len(raw)
+                index, starts, words = words_in(pc.ascii_lower(as_text(raw)))
                 seq = np.insert(index.astype(np.uint32) + np.uint32(1), starts[1:], 0)  # 0 ends a text
-                lengths = (np.diff(starts) + 1).astype(np.uint32)
+                lengths, train = (np.diff(starts) + 1).astype(np.uint32), own.column("train").to_numpy(zero_copy_only=False)
                 vocab = np.fromiter(map(xxhash.xxh3_64_intdigest, words.cast(pa.large_binary()).to_pylist()), np.uint64, len(words))
-                own = train[part]
-                yield pd.DataFrame({"block": [block], "ids": [json.dumps(ids[part]).encode()], "train": [np.packbits(own).tobytes()], "lengths": [squeezed(lengths)], "vocab": [np.append(END, vocab).tobytes()], "seq": [squeezed(seq)], "tokens": [int(lengths[own].sum())], "size": [int(lengths.sum())]})
+                row = {"block": block, "ids": json.dumps(own.column("id").to_pylist()).encode(), "train": np.packbits(train).tobytes(), "lengths": squeezed(lengths), "vocab": np.append(END, vocab).tobytes(), "seq": squeezed(seq), "tokens": int(lengths[train].sum()), "size": int(lengths.sum())}
+                yield pa.RecordBatch.from_arrays([pa.array([v], pa.binary() if isinstance(v, bytes) else pa.int64()) for v in row.values()], list(row))
                 block += 1
         released()
 
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(training, F.lit(False)).alias("train"), raw_text(F.col(text_col)).alias("raw"))
-    return rows.mapInPandas(run, "block long, ids binary, train binary, lengths binary, vocab binary, seq binary, tokens long, size long")
+    return rows.mapInArrow(run, "block long, ids binary, train binary, lengths binary, vocab binary, seq binary, tokens long, size long")
 
 
 class Block:
-    """The tokens of a block, in order, and n-grams by where they end."""
-
-    def __init__(self, row: pd.Series):
-        self.number, self.ids = row["block"], json.loads(row["ids"])
-        self.lengths = unsqueezed(row["lengths"], np.uint32).astype(np.int64)
-        self.n, seq = len(self.lengths), unsqueezed(row["seq"], np.uint32)
-        self.words = np.frombuffer(row["vocab"], np.uint64)[seq]
-        self.train = np.unpackbits(np.frombuffer(row["train"], np.uint8), count=self.n).astype(bool)
-        self.owner = np.repeat(np.arange(self.n), self.lengths)
-        self.trained = self.train[self.owner]
-        self.place = np.arange(len(seq)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
-
-    def grams(self, n: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of the n-grams that end at the tokens `at`: the number of each among the distinct ones, and these, sorted."""
+    """The tokens of a block, in order, and n-grams by where they end. Tokens lie in runs: the block's texts, or, of a
+    block that is carried on, what is left of them; `docs` has each run's text and `begin` its first token's place there."""
+
+    def __init__(self, number: int, lengths: np.ndarray, vocab: np.ndarray, seq: np.ndarray, train: np.ndarray, docs: np.ndarray, begin: np.ndarray):
+        self.number, self.lengths, self.vocab, self.seq, self.train, self.docs, self.begin = number, lengths, vocab, seq, train, docs, begin
+        self.n, self.starts = len(lengths), np.cumsum(lengths) - lengths
+        self.numbered: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    @classmethod
+    def of(cls, row: pd.Series) -> Block:
+        lengths = unsqueezed(row["lengths"], np.uint32).astype(np.int64)
+        n = len(lengths)
+        train = np.unpackbits(np.frombuffer(row["train"], np.uint8), count=n).astype(bool)
+        return cls(row["block"], lengths, np.frombuffer(row["vocab"], np.uint64), unsqueezed(row["seq"], np.uint32), train, np.arange(n), np.zeros(n, np.int64))
+
+    def windows(self, at: np.ndarray, reach: int) -> tuple[Block, np.ndarray]:
+        """The block of the tokens `at` and of up to `reach` tokens before each, and where `at` lie in it."""
+        run = self.owner_of(at)
+        change = np.zeros(len(self.seq) + 1, np.int64)
+        np.add.at(change, np.maximum(at - reach, self.starts[run]), 1)
+        np.add.at(change, at + 1, -1)
+        kept = np.cumsum(change[:-1]) > 0
+        spots = np.flatnonzero(kept)
+        owner = self.owner_of(spots)
+        first = np.flatnonzero(np.append(True, (spots[1:] != spots[:-1] + 1) | (owner[1:] != owner[:-1])))
+        runs, used = owner[first], np.zeros(len(self.vocab), bool)
+        used[self.seq[spots]] = True
+        seq = (np.cumsum(used) - 1)[self.seq[spots]].astype(np.uint32)
+        part = Block(self.number, np.diff(np.append(first, len(spots))), self.vocab[used], seq, self.train[runs], self.docs[runs], self.begin[runs] + spots[first] - self.starts[runs])
+        return part, (np.cumsum(kept) - 1)[at]
+
+    @cached_property
+    def owner(self) -> np.ndarray:
+        return np.repeat(np.arange(self.n), self.lengths)
+
+    @cached_property
+    def place(self) -> np.ndarray:
+        return np.arange(len(self.seq)) - np.repeat(self.starts, self.lengths)
+
+    def owner_of(self, at: np.ndarray) -> np.ndarray:
+        """The runs of some tokens, without laying out those of all."""
+        return np.searchsorted(self.starts, at, "right") - 1
+
+    def place_of(self, at: np.ndarray) -> np.ndarray:
+        """The places of some tokens in their texts."""
+        run = self.owner_of(at)
+        return at - self.starts[run] + self.begin[run]
+
+    def number_all(self, n: int, at: np.ndarray) -> None:
+        """Numbers the n-grams that end at `at`, which grams() then picks from where it can."""
+        which = np.full(len(self.seq), -1, np.int32)
         if n == 1:
-            keys = self.words[at]
+            order = np.argsort(self.vocab)
+            rank = np.empty(len(order), np.int32)
+            rank[order] = np.arange(len(order))
+            self.numbered[1] = rank[self.seq], self.vocab[order]
         else:
-            total = np.zeros(len(at), np.uint64)
-            for k in range(n - 1, -1, -1):
-                total = total * np.uint64(0x9E3779B97F4A7C15) + self.words[at - k]
-            keys = mix64(total + np.uint64(n))
+            which[at], distinct = self.sorted_grams(n, at)
+            self.numbered[n] = which, distinct
+
+    def sorted_grams(self, n: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if n == 1:
+            distinct, which = np.unique(self.vocab[self.seq[at]], return_inverse=True)
+            return which, distinct
+        total = np.zeros(len(at), np.uint64)
+        for k in range(n - 1, -1, -1):
+            total = total * np.uint64(0x9E3779B97F4A7C15) + self.vocab[self.seq[at - k]]
+        keys = mix64(total + np.uint64(n))
         order = np.argsort(keys)
         ordered = keys[order]
         first = np.append(True, ordered[1:] != ordered[:-1]) if len(ordered) else np.zeros(0, bool)
@@ -119,14 +169,23 @@ class Block:
         which[order] = np.cumsum(first) - 1
         return which, ordered[first]
 
+    def grams(self, n: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the n-grams that end at the tokens `at`: the number of each among the distinct ones, and these, sorted."""
+        if n not in self.numbered or (self.numbered[n][0][at] < 0).any():
+            return self.sorted_grams(n, at)
+        every, distinct = self.numbered[n]
+        which, met = every[at], np.zeros(len(distinct), bool)
+        met[which] = True
+        return (np.cumsum(met) - 1)[which], distinct[met]
+
     def asked(self, n: int, at: np.ndarray, cut: int) -> list[tuple]:
         """Requests for counts of the n-grams that end at the tokens `at`, with their training counts in this block. A token counts once for each time it is in `at`."""
         which, distinct = self.grams(n, at)
-        return list(dealt(self.number, n, distinct, np.bincount(which[self.trained[at]], minlength=len(distinct)).astype(np.uint32), cut))
+        return list(dealt(self.number, n, distinct, np.bincount(which[self.train[self.owner_of(at)]], minlength=len(distinct)).astype(np.uint32), cut))
 
     def spread(self, n: int, at: np.ndarray, values: np.ndarray) -> np.ndarray:
         """values, by number of the n-grams that end at `at`, laid out by token (0 elsewhere)."""
-        out = np.zeros(len(self.words))
+        out = np.zeros(len(self.seq))
         out[at] = values[self.grams(n, at)[0]]
         return out
 
@@ -168,8 +227,8 @@ def exchange(requests: DataFrame, kind: type, width: int, answer, shift: int = 0
     return requests.groupBy("bin").applyInPandas(run, ANSWERS)
 
 
-def counted(requests: DataFrame, name: str) -> DataFrame:
-    return stored(exchange(requests, np.uint32, 1, lambda s: s[:, 0].astype(np.uint64)), name)
+def counted(requests: DataFrame) -> tuple[DataFrame, str]:
+    return stored_at(exchange(requests, np.uint32, 1, lambda s: s[:, 0].astype(np.uint64)), "counts")
 
 
 def values_of(replies: pd.DataFrame, n: int, kind: type) -> np.ndarray:
@@ -183,11 +242,15 @@ class Model:
 
     def __init__(self, block: Block, replies: pd.DataFrame, tokens: int, distinct: int, least: int):
         self.block, self.total, self.least = block, tokens + distinct + 1, least
-        self.at = {1: np.arange(len(block.words)), 2: np.flatnonzero(block.place >= 1)}
-        self.count = {n: block.spread(n, at, values_of(replies, n, np.uint64)) for n, at in self.at.items()}
-        self.at[3] = self.frequent(2)
-        if (replies["n"] == 3).any():
-            self.count[3] = block.spread(3, self.at[3], values_of(replies, 3, np.uint64))
+        self.at, self.count = {1: np.arange(len(block.seq)), 2: np.flatnonzero(block.place >= 1)}, {}
+        for n in (1, 2, 3):
+            if n == 3:
+                at = self.frequent(2)
+                self.at[3] = at[self.count[2][at] < self.count[1][at - 1]]
+                if not (replies["n"] == 3).any():
+                    break
+            block.number_all(n, self.at[n])
+            self.count[n] = block.spread(n, self.at[n], values_of(replies, n, np.uint64))
 
     def frequent(self, d: int) -> np.ndarray:
         """Tokens whose context of d words occurs `least` times or more."""
@@ -199,8 +262,8 @@ class Model:
         return np.maximum(c, 1) / max(1, self.total - 1) if left_out else (c + 1) / self.total
 
     def near(self, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Tokens with a frequent context of d (1 or 2) words, and how often the context, and the token after it, occur."""
-        at = self.frequent(d)
+        """Tokens with a context of d (1 or 2) words that is to be tested, and how often the context, and the token after it, occur."""
+        at = self.frequent(1) if d == 1 else self.at[3]
         return at, self.count[d][at - 1], self.count[d + 1][at] if d + 1 in self.count else np.zeros(len(at))
 
 
@@ -214,7 +277,7 @@ def mixed(context, own, strength, below: np.ndarray, left_out: bool = False) ->
 def gains(block: Block, d: int, at: np.ndarray, context: np.ndarray, own: np.ndarray, below: np.ndarray, cut: int) -> list[tuple]:
     """Requests for verdicts on the contexts of d words before the tokens `at`: their gains here, for each strength."""
     which, distinct = block.grams(d, at - 1)
-    used = block.trained[at]
+    used = block.train[block.owner_of(at)]
     sums = [np.bincount(which[used], np.rint(SCALE * (np.log(mixed(context, own, s, below, True)) - np.log(below)))[used], len(distinct)) for s in STRENGTHS]
     return list(dealt(block.number, d, distinct, np.stack(sums, 1).astype(np.int64), cut))
 
@@ -224,74 +287,100 @@ def strengths(block: Block, d: int, at: np.ndarray, replies: pd.DataFrame) -> np
     return np.append(0.0, STRENGTHS)[values_of(replies, VERDICT + d, np.uint8)[block.grams(d, at - 1)[0]]]
 
 
-def carried_on(block: Block, d: int, at: np.ndarray, p: np.ndarray, q: np.ndarray, cut: int) -> list[tuple]:
-    """Rows for the tokens that may have a state of d words: requests for the counts of it and of what follows it, and the tokens themselves."""
-    keep = block.place[at] >= d
+def carried_on(block: Block, d: int, at: np.ndarray, p: np.ndarray, q: np.ndarray, cut: int, window: int) -> list[tuple]:
+    """Rows for the tokens that may have a state of d words: requests for the counts of it and of what follows it, and the tokens themselves, with the words before them."""
+    keep = block.place_of(at) >= d
     at, p, q = at[keep], p[keep], q[keep]
     if not len(at):
         return []
     # Whether a token is carried on depends on its context alone, so these are all occurrences of each n-gram.
     asks = block.asked(d, at - 1, cut) + block.asked(d + 1, at, cut)
-    state = [(0, block.number, tag, None, squeezed(v)) for tag, v in zip(CARRIED, (at.astype(np.uint64), p, q), strict=True)]
-    return asks + state
-
-
-def carried(replies: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return tuple(values_of(replies, tag, kind) for tag, kind in zip(CARRIED, (np.uint64, np.float64, np.float64), strict=True))
-
-
-def scored(docs: DataFrame, training: Column, least: int = 4, gain: float = 2.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    b, spots = block.windows(at, (d // window + 1) * window)
+    parts = (b.lengths.astype(np.uint32), b.vocab, b.seq, b.train.astype(np.uint8), b.docs.astype(np.uint32), b.begin.astype(np.uint32), spots.astype(np.uint32), p, q)
+    packed = [squeezed(x) for x in parts]
+    return [*asks, (0, block.number, CARRIED, None, b"".join(len(x).to_bytes(8, "little") + x for x in packed))]
+
+
+def carried(number: int, replies: pd.DataFrame) -> tuple[Block, np.ndarray, np.ndarray, np.ndarray] | None:
+    """The block of the tokens that were carried on, their places in it, and both probabilities; None if there are none."""
+    own = replies[replies["n"] == CARRIED]["data"]
+    if not len(own):
+        return None
+    data, parts, at = own.iloc[0], [], 0
+    for kind in (np.uint32, np.uint64, np.uint32, np.uint8, np.uint32, np.uint32, np.uint32, np.float64, np.float64):
+        size = int.from_bytes(data[at : at + 8], "little")
+        parts.append(unsqueezed(data[at + 8 : at + 8 + size], kind))
+        at += 8 + size
+    lengths, vocab, seq, train, docs, begin, spots, p, q = parts
+    return Block(number, lengths.astype(np.int64), vocab, seq, train.astype(bool), docs.astype(np.int64), begin.astype(np.int64)), spots.astype(np.int64), p, q
+
+
+def scored(docs: DataFrame, training: Column, least: int = 4, deep: int = 32, gain: float = 2.0, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; learned from the rows where `training` is true."""
     spark = docs.sparkSession
-    name = f"blocks_{uuid.uuid4().hex}"
+    name, path = f"blocks_{uuid.uuid4().hex}", new_path(spark, "blocks")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     try:
-        encoded(docs, training, id_col, text_col).write.bucketBy(buckets, "block").option("compression", "zstd").option("path", new_path(spark, "blocks")).saveAsTable(name)
-        return _scored(spark.table(name), docs.schema[id_col].dataType.simpleString(), least, gain, id_col)
+        with settings(spark, **{CLEAN: "true"}):
+            encoded(docs, training, id_col, text_col).write.bucketBy(buckets, "block").option("compression", "zstd").option("path", path).saveAsTable(name)
+        return _scored(spark.table(name), docs.schema[id_col].dataType.simpleString(), least, deep, gain, id_col, window)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
+        dropped(spark, path)
 
 
-def _scored(blocks: DataFrame, kind: str, least: int, gain: float, id_col: str) -> DataFrame:
+def _scored(blocks: DataFrame, kind: str, least: int, deep: int, gain: float, id_col: str, window: int) -> DataFrame:
     tokens, size = (int(v or 0) for v in blocks.agg(F.sum("tokens"), F.sum("size")).first())
-    cut = max(3, int(np.ceil(np.log2(max(1, 2 * size) / ENTRIES))))
+    cut = max(6, int(np.ceil(np.log2(max(1, 2 * size) / ENTRIES))))
     ask_columns, done = ["bin", "block", "n", "keys", "data"], "doc int, id string, train boolean, n_tokens long, n_known long, base_score double, score double"
     done_columns = [c.split()[0] for c in done.split(", ")]
 
-    def met(replies: DataFrame | None, work, schema: str) -> DataFrame:
-        """work(block, its replies) of all blocks; it gives rows of ask_columns and, if it scores, a frame of done_columns."""
+    def framed(out: list[tuple], frame: pd.DataFrame | None, block: int, schema: str) -> pd.DataFrame:
+        """Rows of ask_columns and a frame of done_columns as one; columns that rows lack are null, and of a kind that nulls of every type are made from."""
+        parts = [x for x in (pd.DataFrame(out, columns=ask_columns), None if frame is None else frame.assign(block=block)) if x is not None]
+        rows = pd.concat([x for x in parts if len(x)] or parts[:1])
+        return pd.DataFrame({c: rows[c] if c in rows else pd.Series(None, rows.index, object) for c in (x.split()[0] for x in schema.split(", "))})
+
+    def met(replies: DataFrame, work, schema: str) -> DataFrame:
+        """work(block, ids, its replies) of all blocks; it gives rows of ask_columns and, if it scores, a frame of done_columns."""
 
         def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            out = [pd.DataFrame(columns=ask_columns)]
-            for _, row in left.iterrows():
-                rows, frame = work(Block(row), right)
-                out.append(pd.DataFrame(rows, columns=ask_columns))
-                if frame is not None:
-                    out.append(frame.assign(block=row["block"]))
-            rows = pd.concat([x for x in out if len(x)] or out[:1])
-            # Columns that these rows lack are null, and of a kind that nulls of every type are made from.
-            return pd.DataFrame({c: rows[c] if c in rows else pd.Series(None, rows.index, object) for c in (x.split()[0] for x in schema.split(", "))})
+            out = [framed(*work(Block.of(row), json.loads(row["ids"]), right), row["block"], schema) for _, row in left.iterrows()]
+            return pd.concat(out) if len(out) > 1 else out[0] if out else framed([], None, 0, schema)
 
         return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(run, schema)
 
+    def met_again(replies: DataFrame, work, schema: str) -> DataFrame:
+        """The same of the blocks that are carried on."""
+
+        def run(x: pd.DataFrame) -> pd.DataFrame:
+            number = int(x["block"].iloc[0])
+            own = carried(number, x)
+            return framed(*work(*own, x), number, schema) if own else framed([], None, 0, schema)
+
+        return replies.groupBy("block").applyInPandas(run, schema)
+
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             for _, row in x.iterrows():
-                b = Block(row)
-                yield pd.DataFrame(b.asked(1, np.arange(len(b.words)), cut) + b.asked(2, np.flatnonzero(b.place >= 1), cut), columns=ask_columns)
+                b = Block.of(row)
+                b.number_all(1, at := np.arange(len(b.seq)))
+                yield pd.DataFrame(b.asked(1, at, cut) + b.asked(2, np.flatnonzero(b.place >= 1), cut), columns=ask_columns)
         released()
 
-    pairs = counted(blocks.mapInPandas(first, ASKS), "counts")
+    spark = blocks.sparkSession
+    pairs, *used = counted(blocks.mapInPandas(first, ASKS))
     distinct = int(pairs.where("n = 1").agg(F.sum("known")).first()[0] or 0)
     pairs = pairs.select("block", "n", "bin", "data")
 
-    def third(b: Block, replies: pd.DataFrame) -> tuple:
+    def third(b: Block, ids: list, replies: pd.DataFrame) -> tuple:
         m = Model(b, replies, tokens, distinct, least)
         return b.asked(3, m.at[3], cut), None
 
-    near = pairs.union(counted(met(pairs, third, ASKS), "counts").select(*pairs.columns))
+    triples, path = counted(met(pairs, third, ASKS))
+    near, used = pairs.union(triples.select(*pairs.columns)), [*used, path]
 
-    def test(b: Block, replies: pd.DataFrame) -> tuple:
+    def test(b: Block, ids: list, replies: pd.DataFrame) -> tuple:
         m, rows = Model(b, replies, tokens, distinct, least), []
         below = m.root(left_out=True)
         for d in (1, 2):
@@ -303,10 +392,11 @@ def _scored(blocks: DataFrame, kind: str, least: int, gain: float, id_col: str)
     def retained(sums: np.ndarray) -> np.ndarray:
         return np.where(sums.max(1) > gain * SCALE, 1 + sums.argmax(1), 0).astype(np.uint8)
 
-    def verdicts(requests: DataFrame) -> DataFrame:
-        return stored(exchange(requests, np.int64, len(STRENGTHS), retained, VERDICT), "states").select(*pairs.columns)
+    def verdicts(requests: DataFrame) -> tuple[DataFrame, str]:
+        out, path = stored_at(exchange(requests, np.int64, len(STRENGTHS), retained, VERDICT), "states")
+        return out.select(*pairs.columns), path
 
-    def score(b: Block, replies: pd.DataFrame) -> tuple:
+    def score(b: Block, ids: list, replies: pd.DataFrame) -> tuple:
         m = Model(b, replies, tokens, distinct, least)
         p, q = m.root(), m.root(left_out=True)
         sum_of = lambda v: np.bincount(b.owner, v, b.n)
@@ -316,44 +406,58 @@ def _scored(blocks: DataFrame, kind: str, least: int, gain: float, id_col: str)
             s = strengths(b, d, at, replies)
             at, context, own, s = (x[s > 0] for x in (at, context, own, s))
             p[at], q[at] = mixed(context, own, s, p[at]), mixed(context, own, s, q[at], True)
-            last = at
-        # Contexts of three words that are known not to be frequent are left out here.
-        often = last[(b.place[last] >= 3) & (m.count[3][last - 1] >= least)] if 3 in m.count else last[:0]
-        frame = pd.DataFrame({"doc": np.arange(b.n), "id": pd.Series(b.ids, dtype=object), "train": b.train, "n_tokens": b.lengths, "n_known": sum_of(m.count[1] > 0).astype(np.int64), "base_score": sum_of(base), "score": sum_of(np.log10(p))})
-        return carried_on(b, 3, often, p[often], q[often], cut), frame
+            last = at[own < context]
+        # How often contexts of three words occur follows from what is known: a word that is always followed by one is a pair with it.
+        last = last[b.place[last] >= 3]
+        always, c3 = m.count[2][last - 1] >= m.count[1][last - 2], m.count.get(3, np.zeros(len(b.seq)))[last - 1]
+        last = last[np.where(always, m.count[2][last - 2], c3) >= deep]
+        frame = pd.DataFrame({"doc": np.arange(b.n), "id": pd.Series(ids, dtype=object), "train": b.train, "n_tokens": b.lengths, "n_known": sum_of(m.count[1] > 0).astype(np.int64), "base_score": sum_of(base), "score": sum_of(np.log10(p))})
+        return carried_on(b, 3, last, p[last], q[last], cut, window), frame
 
     both = ASKS + ", " + done
-    out = stored(met(near.union(verdicts(met(near, test, ASKS))), score, both), "scores")
-    scores, depth = out.where("n is null").select("block", *done_columns), 3
+    states, path = verdicts(met(near, test, ASKS))
+    out, out_path = stored_at(met(near.union(states), score, both), "scores")
+    dropped(spark, *used, path)
+    scores, depth = stored(out.where("n is null").select("block", *done_columns), "texts"), 3
     more = []
     while not (asks := out.where("keys is not null").select(*ask_columns)).isEmpty():
         state = out.where("keys is null and n is not null").select(*pairs.columns)
-        replies = counted(asks, "counts").select(*pairs.columns).union(state)
+        counts, counts_path = counted(asks)
+        replies = counts.select(*pairs.columns).union(state)
 
-        def longer(b: Block, replies: pd.DataFrame, d: int = depth) -> tuple:
+        def longer(b: Block, at: np.ndarray, p: np.ndarray, q: np.ndarray, replies: pd.DataFrame, d: int = depth) -> tuple:
             """The tokens carried on whose context is frequent, its count and that of the token after it, and probabilities."""
-            at, p, q = carried(replies)
-            at = at.astype(np.int64)
             context, own = (values_of(replies, n, np.uint64)[b.grams(n, x)[0]].astype(np.float64) for n, x in ((d, at - 1), (d + 1, at)))
-            often = context >= least
+            often = context >= deep
             return at[often], context[often], own[often], p[often], q[often]
 
-        def test_longer(b: Block, replies: pd.DataFrame, d: int = depth, longer=longer) -> tuple:
-            at, context, own, _, q = longer(b, replies)
+        def test_longer(b: Block, at: np.ndarray, p: np.ndarray, q: np.ndarray, replies: pd.DataFrame, d: int = depth, longer=longer) -> tuple:
+            at, context, own, _, q = longer(b, at, p, q, replies)
             return gains(b, d, at, context, own, q, cut), None
 
-        def score_longer(b: Block, replies: pd.DataFrame, d: int = depth, longer=longer) -> tuple:
-            at, context, own, p, q = longer(b, replies)
+        def score_longer(b: Block, at: np.ndarray, p: np.ndarray, q: np.ndarray, replies: pd.DataFrame, d: int = depth, longer=longer, full: Block | None = None) -> tuple:
+            at, context, own, p, q = longer(b, at, p, q, replies)
             s = strengths(b, d, at, replies)
             at, context, own, p, q, s = (x[s > 0] for x in (at, context, own, p, q, s))
-            now = mixed(context, own, s, p)
-            change = np.bincount(b.owner[at], np.log10(now) - np.log10(p), b.n)
-            moved = np.unique(b.owner[at])
-            frame = pd.DataFrame({"doc": moved, "score": change[moved]})
-            return carried_on(b, d + 1, at, now, mixed(context, own, s, q, True), cut), frame
-
-        out = stored(met(replies.union(verdicts(met(replies, test_longer, ASKS))), score_longer, both), "scores")
-        more.append(out.where("n is null").select("block", "doc", F.col("score").alias("change")))
+            now, docs = mixed(context, own, s, p), b.docs[b.owner_of(at)]
+            moved, which = np.unique(docs, return_inverse=True)
+            frame = pd.DataFrame({"doc": moved, "score": np.bincount(which, np.log10(now) - np.log10(p), len(moved))})
+            q = mixed(context, own, s, q, True)
+            if full is not None:
+                b, at = full, full.starts[docs] + b.place_of(at)
+            at, now, q = (x[own < context] for x in (at, now, q))
+            return carried_on(b, d + 1, at, now, q, cut, window), frame
+
+        def refilled(full: Block, ids: list, replies: pd.DataFrame, score_longer=score_longer) -> tuple:
+            """The same, with the words before the tokens taken from the whole block again: those carried on are used up."""
+            own = carried(full.number, replies)
+            return score_longer(*own, replies, full=full) if own else ([], None)
+
+        states, path = verdicts(met_again(replies, test_longer, ASKS))
+        replies, last = replies.union(states), out_path
+        out, out_path = stored_at(met(replies, refilled, both) if (depth + 1) % window == 0 else met_again(replies, score_longer, both), "scores")
+        dropped(spark, last, counts_path, path)
+        more.append(stored(out.where("n is null").select("block", "doc", F.col("score").alias("change")), "changes"))
         depth += 1
     if more:
         changes = more[0]
