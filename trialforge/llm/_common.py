@@ -55,10 +55,10 @@ def settings(spark: SparkSession, **wanted) -> Iterator[None]:
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
-def stored(df: DataFrame, name: str, large_rows: bool = False) -> DataFrame:
+def stored(df: DataFrame, name: str, large_rows: bool = False, rows: int = FEW_ROWS) -> DataFrame:
     """The frame, written once in the shared folder and read back: later steps do not depend on the executors that made
-    it, nor on the shuffle files that led to it, which are deleted at once."""
-    return stored_at(df, name, large_rows)[0]
+    it, nor on the shuffle files that led to it, which are deleted at once. large_rows: Arrow batches have `rows` at most."""
+    return stored_at(df, name, large_rows, rows)[0]
 
 
 def dropped(spark: SparkSession, *paths: str) -> None:
@@ -68,10 +68,10 @@ def dropped(spark: SparkSession, *paths: str) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def stored_at(df: DataFrame, name: str, large_rows: bool = False) -> tuple[DataFrame, str]:
+def stored_at(df: DataFrame, name: str, large_rows: bool = False, rows: int = FEW_ROWS) -> tuple[DataFrame, str]:
     """The same, and where it is."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    with settings(spark, **{CLEAN: "true"} | ({BATCH: str(FEW_ROWS), BYTES: f"{FEW_BYTES}b"} if large_rows else {})):
+    with settings(spark, **{CLEAN: "true"} | ({BATCH: str(rows), BYTES: f"{FEW_BYTES}b"} if large_rows else {})):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 

@@ -281,7 +281,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, length: int = 4096,
     """
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
     queue = F.coalesce(F.concat(F.lit("="), F.col(queue_col).cast("string")), F.lit(""))
-    blocks = stored(encoded(docs, vocabulary, end_id, id_col, text_col, queue), "encoded")
+    blocks = stored(encoded(docs, vocabulary, end_id, id_col, text_col, queue), "encoded", large_rows=True, rows=1_000)
     names = blocks.groupBy("queue").agg(F.sum("n").alias("n"))
     if names.limit(max_queues + 1).count() > max_queues:
         wanted = [f"={t}" if t is not None else "" for t in targets or {}]
