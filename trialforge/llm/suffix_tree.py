@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialforge.llm._common import CLEAN, as_text, dropped, mix64, new_path, pieces_of, raw_text, released, settings, stored, stored_at, words_in
+from trialforge.llm._common import CLEAN, as_text, dropped, mix64, pieces_of, raw_text, released, settings, stored, stored_at, words_in, work_dir
 
 STRENGTHS = (0.05, 0.5, 4.0)
 AT_ONCE, ENTRIES = 8_000_000, 2_000_000
@@ -315,21 +315,30 @@ def carried(number: int, replies: pd.DataFrame) -> tuple[Block, np.ndarray, np.n
     return Block(number, lengths.astype(np.int64), vocab, seq, train.astype(bool), docs.astype(np.int64), begin.astype(np.int64)), spots.astype(np.int64), p, q
 
 
+def bucketed(df: DataFrame, buckets: int, name: str, path: str) -> DataFrame:
+    """The frame as a table in the shared folder, dealt by block: joins by block don't shuffle it again."""
+    spark = df.sparkSession
+    with settings(spark, **{CLEAN: "true"}):
+        df.write.bucketBy(buckets, "block").option("compression", "zstd").option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def scored(docs: DataFrame, training: Column, least: int = 4, deep: int = 32, gain: float = 2.0, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; learned from the rows where `training` is true."""
     spark = docs.sparkSession
-    name, path = f"blocks_{uuid.uuid4().hex}", new_path(spark, "blocks")
+    name = f"blocks_{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/trialforge/{name}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     try:
-        with settings(spark, **{CLEAN: "true"}):
-            encoded(docs, training, id_col, text_col).write.bucketBy(buckets, "block").option("compression", "zstd").option("path", path).saveAsTable(name)
-        return _scored(spark.table(name), docs.schema[id_col].dataType.simpleString(), least, deep, gain, id_col, window)
+        bucketed(encoded(docs, training, id_col, text_col), buckets, name, path)
+        return _scored(spark.table(name), name, path, buckets, docs.schema[id_col].dataType.simpleString(), least, deep, gain, id_col, window)
     finally:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
-        dropped(spark, path)
+        for x in (name, *(f"{name}_{k}" for k in "ab")):
+            spark.sql(f"DROP TABLE IF EXISTS {x}")
+        dropped(spark, path, f"{path}_a", f"{path}_b")
 
 
-def _scored(blocks: DataFrame, kind: str, least: int, deep: int, gain: float, id_col: str, window: int) -> DataFrame:
+def _scored(blocks: DataFrame, name: str, path: str, buckets: int, kind: str, least: int, deep: int, gain: float, id_col: str, window: int) -> DataFrame:
     tokens, size = (int(v or 0) for v in blocks.agg(F.sum("tokens"), F.sum("size")).first())
     cut = max(6, int(np.ceil(np.log2(max(1, 2 * size) / ENTRIES))))
     ask_columns, done = ["bin", "block", "n", "keys", "data"], "doc int, id string, train boolean, n_tokens long, n_known long, base_score double, score double"
@@ -350,15 +359,23 @@ def _scored(blocks: DataFrame, kind: str, least: int, deep: int, gain: float, id
 
         return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(run, schema)
 
-    def met_again(replies: DataFrame, work, schema: str) -> DataFrame:
+    def met_again(state: DataFrame, replies: DataFrame, work, schema: str) -> DataFrame:
         """The same of the blocks that are carried on."""
 
-        def run(x: pd.DataFrame) -> pd.DataFrame:
-            number = int(x["block"].iloc[0])
-            own = carried(number, x)
-            return framed(*work(*own, x), number, schema) if own else framed([], None, 0, schema)
+        def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            if not len(left):
+                return framed([], None, 0, schema)
+            number = int(left["block"].iloc[0])
+            return framed(*work(*carried(number, left), right), number, schema)
+
+        return state.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(run, schema)
 
-        return replies.groupBy("block").applyInPandas(run, schema)
+    def kept(df: DataFrame, k: int) -> DataFrame:
+        """The scores of a level as one of two tables in turn: the other one is what it was made from."""
+        turn = "ab"[k % 2]
+        spark.sql(f"DROP TABLE IF EXISTS {name}_{turn}")
+        dropped(spark, f"{path}_{turn}")
+        return bucketed(df, buckets, f"{name}_{turn}", f"{path}_{turn}")
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
@@ -377,8 +394,8 @@ def _scored(blocks: DataFrame, kind: str, least: int, deep: int, gain: float, id
         m = Model(b, replies, tokens, distinct, least)
         return b.asked(3, m.at[3], cut), None
 
-    triples, path = counted(met(pairs, third, ASKS))
-    near, used = pairs.union(triples.select(*pairs.columns)), [*used, path]
+    triples, triples_path = counted(met(pairs, third, ASKS))
+    near, used = pairs.union(triples.select(*pairs.columns)), [*used, triples_path]
 
     def test(b: Block, ids: list, replies: pd.DataFrame) -> tuple:
         m, rows = Model(b, replies, tokens, distinct, least), []
@@ -415,15 +432,15 @@ def _scored(blocks: DataFrame, kind: str, least: int, deep: int, gain: float, id
         return carried_on(b, 3, last, p[last], q[last], cut, window), frame
 
     both = ASKS + ", " + done
-    states, path = verdicts(met(near, test, ASKS))
-    out, out_path = stored_at(met(near.union(states), score, both), "scores")
-    dropped(spark, *used, path)
+    states, states_path = verdicts(met(near, test, ASKS))
+    out = kept(met(near.union(states), score, both), 0)
+    dropped(spark, *used, states_path)
     scores, depth = stored(out.where("n is null").select("block", *done_columns), "texts"), 3
     more = []
     while not (asks := out.where("keys is not null").select(*ask_columns)).isEmpty():
         state = out.where("keys is null and n is not null").select(*pairs.columns)
         counts, counts_path = counted(asks)
-        replies = counts.select(*pairs.columns).union(state)
+        replies = counts.select(*pairs.columns)
 
         def longer(b: Block, at: np.ndarray, p: np.ndarray, q: np.ndarray, replies: pd.DataFrame, d: int = depth) -> tuple:
             """The tokens carried on whose context is frequent, its count and that of the token after it, and probabilities."""
@@ -453,10 +470,11 @@ def _scored(blocks: DataFrame, kind: str, least: int, deep: int, gain: float, id
             own = carried(full.number, replies)
             return score_longer(*own, replies, full=full) if own else ([], None)
 
-        states, path = verdicts(met_again(replies, test_longer, ASKS))
-        replies, last = replies.union(states), out_path
-        out, out_path = stored_at(met(replies, refilled, both) if (depth + 1) % window == 0 else met_again(replies, score_longer, both), "scores")
-        dropped(spark, last, counts_path, path)
+        states, states_path = verdicts(met_again(state, replies, test_longer, ASKS))
+        replies = replies.union(states)
+        again = met(replies.union(state), refilled, both) if (depth + 1) % window == 0 else met_again(state, replies, score_longer, both)
+        out = kept(again, depth)
+        dropped(spark, counts_path, states_path)
         more.append(stored(out.where("n is null").select("block", "doc", F.col("score").alias("change")), "changes"))
         depth += 1
     if more:
