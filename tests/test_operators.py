@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trialforge.functions import parsing
-from trialforge.operators import analysis, decisions, integrity, matching, prefix, progress, ranking, scoring, timeline
+from trialforge.operators import analysis, contamination, decisions, integrity, matching, prefix, progress, ranking, scoring, timeline
 
 random.seed(42)
 BASE = {"v1": 3.5, "v2": 4.0, "v3": 4.2, "v4": 3.8}
@@ -183,7 +183,7 @@ def test_contamination(spark):
     s = "x" * 10 + "a snippet of forty characters or so, long enough" + "y" * 5
     prompts = spark.createDataFrame([(1, "a", "pre " + s + " post"), (2, "b", s), (3, "a", "clean"), (4, "a", None)], "prompt_id long, task_id string, text string")
     snippets = spark.createDataFrame([("b", s), ("c", "clean"), ("d", None)], "task_id string, snippet string")
-    assert {tuple(r) for r in integrity.contamination(prompts, snippets).collect()} == {(1, "b"), (3, "c")}
+    assert {tuple(r) for r in contamination.contamination(prompts, snippets).collect()} == {(1, "b"), (3, "c")}
 
 
 def test_fingerprints_first_come(spark):

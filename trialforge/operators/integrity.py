@@ -1,16 +1,13 @@
 """Data-integrity checks. Each gives one row: check_name, passed, total, failures (and, by details(), up to ten failures).
 
 rows are traces: run_id, round, step, agent_role, prompt_text, response_text, task_id, in the columns each check names.
-A check is a frame of checked items with a boolean `failed`; summary() adds it up. Snippets are found by equality of
-keys first and contains() on what is left, or by one automaton for all of them: no text is compared with each of the others.
+A check is a frame of checked items with a boolean `failed`, or of sums of items with `items` and a number `failed`;
+summary() adds it up. Snippets are found by equality of keys first and contains() on what is left; those of other tasks
+are in contamination.py.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import ahocorasick
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,8 +17,9 @@ ROUND = ["run_id", "round"]
 
 
 def summary(name: str, checked: DataFrame) -> DataFrame:
-    bad = F.coalesce(F.sum(F.coalesce(F.col("failed"), F.lit(False)).cast("long")), F.lit(0))
-    return checked.agg(F.count("*").alias("total"), bad.alias("failures")).select(F.lit(name).alias("check_name"), (F.col("failures") == 0).alias("passed"), "total", "failures")
+    bad = F.coalesce(F.sum(F.coalesce(F.col("failed").cast("long"), F.lit(0))), F.lit(0))
+    total = F.coalesce(F.sum("items"), F.lit(0)) if "items" in checked.columns else F.count("*")
+    return checked.agg(total.alias("total"), bad.alias("failures")).select(F.lit(name).alias("check_name"), (F.col("failures") == 0).alias("passed"), "total", "failures")
 
 
 def details(checked: DataFrame, text, n: int = 10) -> DataFrame:
@@ -105,42 +103,6 @@ def context_chain(rows: DataFrame, width: int = 200) -> DataFrame:
     return hits.withColumn("failed", ~F.col("found"))
 
 
-def finder(words: list[tuple[str, list[str]]]):
-    """A column function from texts to the sorted tags of all words in them. words: (word, tags)."""
-
-    @F.pandas_udf("array<string>")
-    def found(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        automaton = ahocorasick.Automaton()
-        for word, tags in words:
-            automaton.add_word(word, tags)
-        automaton.make_automaton()
-        for x in texts:
-            yield x.map(lambda t: sorted(set().union(*(tags for _, tags in automaton.iter(t)))))
-
-    return found
-
-
-def contamination(prompts: DataFrame, snippets: DataFrame, at_once: int = 16_000_000) -> DataFrame:
-    """prompt_id, task_id pairs where a prompt holds a snippet of another task. prompts: prompt_id, task_id, text; snippets: task_id, snippet.
-
-    Snippets become one automaton for about `at_once` bytes of them, and each text is read once by each automaton, from
-    its first character to its last: linear in the text, whatever its length, and nothing is shuffled but what was found.
-    Null and empty texts and snippets meet nothing.
-    """
-    kind = prompts.schema["task_id"].dataType.simpleString()
-    keyed = snippets.where(F.char_length("snippet") > 0).groupBy("snippet").agg(F.collect_set(F.col("task_id").cast("string")).alias("tasks"))
-    size = keyed.agg(F.sum(F.octet_length("snippet") + 64)).first()[0] or 0
-    parts, out = -(-size // at_once), prompts.limit(0).select("prompt_id", "task_id")
-    for k in range(parts):
-        words = [(r["snippet"], r["tasks"]) for r in keyed.where(F.pmod(F.xxhash64("snippet"), F.lit(parts)) == k).collect()]  # about at_once bytes
-
-        if words:
-            found = finder(words)
-            met = prompts.where(F.char_length("text") > 0).select("prompt_id", "task_id", F.explode(found("text")).alias("other"))
-            out = out.union(met.where(F.col("task_id").cast("string") != F.col("other")).select("prompt_id", F.col("other").cast(kind).alias("task_id")))
-    return out.distinct()
-
-
 def prefix_references(names: DataFrame, known: DataFrame) -> DataFrame:
     """Names that are no prefix of any known id, or the other way round, fail. known is a configuration table."""
     hits = names.join(F.broadcast(known), F.col("known").startswith(F.col("name")) | F.col("name").startswith(F.col("known")), "left")

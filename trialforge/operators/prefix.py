@@ -31,17 +31,53 @@ def range_of(column: Column, edges: list[float]) -> Column:
     return pick(0, len(edges))
 
 
-def sums_before(rows: DataFrame, order: list[str], value: Column, out: str, lanes: list[str] | None = None) -> DataFrame:
-    """rows with the sum of `value` over the rows that come before, by `order` (whose first column is a number without nulls), in each lane. Rows equal in all of `order` come in any order."""
-    lanes = lanes or []
-    cut = rows.withColumn("_value", value).withColumn("_range", range_of(F.col(order[0]).cast("double"), edges_of(rows, order[0])))
-    totals = cut.groupBy(*lanes, "_range").agg(F.sum("_value").alias("_total"))
-    # One row for each range (and lane).
-    far = F.sum("_total").over(Window.partitionBy(*(lanes or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    totals = totals.select(*[F.col(c).alias(f"_lane{i}") for i, c in enumerate(lanes)], F.col("_range").alias("_r"), F.coalesce(far, F.lit(0)).alias("_far"))
+def _ranged(rows: DataFrame, first: str) -> DataFrame:
+    return rows.withColumn("_range", range_of(F.col(first).cast("double"), edges_of(rows, first)))
+
+
+def _joined(cut: DataFrame, far: DataFrame, lanes: list[str]) -> DataFrame:
+    """cut with what `far` has for its lane and range (one row each)."""
     same = F.col("_range") == F.col("_r")
     for i, c in enumerate(lanes):
         same &= F.col(c).eqNullSafe(F.col(f"_lane{i}"))
-    near = F.sum("_value").over(Window.partitionBy(*lanes, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    joined = cut.withColumn("_near", F.coalesce(near, F.lit(0))).join(totals if lanes else F.broadcast(totals), same)
-    return joined.withColumn(out, F.col("_far") + F.col("_near")).select(*rows.columns, out)
+    return cut.join(far if lanes else F.broadcast(far), same, "left")
+
+
+def _of_ranges(totals: DataFrame, lanes: list[str], columns: list) -> DataFrame:
+    return totals.select(*[F.col(c).alias(f"_lane{i}") for i, c in enumerate(lanes)], F.col("_range").alias("_r"), *columns)
+
+
+def running(rows: DataFrame, order: list[str], values: dict[str, Column], lanes: list[str] | None = None) -> DataFrame:
+    """rows with the sum of each value over the rows that come before, by `order` (whose first column is a number without nulls), in each lane. Rows equal in all of `order` come in any order."""
+    lanes, names = lanes or [], list(values)
+    cut = _ranged(rows, order[0])
+    for c, v in values.items():
+        cut = cut.withColumn(f"_v_{c}", v)
+    totals = cut.groupBy(*lanes, "_range").agg(*[F.sum(f"_v_{c}").alias(f"_v_{c}") for c in names])
+    # One row for each range (and lane).
+    over = Window.partitionBy(*(lanes or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    far = _of_ranges(totals, lanes, [F.coalesce(F.sum(f"_v_{c}").over(over), F.lit(0)).alias(f"_far_{c}") for c in names])
+    within = Window.partitionBy(*lanes, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    for c in names:
+        cut = cut.withColumn(f"_near_{c}", F.coalesce(F.sum(f"_v_{c}").over(within), F.lit(0)))
+    return _joined(cut, far, lanes).select(*rows.columns, *[(F.col(f"_far_{c}") + F.col(f"_near_{c}")).alias(c) for c in names])
+
+
+def sums_before(rows: DataFrame, order: list[str], value: Column, out: str, lanes: list[str] | None = None) -> DataFrame:
+    """rows with the sum of one value over the rows that come before, as running() has it."""
+    return running(rows, order, {out: value}, lanes)
+
+
+def followed(rows: DataFrame, order: list[str], columns: list[str], lanes: list[str] | None = None) -> DataFrame:
+    """rows with next_<column> of the row that comes after, by `order`, in each lane; null for the last one. The last row of a range takes the first one of the next range that has any."""
+    lanes = lanes or []
+    cut = _ranged(rows, order[0])
+    firsts = cut.groupBy(*lanes, "_range").agg(F.min(F.struct(*order, *[c for c in columns if c not in order])).alias("_first"))
+    over = Window.partitionBy(*(lanes or [F.lit(0)])).orderBy("_range")
+    far = _of_ranges(firsts, lanes, [F.lead("_first").over(over).alias("_first")])
+    within = Window.partitionBy(*lanes, "_range").orderBy(*order)
+    last = F.lead(F.lit(True)).over(within).isNull()
+    cut = cut.withColumn("_last", last)
+    for c in columns:
+        cut = cut.withColumn(f"_near_{c}", F.lead(c).over(within))
+    return _joined(cut, far, lanes).select(*rows.columns, *[F.when(F.col("_last"), F.col(f"_first.{c}")).otherwise(F.col(f"_near_{c}")).alias(f"next_{c}") for c in columns])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialforge.functions import parsing
-from trialforge.operators import integrity
+from trialforge.operators import contamination, integrity
 from trialforge.plans.registry import query, sql
 from trialforge.sources import adapter as A
 
@@ -147,15 +147,33 @@ def context_chain(spark, sf):
     return integrity.context_chain(prompts(spark, sf))
 
 
-@query(
-    """WITH s AS (SELECT 't' || CAST(item_id % 5 AS VARCHAR) AS task_id, substr(text, 21, 60) AS snippet FROM benchmark WHERE length(text) >= 80), d AS (SELECT doc_id, 't' || CAST(doc_id % 5 AS VARCHAR) AS own, text FROM documents)
-    SELECT DISTINCT doc_id AS prompt_id, s.task_id FROM d JOIN s ON s.task_id <> d.own AND contains(d.text, s.snippet)"""
+_SNIPPETS = "SELECT 't' || CAST(item_id % 5 AS VARCHAR) AS task_id, substr(text, 21, 60) AS snippet FROM benchmark WHERE length(text) >= 80"
+_PROMPTS = "SELECT doc_id, 't' || CAST(doc_id % 5 AS VARCHAR) AS own, text FROM documents WHERE text IS NOT NULL"
+_MET = "SELECT DISTINCT doc_id, s.task_id FROM d JOIN s ON s.task_id <> d.own AND contains(d.text, s.snippet)"
+
+
+def _contaminated(spark, sf):
+    """Documents as prompts, and snippets of the benchmark's passages, by task."""
+    snippets = A.table(spark, sf, "benchmark").where(F.char_length("text") >= 80).select(F.concat(F.lit("t"), (F.col("item_id") % 5).cast("string")).alias("task_id"), parsing.snippet(F.col("text"), 20, 80).alias("snippet"))
+    docs = A.table(spark, sf, "documents").select(F.col("doc_id").alias("prompt_id"), F.concat(F.lit("t"), (F.col("doc_id") % 5).cast("string")).alias("task_id"), "text")
+    return docs, snippets
+
+
+@check(
+    "cross_task_contamination",
+    "SELECT doc_id, t.task_id, m.doc_id IS NOT NULL AS failed FROM d JOIN (SELECT DISTINCT task_id FROM s) t ON t.task_id <> d.own LEFT JOIN m USING (doc_id, task_id)",
+    s=_SNIPPETS,
+    d=_PROMPTS,
+    m=_MET,
 )
+def cross_task_contamination(spark, sf):
+    return contamination.checked(*_contaminated(spark, sf))
+
+
+@query(f"WITH s AS ({_SNIPPETS}), d AS ({_PROMPTS}) SELECT doc_id AS prompt_id, task_id FROM ({_MET})")
 def check_contamination(spark, sf):
     """Benchmark passages of other tasks in documents."""
-    snippets = A.table(spark, sf, "benchmark").where(F.char_length("text") >= 80).select(F.concat(F.lit("t"), (F.col("item_id") % 5).cast("string")).alias("task_id"), parsing.snippet(F.col("text"), 20, 80).alias("snippet"))
-    docs = A.table(spark, sf, "documents").select(F.col("doc_id").alias("prompt_id"), F.concat(F.lit("t"), (F.col("doc_id") % 5).cast("string")).alias("task_id"), "text")
-    return integrity.contamination(docs, snippets)
+    return contamination.contamination(*_contaminated(spark, sf))
 
 
 @query("SELECT n_name AS name, CAST(count(r_name) AS BIGINT) AS n, count(r_name) = 0 AS failed FROM nation LEFT JOIN region ON starts_with(r_name, n_name) OR starts_with(n_name, r_name) GROUP BY n_name")

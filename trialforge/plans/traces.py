@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trialforge.functions import parsing
-from trialforge.operators import integrity, matching, timeline
+from trialforge.operators import integrity, matching, sweep, timeline
 from trialforge.plans.registry import query, rounded, sql
 from trialforge.sources import adapter as A
 from trialforge.streaming import microbatch
@@ -50,6 +50,57 @@ def overlap_islands(spark, sf):
     return timeline.islands(A.traces(spark, sf))
 
 
+_LASTING = "SELECT * FROM traces WHERE ended_us > started_us"
+
+
+@query(sql("SELECT a.run_id, a.trace_id, count(b.trace_id) AS degree FROM c a LEFT JOIN c b ON a.run_id = b.run_id AND a.trace_id <> b.trace_id AND a.started_us < b.ended_us AND b.started_us < a.ended_us GROUP BY ALL", "traces", c=_LASTING))
+def overlap_degree(spark, sf):
+    """How many calls of its run each call overlaps, without a pair of calls."""
+    return sweep.degrees(A.traces(spark, sf))
+
+
+# Active calls between neighbouring moments, by a sum of +1 and -1 over the moments.
+_STEPS = "SELECT run_id, moment, sum(sum(d)) OVER (PARTITION BY run_id ORDER BY moment) AS active, lead(moment) OVER (PARTITION BY run_id ORDER BY moment) - moment AS lasts FROM (SELECT run_id, started_us AS moment, 1 AS d FROM c UNION ALL SELECT run_id, ended_us, -1 FROM c) GROUP BY run_id, moment"
+
+
+@query(
+    sql(
+        "SELECT run_id, CAST(max(active) AS BIGINT) AS peak, CAST(coalesce(sum(lasts) FILTER (active >= 1), 0) AS BIGINT) AS busy_us, CAST(coalesce(sum(lasts) FILTER (active >= 2), 0) AS BIGINT) AS parallel_us, round(sum(active * coalesce(lasts, 0)) / sum(lasts) FILTER (active >= 1), 6) AS mean_active FROM s GROUP BY run_id",
+        "traces",
+        c=_LASTING,
+        s=_STEPS,
+    )
+)
+def run_profile(spark, sf):
+    """The most calls at once of each run, and how long it was busy and parallel."""
+    return rounded(sweep.profile(A.traces(spark, sf)))
+
+
+# A largest group is what runs at the start of one of its calls, if no call starts between then and the group's first end.
+@query(
+    sql(
+        "SELECT run_id, from_us, until_us, n FROM (SELECT a.run_id, a.started_us AS from_us, min(b.ended_us) AS until_us, count(*) AS n FROM (SELECT DISTINCT run_id, started_us FROM c) a JOIN c b ON b.run_id = a.run_id AND b.started_us <= a.started_us AND b.ended_us > a.started_us GROUP BY a.run_id, a.started_us) g WHERE n >= 2 AND NOT EXISTS (SELECT 1 FROM c x WHERE x.run_id = g.run_id AND x.started_us > g.from_us AND x.started_us < g.until_us)",
+        "traces",
+        c=_LASTING,
+    )
+)
+def largest_groups(spark, sf):
+    """The largest sets of calls that run at once."""
+    return sweep.largest_groups(A.traces(spark, sf))
+
+
+@query(
+    sql(
+        "SELECT run_id, min(started_us) AS started_us, max(ended_us) AS ended_us, count(*) AS n_events FROM (SELECT *, sum(fresh) OVER (PARTITION BY run_id ORDER BY started_us, trace_id) AS island FROM (SELECT *, CASE WHEN coalesce(started_us >= max(ended_us) OVER (PARTITION BY run_id ORDER BY started_us, trace_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) THEN 1 ELSE 0 END AS fresh FROM c)) GROUP BY run_id, island",
+        "traces",
+        c=_LASTING,
+    )
+)
+def busy_stretches(spark, sf):
+    """Connected stretches of each run, from the sweep."""
+    return sweep.stretches(A.traces(spark, sf))
+
+
 @query(sql("SELECT variant_id, count(*) AS run_count, round(avg(duration_seconds), 6) AS mean_duration, round(avg(total_cost_usd), 6) AS mean_cost, CAST(floor(avg(total_input_tokens + total_output_tokens)) AS BIGINT) AS mean_tokens FROM runs GROUP BY variant_id", "runs"))
 def variant_summary(spark, sf):
     return rounded(timeline.variant_summary(A.runs(spark, sf)))
