@@ -225,7 +225,7 @@ def stitched(edges: DataFrame, ending: str) -> DataFrame:
                 yield match_batch(keys, row["part"], row["found"] + np.arange(1, n + 1), found, ids, codes, np.ones(n, bool))
         released()
 
-    return starts.join(rest, ["key", "chain"], "left").mapInArrow(run, MATCH.format(key=dict(edges.dtypes)["key"]))
+    return starts.join(rest.hint("merge"), ["key", "chain"], "left").mapInArrow(run, MATCH.format(key=dict(edges.dtypes)["key"]))
 
 
 def zigzags(rows: DataFrame, key: str, at: str, row_id: str, number: Column, move: Column, close: Column, gap_us: int = 1_800_000_000, ending: str = "optional") -> DataFrame:
@@ -244,7 +244,7 @@ def zigzags(rows: DataFrame, key: str, at: str, row_id: str, number: Column, mov
     told = stored(scanned(own, gap_us, ending), "matches")
     edges = stored(continued(told.where("edge is not null").select("key", "part", "edge.*"), gap_us), "edges", large_rows=True)
     more = stored(stitched(edges, ending), "joined", large_rows=True)
-    counted = edges.select("key", "part", "found").join(more.groupBy("key", "part").agg(F.count("*").alias("joined")), ["key", "part"], "left")
+    counted = edges.select("key", "part", "found").join(more.groupBy("key", "part").agg(F.count("*").alias("joined")).hint("merge"), ["key", "part"], "left")
     before = F.sum(F.col("found") + F.coalesce("joined", F.lit(0))).over(Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = stored(counted.select("key", "part", before.alias("before")).where("before > 0"), "offsets")
     settled = told.where("edge is null").drop("edge")
