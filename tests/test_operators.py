@@ -257,3 +257,45 @@ def test_ordinal_alpha_by_pairs(spark):
         total = sum(distance(a, b) for i, a in enumerate(values) for j, b in enumerate(values) if i != j)
         want = None if not total else 1 - observed / (total / (len(values) * (len(values) - 1)))
         assert got[d] is None if want is None else got[d] == pytest.approx(want, abs=1e-9)
+
+
+def test_targeted_pairs_by_complexity(spark):
+    """All eight pairs, overall and in each complexity, equal the tests of the stratum alone."""
+    from trialforge.plans.statistics import TARGETED
+
+    rng = random.Random(21)
+    variants = sorted({v for a, b, _ in TARGETED.values() for v in (a, b)})
+    levels = {"t1": "simple", "t2": "simple", "t3": "medium", "t4": "complex", "t5": None}
+    rows = [(v, t, r, f"d{v}{t}{r}", round(3 + 0.1 * i + rng.gauss(0, 0.4), 2), c) for i, v in enumerate(variants) for t, c in levels.items() for r in range(2 if t == "t4" else 5)]
+    rows = [r for r in rows if (r[0], r[1], r[2]) != ("v8", "t1", 0)]  # an incomplete block
+    df = spark.createDataFrame(rows, "variant_id string, task_id string, repetition int, design_id string, overall_median double, complexity string")
+    pairs = [v[:2] for v in TARGETED.values()]
+    got = {(r["stratum"], r["variant_a"], r["variant_b"]): r for r in ranking.targeted(df, pairs).collect()}
+    assert {k[0] for k in got} == {"all", "simple", "medium"}  # complex has two blocks
+    for stratum in ("all", "simple", "medium"):
+        own = df if stratum == "all" else df.where(f"complexity = '{stratum}'")
+        want = ranking.wilcoxon(own, pairs=pairs, family=8 if stratum == "all" else None).collect()
+        assert len(want) == 8
+        for w in want:
+            g = got[stratum, w["variant_a"], w["variant_b"]]
+            assert all(abs(g[c] - w[c]) < 1e-12 for c in ("n", "w_plus", "w_minus", "p_value", "p_adjusted", "mean_diff"))
+    a, b = ([r[4] for r in rows if r[0] == v and r[5] == "medium"] for v in ("v1", "v2a"))
+    mean = lambda x: sum(x) / len(x)
+    s2 = [sum((y - mean(x)) ** 2 for y in x) / (len(x) - 1) for x in (a, b)]
+    assert abs(got["medium", "v1", "v2a"]["cohens_d"] - (mean(a) - mean(b)) / (sum(s2) / 2) ** 0.5) < 1e-9
+
+
+def test_numbers_over_ranges(spark):
+    rng = random.Random(2)
+    rows = [(i, rng.randrange(50), rng.choice("ab")) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, x long, g string").repartition(5)
+    for order, lanes in ((["x", "id"], ["g"]), (["id"], None)):
+        groups = {}
+        for i, x, g in sorted(rows, key=lambda r: (r[1], r[0]) if order[0] == "x" else r[0]):
+            groups.setdefault(g if lanes else None, []).append(i)
+        want = {i: k + 1 for ids in groups.values() for k, i in enumerate(ids)}
+        assert {r["id"]: r["n"] for r in prefix.numbered(df, order, "n", lanes).collect()} == want
+        after = {i: (ids[k + 1] if k + 1 < len(ids) else None) for ids in groups.values() for k, i in enumerate(ids)}
+        assert {r["id"]: r["next_id"] for r in prefix.followed(df, order, ["id"], lanes).collect()} == after
+    text = df.withColumn("name", F.concat(F.lit("n"), F.lpad(F.col("id").cast("string"), 4, "0")))
+    assert {r["id"]: r["n"] for r in prefix.numbered(text, ["name"], "n").collect()} == {i: i + 1 for i in range(500)}

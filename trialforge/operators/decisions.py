@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialforge.functions import tails
-from trialforge.operators import analysis, ranking
+from trialforge.operators import analysis, prefix, ranking
+from trialforge.sources.scratch import stored
 
 WARN_BELOW = 0.8
 
@@ -39,9 +40,10 @@ def framework(scores: DataFrame, costs: DataFrame, coherence: DataFrame | None =
         out = out.join(F.broadcast(rate), "variant_id", "left").withColumn("coherence_warning", F.coalesce(F.col("rate") < WARN_BELOW, F.lit(False))).drop("rate")
     if not confidence:
         return out.drop("rival")
-    numbered = rows.join(costs.select("run_id"), "run_id").withColumn("i", F.row_number().over(Window.partitionBy("complexity", "variant_id").orderBy("run_id")))
-    a = numbered.select("complexity", F.col("variant_id").alias("variant_a"), "i", F.col("overall_median").alias("va"))
-    b = numbered.select("complexity", F.col("variant_id").alias("variant_b"), "i", F.col("overall_median").alias("vb"))
+    known = rows.select("run_id", "complexity", "variant_id", "overall_median").join(costs.select("run_id"), "run_id")
+    each = prefix.numbered(stored(known, "runs"), ["run_id"], "i", ["complexity", "variant_id"])
+    a = each.select("complexity", F.col("variant_id").alias("variant_a"), "i", F.col("overall_median").alias("va"))
+    b = each.select("complexity", F.col("variant_id").alias("variant_b"), "i", F.col("overall_median").alias("vb"))
     wanted = out.select("complexity", F.col("variant_id").alias("variant_a"), F.col("rival").alias("variant_b")).distinct()
     pairs = a.join(F.broadcast(wanted), ["complexity", "variant_a"]).join(b, ["complexity", "variant_b", "i"]).withColumn("d", F.col("va") - F.col("vb"))
     tested = ranking.signed_ranks(pairs, ["complexity", "variant_a"]).where("n >= 5").withColumn("p_value", tails.wilcoxon_column()("w_plus", "w_minus", "n_used", "ties", "zeros"))

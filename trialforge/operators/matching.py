@@ -6,16 +6,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialforge.functions import parsing
+from trialforge.operators.prefix import numbered
 
 
 def by_fingerprint(requests: DataFrame, replies: DataFrame, text: str = "text", request_id: str = "request_id", reply_id: str = "reply_id") -> DataFrame:
     """request_id, reply_id (null if none): by equal fingerprints of the texts, equal ones first come, first served."""
 
-    def numbered(df: DataFrame, key: str) -> DataFrame:
+    def served(df: DataFrame, key: str) -> DataFrame:
         own = df.select(F.col(key), parsing.fingerprint(F.col(text)).alias("print"))
         return own.withColumn("n", F.row_number().over(Window.partitionBy("print").orderBy(key)))
 
-    return numbered(requests, request_id).join(numbered(replies, reply_id), ["print", "n"], "left").select(request_id, reply_id)
+    return served(requests, request_id).join(served(replies, reply_id), ["print", "n"], "left").select(request_id, reply_id)
 
 
 def by_custom_id(requests: DataFrame, replies: DataFrame, key: str = "custom_id") -> DataFrame:
@@ -23,10 +24,9 @@ def by_custom_id(requests: DataFrame, replies: DataFrame, key: str = "custom_id"
     return requests.join(replies.select(key).distinct().withColumn("matched", F.lit(True)), key, "left").withColumn("matched", F.coalesce("matched", F.lit(False)))
 
 
-def chunked(rows: DataFrame, order: list, size: int, group: list[str]) -> DataFrame:
+def chunked(rows: DataFrame, order: list[str], size: int, group: list[str]) -> DataFrame:
     """rows with chunk: numbers of chunks of `size` rows of each group, in order."""
-    n = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
-    return rows.withColumn("chunk", F.floor((n - 1) / size).cast("long"))
+    return numbered(rows, order, "_n", group).withColumn("chunk", F.floor((F.col("_n") - 1) / size).cast("long")).drop("_n")
 
 
 def chunk_outcomes(requests: DataFrame, responses: DataFrame, expected: int, key: str = "design_id") -> DataFrame:

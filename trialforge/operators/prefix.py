@@ -1,7 +1,7 @@
-"""Running sums over a whole table without one task that sees all rows.
+"""Running sums, numbers and neighbours over a whole table without one task that sees all rows.
 
-Values are cut into ranges at approximate quantiles (a bounded number of edges, found by one pass). Sums of ranges are
-a few rows; a running sum is that of the ranges before, plus a window within the range.
+Values are cut into ranges at approximate quantiles, found by an aggregate of the same plan. Sums of ranges are a few
+rows; a running sum is that of the ranges before, plus a window within the range.
 """
 
 from __future__ import annotations
@@ -12,15 +12,8 @@ from pyspark.sql import functions as F
 RANGES = 256
 
 
-def edges_of(rows: DataFrame, column: str) -> list[float]:
-    """Up to RANGES - 1 distinct values that cut the rows into ranges of about the same size."""
-    n = min(RANGES, max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    found = rows.select(F.col(column).cast("double").alias("x")).approxQuantile("x", [k / n for k in range(1, n)], 1 / (4 * n))
-    return sorted(set(found))
-
-
-def range_of(column: Column, edges: list[float]) -> Column:
-    """How many edges are at most the value, by bisection."""
+def range_of(column: Column, edges: Column, n: int) -> Column:
+    """How many of n edges (an array, sorted) are at most the value, by bisection."""
 
     def pick(a: int, b: int) -> Column:
         if a == b:
@@ -28,11 +21,14 @@ def range_of(column: Column, edges: list[float]) -> Column:
         m = (a + b) // 2
         return F.when(column < edges[m], pick(a, m)).otherwise(pick(m + 1, b))
 
-    return pick(0, len(edges))
+    return pick(0, n)
 
 
 def _ranged(rows: DataFrame, first: str) -> DataFrame:
-    return rows.withColumn("_range", range_of(F.col(first).cast("double"), edges_of(rows, first)))
+    """rows with _range, the number of their range by the column `first`: up to RANGES ranges of about the same size."""
+    n = min(RANGES, max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    edges = rows.agg(F.percentile_approx(F.col(first).cast("double"), [k / n for k in range(1, n)], 4 * n).alias("_edges"))  # one row
+    return rows.crossJoin(F.broadcast(edges)).withColumn("_range", range_of(F.col(first).cast("double"), F.col("_edges"), n - 1)).drop("_edges")
 
 
 def _joined(cut: DataFrame, far: DataFrame, lanes: list[str]) -> DataFrame:
@@ -81,3 +77,10 @@ def followed(rows: DataFrame, order: list[str], columns: list[str], lanes: list[
     for c in columns:
         cut = cut.withColumn(f"_near_{c}", F.lead(c).over(within))
     return _joined(cut, far, lanes).select(*rows.columns, *[F.when(F.col("_last"), F.col(f"_first.{c}")).otherwise(F.col(f"_near_{c}")).alias(f"next_{c}") for c in columns])
+
+
+def numbered(rows: DataFrame, order: list[str], out: str, lanes: list[str] | None = None) -> DataFrame:
+    """rows with their number from 1, by `order`, in each lane. Where the first order column is no number, by a window over the lane."""
+    if rows.schema[order[0]].dataType.typeName() in ("byte", "short", "integer", "long", "float", "double"):
+        return running(rows, order, {out: F.lit(1)}, lanes).withColumn(out, F.col(out) + 1)
+    return rows.withColumn(out, F.row_number().over(Window.partitionBy(*(lanes or [F.lit(0)])).orderBy(*order)).cast("long"))

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialforge.functions import tails
-from trialforge.operators.prefix import sums_before
+from trialforge.operators.prefix import running, sums_before
+from trialforge.sources.scratch import stored
 
 BLOCK = ["task_id", "repetition"]
 
@@ -59,6 +60,11 @@ def friedman(df: DataFrame, value: str = "overall_median", strata: list[str] | N
     return own.where("k >= 3").select(*s, "k", "n_blocks", F.when(correction > 0, plain / correction).otherwise(F.lit(0.0)).alias("q"))
 
 
+def stratified(df: DataFrame, by: str = "complexity", whole: str = "all") -> DataFrame:
+    """Each row in the stratum `whole`, and once more in that of its `by`, if it has one: overall and stratified statistics of one plan, with strata=["stratum"]."""
+    return df.withColumn("stratum", F.explode(F.array_compact(F.array(F.lit(whole), F.col(by)))))
+
+
 def with_friedman_p(df: DataFrame) -> DataFrame:
     return df.withColumn("p_value", tails.chi2_column()(F.col("q"), (F.col("k") - 1).cast("double")))
 
@@ -70,10 +76,13 @@ def signed_ranks(pairs: DataFrame, keys: list[str]) -> DataFrame:
     the m non-zero differences, 0 where there is none.
     """
     d = F.round("d", 9)
-    rows = pairs.withColumn("d", d).withColumn("size", F.abs("d"))
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum((F.col("d") == 0).cast("long")).alias("zeros"), F.avg("d").alias("mean_diff"))
-    used = rows.where("d <> 0").withColumn("r", average_rank(keys, F.col("size"), descending=False)).withColumn("t", F.count(F.lit(1)).over(Window.partitionBy(*keys, "size")))
-    sums = used.groupBy(*keys).agg(F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col("d") < 0, F.col("r")).otherwise(0.0)).alias("w_minus"), F.sum(F.col("t") * F.col("t") - 1).cast("double").alias("ties"))
+    # Counts of distinct differences, for all that follows.
+    rows = stored(pairs.withColumn("d", d).groupBy(*keys, "d").agg(F.count("*").alias("c"), F.sum("d").alias("total")), "differences").withColumn("size", F.abs("d"))
+    sizes = rows.groupBy(*keys).agg(F.sum("c").alias("n"), F.sum(F.when(F.col("d") == 0, F.col("c")).otherwise(0)).alias("zeros"), (F.sum("total") / F.sum("c")).alias("mean_diff"))
+    # Ranks are those of the distinct sizes, summed up range by range, with the keys as lanes.
+    used = rows.where("d <> 0").groupBy(*keys, "size").agg(F.sum("c").alias("t"), F.sum(F.when(F.col("d") > 0, F.col("c")).otherwise(0)).alias("up"))
+    used = running(used, ["size"], {"below": F.col("t")}, keys).withColumn("r", F.col("below") + (F.col("t") + 1) / 2.0)
+    sums = used.groupBy(*keys).agg(F.sum(F.col("up") * F.col("r")).alias("w_plus"), F.sum((F.col("t") - F.col("up")) * F.col("r")).alias("w_minus"), F.sum(F.col("t") * (F.col("t") * F.col("t") - 1)).cast("double").alias("ties"))
     out = sizes.join(sums, keys, "left").na.fill(0.0, ["w_plus", "w_minus", "ties"]).withColumn("n_used", F.col("n") - F.col("zeros"))
     w, n, m = F.least("w_plus", "w_minus"), F.col("n"), F.col("n_used")
     return out.withColumn("effect_compat", 1 - 2 * w / (n * (n + 1))).withColumn("effect", F.when(m > 0, 1 - 4 * w / (m * (m + 1))).otherwise(0.0))
@@ -105,15 +114,29 @@ def wilcoxon(df: DataFrame, strata: list[str] | None = None, family: int | str |
     return out.withColumn("p_adjusted", F.least(F.lit(1.0), F.col("p_value") * m))
 
 
-def mann_whitney(rows: DataFrame, group: str, value: str, first: str, strata: list[str] | None = None) -> DataFrame:
-    """strata, n_first, n_second, u (of the first), effect = 1 - 2u/(n1 n2), ties. rows with a null group are left out; all groups but `first` are the second sample.
+def targeted(df: DataFrame, pairs: list[tuple[str, str]], by: str = "complexity", least_blocks: int = 3) -> DataFrame:
+    """variant_a, variant_b, stratum ("all" or a value of `by`), wilcoxon()'s columns and cohens_d of given pairs.
+
+    Blocks are complete within their stratum. Overall p-values are adjusted for the number of pairs; within a stratum,
+    which needs three blocks, they are as they are.
+    """
+    rows = stratified(df, by)
+    found = wilcoxon(rows, strata=["stratum"], pairs=pairs, family=None)
+    whole = F.col("stratum") == "all"
+    found = found.where(whole | (F.col("n") >= least_blocks)).withColumn("p_adjusted", F.when(whole, F.least(F.lit(1.0), F.col("p_value") * len(pairs))).otherwise(F.col("p_value")))
+    own = complete(rows, strata=["stratum"]).select("stratum", "variant_id", F.col("v").alias("overall_median"))
+    return found.join(cohens_d(own, strata=["stratum"]), ["stratum", "variant_a", "variant_b"], "left")
+
+
+def mann_whitney(rows: DataFrame, group: str, value: str, first, strata: list[str] | None = None) -> DataFrame:
+    """strata, n_first, n_second, u (of the first), effect = 1 - 2u/(n1 n2), ties. rows with a null group are left out; all groups but `first` (a value or a Column) are the second sample.
 
     The rank of a value is made from counts of distinct values, summed up range by range, so that no window holds
     all values of a stratum.
     """
     s = strata or []
     own = rows.where(F.col(group).isNotNull() & F.col(value).isNotNull()).groupBy(*s, F.col(value).alias("v")).agg(F.sum((F.col(group) == first).cast("long")).alias("a"), F.count("*").alias("t"))
-    ranked = sums_before(own, ["v"], F.col("t"), "below", s).withColumn("r", F.col("below") + (F.col("t") + 1) / 2.0)
+    ranked = sums_before(stored(own, "values"), ["v"], F.col("t"), "below", s).withColumn("r", F.col("below") + (F.col("t") + 1) / 2.0)
     out = ranked.groupBy(*s).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(name) for name, c in (("n_first", F.col("a")), ("n_second", F.col("t") - F.col("a")))], F.coalesce(F.sum(F.col("a") * F.col("r")), F.lit(0.0)).alias("rank_sum"), F.coalesce(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).cast("double"), F.lit(0.0)).alias("ties"))
     n1, n2 = F.col("n_first"), F.col("n_second")
     u = F.col("rank_sum") - n1 * (n1 + 1) / 2.0
@@ -126,7 +149,7 @@ def with_mann_whitney_p(df: DataFrame, alternative: str = "two-sided") -> DataFr
 
 def spearman(rows: DataFrame, x: str, y: str, least: int = 5) -> DataFrame:
     """One row: n, rho (null under `least` rows, or where one side does not vary), by average ranks."""
-    own = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("x"), F.col(y).alias("y"))
+    own = stored(rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("x"), F.col(y).alias("y")), "values")
 
     def ranks(c: str) -> DataFrame:
         counts = own.groupBy(c).agg(F.count("*").alias("t"))
@@ -142,14 +165,16 @@ def with_spearman_p(df: DataFrame) -> DataFrame:
     return df.withColumn("p_value", tails.spearman_column()("rho", "n"))
 
 
-def cohens_d(df: DataFrame, value: str = "overall_median") -> DataFrame:
-    """variant_a, variant_b, d with the pooled deviation, 0 if a side has one value or nothing varies; all pairs a < b."""
-    own = df.groupBy("variant_id").agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.coalesce(F.var_samp(value), F.lit(0.0)).alias("s2"))
-    a, b = (own.select(*[F.col(c).alias(f"{c}_{k}") for c in own.columns]) for k in "ab")
-    pairs = a.join(b, F.col("variant_id_a") < F.col("variant_id_b"))
+def cohens_d(df: DataFrame, value: str = "overall_median", strata: list[str] | None = None) -> DataFrame:
+    """strata, variant_a, variant_b, d with the pooled deviation, 0 if a side has one value or nothing varies; all pairs a < b."""
+    s = strata or []
+    own = df.groupBy(*s, "variant_id").agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.coalesce(F.var_samp(value), F.lit(0.0)).alias("s2"))
+    a, b = (own.select(*s, *[F.col(c).alias(f"{c}_{k}") for c in own.columns if c not in s]) for k in "ab")
+    ordered = F.col("variant_id_a") < F.col("variant_id_b")
+    pairs = a.join(b, s).where(ordered) if s else a.join(b, ordered)
     pooled = F.sqrt(((F.col("n_a") - 1) * F.col("s2_a") + (F.col("n_b") - 1) * F.col("s2_b")) / (F.col("n_a") + F.col("n_b") - 2))
     ok = (F.col("n_a") >= 2) & (F.col("n_b") >= 2) & (F.col("s2_a") + F.col("s2_b") > 0)
-    return pairs.select(F.col("variant_id_a").alias("variant_a"), F.col("variant_id_b").alias("variant_b"), F.when(ok, (F.col("m_a") - F.col("m_b")) / pooled).otherwise(0.0).alias("cohens_d"))
+    return pairs.select(*s, F.col("variant_id_a").alias("variant_a"), F.col("variant_id_b").alias("variant_b"), F.when(ok, (F.col("m_a") - F.col("m_b")) / pooled).otherwise(0.0).alias("cohens_d"))
 
 
 #: Place of each parent variant on the three axes.
@@ -180,9 +205,12 @@ def axis_level(column, axis: str):
 
 def axis_effects(df: DataFrame, value: str = "overall_median") -> DataFrame:
     """axis, level_a (alphabetically first), level_b and the rank-sum statistics of each axis; unknown variants are left out."""
-    out = None
-    for axis in AXES:
-        low, high = sorted({levels[AXES.index(axis)] for levels in TAXONOMY.values()})
-        one = mann_whitney(df.withColumn("level", axis_level(F.col("variant_id"), axis)), "level", value, low).select(F.lit(axis).alias("axis"), F.lit(low).alias("level_a"), F.lit(high).alias("level_b"), "*")
-        out = one if out is None else out.unionByName(one)
-    return out
+    ends = {axis: sorted({levels[i] for levels in TAXONOMY.values()}) for i, axis in enumerate(AXES)}
+    # Each row once for each axis, so that all axes share one plan; the axis is the lane of the ranks.
+    each = F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.lit(low).alias("level_a"), F.lit(high).alias("level_b"), axis_level(F.col("variant_id"), a).alias("level")) for a, (low, high) in ends.items()])).alias("x")
+    rows = df.select(F.col(value).alias("value"), each).select("value", "x.*")
+    keys = ["axis", "level_a", "level_b"]
+    found = mann_whitney(rows, "level", "value", F.col("level_a"), keys)
+    # An axis without rows has a row too.
+    axes = df.sparkSession.createDataFrame([(a, *x) for a, x in ends.items()], "axis string, level_a string, level_b string")
+    return axes.join(found, keys, "left").na.fill(0, ["n_first", "n_second"]).na.fill(0.0, ["u", "ties"])

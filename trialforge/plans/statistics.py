@@ -194,6 +194,34 @@ def targeted_comparisons(spark, sf):
     return rounded(spec.join(tested, ["variant_a", "variant_b"], "left").join(ranking.cohens_d(scores), ["variant_a", "variant_b"], "left"))
 
 
+#: Cells overall and by complexity, and the blocks of a stratum that have all of its variants.
+_ALL_STRATA = {
+    "cells": "SELECT stratum, variant_id, task_id, repetition, arg_min(overall_median, design_id) AS v FROM (SELECT *, 'all' AS stratum FROM scores UNION ALL SELECT *, complexity FROM scores WHERE complexity IS NOT NULL) GROUP BY ALL",
+    "whole": "SELECT c.* FROM cells c JOIN (SELECT stratum, task_id, repetition, count(*) AS k FROM cells GROUP BY ALL) USING (stratum, task_id, repetition) JOIN (SELECT stratum, count(DISTINCT variant_id) AS all_k FROM cells GROUP BY ALL) USING (stratum) WHERE k = all_k",
+}
+_D_STRATA = _D.replace("FROM scores GROUP BY 1", "FROM whole GROUP BY ALL").replace("overall_median", "v").replace("SELECT variant_id, count(*)", "SELECT stratum, variant_id, count(*)").replace("SELECT a.variant_id", "SELECT a.stratum, a.variant_id").replace("b ON a.variant_id < b.variant_id", "b ON a.stratum = b.stratum AND a.variant_id < b.variant_id")
+
+
+@query(
+    sql(
+        f"SELECT * REPLACE (CASE WHEN stratum = 'all' THEN least(1.0, round(p_value * {len(TARGETED)}, 6)) ELSE p_value END AS p_adjusted) FROM (SELECT * FROM {_wilcoxon_sql('stratum, ' + _VS, _BOTH.format('a.stratum, ', 'whole', 'whole', 'stratum, ', _AMONG), '1')}) JOIN (SELECT comparison, variant_a, variant_b, variable FROM (VALUES {_SPEC}) s(comparison, variant_a, variant_b, variable)) USING (variant_a, variant_b) LEFT JOIN ({_D_STRATA}) USING (stratum, variant_a, variant_b) WHERE stratum = 'all' OR n >= 3",
+        "scores",
+        **_ALL_STRATA,
+    )
+)
+def targeted_by_complexity(spark, sf):
+    """The targeted comparisons that have data, overall and by complexity, from one plan over all strata."""
+    spec = spark.createDataFrame([(k, *v) for k, v in TARGETED.items()], "comparison string, variant_a string, variant_b string, variable string")
+    found = rounded(ranking.targeted(A.score_view(spark, sf), [v[:2] for v in TARGETED.values()]))
+    return rounded(found.withColumn("p_adjusted", F.when(F.col("stratum") == "all", F.least(F.lit(1.0), F.col("p_value") * len(TARGETED))).otherwise(F.col("p_value")))).join(F.broadcast(spec), ["variant_a", "variant_b"])
+
+
+@query(sql(_CHI4.format(_Q_STRATA.replace("complexity", "stratum")), "scores", **_ALL_STRATA, ranked=VIEWS["ranked"].replace("PARTITION BY task_id", "PARTITION BY stratum, task_id")))
+def friedman_all_strata(spark, sf):
+    """Friedman's test overall and by complexity, from one plan over all strata."""
+    return rounded(ranking.with_friedman_p(ranking.friedman(ranking.stratified(A.score_view(spark, sf)), strata=["stratum"])))
+
+
 @query(
     sql(
         """SELECT a.variant_id AS variant_a, b.variant_id AS variant_b, round((a.m - b.m) / sqrt(((a.n - 1) * a.s2 + (b.n - 1) * b.s2) / (a.n + b.n - 2)), 6) AS cohens_d FROM g a JOIN g b ON a.variant_id < b.variant_id""",
