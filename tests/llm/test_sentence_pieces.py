@@ -78,6 +78,62 @@ def test_encoded_edges(edge, none):
     assert S.encoded(none, MODEL).count() == 0
 
 
+def chunked_ids(text, part):
+    """Matrices of chunks, their best path, and each chunk traced by itself, without Spark."""
+    whole, width = " " + text, PIECES.width
+    cuts = [*range(0, max(1, len(whole) - width), part), len(whole)]
+    chunks = [(whole[max(0, a - width) : b + width].replace(" ", S.SPACE), min(a, width), b - a, a == 0, b == len(whole)) for a, b in zip(cuts, cuts[1:])]
+    states = S.best_states([PIECES.matrix(*c) for c in chunks])
+    return np.concatenate([ids for ids, _, _ in PIECES.traced_chunks([(*c, *s) for c, s in zip(chunks, zip(states, states[1:]))])]).tolist()
+
+
+@given(st.lists(st.sampled_from(LETTERS), min_size=1, max_size=120).map("".join), st.integers(20, 60))
+@settings(max_examples=150, deadline=None)
+def test_chunks_of_odd_texts(text, part):
+    assert chunked_ids(text, part) == LIBRARY.encode(text)
+
+
+@pytest.mark.parametrize("part, grouped", [(40, 2), (97, 64), (300, 3)])
+def test_documents_in_chunks(spark, monkeypatch, small, part, grouped):
+    monkeypatch.setattr(S, "PART", part)
+    monkeypatch.setattr(S, "GROUPED", grouped)
+    rng = random.Random(part)
+    texts = [r["text"] for r in small.limit(25).collect()] + [None, "", "x" * part, "x" * (part + 1), "thethe" * 200, "ab" * 150 + "é中🙂" * 60, "▁" * 90 + " " * 90, "".join(rng.choice(LETTERS) for _ in range(900))]
+    texts = [t and t[:3000] for t in texts]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    rows = {r["doc_id"]: r for r in S.encoded(df, MODEL).collect()}
+    assert len(rows) == len(texts)
+    for i, t in enumerate(texts):
+        want = LIBRARY.encode(t or "")
+        assert np.frombuffer(rows[i]["ids"], "<u4").tolist() == want and rows[i]["n_tokens"] == len(want)
+        assert rows[i]["round_trip"] == (LIBRARY.decode(want) == (t or ""))
+
+
+def test_query_goes_by_matrices(spark, sf, monkeypatch, small):
+    """Long documents of the query come through their chunks' matrices: without them it fails."""
+    assert small.where("char_length(text) > 16384").count() > 0
+    chunks = S.cut_documents(small, MODEL, "doc_id", "text")
+    assert chunks.groupBy("row").count().where("count > 1").count() == small.where("char_length(text) > 16384").count()
+    assert S.chunk_matrices(chunks, MODEL).where("entries > 1").count() > 0
+
+    def broken(*_):
+        raise RuntimeError("no matrix")
+
+    monkeypatch.setattr(S, "chunk_matrices", broken)
+    with pytest.raises(RuntimeError, match="no matrix"):
+        queries.op8_sentence_pieces(spark, sf)
+
+
+def test_giant_document_over_tasks(spark, small):
+    text = " ".join(r["text"] or "" for r in small.collect())
+    text = (text * (1 + 8_000_000 // len(text)))[:8_000_000]
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    chunks = S.cut_documents(df, MODEL, "doc_id", "text").repartition(4, "row", "place")
+    assert chunks.select("place").distinct().count() == -(-len(text) // S.PART)
+    row = S.encoded(df, MODEL).first()
+    assert row["ids"] == np.array(LIBRARY.encode(text), "<u4").tobytes() and row["round_trip"]
+
+
 def vocabulary(rng):
     words = ["▁", "▁a", "ab", "b", "abc", "c", "▁ab", "bca", "a", "cab▁", "aaaa"]
     return {w: -rng.random() * 5 - len(w) * 0.1 for w in words}

@@ -15,6 +15,12 @@ matrices are single zeros, and a document falls apart into segments there. Each
 at a time in arrays, and remembered up to a bound; only segments longer than LONG are cut again, with matrices over all
 pieces that can lie across the cut. Whether two pieces stay is found by merging the two, once for each pair.
 
+A document of more than PART characters is cut into chunks that are rows of their own, dealt over all tasks. A chunk gives
+its matrix over the pieces across its two cuts: what lies before its first border tells which entries lead on, what lies
+after its last one which exits are reached, and between borders there is one way; a chunk without borders is searched
+through, for all entries at once. Products of GROUPED matrices at a time go up a tree, the states at the cuts come down
+it again, and every chunk is traced by itself between its two states.
+
 Edge cases: null text counts as empty and has no ids; repeated rows are encoded each; an empty table gives no rows;
 texts of any length and segments of any length are encoded whole. Other columns are not read.
 """
@@ -22,10 +28,12 @@ texts of any length and segments of any length are encoded whole. Other columns
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +42,8 @@ from trialforge.llm._common import held, mix64, pieces_of, raw_text, released, s
 SPACE = "▁"
 #: Segments remembered by a worker, bytes of text at once, characters of a chunk, and of a segment that is cut.
 REMEMBERED, AT_ONCE, CHUNK, LONG = 1_000_000, 2_000_000, 65_536, 64
+#: Characters of a chunk of a document, matrices that are combined by one task, and bytes of chunks in a batch.
+PART, GROUPED, BATCH_BYTES = 16_384, 64, 4_000_000
 BASE = 0x9E3779B97F4A7C15
 UNIT_ = pow(BASE, -1, 1 << 64)
 
@@ -266,6 +276,84 @@ class MergePieces:
             out += own[::-1]
         return out
 
+    def leads(self, text: str, entries: list[tuple[int, int]], stop: int) -> list[dict[int, int]]:
+        """For each place: the begin of the pieces that can end there, with a bit for each entry state that leads to them. Pieces begin before `stop`."""
+        known = self.stays = self.stays if len(self.stays) < REMEMBERED // 10 else {}
+        out: list[dict[int, int]] = [{} for _ in range(len(text) + 1)]
+        for i, (s, e) in enumerate(entries):
+            out[e][s] = out[e].get(s, 0) | 1 << i
+        for at in range(min((e for _, e in entries), default=stop), stop):
+            for begin, bits in out[at].items():
+                for e in range(at + 1, min(len(text), at + self.width) + 1):
+                    if text[at:e] in self.pairs.scores or e == at + 1:
+                        key = (text[begin:at], text[at:e])
+                        if key not in known:
+                            known[key] = not key[0] or self.pairs.stay(*key)
+                        if known[key]:
+                            out[e][at] = out[e].get(at, 0) | bits
+        return out
+
+    def way(self, text: str, entry: tuple[int, int], stop: int, leave: tuple[int, int] | None = None) -> list[str]:
+        """The pieces from an entry state to the exit state, or to whatever piece ends at `stop`."""
+        found = self.reached(text, entry, stop)
+        s, e = leave if leave is not None else (next(iter(found[stop])), stop)
+        own = []
+        while e > entry[1]:
+            own.append(text[s:e])
+            s, e = found[e][s], s
+        return own[::-1]
+
+    def frame(self, text: str, before: int, size: int, first: bool, last: bool) -> tuple[list, list, np.ndarray, int, int]:
+        """Of a chunk, text[before : before + size], with what lies around it: states at its entry and exit, its characters, and its first and last border (the first one is beyond the last one if no two frame anything)."""
+        stop = before + size
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kinds = self.class_of[points]
+        borders = np.flatnonzero(np.append(first, ~self.beside[kinds[:-1], kinds[1:]]))
+        entries = [(0, 0)] if first else self.across(text, before)
+        exits = [(s, e) for s, e in self.across(text, stop) if not last or e == stop]
+        a, b = borders[borders >= before], borders[borders < stop]
+        return entries, exits, points, int(a[0]) if len(a) else stop, int(b[-1]) if len(b) else -1
+
+    def matrix(self, text: str, before: int, size: int, first: bool, last: bool) -> np.ndarray:
+        """Best scores from each entry state of a chunk to each exit state: 0, or minus infinity where no way leads."""
+        entries, exits, _, low, high = self.frame(text, before, size, first, last)
+        stop = before + size
+        if low <= high:
+            heads = 0
+            for bits in self.leads(text[:low], entries, low)[low].values():
+                heads |= bits
+            tails = self.leads(text[high:], [(0, 0)], stop - high)
+            good = np.array([[heads >> i & 1 and tails[e - high].get(s - high, 0) for s, e in exits] for i in range(len(entries))], bool)
+        else:
+            found = self.leads(text, entries, stop)
+            good = np.array([[found[e].get(s, 0) >> i & 1 for s, e in exits] for i in range(len(entries))], bool)
+        return np.where(good.reshape(len(entries), len(exits)), 0.0, -np.inf)
+
+    def ids_of(self, pieces: list[str]) -> list[int]:
+        out = []
+        for p in pieces:
+            out += [int(self.id_of[self.pairs.number[p]])] if p in self.pairs.number else self.of_byte[list(p.encode("utf-8", "surrogatepass"))].tolist()
+        return out
+
+    def traced_chunks(self, chunks: list[tuple[str, int, int, bool, bool, int, int]]) -> list[tuple[np.ndarray, int, int]]:
+        """Ids of each chunk (matrix()'s arguments, and the numbers of its entry and exit state), and where its pieces begin and end in its text. What lies between borders is encoded for all chunks at once."""
+        framed, inner = [], []
+        for text, before, size, first, last, entry, leave in chunks:
+            entries, exits, points, low, high = self.frame(text, before, size, first, last)
+            framed.append((text, entries[entry], exits[leave], low, high, before + size))
+            inner.append(points[low:high] if low <= high else points[:0])
+        ids, bounds = self.encode_points(np.concatenate(inner), np.append(0, np.cumsum([len(x) for x in inner]))) if inner else (None, None)
+        out = []
+        for k, (text, entry, leave, low, high, stop) in enumerate(framed):
+            if low <= high:
+                head = self.way(text[:low], entry, low)
+                tail = self.way(text[high:], (0, 0), stop - high, (leave[0] - high, leave[1] - high))
+                own = np.concatenate([self.ids_of(head), ids[bounds[k] : bounds[k + 1]], self.ids_of(tail)]).astype(self.kind)
+            else:
+                own = np.array(self.ids_of(self.way(text, entry, stop, leave)), self.kind)
+            out.append((own, entry[1], leave[1]))
+        return out
+
     def learn(self, points: np.ndarray, starts: np.ndarray, stops: np.ndarray, keys: np.ndarray) -> None:
         """Traces new segments and remembers their ids."""
         size = stops - starts
@@ -305,7 +393,10 @@ class MergePieces:
         """Ids of all texts (bytes), one after the other, and where they begin (and, last, how many there are)."""
         texts = [(" " + x.decode("utf-8", "replace")).replace(" ", SPACE) if x else "" for x in raw.to_pylist()]
         points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-        bounds = np.append(0, np.cumsum([len(t) for t in texts]))
+        return self.encode_points(points, np.append(0, np.cumsum([len(t) for t in texts])))
+
+    def encode_points(self, points: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for characters that are texts, or parts of texts between borders, from each bound to the next."""
         if not len(points):
             return np.zeros(0, self.kind), bounds
         kinds = self.class_of[points]
@@ -352,6 +443,126 @@ def best_states(matrices: list[np.ndarray]) -> list[int]:
     return states[::-1]
 
 
+def cut_documents(docs: DataFrame, model: str, id_col: str, text_col: str) -> DataFrame:
+    """id, row (a number of its own for each text), place, text, before, size, last, clean: chunks of the texts of more than PART characters, each with what a piece can reach into on both sides. clean: the text is UTF-8."""
+    kind, part = docs.schema[id_col].dataType.simpleString(), PART
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width, number = held(MergePieces, model).width, TaskContext.get().partitionId() << 40
+        names = ["id", "row", "place", "text", "before", "size", "last", "clean"]
+
+        def batch(ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*rows, strict=True))
+            types = [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_()]
+            return pa.RecordBatch.from_arrays([ids.take(pa.array([0] * len(rows))), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names)
+
+        for x in batches:
+            for k, raw in enumerate(x.column("raw")):
+                raw = raw.as_py()
+                text = " " + raw.decode("utf-8", "replace")
+                clean, number, rows, held_bytes = len(text.encode()) == len(raw) + 1 and text[1:].encode() == raw, number + 1, [], 0
+                cuts = [*range(0, max(1, len(text) - width), part), len(text)]
+                for place, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                    low = max(0, a - width)
+                    rows.append((number, place, text[low : b + width], a - low, b - a, b == len(text), clean))
+                    held_bytes += 4 * part
+                    if held_bytes > BATCH_BYTES:
+                        yield batch(x.column("id").slice(k, 1), rows)
+                        rows, held_bytes = [], 0
+                if rows:
+                    yield batch(x.column("id").slice(k, 1), rows)
+
+    rows = docs.where(F.char_length(text_col) > part).select(F.col(id_col).alias("id"), raw_text(F.col(text_col)).alias("raw"))
+    return rows.mapInArrow(run, f"id {kind}, row long, place int, text string, before int, size int, last boolean, clean boolean")
+
+
+def chunk_matrices(chunks: DataFrame, model: str) -> DataFrame:
+    """row, place, entries, m: the transfer matrix of each chunk, by rows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pieces = held(MergePieces, model)
+        for x in batches:
+            found = [pieces.matrix(t.replace(" ", SPACE), b, n, p == 0, z) for t, b, n, p, z in zip(x["text"], x["before"], x["size"], x["place"], x["last"], strict=True)]
+            yield pd.DataFrame({"row": x["row"], "place": x["place"], "entries": [len(m) for m in found], "m": [m.tobytes() for m in found]})
+
+    return chunks.mapInPandas(run, "row long, place int, entries int, m binary")
+
+
+def matrices_in(x: pd.DataFrame) -> list[np.ndarray]:
+    return [np.frombuffer(m, np.float64).reshape(n, -1) for n, m in zip(x["entries"], x["m"], strict=True)]
+
+
+def products(level: DataFrame) -> DataFrame:
+    """The matrices of GROUPED neighbouring places of each row as one, with the group's number as place."""
+
+    def product(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
+        m = reduce(combine, matrices_in(x.sort_values("place")))
+        return pd.DataFrame({"row": [key[0]], "place": [key[1]], "entries": [len(m)], "m": [m.tobytes()]})
+
+    return level.groupBy("row", F.floor(F.col("place") / GROUPED).cast("int").alias("part")).applyInPandas(product, "row long, place int, entries int, m binary")
+
+
+def boundary_path(level: DataFrame, above: DataFrame | None) -> DataFrame:
+    """row, place, entry, leave: the states at the cuts of each place, between those of its group above; at the top, from the start to the best end."""
+
+    def path(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
+        x = x.sort_values("place")
+        matrices = matrices_in(x)
+        start, end = (int(x["entry"].iloc[0]), int(x["leave"].iloc[0])) if "entry" in x else (0, None)
+        matrices[0] = matrices[0][start : start + 1]
+        states = best_states(matrices if end is None else [*matrices[:-1], matrices[-1][:, end : end + 1]])
+        states[0] = start
+        states[-1] = states[-1] if end is None else end
+        return pd.DataFrame({"row": key[0], "place": x["place"], "entry": states[:-1], "leave": states[1:]})
+
+    part = F.floor(F.col("place") / GROUPED).cast("int").alias("part")
+    rows = level.select("*", part)
+    if above is not None:
+        rows = rows.join(above.select("row", F.col("place").alias("part"), "entry", "leave"), ["row", "part"])
+    return rows.groupBy("row", "part").applyInPandas(path, "row long, place int, entry int, leave int")
+
+
+def chunk_states(matrices: DataFrame) -> DataFrame:
+    """row, place, entry, leave of every chunk, by products up a tree and paths down it. matrices: stored."""
+    levels = [matrices]
+    while (levels[-1].agg(F.max("place")).first()[0] or 0) >= GROUPED:
+        levels.append(stored(products(levels[-1]), "products"))
+    states = None
+    for level in reversed(levels):
+        states = stored(boundary_path(level, states), "states")
+    return states
+
+
+def encoded_chunks(chunks: DataFrame, model: str) -> DataFrame:
+    """id, row, place, ids, same (decoding gives the chunk back) of every chunk. chunks: of cut_documents(), stored."""
+    kind = chunks.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = held(MergePieces, model)
+        for x in batches:
+            rows = x.select(["text", "before", "size", "place", "last", "entry", "leave", "clean"]).to_pylist()
+            found = pieces.traced_chunks([(r["text"].replace(" ", SPACE), r["before"], r["size"], r["place"] == 0, r["last"], r["entry"], r["leave"]) for r in rows])
+            same = [r["clean"] and bytes(pieces.spelled(ids, np.array([0, len(ids)]))[0]) == r["text"][a:b].encode() for r, (ids, a, b) in zip(rows, found, strict=True)]
+            ids = [ids.astype("<u4").tobytes() for ids, _, _ in found]
+            yield pa.RecordBatch.from_arrays([*(x.column(c) for c in ("id", "row", "place")), pa.array(ids, pa.binary()), pa.array(same, pa.bool_())], ["id", "row", "place", "ids", "same"])
+        released()
+
+    states = chunk_states(stored(chunk_matrices(chunks, model), "matrices"))
+    return chunks.join(states, ["row", "place"]).select("id", "row", "place", "text", "before", "size", "last", "clean", "entry", "leave").mapInArrow(run, f"id {kind}, row long, place int, ids binary, same boolean")
+
+
+def put_together(chunks: DataFrame) -> DataFrame:
+    """id, n_tokens, ids, round_trip of every row, from its chunks: a row's value is one, however long."""
+    kind = chunks.schema["id"].dataType.simpleString()
+
+    def whole(x: pa.Table) -> pa.Table:
+        x = x.sort_by("place")
+        ids = b"".join(x.column("ids").to_pylist())
+        return pa.table({"id": x.column("id").slice(0, 1), "n_tokens": pa.array([len(ids) // 4], pa.int64()), "ids": pa.array([ids], pa.binary()), "round_trip": [all(x.column("same").to_pylist())]})
+
+    return chunks.groupBy("row").applyInArrow(whole, f"id {kind}, n_tokens long, ids binary, round_trip boolean")
+
+
 def encoded(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, ids (binary, little-endian 32 bits each), round_trip (decoding gives the text back) of every row, by a merge-based model."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -370,8 +581,13 @@ def encoded(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([own, pa.array(np.diff(bounds).astype(np.int64)), data.cast(pa.binary()), pa.array(same, pa.bool_())], ["id", "n_tokens", "ids", "round_trip"])
         released()
 
-    rows = docs.select(F.col(id_col).alias("id"), raw_text(F.col(text_col)).alias("raw"))
-    return rows.mapInArrow(run, f"id {kind}, n_tokens long, ids binary, round_trip boolean").withColumnRenamed("id", id_col)
+    chunks = stored(cut_documents(docs, model, id_col, text_col).repartition("row", "place"), "parts")
+    short = docs.where(F.coalesce(F.char_length(text_col), F.lit(0)) <= PART)
+    rows = short.select(F.col(id_col).alias("id"), raw_text(F.col(text_col)).alias("raw"))
+    out = rows.mapInArrow(run, f"id {kind}, n_tokens long, ids binary, round_trip boolean")
+    if not chunks.isEmpty():
+        out = out.unionByName(put_together(stored(encoded_chunks(chunks, model), "traced", large_rows=True)))
+    return out.withColumnRenamed("id", id_col)
 
 
 class Lattice:
