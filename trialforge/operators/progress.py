@@ -128,3 +128,25 @@ def call_seed(*parts):
     """md5 of the parts joined by "_", low 31 bits."""
     digest = F.md5(F.concat_ws("_", *[p.cast("string") for p in parts]).cast("binary"))
     return F.conv(F.substring(digest, 25, 8), 16, 10).cast("long").bitwiseAND(F.lit(2147483647))
+
+
+def scoring_queue(designs: DataFrame, evaluations: DataFrame, checks: DataFrame, medians: DataFrame, wanted: int) -> DataFrame:
+    """Designs that still need work, from what is there: design_id, evals_left, checks_left, median_missing. designs: design_id, pairs (checks that the design's rubric asks for); evaluations, checks, medians: design_id.
+
+    A queue that was broken off goes on from these counts; more than was wanted leaves nothing to do.
+    """
+    count = lambda df, name: df.groupBy("design_id").agg(F.count("*").alias(name))
+    own = designs.join(count(evaluations, "evals"), "design_id", "left").join(count(checks, "checks"), "design_id", "left").join(medians.select("design_id").distinct().withColumn("has", F.lit(True)), "design_id", "left")
+    left = lambda want, have: F.greatest(F.lit(0), want - F.coalesce(have, F.lit(0))).cast("long")
+    out = own.select("design_id", left(F.lit(wanted), F.col("evals")).alias("evals_left"), left(F.coalesce("pairs", F.lit(0)), F.col("checks")).alias("checks_left"), F.col("has").isNull().alias("median_missing"))
+    return out.where("evals_left > 0 or checks_left > 0 or median_missing")
+
+
+def resumption(designs: DataFrame, evaluations: DataFrame, checks: DataFrame, medians: DataFrame, wanted: int) -> DataFrame:
+    """One row: designs, what was done of them before (evaluations, checks, medians), pending designs, and the calls they need."""
+    of = lambda df: df.join(designs.select("design_id"), "design_id", "left_semi").agg(F.count("*").alias("n"))
+    queue = scoring_queue(designs, evaluations, checks, medians, wanted).agg(F.count("*").alias("pending"), F.coalesce(F.sum(F.col("evals_left") + F.col("checks_left")), F.lit(0)).alias("calls_left"))
+    out = designs.agg(F.count("*").alias("designs"))
+    for name, df in (("evals_done", evaluations), ("checks_done", checks), ("medians_done", medians.select("design_id").distinct())):
+        out = out.crossJoin(of(df).withColumnRenamed("n", name))  # one row each
+    return out.crossJoin(queue)

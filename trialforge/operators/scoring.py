@@ -56,6 +56,12 @@ def blocker_union(records: DataFrame, key: str, arrays: list[str], distinct: boo
     return out.select(key, F.size("b").cast("long").alias("blocker_count"), F.when(F.size("b") > 0, F.to_json("b")).alias("blockers_json"))
 
 
+def blocker_means(scores: DataFrame, counts: DataFrame) -> DataFrame:
+    """variant_id, n, mean_blockers, total_blockers over scored designs; a design without blockers counts as 0. counts: design_id, blocker_count."""
+    own = scores.select("variant_id", "design_id").join(counts.select("design_id", "blocker_count"), "design_id", "left").withColumn("c", F.coalesce("blocker_count", F.lit(0)))
+    return own.groupBy("variant_id").agg(F.count("*").alias("n"), F.avg("c").alias("mean_blockers"), F.sum("c").alias("total_blockers"))
+
+
 def blocker_histogram(blockers: DataFrame, group: str, text: str, width: int = 100) -> DataFrame:
     """group, blocker (its first characters), n."""
     return blockers.groupBy(group, F.substring(text, 1, width).alias("blocker")).agg(F.count("*").alias("n"))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trialforge.operators import progress
-from trialforge.plans.registry import query, rounded, sql
+from trialforge.plans.registry import ORACLE_SQL, query, rounded, sql
 from trialforge.sources import adapter as A
 from trialforge.sources import store
+from trialforge.sources.scratch import scratch_dir
+from trialforge.streaming import counts
 
 VARIANTS, TASKS, REPETITIONS = ["v1", "v2a", "v3b", "v4", "v5", "v6"], ["t0", "t1", "t2", "t3", "t4"], list(range(1995, 2003))
 _MATRIX = "SELECT variant_id, task_id, repetition FROM (VALUES ('v1'), ('v2a'), ('v3b'), ('v4'), ('v5'), ('v6')) a(variant_id), (VALUES ('t0'), ('t1'), ('t2'), ('t3'), ('t4')) b(task_id), (SELECT unnest(range(1995, 2003)) AS repetition)"
@@ -216,3 +220,50 @@ def shuffled_runs(spark, sf):
 )
 def call_seed(spark, sf):
     return A.table(spark, sf, "events").select("event_id", progress.call_seed(F.col("event_type"), F.col("user_id"), F.col("event_id") % 3).alias("seed"))
+
+
+_QUEUE = """SELECT run_id AS design_id, greatest(0, 4 - coalesce(e, 0)) AS evals_left, greatest(0, p - coalesce(c, 0)) AS checks_left, m.design_id IS NULL AS median_missing FROM (SELECT run_id, CASE task_id WHEN 't0' THEN 2 WHEN 't1' THEN 3 ELSE 5 END AS p FROM runs WHERE status = 'completed')
+    LEFT JOIN (SELECT design_id, count(*) AS e FROM evaluations GROUP BY 1) e ON e.design_id = run_id LEFT JOIN (SELECT design_id, count(*) AS c FROM checks GROUP BY 1) c ON c.design_id = run_id LEFT JOIN (SELECT design_id FROM medians WHERE n_raters >= 2) m ON m.design_id = run_id
+    WHERE greatest(0, 4 - coalesce(e, 0)) > 0 OR greatest(0, p - coalesce(c, 0)) > 0 OR m.design_id IS NULL"""
+
+
+def _to_score(spark, sf):
+    """Final designs with the checks that their task asks for, and what is there of them."""
+    pairs = F.when(F.col("task_id") == "t0", 2).when(F.col("task_id") == "t1", 3).otherwise(5)
+    designs = A.runs(spark, sf).where("status = 'completed'").select(F.col("run_id").alias("design_id"), pairs.alias("pairs"))
+    return designs, A.evaluations(spark, sf).select("design_id"), A.coherence_checks(spark, sf).select("design_id"), A.medians(spark, sf).where("n_raters >= 2").select("design_id")
+
+
+@query(sql(_QUEUE, "runs", "evaluations", "checks", "medians"))
+def scoring_queue(spark, sf):
+    """Designs that still need evaluations, checks or their median."""
+    return progress.scoring_queue(*_to_score(spark, sf), wanted=4)
+
+
+@query(
+    sql(
+        """SELECT (SELECT count(*) FROM d) AS designs, (SELECT count(*) FROM evaluations WHERE design_id IN (SELECT run_id FROM d)) AS evals_done, (SELECT count(*) FROM checks WHERE design_id IN (SELECT run_id FROM d)) AS checks_done,
+        (SELECT count(*) FROM medians WHERE n_raters >= 2 AND design_id IN (SELECT run_id FROM d)) AS medians_done, (SELECT count(*) FROM q) AS pending, (SELECT CAST(coalesce(sum(evals_left + checks_left), 0) AS BIGINT) FROM q) AS calls_left""",
+        "runs",
+        "evaluations",
+        "checks",
+        "medians",
+        d="SELECT run_id FROM runs WHERE status = 'completed'",
+        q=_QUEUE,
+    )
+)
+def scoring_resumption(spark, sf):
+    """What a scoring queue finds done when it is started again, and what is left."""
+    return progress.resumption(*_to_score(spark, sf), wanted=4)
+
+
+@query(ORACLE_SQL["completeness"])
+def incremental_completeness(spark, sf):
+    """Completeness from the counts of six batches of facts, dealt by run, the second one delivered twice."""
+    feed = counts.facts_of(A.runs(spark, sf), _scored(spark, sf), _checked(spark, sf))
+    # Completions of a run and its results come in different batches.
+    slot = F.pmod(F.xxhash64("run_id", "kind"), F.lit(6))
+    state = counts.Completeness(spark, f"{scratch_dir(spark)}/trialforge/feeds/{uuid.uuid4().hex}", matrix(spark))
+    for k in (0, 1, 1, 2, 3, 4, 5):
+        state.handle(feed.where(slot == k), k)
+    return rounded(state.now())

@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialforge.functions import parsing
-from trialforge.operators import analysis, decisions, integrity, progress, timeline
+from trialforge.operators import analysis, decisions, integrity, progress, scoring, timeline
 from trialforge.plans import checks
 from trialforge.plans.progress import _PENDING, _STATE, _checked, _scored, matrix
 from trialforge.plans.registry import query, rounded, sql
-from trialforge.plans.scores import longs
+from trialforge.plans.scores import BUDGETS, blocker_union, longs
 from trialforge.plans.statistics import _FRAMEWORK, _P, _coherent
 from trialforge.plans.traces import _BATCHED, _LOG, MINUTE, requests
 from trialforge.sources import adapter as A
@@ -58,6 +58,30 @@ def delta_order(spark, sf):
     return rounded(placed(rows.groupBy("dimension").agg((side("v5") - side("v1")).alias("delta")), F.round(F.abs("delta"), 9).desc(), "dimension"))
 
 
+@query(
+    sql(
+        "SELECT budget, variant_id, n_runs, round(q, 6) AS mean_score, row_number() OVER (ORDER BY budget, round(q, 9) DESC, variant_id) AS place FROM (SELECT budget, variant_id, CAST(floor(budget / c) AS BIGINT) AS n_runs, q FROM (SELECT variant_id, avg(overall_median) AS q, avg(total_cost_usd) AS c FROM scores JOIN (SELECT run_id, total_cost_usd FROM costs) USING (run_id) GROUP BY 1), (VALUES (100000.0::DOUBLE), (500000.0::DOUBLE), (2000000.0::DOUBLE)) v(budget) WHERE budget >= c)",
+        "scores",
+        "costs",
+    )
+)
+def budget_order(spark, sf):
+    """What each budget buys, the smallest budget first and in it the best quality."""
+    out = analysis.budget_simulation(A.score_view(spark, sf), A.cost_view(spark, sf), BUDGETS).select("budget", "variant_id", "n_runs", "mean_score")
+    return rounded(placed(out, "budget", F.round("mean_score", 9).desc(), "variant_id"))
+
+
+@query(
+    sql(
+        "SELECT variant_id, n, round(mean_blockers, 6) AS mean_blockers, total_blockers, row_number() OVER (ORDER BY round(mean_blockers, 9), variant_id) AS place FROM (SELECT variant_id, count(*) AS n, avg(coalesce(c, 0)) AS mean_blockers, CAST(sum(coalesce(c, 0)) AS BIGINT) AS total_blockers FROM scores LEFT JOIN (SELECT l_orderkey AS design_id, count(*) AS c FROM lineitem WHERE l_discount > 0.07 GROUP BY 1) USING (design_id) GROUP BY 1)",
+        "scores",
+    )
+)
+def blockers_order(spark, sf):
+    """Variants from the fewest to the most blockers of a design."""
+    return rounded(placed(scoring.blocker_means(A.score_view(spark, sf), blocker_union(spark, sf)), F.round("mean_blockers", 9), "variant_id"))
+
+
 _BUDGETS = "CASE budget WHEN 'low' THEN 1 WHEN 'moderate' THEN 2 ELSE 3 END"
 
 
