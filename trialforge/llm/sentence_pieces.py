@@ -34,7 +34,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from trialforge.llm._common import held, mix64, pieces_of, raw_text, released, stored
@@ -492,6 +492,14 @@ def matrices_in(x: pd.DataFrame) -> list[np.ndarray]:
     return [np.frombuffer(m, np.float64).reshape(n, -1) for n, m in zip(x["entries"], x["m"], strict=True)]
 
 
+def in_groups(level: DataFrame, above: DataFrame | None = None) -> GroupedData:
+    """A level's rows by row and group of places, with the states of the level above if given. The rows are few bytes and long work, so they keep all the tasks that the cluster's setting asks for."""
+    rows = level.withColumn("part", F.floor(F.col("place") / GROUPED).cast("int"))
+    if above is not None:
+        rows = rows.join(above.select("row", F.col("place").alias("part"), "entry", "leave"), ["row", "part"])
+    return rows.repartition(int(level.sparkSession.conf.get("spark.sql.shuffle.partitions")), "row", "part").groupBy("row", "part")
+
+
 def products(level: DataFrame) -> DataFrame:
     """The matrices of GROUPED neighbouring places of each row as one, with the group's number as place."""
 
@@ -499,7 +507,7 @@ def products(level: DataFrame) -> DataFrame:
         m = reduce(combine, matrices_in(x.sort_values("place")))
         return pd.DataFrame({"row": [key[0]], "place": [key[1]], "entries": [len(m)], "m": [m.tobytes()]})
 
-    return level.groupBy("row", F.floor(F.col("place") / GROUPED).cast("int").alias("part")).applyInPandas(product, "row long, place int, entries int, m binary")
+    return in_groups(level).applyInPandas(product, "row long, place int, entries int, m binary")
 
 
 def boundary_path(level: DataFrame, above: DataFrame | None) -> DataFrame:
@@ -515,11 +523,7 @@ def boundary_path(level: DataFrame, above: DataFrame | None) -> DataFrame:
         states[-1] = states[-1] if end is None else end
         return pd.DataFrame({"row": key[0], "place": x["place"], "entry": states[:-1], "leave": states[1:]})
 
-    part = F.floor(F.col("place") / GROUPED).cast("int").alias("part")
-    rows = level.select("*", part)
-    if above is not None:
-        rows = rows.join(above.select("row", F.col("place").alias("part"), "entry", "leave"), ["row", "part"])
-    return rows.groupBy("row", "part").applyInPandas(path, "row long, place int, entry int, leave int")
+    return in_groups(level, above).applyInPandas(path, "row long, place int, entry int, leave int")
 
 
 def chunk_states(matrices: DataFrame) -> DataFrame:
