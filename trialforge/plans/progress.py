@@ -11,7 +11,7 @@ from trialforge.operators import progress
 from trialforge.plans.registry import ORACLE_SQL, query, rounded, sql
 from trialforge.sources import adapter as A
 from trialforge.sources import store
-from trialforge.sources.scratch import scratch_dir
+from trialforge.sources.scratch import scratch_dir, stored
 from trialforge.streaming import counts
 
 VARIANTS, TASKS, REPETITIONS = ["v1", "v2a", "v3b", "v4", "v5", "v6"], ["t0", "t1", "t2", "t3", "t4"], list(range(1995, 2003))
@@ -260,7 +260,7 @@ def scoring_resumption(spark, sf):
 @query(ORACLE_SQL["completeness"])
 def incremental_completeness(spark, sf):
     """Completeness from the counts of six batches of facts, dealt by run, the second one delivered twice."""
-    feed = counts.facts_of(A.runs(spark, sf), _scored(spark, sf), _checked(spark, sf))
+    feed = stored(counts.facts_of(A.runs(spark, sf), _scored(spark, sf), _checked(spark, sf)), "facts")
     # Completions of a run and its results come in different batches.
     slot = F.pmod(F.xxhash64("run_id", "kind"), F.lit(6))
     state = counts.Completeness(spark, f"{scratch_dir(spark)}/trialforge/feeds/{uuid.uuid4().hex}", matrix(spark))
