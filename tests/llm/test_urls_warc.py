@@ -247,6 +247,42 @@ def test_lookup_is_a_binary_search(spark, monkeypatch):
     assert len(index.directory) >= 300
 
 
+def test_directory_in_parts(spark, monkeypatch):
+    """Each range of keys has files of its own; look-ups go over their borders, and only names and sizes come to the driver."""
+    monkeypatch.setattr(warc, "BLOCK_LINES", 2)
+    rows = [(i, f"http://h{i // 3:03d}.org/{'é' * (i % 2)}" if i % 5 else "http://hot.org/", f"page {i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    directory, folder = warc.archive(df)
+    monkeypatch.setattr(warc, "DIRECTORY_LINES", 10)
+    parts = warc.SortedLines.write(directory, f"{folder}/index")
+    assert len(parts) > 5 and sum(n for _, n in parts) == directory.count()
+    lines = warc.SortedLines(f"{folder}/index", parts)
+    every = [tuple(lines[k]) for k in range(len(lines))]
+    assert [x[:2] for x in every] == sorted(x[:2] for x in every) and set(every) == {tuple(r) for r in directory.collect()}
+    index = warc.CaptureIndex(directory, folder)
+    for url in ("http://hot.org/", "http://h000.org/é", "http://h099.org/é", "http://z/"):
+        assert sorted(int(r[0]) for r in index.fetch(url)) == [i for i, u, _ in rows if u == url]
+    assert sorted(int(r["id"]) for r in warc.look_up(df.select("url"), directory, folder).collect()) == list(range(300))
+
+
+def test_shared_segments_are_one_step(spark):
+    """Two urls that share 1,000 segments, and one that ends on the way, are a few levels."""
+    trap = "/".join(["again"] * 1000)
+    rows = [(1, f"http://t.net/{trap}/x"), (2, f"http://t.net/{trap}/y"), (3, f"http://t.net/{'/'.join(['again'] * 500)}"), (4, "http://u.net/a/b/c"), (5, "http://u.net/a/b/d"), (6, "http://u.net/a/b")]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("trap", "trap")
+    out = {r["page_id"]: r["template"] for r in url_templates.judged(df, queries.URL_RULES).collect()}
+    jobs = len(tracker.getJobIdsForGroup("trap"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    shallow = spark.createDataFrame([(i, u.replace("/again" * 1000, "/again" * 2).replace("/again" * 500, "/again")) for i, u in rows], "page_id long, url string")
+    spark.sparkContext.setJobGroup("shallow", "shallow")
+    few = {r["page_id"]: r["template"] for r in url_templates.judged(shallow, queries.URL_RULES).collect()}
+    assert jobs <= len(tracker.getJobIdsForGroup("shallow"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {i: t.replace("/again" * 1000, "/again" * 2).replace("/again" * 500, "/again") for i, t in out.items()} == few
+
+
 def test_min_bytes(spark, pages):
     directory, folder = warc.archive(pages, min_bytes=5)
     assert {r["record_type"] for r in warc.read_records(directory, folder).where("payload_bytes = 0").collect()} == {"response"}

@@ -86,19 +86,25 @@ def templates(paths: DataFrame, many: int = 8, rare: float = 0.02, thin: int = 1
     labels that weigh less than the prior. apart: largest total variation between a branch's followers and its node's,
     beside sampling noise. purity_apart: largest difference of a wildcard's purity to its siblings'.
     """
-    open_ = paths.withColumn("weighed", F.col("n") * F.col("expect")).withColumn("seg", F.split("shaped", "/")).withColumn("template", F.lit(""))
-    closed, d, counts = None, 1, ("n", "good", "bad", "weighed", *(f"f_{k}" for k in FOLLOWERS))
+    # seg: the segments that are left of a path.
+    open_ = paths.withColumn("weighed", F.col("n") * F.col("expect")).withColumn("seg", F.expr("slice(split(shaped, '/'), 2, greatest(size(split(shaped, '/')) - 1, 0))")).withColumn("template", F.lit(""))
+    closed, level, counts = None, 1, ("n", "good", "bad", "weighed", *(f"f_{k}" for k in FOLLOWERS))
     while True:
-        own, after = F.get("seg", F.lit(d)), F.get("seg", F.lit(d + 1))
+        own, after = F.get("seg", F.lit(0)), F.get("seg", F.lit(1))
         kinds, earlier = {}, F.lit(False)
         for name, test in FOLLOWERS.items():
             kinds[name] = test(after) & ~earlier
             earlier = earlier | F.coalesce(test(after), F.lit(False))
         sums = [F.sum(c).alias(c) for c in ("n", "good", "bad", "weighed")] + [F.sum(F.when(F.coalesce(k, F.lit(False)), F.col("n")).otherwise(0)).alias(f"f_{name}") for name, k in kinds.items()]
-        branch = open_.where(own.isNotNull()).groupBy("host", "template", own.alias("own")).agg(F.count("*").alias("paths"), *sums)
+        branch = open_.where(own.isNotNull()).groupBy("host", "template", own.alias("own")).agg(F.count("*").alias("paths"), F.min("seg").alias("low"), F.max("seg").alias("high"), *sums)
         # Pooled counts per node: a group-by and a join, so that a node with many branches is not one task's window.
-        pooled = branch.groupBy("host", "template").agg(*[F.sum(c).alias(f"all_{c}") for c in (*counts, "paths")], F.count("*").alias("branches"))
-        both = branch.join(pooled, ["host", "template"])
+        pooled = branch.groupBy("host", "template").agg(*[F.sum(c).alias(f"all_{c}") for c in (*counts, "paths")], F.count("*").alias("branches"), F.min("low").alias("low"), F.max("high").alias("high"))
+        # What the first and the last of a node's paths have in common, all have: where a node has one branch, the way to
+        # the next node that has more, or where a path ends, is gone in one step.
+        same = F.zip_with("low", "high", lambda x, y: F.coalesce(x == y, F.lit(False)))
+        common = F.when(F.array_position(same, False) > 0, F.array_position(same, False) - 1).otherwise(F.size(same)).cast("int")
+        pooled = pooled.withColumn("steps", F.when(F.col("branches") == 1, common).otherwise(1)).drop("low", "high")
+        both = branch.drop("low", "high").join(pooled, ["host", "template"])
         far = reduce(lambda a, b: a + b, [F.abs(F.col(f"f_{k}") / F.col("n") - F.col(f"all_f_{k}") / F.col("all_n")) for k in FOLLOWERS]) / 2
         pure = lambda g, b, n, e: smoothed(g, g + b, weight, F.try_divide(e, n))
         # Purity is compared with the siblings' alone: few branches have labels, and one that has them all is not like itself.
@@ -108,14 +114,15 @@ def templates(paths: DataFrame, many: int = 8, rare: float = 0.02, thin: int = 1
         foreign = F.abs(F.try_divide(own_[3], own_[2]) - F.try_divide(others[3], others[2])) > purity_apart
         untested = (F.col("branches") >= many) & (F.col("n") < rare * F.col("all_n")) & (F.col("n") < thin) & (F.col("good") + F.col("bad") < weight) & ~foreign
         wild = (F.col("branches") > 1) & ~F.col("own").contains("{") & (F.col("own") != "") & (untested | alike)
-        step = both.select("host", "template", "own", "all_paths", F.when(wild, F.lit("*")).otherwise(F.col("own")).alias("name"))
+        step = both.select("host", "template", "own", "all_paths", "branches", "steps", F.when(wild, F.lit("*")).otherwise(F.col("own")).alias("name"))
         joined = open_.withColumn("own", own).join(step, ["host", "template", "own"], "left")
         ends, alone = F.col("own").isNull(), F.col("all_paths") == 1
-        rest = F.array_join(F.slice("seg", d + 1, F.greatest(F.lit(1), F.size("seg") - d)), "/")
-        grown = F.when(ends, F.col("template")).otherwise(F.concat("template", F.lit("/"), F.when(alone, rest).otherwise(F.col("name"))))
-        level = stored(joined.select("host", "shaped", "n", "good", "bad", "expect", "weighed", "seg", grown.alias("template"), (ends | alone).alias("closed")), f"level{d}")
-        now = level.where("closed").select("host", "shaped", "template", "n", "good", "bad", "weighed")
-        closed, open_, d = now if closed is None else closed.union(now), level.where("not closed").drop("closed"), d + 1
+        gone = F.when(F.col("branches") == 1, F.array_join(F.slice("seg", F.lit(1), F.col("steps")), "/")).otherwise(F.col("name"))
+        grown = F.when(ends, F.col("template")).otherwise(F.concat("template", F.lit("/"), F.when(alone, F.array_join("seg", "/")).otherwise(gone)))
+        left = F.when(ends | alone, F.col("seg")).otherwise(F.slice("seg", F.col("steps") + 1, F.greatest(F.lit(0), F.size("seg") - F.col("steps"))))
+        table = stored(joined.select("host", "shaped", "n", "good", "bad", "expect", "weighed", left.alias("seg"), grown.alias("template"), (ends | alone).alias("closed")), f"level{level}")
+        now = table.where("closed").select("host", "shaped", "template", "n", "good", "bad", "weighed")
+        closed, open_, level = now if closed is None else closed.union(now), table.where("not closed").drop("closed"), level + 1
         if open_.isEmpty():
             return closed
 

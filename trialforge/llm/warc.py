@@ -8,7 +8,8 @@ payload, and a sieve of the repeated digests keeps unique payloads out of the sh
 digest (and task) is moved.
 
 write_index() sorts the captures by reversed-host key into compressed blocks of lines; a sparse directory holds the
-first and last key of each block and its place, one line for BLOCK_LINES captures, in one sorted file. look_up() takes
+first and last key of each block and its place, one line for BLOCK_LINES captures, in sorted files of their ranges of
+keys; only those files' names and sizes go through the driver. look_up() takes
 any number of urls: their keys are sorted and dealt into ranges, each range searches the directory by bisection, by
 range reads, from where the last key was found; the blocks that were met are read once each, searched by bisection for
 the keys that want them, and the records read in order of their place, neighbouring ones in one read. CaptureIndex does
@@ -42,6 +43,8 @@ from trialforge.llm._common import new_path, raw_text, stored
 from trialforge.llm.exact_dedup import Sieve
 
 BLOCK_LINES = 3000
+#: Lines of one file of the directory.
+DIRECTORY_LINES = 100_000
 ROLL_BYTES = 256_000_000
 READ_BYTES, TASK_LINES = 8_000_000, 20_000
 DATE = "2000-01-01T00:00:00Z"
@@ -245,15 +248,15 @@ def read_records(directory: DataFrame, folder: str) -> DataFrame:
 
 def look_up(urls: DataFrame, directory: DataFrame, folder: str, url_col: str = "url") -> DataFrame:
     """RECORD of every capture of the urls, each capture once, found through the index."""
-    spark, name = urls.sparkSession, SortedLines.write(directory, f"{folder}/index")
-    lines, count = directory.agg(F.sum("lines"), F.count("*")).first()
+    spark, parts = urls.sparkSession, SortedLines.write(directory, f"{folder}/index")
+    lines, count = directory.agg(F.sum("lines").alias("n")).first()["n"], sum(n for _, n in parts)
 
     @F.pandas_udf("string")
     def key_of(url: pd.Series) -> pd.Series:
         return url.map(capture_key)
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lines, at = SortedLines(f"{folder}/index", name, count), 0
+        lines, at = SortedLines(f"{folder}/index", parts), 0
         for x in batches:
             out = []
             for key in x["key"]:
@@ -285,27 +288,42 @@ def look_up(urls: DataFrame, directory: DataFrame, folder: str, url_col: str = "
 
 
 class SortedLines:
-    """The directory as one file of lines sorted by key, and one of the places where they end; a line is two range reads."""
+    """The directory as files of lines in the order of keys, and, for each, one of the places where its lines end; a line is two range reads. parts: the files' names and numbers of lines, in order."""
 
-    def __init__(self, folder: str, name: str, count: int):
-        store, root = store_of(folder)
-        self.count, self.met = count, (-1, None)
-        self.lines, self.ends = store.open_input_file(f"{root}/{name}.lines"), store.open_input_file(f"{root}/{name}.ends")
+    def __init__(self, folder: str, parts: list[tuple[str, int]]):
+        self.store, self.root = store_of(folder)
+        self.names, self.upto = [x[0] for x in parts], [0]
+        for _, lines in parts:
+            self.upto.append(self.upto[-1] + lines)
+        self.count, self.met, self.part, self.files = self.upto[-1], (-1, None), -1, None
 
     @staticmethod
-    def write(directory: DataFrame, folder: str) -> str:
-        """Writes both files below folder; their name. One line for BLOCK_LINES captures goes through the driver, range by range."""
-        store, root = store_of(folder)
-        store.create_dir(root, recursive=True)
-        name, end = f"directory-{uuid.uuid4().hex}", 0
-        with store.open_output_stream(f"{root}/{name}.lines", compression=None) as lines, store.open_output_stream(f"{root}/{name}.ends", compression=None) as ends:
-            ends.write((0).to_bytes(8, "little"))
-            for r in directory.orderBy("first", "last", "file", "offset").toLocalIterator():
-                line = json.dumps(tuple(r), ensure_ascii=False).encode()
-                lines.write(line)
-                end += len(line)
-                ends.write(end.to_bytes(8, "little"))
-        return name
+    def write(directory: DataFrame, folder: str) -> list[tuple[str, int]]:
+        """Writes the files below folder, each range of keys its own; their names and sizes, one for DIRECTORY_LINES lines, which each stand for BLOCK_LINES captures. Files of tasks that were repeated are not named."""
+        spark, order = directory.sparkSession, ["first", "last", "file", "offset"]
+        columns = directory.columns
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            store, root = store_of(folder)
+            store.create_dir(root, recursive=True)
+            name, end, count, lines, ends = f"directory-{uuid.uuid4().hex}", 0, 0, None, None
+            for x in batches:
+                if len(x) and lines is None:
+                    lines, ends = (store.open_output_stream(f"{root}/{name}.{kind}", compression=None) for kind in ("lines", "ends"))
+                    ends.write((0).to_bytes(8, "little"))
+                for row in zip(*(x[c].tolist() for c in columns), strict=True):
+                    line = json.dumps(row, ensure_ascii=False).encode()
+                    lines.write(line)
+                    end, count = end + len(line), count + 1
+                    ends.write(end.to_bytes(8, "little"))
+            if lines is not None:
+                lines.close(), ends.close()
+                yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "name": [name], "lines": [count]})
+
+        n = max(1, -(-directory.count() // DIRECTORY_LINES))
+        dealt = directory.repartitionByRange(n, *order).sortWithinPartitions(*order) if n > 1 else directory.coalesce(1).sortWithinPartitions(*order)
+        rows = dealt.mapInPandas(run, "part int, name string, lines long").collect()
+        return [(r["name"], r["lines"]) for r in sorted(rows, key=lambda r: r["part"])]
 
     def first_from(self, key: str, at: int = 0) -> int:
         """The first block from `at` on whose last key is not below key: steps that double, then bisection between the last two."""
@@ -323,9 +341,13 @@ class SortedLines:
             raise IndexError(k)
         if self.met[0] == k:
             return self.met[1]
-        places = self.ends.read_at(16, 8 * k)
+        part = bisect.bisect_right(self.upto, k) - 1
+        if part != self.part:
+            self.part, self.files = part, [self.store.open_input_file(f"{self.root}/{self.names[part]}.{kind}") for kind in ("lines", "ends")]
+        lines, ends = self.files
+        places = ends.read_at(16, 8 * (k - self.upto[part]))
         begin, end = int.from_bytes(places[:8], "little"), int.from_bytes(places[8:], "little")
-        self.met = k, json.loads(self.lines.read_at(end - begin, begin))
+        self.met = k, json.loads(lines.read_at(end - begin, begin))
         return self.met[1]
 
 
@@ -333,7 +355,7 @@ class CaptureIndex:
     """Look-ups by url. The directory has one line for BLOCK_LINES captures; it is sorted once, and a look-up reads only the lines that its binary search meets."""
 
     def __init__(self, directory: DataFrame, folder: str):
-        self.directory = SortedLines(f"{folder}/index", SortedLines.write(directory, f"{folder}/index"), directory.count())
+        self.directory = SortedLines(f"{folder}/index", SortedLines.write(directory, f"{folder}/index"))
         self.index, self.archive = store_of(f"{folder}/index"), store_of(f"{folder}/archive")
 
     def captures(self, url: str) -> list[tuple[str, int, int]]:
