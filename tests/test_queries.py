@@ -1,4 +1,4 @@
-"""Every query with SQL gives the rows of its SQL; the others run."""
+"""Every query gives the rows of its SQL."""
 
 import pytest
 
@@ -11,14 +11,8 @@ def test_query_equals_sql(spark, sf, name):
     assert_same(QUERIES[name](spark, sf).toPandas(), oracle_rows(ORACLE_SQL[name], sf))
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
-def test_query_runs(spark, sf, name):
-    df = QUERIES[name](spark, sf)
-    assert len(df.columns) == len(set(df.columns))
-    rows = df.toPandas()
-    for c in ("p_value", "p_adjusted"):
-        if c in rows:
-            assert rows[c].dropna().between(0, 1).all()
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLE_SQL)
 
 
 def test_entry(spark):

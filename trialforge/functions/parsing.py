@@ -12,10 +12,15 @@ PERSPECTIVE_WORDS = ["perspective", "role", "focus", "expertise", "viewpoint", "
 #: Patterns of a score in prose, in the order they are tried.
 SCORE_PATTERNS = [r"(?i)(?:overall|total|final)\s*(?:score|rating)?:?\s*(\d+(?:\.\d+)?)\s*(?:/\s*10)?", r"(?i)(\d+(?:\.\d+)?)\s*/\s*10", r"(?i)score[:\s]+(\d+(?:\.\d+)?)"]
 
+#: Patterns of a verdict, of a status, and of a block of JSON between fences.
+VERDICT_PATTERN = r"(?i)VERDICT:\s*(ACCEPT|REJECT)"
+STATUS_PATTERN = r"(?i)STATUS:\s*(CONVERGED|NOT_CONVERGED)"
+FENCE_PATTERN = r"(?s)```(?:json)?\s*\n(.*?)\n```"
+
 
 def json_text(reply: Column) -> Column:
     """The JSON object in a reply: the whole, else a fenced block, else from the first { to the last }; null if none parses."""
-    fenced = F.nullif(F.regexp_extract(reply, r"(?s)```(?:json)?\s*(.*?)\s*```", 1), F.lit(""))
+    fenced = F.nullif(F.regexp_extract(reply, FENCE_PATTERN, 1), F.lit(""))
     braces = F.nullif(F.regexp_extract(reply, r"(?s)(\{.*\})", 1), F.lit(""))
     good = lambda c: F.when(F.try_parse_json(c).isNotNull(), c)
     return F.coalesce(good(F.trim(reply)), good(fenced), good(braces))
@@ -23,15 +28,15 @@ def json_text(reply: Column) -> Column:
 
 def verdict(reply: Column) -> Column:
     """accept or reject; without a verdict, reject."""
-    return F.when(F.lower(F.regexp_extract(reply, r"(?i)VERDICT:\s*(ACCEPT|REJECT)", 1)) == "accept", "accept").otherwise("reject")
+    return F.when(F.lower(F.regexp_extract(reply, VERDICT_PATTERN, 1)) == "accept", "accept").otherwise("reject")
 
 
 def convergence_status(reply: Column) -> Column:
-    return F.nullif(F.upper(F.regexp_extract(reply, r"(?i)STATUS:\s*(NOT_CONVERGED|CONVERGED)", 1)), F.lit(""))
+    return F.nullif(F.upper(F.regexp_extract(reply, STATUS_PATTERN, 1)), F.lit(""))
 
 
 def without_status(reply: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(reply, r"(?i)STATUS:\s*(NOT_CONVERGED|CONVERGED)", ""), r"^\s+|\s+$", "")
+    return F.regexp_replace(F.regexp_replace(reply, STATUS_PATTERN, ""), r"^\s+|\s+$", "")
 
 
 def quick_score(reply: Column) -> tuple[Column, Column]:

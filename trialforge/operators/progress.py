@@ -18,6 +18,13 @@ def expected(spark: SparkSession, variants: list[str], tasks: list[str], repetit
     return spark.range(1).select(lists[0].alias("variant_id")).select("variant_id", lists[1].alias("task_id")).select("*", F.explode(F.array(*[F.lit(int(r)).cast("long") for r in repetitions])).alias("repetition"))
 
 
+def expected_of(runs: DataFrame) -> DataFrame:
+    """The matrix of the variants, tasks and repetitions that occur in runs: three short lists, gathered in one row."""
+    lists = runs.agg(*[F.collect_set(c).alias(c) for c in TRIPLE])
+    out = lists.select(F.explode("variant_id").alias("variant_id"), "task_id", "repetition").select("variant_id", F.explode("task_id").alias("task_id"), "repetition")
+    return out.select("variant_id", "task_id", F.explode("repetition").alias("repetition"))
+
+
 def missing_runs(matrix: DataFrame, runs: DataFrame) -> DataFrame:
     return matrix.join(runs.where("status = 'completed'").select(*TRIPLE).distinct(), TRIPLE, "left_anti")
 

@@ -36,9 +36,16 @@ class Store:
         name = f"v-{uuid.uuid4().hex}"
         conform(df, table).write.parquet(f"{self.folder}/{table}/{name}")
         fs, path = self._pointer(table)
-        out = fs.create(path, True)
+        # Written beside the pointer and moved over it: a reader sees the old name or the new one.
+        jvm, gateway = self.spark.sparkContext._jvm, self.spark.sparkContext._gateway
+        beside = path.suffix(f".{uuid.uuid4().hex}")
+        out = fs.create(beside, True)
         out.writeBytes(name + "\n")
         out.close()
+        rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(beside, path, how)
 
     def initialise(self) -> None:
         self.write("schema_version", self.spark.createDataFrame([(VERSION, None)], SCHEMAS["schema_version"]))
