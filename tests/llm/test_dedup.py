@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -105,6 +106,40 @@ def test_near_groups(spark, monkeypatch, least, part):
         assert got == brute_near(rows, percent)
 
 
+def in_stars(sigs, sizes):
+    nodes = np.random.default_rng(1).permutation(len(sigs)).astype(np.int64)
+    out = near_dedup.star_pairs(nodes, sizes, sigs, 0.8)
+    assert sorted(x[0] for x in out) == list(range(len(sigs))) and {c for _, c, first in out if first} == {next(c for _, c, first in out if first)}
+    at = {int(v): i for i, v in enumerate(nodes)}
+    centre = np.array([at[c] for _, c, _ in sorted(out, key=lambda x: at[x[0]])])
+    assert (centre[centre] == centre).all()  # a centre is its own
+    for c in np.unique(centre):
+        own = np.flatnonzero(centre == c)
+        assert near_dedup.close(sigs[c], sizes[c], sigs[own], sizes[own], 0.8)[own != c].all()
+    return centre
+
+
+@pytest.mark.parametrize("alike", [1, 2, 40])
+def test_stars_of_unlike_members_take_seconds(alike):
+    """20,000 members of a bucket in families of a given size: a few rounds for each part, not one for each member."""
+    rng = np.random.default_rng(alike)
+    sigs = np.repeat(rng.integers(0, 256, (20_000 // alike, near_dedup.PACKED), dtype=np.uint8), alike, axis=0)
+    sigs[np.arange(len(sigs)), rng.integers(0, near_dedup.PACKED, len(sigs))] ^= 1
+    sigs = sigs[rng.permutation(len(sigs))]
+    began = time.perf_counter()
+    centre = in_stars(sigs, np.full(len(sigs), 100))
+    assert time.perf_counter() - began < 60
+    assert len(np.unique(centre)) <= len(sigs) if alike == 1 else len(np.unique(centre)) < 4 * len(sigs) / alike + 100
+
+
+def test_stars_of_small_buckets():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 256, (3, near_dedup.PACKED), dtype=np.uint8)
+    for n in (1, 2, 3, 7, 60):
+        sigs = base[rng.integers(0, 3, n)].copy()
+        in_stars(sigs, rng.integers(5, 500, n))
+
+
 def test_near_small(spark, small, sf):
     rows = [(r["doc_id"], r["text"]) for r in small.collect()]
     got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in queries.op2_near_dedup(spark, sf).collect()}

@@ -192,17 +192,56 @@ def majority(sigs: np.ndarray) -> int:
     return int(np.argmax(estimate(middle, sigs)))
 
 
+#: Rounds that take no second member before what is left of a bucket is split, and the largest stars that take from it once more.
+IDLE_ROUNDS, LARGEST_STARS = 3, 16
+
+
 def star_pairs(nodes: np.ndarray, sizes: np.ndarray, sigs: np.ndarray, threshold: float) -> list[tuple[int, int, bool]]:
-    """(node, centre, is the bucket's first centre) for the members of one bucket, each with the centre that takes it."""
-    floor, out, left, first = floor_of(threshold), [], np.arange(len(nodes)), True
-    while len(left):
-        c = left[majority(sigs[left])] if len(left) > 2 else left[np.argmin(nodes[left])]
-        near = estimate(sigs[c], sigs[left]) >= floor
-        near &= np.minimum(sizes[left], sizes[c]) >= threshold * np.maximum(sizes[left], sizes[c]) - 1e-9
-        near[left == c] = True
-        out += [(int(nodes[k]), int(nodes[c]), first) for k in left[near]]
-        left, first = left[~near], False
-    return out
+    """(node, centre, is the bucket's first centre) for the members of one bucket, each with the centre that takes it.
+
+    A round takes what is close to the member nearest to the majority. Where IDLE_ROUNDS rounds in a row take one member
+    each, or a 64th of what is left at most, that is unlike: it is split by one byte of the signatures after the other, as
+    by a further band, and the rounds go on in each part, so that unlike members cost a few rounds and not one each. The largest stars then take what
+    other parts have of their kind; who stays alone is a centre. Which centre takes whom only says how pairs are looked
+    for later on, not whether.
+    """
+    centre, todo, first = np.full(len(nodes), -1), [(np.arange(len(nodes)), 0)], None
+
+    def near(c: int, left: np.ndarray) -> np.ndarray:
+        out = close(sigs[c], sizes[c], sigs[left], sizes[left], threshold)
+        out[left == c] = True
+        return out
+
+    while todo:
+        left, byte = todo.pop()
+        idle = 0
+        while len(left) and (idle < IDLE_ROUNDS or byte == sigs.shape[1]):
+            if byte == sigs.shape[1]:  # alike in all bytes, but too unlike in size
+                c = left[np.argmin(nodes[left])]
+            else:
+                c = left[majority(sigs[left])] if len(left) > 2 else left[np.argmin(nodes[left])]
+            taken = near(c, left)
+            first = c if first is None else first
+            centre[left[taken]] = c
+            idle = idle + 1 if taken.sum() <= max(1, len(left) // 64) else 0
+            left = left[~taken]
+        if len(left):
+            order = np.argsort(sigs[left, byte], kind="stable")
+            parts = np.split(left[order], np.flatnonzero(np.diff(sigs[left[order], byte])) + 1)
+            alone = [x[0] for x in parts if len(x) == 1]
+            centre[alone] = alone
+            todo += [(x, byte + 1) for x in parts if len(x) > 1]
+    if first is not None:
+        stars, count = np.unique(centre, return_counts=True)
+        settled = np.isin(np.arange(len(nodes)), stars[count > 1]) | (centre == first)
+        for c in stars[np.argsort(-count, kind="stable")][:LARGEST_STARS]:
+            # Members of smaller stars, and centres that took no one, come over.
+            settled |= centre == c
+            free = np.flatnonzero(~settled)
+            if count[stars == c] > 1 and len(free):
+                centre[free[near(c, free)]] = c
+                settled |= centre == c
+    return [(int(nodes[k]), int(nodes[c]), bool(c == first)) for k, c in enumerate(centre)]
 
 
 def close(sig: np.ndarray, size: int, sigs: np.ndarray, sizes: np.ndarray, threshold: float) -> np.ndarray:
