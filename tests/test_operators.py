@@ -299,3 +299,18 @@ def test_numbers_over_ranges(spark):
         assert {r["id"]: r["next_id"] for r in prefix.followed(df, order, ["id"], lanes).collect()} == after
     text = df.withColumn("name", F.concat(F.lit("n"), F.lpad(F.col("id").cast("string"), 4, "0")))
     assert {r["id"]: r["n"] for r in prefix.numbered(text, ["name"], "n").collect()} == {i: i + 1 for i in range(500)}
+
+
+@pytest.mark.parametrize("n", [0, 10, 20])
+def test_details_by_table_function(spark, sf, n):
+    """The table function, called from SQL, gives what the DataFrame gives, for all checks."""
+    from trialforge.plans import checks, reports
+
+    told = reports.failures(spark, sf).cache()
+    assert {r[0] for r in told.select("check_name").distinct().collect()} <= set(checks.CHECKS) == set(reports._TOLD)
+    integrity.register_details(spark, told, "all_failures", "details_of")
+    got = spark.sql(f"SELECT * FROM details_of(TABLE(all_failures) PARTITION BY (check_name) ORDER BY (detail), {n})")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, integrity.first_details(told, n).collect()))
+    counts = {r["check_name"]: r["failures"] for r in checks.check_all(spark, sf).collect()}
+    assert {r["check_name"]: r["count"] for r in told.groupBy("check_name").count().collect()} == {k: v for k, v in counts.items() if v}
+    told.unpersist()

@@ -8,8 +8,9 @@ are in contamination.py.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.udtf import SkipRestOfInputTableException
 
 from trialforge.functions import parsing
 
@@ -26,6 +27,32 @@ def details(checked: DataFrame, text, n: int = 10) -> DataFrame:
     return checked.where("failed").select(text.alias("detail")).orderBy("detail").limit(n)
 
 
+def first_details(failures: DataFrame, n: int = 10) -> DataFrame:
+    """check_name, detail, place of the first n failures of each check, by their text; the limit works before the shuffle."""
+    place = F.row_number().over(Window.partitionBy("check_name").orderBy("detail"))
+    return failures.select("check_name", "detail", place.alias("place")).where(F.col("place") <= n)
+
+
+@F.udtf(returnType="check_name string, detail string, place int")
+class CheckDetails:
+    """Table function check_details(TABLE(failures) PARTITION BY (check_name) ORDER BY (detail), n): the first n failures of each check."""
+
+    def __init__(self):
+        self.place = 0
+
+    def eval(self, row, most: int):
+        if self.place >= most:
+            raise SkipRestOfInputTableException("the first ones are told")
+        self.place += 1
+        yield row["check_name"], row["detail"], self.place
+
+
+def register_details(spark: SparkSession, failures: DataFrame, view: str = "check_failures", name: str = "check_details") -> None:
+    """Makes the failures a view and the table function known to SQL, for `spark` as long as it lives."""
+    failures.createOrReplaceTempView(view)
+    spark.udtf.register(name, CheckDetails)
+
+
 def template_variables(rows: DataFrame) -> DataFrame:
     return rows.where("prompt_text is not null").withColumn("failed", F.size(parsing.left_variables(F.col("prompt_text"))) > 0)
 

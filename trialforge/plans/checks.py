@@ -50,7 +50,7 @@ _VARIABLE = r"\{\{\s*(" + "|".join(parsing.TEMPLATE_VARIABLES) + r")\s*\}\}"
 @check("template_variables", f"SELECT regexp_matches(p, '{_VARIABLE}') AS failed FROM p", p="SELECT CASE WHEN doc_id % 9 = 0 THEN text || ' {{ review }}' WHEN doc_id % 9 = 1 THEN text || ' {{order_id}}' ELSE text END AS p FROM documents")
 def template_variables(spark, sf):
     n = F.col("doc_id") % 9
-    rows = A.table(spark, sf, "documents").select(F.when(n == 0, F.concat("text", F.lit(" {{ review }}"))).when(n == 1, F.concat("text", F.lit(" {{order_id}}"))).otherwise(F.col("text")).alias("prompt_text"))
+    rows = A.table(spark, sf, "documents").select("doc_id", F.when(n == 0, F.concat("text", F.lit(" {{ review }}"))).when(n == 1, F.concat("text", F.lit(" {{order_id}}"))).otherwise(F.col("text")).alias("prompt_text"))
     return integrity.template_variables(rows)
 
 
@@ -73,13 +73,13 @@ def system_name(spark, sf):
 @check("perspective_injection", f"SELECT {_words('text', parsing.PERSPECTIVE_WORDS)} = 0 AS failed FROM documents WHERE source IN ('src1', 'src2') AND text IS NOT NULL")
 def perspective(spark, sf):
     s = F.col("source")
-    rows = A.table(spark, sf, "documents").select(F.when(s == "src1", "Reviewer").when(s == "src2", "the_specialist").otherwise("leader").alias("agent_role"), F.col("text").alias("prompt_text"))
+    rows = A.table(spark, sf, "documents").select("doc_id", F.when(s == "src1", "Reviewer").when(s == "src2", "the_specialist").otherwise("leader").alias("agent_role"), F.col("text").alias("prompt_text"))
     return integrity.perspective(rows)
 
 
 @check("design_words", f"SELECT {_words('text', parsing.DESIGN_WORDS)} < 2 AS failed FROM documents WHERE text IS NOT NULL")
 def design_words(spark, sf):
-    return integrity.design_words(A.table(spark, sf, "documents").select(F.col("text").alias("prompt_text")))
+    return integrity.design_words(A.table(spark, sf, "documents").select("doc_id", F.col("text").alias("prompt_text")))
 
 
 _TEXTS = "SELECT run_id, round, max(text) AS text FROM messages WHERE agent_role = 'assistant' AND length(text) >= {} GROUP BY ALL"
@@ -122,7 +122,7 @@ def parallel_agents_differ(spark, sf):
 def evaluation_values(spark, sf):
     n = F.col("event_id") % 7
     text = F.when(n == 0, "[1, 2]").when(n == 1, '[{"dimension": "a", "score": 1}]').otherwise(F.col("props"))
-    return integrity.evaluation_values(A.table(spark, sf, "events").select(F.col("value").alias("overall_score"), text.alias("dimension_scores")))
+    return integrity.evaluation_values(A.table(spark, sf, "events").select("event_id", F.col("value").alias("overall_score"), text.alias("dimension_scores")))
 
 
 @check("evaluation_coverage", "SELECT count(e.design_id) < 3 AS failed FROM runs LEFT JOIN evaluations e ON e.design_id = run_id WHERE status = 'completed' GROUP BY run_id", "runs", "evaluations")

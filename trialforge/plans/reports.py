@@ -121,6 +121,53 @@ def check_details(spark, sf):
     return reduce(DataFrame.unionAll, [one(name, c) for name, (c, _) in _DETAILED.items()])
 
 
+#: The columns that tell a failure of each check, and the failures as SQL, by the same columns.
+_LEFT_OPEN = "SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN text || ' {{ review }}' WHEN doc_id % 9 = 1 THEN text || ' {{order_id}}' ELSE text END AS p FROM documents"
+_TOLD = {
+    "template_variables": (["doc_id"], f"SELECT doc_id FROM ({_LEFT_OPEN}) WHERE regexp_matches(p, '{checks._VARIABLE}')"),
+    "empty_prompts": (["run_id", "round"], "SELECT run_id, round FROM messages WHERE agent_role = 'user' AND (text IS NULL OR trim(text) = '')"),
+    "empty_responses": (["run_id", "round"], "SELECT run_id, round FROM messages WHERE agent_role = 'assistant' AND (text IS NULL OR trim(text) = '')"),
+    "system_name": (["run_id", "round", "agent_role"], "SELECT run_id, round, agent_role FROM messages WHERE round = 0 AND text IS NOT NULL AND NOT contains(lower(text), CASE run_id % 2 WHEN 0 THEN 'the' ELSE 'die' END)"),
+    "perspective_injection": (["doc_id"], f"SELECT doc_id FROM documents WHERE source IN ('src1', 'src2') AND text IS NOT NULL AND {checks._words('text', parsing.PERSPECTIVE_WORDS)} = 0"),
+    "review_has_prior_design": (["run_id", "round"], f"SELECT m.run_id, m.round FROM messages m JOIN ({checks._TEXTS.format(700)}) d ON d.run_id = m.run_id AND d.round + 1 = m.round WHERE m.agent_role = 'user' AND NOT contains(m.text, substr(d.text, 501, 200))"),
+    "revision_has_review": (["run_id", "round"], f"WITH d AS ({checks._TEXTS.format(300)}) SELECT m.run_id, m.round FROM messages m LEFT JOIN d a ON a.run_id = m.run_id AND a.round = m.round LEFT JOIN d b ON b.run_id = m.run_id AND b.round + 1 = m.round WHERE NOT contains(m.text, substr(coalesce(a.text, b.text), 101, 200))"),
+    "prompt_growth": (["run_id", "round"], "SELECT run_id, round FROM (SELECT *, lag(size) OVER (PARTITION BY run_id ORDER BY round) AS before FROM (SELECT run_id, round, max(length(text)) AS size FROM messages GROUP BY ALL)) WHERE size < 0.5 * before"),
+    "design_words": (["doc_id"], f"SELECT doc_id FROM documents WHERE text IS NOT NULL AND {checks._words('text', parsing.DESIGN_WORDS)} < 2"),
+    "review_has_generation": (["run_id", "round"], f"SELECT m.run_id, m.round FROM messages m JOIN ({checks._TEXTS.format(300)}) d ON d.run_id = m.run_id AND d.round = m.round WHERE NOT contains(m.text, substr(d.text, 101, 200))"),
+    "parallel_agents_differ": (["run_id", "step"], "SELECT run_id, step FROM traces GROUP BY run_id, step HAVING count(*) >= 2 AND count(DISTINCT props) = 1"),
+    "evaluation_values": (["event_id"], "SELECT event_id FROM events WHERE value > 10 OR event_id % 7 = 0"),
+    "evaluation_coverage": (["design_id"], "SELECT run_id AS design_id FROM runs LEFT JOIN evaluations e ON e.design_id = run_id WHERE status = 'completed' GROUP BY run_id HAVING count(e.design_id) < 3"),
+    "coherence_fields": (["design_id", "field"], "SELECT design_id, 'section_pair' AS field FROM checks WHERE section_pair IS NULL OR trim(section_pair) = '' UNION ALL SELECT design_id, 'explanation' FROM checks WHERE explanation IS NULL OR trim(explanation) = ''"),
+    "context_chain": (["run_id", "round"], "SELECT l.run_id, l.round FROM (SELECT run_id, round, arg_max(text, (agent_role, round)) AS text FROM messages WHERE text IS NOT NULL GROUP BY ALL) l JOIN (SELECT run_id, round, lead(round) OVER (PARTITION BY run_id ORDER BY round) AS next FROM (SELECT DISTINCT run_id, round FROM messages)) n USING (run_id, round) LEFT JOIN messages q ON q.run_id = l.run_id AND q.round = n.next WHERE n.next IS NOT NULL AND length(l.text) >= 200 GROUP BY l.run_id, l.round HAVING NOT coalesce(bool_or(contains(q.text, substr(l.text, 1, 200))), false)"),
+    "cross_task_contamination": (["prompt_id", "task_id"], f"WITH s AS ({checks._SNIPPETS}), d AS ({checks._PROMPTS}) SELECT doc_id AS prompt_id, task_id FROM ({checks._MET})"),
+}
+
+
+def _detail_sql(columns: list[str]) -> str:
+    return " || ' ' || ".join(f"'{c} ' || {c}" for c in columns)
+
+
+def failures(spark, sf):
+    """check_name, detail of every failure of every check."""
+
+    def one(name: str, columns: list[str]) -> DataFrame:
+        failed = checks.check_contamination(spark, sf) if name == "cross_task_contamination" else checks.CHECKS[name][0](spark, sf).where("failed")
+        return failed.select(F.lit(name).alias("check_name"), F.concat_ws(" ", *[F.concat(F.lit(f"{c} "), F.col(c).cast("string")) for c in columns]).alias("detail"))
+
+    return reduce(DataFrame.unionAll, [one(name, columns) for name, (columns, _) in _TOLD.items()])
+
+
+_FAILURES = " UNION ALL ".join(f"SELECT '{name}' AS check_name, {_detail_sql(columns)} AS detail FROM ({q})" for name, (columns, q) in _TOLD.items())
+
+
+@query(sql("SELECT check_name, detail, place FROM (SELECT *, row_number() OVER (PARTITION BY check_name ORDER BY detail) AS place FROM f) WHERE place <= 20", "messages", "runs", "evaluations", "checks", "traces", f=_FAILURES))
+def check_details_of_all(spark, sf):
+    """The first twenty failures of every check, by the table function from SQL."""
+    told = failures(spark, sf)
+    integrity.register_details(spark, integrity.first_details(told, 20).drop("place"))
+    return spark.sql("SELECT * FROM check_details(TABLE(SELECT * FROM check_failures) PARTITION BY (check_name) ORDER BY (detail), 20)")
+
+
 @query(sql("SELECT key, CAST(sum(least(f, 3)) AS BIGINT) AS retries, count(*) FILTER (f > 3) AS exhausted, round(sum(0.5 * (pow(2.0, least(f, 3)) - 1)), 6) AS longest_wait FROM (SELECT *, (size * 7 + batch * 3 + slot) % 6 AS f FROM l) GROUP BY key", "traces", b=_BATCHED, l=_LOG))
 def retry_stats(spark, sf):
     """Retries of batches that fail a given number of times: doubling delays from half a second, three retries at most."""
