@@ -119,6 +119,21 @@ def test_keys_of_any_type(spark):
     assert sorted((int(r[0][1:]), *r[1:]) for r in got.collect()) == brute(clients, "optional")
 
 
+def test_times_without_a_zone(spark):
+    """Gaps are those of the clock on the wall, in a session's zone that skips an hour too."""
+    rows = [(1, f"2024-03-31 0{h}:{m:02d}:00", h * 60 + m, x) for h, m, x in ((0, 50, 9), (1, 10, 5), (1, 35, 8), (1, 50, 4), (2, 10, 6), (2, 39, 3), (3, 9, 7), (3, 40, 1), (3, 50, 2))]
+    df = spark.createDataFrame(rows, "key long, t string, id long, number long").withColumn("ts", F.col("t").cast("timestamp_ntz"))
+    want = brute({1: [(i * 60_000_000, i, x, True, True) for _, _, i, x in rows]}, "optional")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    for zone in ("Europe/Berlin", "UTC"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            got = zigzags(df, "key", "ts", "id", F.col("number"), F.lit(True), F.lit(True), GAP)
+            assert sorted(tuple(r) for r in got.collect()) == want and len(want) >= 3
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", before)
+
+
 def test_cents(spark):
     values = [1.005, -0.125, None, float("nan"), float("inf"), 1e300, 0.0]
     df = spark.createDataFrame([(v,) for v in values], "v double")

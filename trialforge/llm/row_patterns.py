@@ -228,6 +228,14 @@ def stitched(edges: DataFrame, ending: str) -> DataFrame:
     return starts.join(rest.hint("merge"), ["key", "chain"], "left").mapInArrow(run, MATCH.format(key=dict(edges.dtypes)["key"]))
 
 
+def micros(rows: DataFrame, at: str) -> Column:
+    """A timestamp in microseconds; one without a zone as it stands, whatever the session's zone."""
+    if dict(rows.dtypes)[at] == "timestamp_ntz":
+        seconds = F.unix_date(F.to_date(at)).cast("long") * 86_400 + F.hour(at) * 3600 + F.minute(at) * 60
+        return seconds * 1_000_000 + (F.extract(F.lit("SECOND"), F.col(at)) * 1_000_000).cast("long")
+    return F.unix_micros(F.col(at).cast("timestamp"))
+
+
 def zigzags(rows: DataFrame, key: str, at: str, row_id: str, number: Column, move: Column, close: Column, gap_us: int = 1_800_000_000, ending: str = "optional") -> DataFrame:
     """key, match_no, first_id, last_id, n_rows, total, labels_sha256 of every match, found from each start apart.
 
@@ -239,7 +247,7 @@ def zigzags(rows: DataFrame, key: str, at: str, row_id: str, number: Column, mov
     spark = rows.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // RANGE_ROWS))
     own = rows.where(F.col(key).isNotNull() & F.col(at).isNotNull()).distinct()
-    own = own.select(F.col(key).alias("key"), F.unix_micros(F.col(at).cast("timestamp")).alias("at"), F.col(row_id).cast("long").alias("id"), number.alias("number"), move.alias("move"), close.alias("close"))
+    own = own.select(F.col(key).alias("key"), micros(rows, at).alias("at"), F.col(row_id).cast("long").alias("id"), number.alias("number"), move.alias("move"), close.alias("close"))
     own = own.repartitionByRange(n, "key", "at", "id").sortWithinPartitions("key", "at", "id", "number", "move", "close")
     told = stored(scanned(own, gap_us, ending), "matches")
     edges = stored(continued(told.where("edge is not null").select("key", "part", "edge.*"), gap_us), "edges", large_rows=True)
