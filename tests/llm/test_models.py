@@ -17,7 +17,7 @@ def tokens(t):
     return (t or "").encode().lower().split() + [b"\n"]
 
 
-def brute_scores(rows, least=4, deep=32, gain=2.0):
+def brute_scores(rows, least=4, gain=2.0):
     """The suffix tree by dictionaries, contexts of any length. rows: id, text, train. Also the length of the longest state."""
     texts = [(tokens(t), train) for _, t, train in rows]
     count = collections.defaultdict(collections.Counter)
@@ -61,7 +61,7 @@ def brute_scores(rows, least=4, deep=32, gain=2.0):
         sums = collections.defaultdict(lambda: np.zeros(3))
         for w, train in texts:
             for k in range(d, len(w)) if train else ():
-                if count[d][tuple(w[k - d : k])] < deep or tuple(w[k - d + 1 : k]) not in states or not open_(w, k, d - 1):
+                if count[d][tuple(w[k - d : k])] < least or tuple(w[k - d + 1 : k]) not in states or not open_(w, k, d - 1):
                     continue
                 below = max(count[1][(w[k],)], 1) / max(1, space - 1)
                 for e in range(1, d):

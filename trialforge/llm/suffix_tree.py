@@ -1,7 +1,7 @@
 """LM scoring by a probabilistic suffix tree over words.
 
 Contexts are the last words of a text, as many as the test asks for. A context becomes a state if it occurs `least`
-times or more (`deep` times from three words on) and a divergence test retains it: the gain in log-likelihood over its parent, summed over all its training
+times or more, however long it is, and a divergence test retains it: the gain in log-likelihood over its parent, summed over all its training
 occurrences, each with itself left out, is above `gain` for one of three smoothing strengths; the best strength stays
 with the state. A context is tested where its parent does not tell the next word alone already, that is, where the
 parent is not always followed by one word, and, from three words on, where the parent is a state: contexts grow by a word
@@ -14,7 +14,9 @@ The model is never gathered in one place. Texts are encoded into blocks, kept in
 are not shuffled again. A block asks once for the n-grams it has, by sorted 64-bit hashes dealt into ranges; each range
 adds up the training counts of all blocks and answers each block in the order it asked. Exchanges of this kind add up
 the gains of the contexts and answer which are states. Hot n-grams cost a block one entry. N-grams of three words are
-only asked for after such contexts, longer ones only after states, and only the tokens concerned are carried on.
+only asked for after such contexts, longer ones only after states, and only the tokens concerned are carried on, with
+what is known already of their contexts' counts. An answer also tells whether other blocks asked for the n-gram: one that
+no other block has is not asked for again, nor is any longer one that holds it, since the block counts these by itself.
 Gains are rounded to 64ths of a nat token by token and added as integers, so that states do not depend on how texts are
 dealt into blocks, and what a longer context adds to a token ends where it rounds to nothing. Keys of 64 bits are taken as exact: among n different n-grams two share one with a probability
 of n * n / 2**65.
@@ -178,17 +180,16 @@ class Block:
         met[which] = True
         return (np.cumsum(met) - 1)[which], distinct[met]
 
+    def counts_here(self, n: int, at: np.ndarray) -> np.ndarray:
+        """Training counts, in this block, of the n-grams that end at each of the tokens `at`, which are all their occurrences."""
+        which, distinct = self.grams(n, at)
+        return np.bincount(which[self.train[self.owner_of(at)]], minlength=len(distinct))[which]
+
     def asked(self, n: int, at: np.ndarray, cut: int) -> list[tuple]:
         """Requests for counts of the n-grams that end at the tokens `at`, with their training counts in this block. A token counts once for each time it is in `at`."""
         which, distinct = self.grams(n, at)
         return list(dealt(self.number, n, distinct, np.bincount(which[self.train[self.owner_of(at)]], minlength=len(distinct)).astype(np.uint32), cut))
 
-    def spread(self, n: int, at: np.ndarray, values: np.ndarray) -> np.ndarray:
-        """values, by number of the n-grams that end at `at`, laid out by token (0 elsewhere)."""
-        out = np.zeros(len(self.seq))
-        out[at] = values[self.grams(n, at)[0]]
-        return out
-
 
 def dealt(block: int, n: int, keys: np.ndarray, values: np.ndarray, cut: int) -> Iterator[tuple[int, int, int, bytes, bytes]]:
     """Sorted keys and what goes with them, by the ranges (2**cut) they fall in."""
@@ -202,7 +203,7 @@ ASKS, ANSWERS = "bin int, block long, n int, keys binary, data binary", "block l
 
 
 def answered(x: pd.DataFrame, kind: type, width: int, answer, shift: int) -> Iterator[tuple[int, int, int, bytes, int]]:
-    """For all requests of one range and order: values of equal keys added up as integers, answer(sums), and that for each block in its own order."""
+    """For all requests of one range and order: values of equal keys added up as integers, answer(sums, number of blocks that asked), and that for each block in its own order."""
     keys = [unsqueezed_keys(k) for k in x["keys"]]
     every = np.concatenate(keys)
     order = np.argsort(every, kind="stable")
@@ -210,8 +211,9 @@ def answered(x: pd.DataFrame, kind: type, width: int, answer, shift: int) -> Ite
     which = np.empty(len(every), np.int64)
     which[order] = np.cumsum(first) - 1
     given = np.concatenate([unsqueezed(v, kind) for v in x["data"]]).reshape(-1, width).astype(np.int64)
-    sums = np.add.reduceat(given[order], np.flatnonzero(first), axis=0)
-    values, known, a = answer(sums), int((sums[:, 0] > 0).sum()), 0
+    edges = np.flatnonzero(first)
+    sums = np.add.reduceat(given[order], edges, axis=0)
+    values, known, a = answer(sums, np.diff(np.append(edges, len(every)))), int((sums[:, 0] > 0).sum()), 0
     for block, own in zip(x["block"], keys, strict=True):
         yield block, int(x["n"].iloc[0]) + shift, int(x["bin"].iloc[0]), squeezed(values[which[a : a + len(own)]]), known
         a, known = a + len(own), 0
@@ -228,7 +230,8 @@ def exchange(requests: DataFrame, kind: type, width: int, answer, shift: int = 0
 
 
 def counted(requests: DataFrame) -> tuple[DataFrame, str]:
-    return stored_at(exchange(requests, np.uint32, 1, lambda s: s[:, 0].astype(np.uint64)), "counts")
+    """Counts, each with a last bit that is set if other blocks have the n-gram too."""
+    return stored_at(exchange(requests, np.uint32, 1, lambda s, asked: s[:, 0].astype(np.uint64) << np.uint64(1) | (asked > 1)), "counts")
 
 
 def values_of(replies: pd.DataFrame, n: int, kind: type) -> np.ndarray:
@@ -238,19 +241,25 @@ def values_of(replies: pd.DataFrame, n: int, kind: type) -> np.ndarray:
 
 
 class Model:
-    """What a block knows of the model: counts of the n-grams it asked for, all training tokens and distinct ones."""
+    """What a block knows of the model: counts of n-grams of up to `orders` words by where they end, whether other blocks have them, all training tokens and distinct ones."""
 
-    def __init__(self, block: Block, replies: pd.DataFrame, tokens: int, distinct: int, least: int):
+    def __init__(self, block: Block, replies: pd.DataFrame, tokens: int, distinct: int, least: int, orders: int = 3):
         self.block, self.total, self.least = block, tokens + distinct + 1, least
-        self.at, self.count = {1: np.arange(len(block.seq)), 2: np.flatnonzero(block.place >= 1)}, {}
-        for n in (1, 2, 3):
-            if n == 3:
+        self.at, self.count, self.shared = {1: np.arange(len(block.seq)), 2: np.flatnonzero(block.place >= 1)}, {}, {}
+        for n in range(1, orders + 1):
+            at = self.at[n]
+            block.number_all(n, at)
+            count, shared = counts_of(block, n, at, self.alone(n), replies)
+            self.count[n], self.shared[n] = np.zeros(len(block.seq)), np.zeros(len(block.seq), bool)
+            self.count[n][at], self.shared[n][at] = count, shared
+            if n == 2:
                 at = self.frequent(2)
                 self.at[3] = at[self.count[2][at] < self.count[1][at - 1]]
-                if not (replies["n"] == 3).any():
-                    break
-            block.number_all(n, self.at[n])
-            self.count[n] = block.spread(n, self.at[n], values_of(replies, n, np.uint64))
+
+    def alone(self, n: int) -> np.ndarray:
+        """Whether the n-grams that end at at[n] are known to lie in this block alone, as pairs in them do. Those of one and two words are all asked for."""
+        at = self.at[n]
+        return ~(self.shared[2][at - 1] & self.shared[2][at]) if n == 3 else np.zeros(len(at), bool)
 
     def frequent(self, d: int) -> np.ndarray:
         """Tokens whose context of d words occurs `least` times or more."""
@@ -274,6 +283,15 @@ def mixed(context, own, strength, below: np.ndarray, left_out: bool = False) ->
     return (np.maximum(own - one, 0) + weight * below) / np.maximum(context - one + weight, 1e-12)
 
 
+def counts_of(block: Block, n: int, at: np.ndarray, alone: np.ndarray, replies: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the n-grams that end at the tokens `at`, and whether other blocks may have them: from the answers, or, where they are `alone` in this block, from it."""
+    count, shared = np.zeros(len(at)), ~alone
+    told = values_of(replies, n, np.uint64)[block.grams(n, at[shared])[0]] if shared.any() else np.zeros(0, np.uint64)
+    count[shared], count[alone] = told >> np.uint64(1), block.counts_here(n, at[alone])
+    shared[shared] = (told & np.uint64(1)).astype(bool)
+    return count, shared
+
+
 def gains(block: Block, d: int, at: np.ndarray, context: np.ndarray, own: np.ndarray, below: np.ndarray, cut: int) -> list[tuple]:
     """Requests for verdicts on the contexts of d words before the tokens `at`: their gains here, for each strength."""
     which, distinct = block.grams(d, at - 1)
@@ -287,32 +305,33 @@ def strengths(block: Block, d: int, at: np.ndarray, replies: pd.DataFrame) -> np
     return np.append(0.0, STRENGTHS)[values_of(replies, VERDICT + d, np.uint8)[block.grams(d, at - 1)[0]]]
 
 
-def carried_on(block: Block, d: int, at: np.ndarray, p: np.ndarray, q: np.ndarray, cut: int, window: int) -> list[tuple]:
-    """Rows for the tokens that may have a state of d words: requests for the counts of it and of what follows it, and the tokens themselves, with the words before them."""
+def carried_on(block: Block, d: int, at: np.ndarray, p: np.ndarray, q: np.ndarray, context: np.ndarray, alone: np.ndarray, cut: int, window: int) -> list[tuple]:
+    """Rows for the tokens that may have a state of d words: requests for the counts of it, where `context` has none (-1),
+    and of what follows it, where that is not `alone` in the block, and the tokens themselves, with the words before them."""
     keep = block.place_of(at) >= d
-    at, p, q = at[keep], p[keep], q[keep]
+    at, p, q, context, alone = (x[keep] for x in (at, p, q, context, alone))
     if not len(at):
         return []
-    # Whether a token is carried on depends on its context alone, so these are all occurrences of each n-gram.
-    asks = block.asked(d, at - 1, cut) + block.asked(d + 1, at, cut)
+    # Whether a token is carried on, and what is asked, depends on its n-gram alone, so these are all occurrences of each.
+    asks = block.asked(d, at[context < 0] - 1, cut) + block.asked(d + 1, at[~alone], cut)
     b, spots = block.windows(at, (d // window + 1) * window)
-    parts = (b.lengths.astype(np.uint32), b.vocab, b.seq, b.train.astype(np.uint8), b.docs.astype(np.uint32), b.begin.astype(np.uint32), spots.astype(np.uint32), p, q)
+    parts = (b.lengths.astype(np.uint32), b.vocab, b.seq, b.train.astype(np.uint8), b.docs.astype(np.uint32), b.begin.astype(np.uint32), spots.astype(np.uint32), p, q, (context + 1).astype(np.uint64), alone.astype(np.uint8))
     packed = [squeezed(x) for x in parts]
     return [*asks, (0, block.number, CARRIED, None, b"".join(len(x).to_bytes(8, "little") + x for x in packed))]
 
 
-def carried(number: int, replies: pd.DataFrame) -> tuple[Block, np.ndarray, np.ndarray, np.ndarray] | None:
-    """The block of the tokens that were carried on, their places in it, and both probabilities; None if there are none."""
+def carried(number: int, replies: pd.DataFrame) -> tuple[Block, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+    """The block of the tokens that were carried on, their places in it, both probabilities, counts of contexts (-1: none yet) and what is alone; None if there are none."""
     own = replies[replies["n"] == CARRIED]["data"]
     if not len(own):
         return None
     data, parts, at = own.iloc[0], [], 0
-    for kind in (np.uint32, np.uint64, np.uint32, np.uint8, np.uint32, np.uint32, np.uint32, np.float64, np.float64):
+    for kind in (np.uint32, np.uint64, np.uint32, np.uint8, np.uint32, np.uint32, np.uint32, np.float64, np.float64, np.uint64, np.uint8):
         size = int.from_bytes(data[at : at + 8], "little")
         parts.append(unsqueezed(data[at + 8 : at + 8 + size], kind))
         at += 8 + size
-    lengths, vocab, seq, train, docs, begin, spots, p, q = parts
-    return Block(number, lengths.astype(np.int64), vocab, seq, train.astype(bool), docs.astype(np.int64), begin.astype(np.int64)), spots.astype(np.int64), p, q
+    lengths, vocab, seq, train, docs, begin, spots, p, q, context, alone = parts
+    return Block(number, lengths.astype(np.int64), vocab, seq, train.astype(bool), docs.astype(np.int64), begin.astype(np.int64)), spots.astype(np.int64), p, q, context.astype(np.float64) - 1, alone.astype(bool)
 
 
 def bucketed(df: DataFrame, buckets: int, name: str, path: str) -> DataFrame:
@@ -323,22 +342,22 @@ def bucketed(df: DataFrame, buckets: int, name: str, path: str) -> DataFrame:
     return spark.table(name)
 
 
-def scored(docs: DataFrame, training: Column, least: int = 4, deep: int = 32, gain: float = 2.0, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; learned from the rows where `training` is true."""
+def scored(docs: DataFrame, training: Column, least: int = 4, gain: float = 2.0, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, buckets: int | None = None) -> DataFrame:
+    """id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; learned from the rows where `training` is true. buckets: of the table of blocks, as many as shuffle partitions by default."""
     spark = docs.sparkSession
     name = f"blocks_{uuid.uuid4().hex}"
     path = f"{work_dir(spark)}/trialforge/{name}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     try:
         bucketed(encoded(docs, training, id_col, text_col), buckets, name, path)
-        return _scored(spark.table(name), name, path, buckets, docs.schema[id_col].dataType.simpleString(), least, deep, gain, id_col, window)
+        return _scored(spark.table(name), name, path, buckets, docs.schema[id_col].dataType.simpleString(), least, gain, id_col, window)
     finally:
         for x in (name, *(f"{name}_{k}" for k in "ab")):
             spark.sql(f"DROP TABLE IF EXISTS {x}")
         dropped(spark, path, f"{path}_a", f"{path}_b")
 
 
-def _scored(blocks: DataFrame, name: str, path: str, buckets: int, kind: str, least: int, deep: int, gain: float, id_col: str, window: int) -> DataFrame:
+def _scored(blocks: DataFrame, name: str, path: str, buckets: int, kind: str, least: int, gain: float, id_col: str, window: int) -> DataFrame:
     tokens, size = (int(v or 0) for v in blocks.agg(F.sum("tokens"), F.sum("size")).first())
     cut = max(6, int(np.ceil(np.log2(max(1, 2 * size) / ENTRIES))))
     ask_columns, done = ["bin", "block", "n", "keys", "data"], "doc int, id string, train boolean, n_tokens long, n_known long, base_score double, score double"
@@ -391,8 +410,8 @@ def _scored(blocks: DataFrame, name: str, path: str, buckets: int, kind: str, le
     pairs = pairs.select("block", "n", "bin", "data")
 
     def third(b: Block, ids: list, replies: pd.DataFrame) -> tuple:
-        m = Model(b, replies, tokens, distinct, least)
-        return b.asked(3, m.at[3], cut), None
+        m = Model(b, replies, tokens, distinct, least, orders=2)
+        return b.asked(3, m.at[3][~m.alone(3)], cut), None
 
     triples, triples_path = counted(met(pairs, third, ASKS))
     near, used = pairs.union(triples.select(*pairs.columns)), [*used, triples_path]
@@ -406,7 +425,7 @@ def _scored(blocks: DataFrame, name: str, path: str, buckets: int, kind: str, le
             below[at] = mixed(context, own, STRENGTHS[1], below[at], True)
         return rows, None
 
-    def retained(sums: np.ndarray) -> np.ndarray:
+    def retained(sums: np.ndarray, asked: np.ndarray) -> np.ndarray:
         return np.where(sums.max(1) > gain * SCALE, 1 + sums.argmax(1), 0).astype(np.uint8)
 
     def verdicts(requests: DataFrame) -> tuple[DataFrame, str]:
@@ -426,10 +445,12 @@ def _scored(blocks: DataFrame, name: str, path: str, buckets: int, kind: str, le
             last = at[own < context]
         # How often contexts of three words occur follows from what is known: a word that is always followed by one is a pair with it.
         last = last[b.place[last] >= 3]
-        always, c3 = m.count[2][last - 1] >= m.count[1][last - 2], m.count.get(3, np.zeros(len(b.seq)))[last - 1]
-        last = last[np.where(always, m.count[2][last - 2], c3) >= deep]
+        always = m.count[2][last - 1] >= m.count[1][last - 2]
+        context, shared = (np.where(always, x[2][last - 2], x[3][last - 1]) for x in (m.count, m.shared))
+        alone, often = ~(shared & m.shared[3][last]), context >= least
+        last, context, alone = last[often], context[often], alone[often]
         frame = pd.DataFrame({"doc": np.arange(b.n), "id": pd.Series(ids, dtype=object), "train": b.train, "n_tokens": b.lengths, "n_known": sum_of(m.count[1] > 0).astype(np.int64), "base_score": sum_of(base), "score": sum_of(np.log10(p))})
-        return carried_on(b, 3, last, p[last], q[last], cut, window), frame
+        return carried_on(b, 3, last, p[last], q[last], context, alone, cut, window), frame
 
     both = ASKS + ", " + done
     states, states_path = verdicts(met(near, test, ASKS))
@@ -437,33 +458,39 @@ def _scored(blocks: DataFrame, name: str, path: str, buckets: int, kind: str, le
     dropped(spark, *used, states_path)
     scores, depth = stored(out.where("n is null").select("block", *done_columns), "texts"), 3
     more = []
-    while not (asks := out.where("keys is not null").select(*ask_columns)).isEmpty():
-        state = out.where("keys is null and n is not null").select(*pairs.columns)
-        counts, counts_path = counted(asks)
+    while not (state := out.where("keys is null and n is not null").select(*pairs.columns)).isEmpty():
+        counts, counts_path = counted(out.where("keys is not null").select(*ask_columns))
         replies = counts.select(*pairs.columns)
 
-        def longer(b: Block, at: np.ndarray, p: np.ndarray, q: np.ndarray, replies: pd.DataFrame, d: int = depth) -> tuple:
-            """The tokens carried on whose context is frequent, its count and that of the token after it, and probabilities."""
-            context, own = (values_of(replies, n, np.uint64)[b.grams(n, x)[0]].astype(np.float64) for n, x in ((d, at - 1), (d + 1, at)))
-            often = context >= deep
-            return at[often], context[often], own[often], p[often], q[often]
+        def longer(b: Block, at: np.ndarray, p: np.ndarray, q: np.ndarray, context: np.ndarray, alone: np.ndarray, replies: pd.DataFrame, d: int = depth) -> tuple:
+            """The tokens carried on whose context is frequent, its count and that of the token after it, whether other blocks have that, and probabilities."""
+            new = context < 0
+            context[new] = counts_of(b, d, at[new] - 1, np.zeros(new.sum(), bool), replies)[0]
+            own, shared = counts_of(b, d + 1, at, alone, replies)
+            often = context >= least
+            return tuple(x[often] for x in (at, context, own, shared, p, q))
 
-        def test_longer(b: Block, at: np.ndarray, p: np.ndarray, q: np.ndarray, replies: pd.DataFrame, d: int = depth, longer=longer) -> tuple:
-            at, context, own, _, q = longer(b, at, p, q, replies)
+        def test_longer(b: Block, *state, d: int = depth, longer=longer) -> tuple:
+            at, context, own, _, _, q = longer(b, *state)
             return gains(b, d, at, context, own, q, cut), None
 
-        def score_longer(b: Block, at: np.ndarray, p: np.ndarray, q: np.ndarray, replies: pd.DataFrame, d: int = depth, longer=longer, full: Block | None = None) -> tuple:
-            at, context, own, p, q = longer(b, at, p, q, replies)
-            s = strengths(b, d, at, replies)
-            at, context, own, p, q, s = (x[s > 0] for x in (at, context, own, p, q, s))
+        def score_longer(b: Block, *state, d: int = depth, longer=longer, full: Block | None = None) -> tuple:
+            at, context, own, shared, p, q = longer(b, *state)
+            place, seen = (lambda at: at) if full is None else (lambda at: full.starts[b.docs[b.owner_of(at)]] + b.place_of(at)), (at, own, shared)
+            s = strengths(b, d, at, state[-1])
+            at, context, own, shared, p, q, s = (x[s > 0] for x in (at, context, own, shared, p, q, s))
             now, docs = mixed(context, own, s, p), b.docs[b.owner_of(at)]
             moved, which = np.unique(docs, return_inverse=True)
             frame = pd.DataFrame({"doc": moved, "score": np.bincount(which, np.log10(now) - np.log10(p), len(moved))})
             q = mixed(context, own, s, q, True)
-            if full is not None:
-                b, at = full, full.starts[docs] + b.place_of(at)
-            at, now, q = (x[own < context] for x in (at, now, q))
-            return carried_on(b, d + 1, at, now, q, cut, window), frame
+            at, shared, now, q = (x[own < context] for x in (at, shared, now, q))
+            # The context of d + 1 words ends at the token before, and was counted there if that token was carried on too.
+            before = np.minimum(np.searchsorted(seen[0], at - 1), max(0, len(seen[0]) - 1))
+            met = seen[0][before] == at - 1
+            context, alone = np.where(met, seen[1][before], -1.0), ~shared | (met & ~seen[2][before])
+            often = ~met | (context >= least)
+            at, now, q, context, alone = (x[often] for x in (at, now, q, context, alone))
+            return carried_on(b if full is None else full, d + 1, place(at), now, q, context, alone, cut, window), frame
 
         def refilled(full: Block, ids: list, replies: pd.DataFrame, score_longer=score_longer) -> tuple:
             """The same, with the words before the tokens taken from the whole block again: those carried on are used up."""
