@@ -53,7 +53,9 @@ VERDICT, CARRIED, WINDOW = 1_000_000, 2_000_000, 4
 
 
 def squeezed(values: np.ndarray) -> bytes:
-    """Unsigned integers by byte planes, compressed."""
+    """Integers by byte planes, compressed; signed ones as unsigned, with the sign as the last bit."""
+    if values.dtype == np.int64:
+        values = (values << 1 ^ values >> 63).view(np.uint64)
     planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T
     return np.array([len(values)], np.int64).tobytes() + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
 
@@ -61,7 +63,10 @@ def squeezed(values: np.ndarray) -> bytes:
 def unsqueezed(data: bytes, kind: type) -> np.ndarray:
     n = int(np.frombuffer(data, np.int64, 1)[0])
     raw = zstandard.ZstdDecompressor().decompress(data[8:]) if n else b""
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, n).T).view(kind).ravel() if n else np.zeros(0, kind)
+    values = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, n).T).view(kind).ravel() if n else np.zeros(0, kind)
+    if values.dtype == np.int64:
+        values = (values.view(np.uint64) >> np.uint64(1)).view(np.int64) ^ -(values & 1)
+    return values
 
 
 def squeezed_keys(keys: np.ndarray) -> bytes:
