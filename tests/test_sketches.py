@@ -53,6 +53,20 @@ def test_roll_up_equals_direct_sketch_where_exact(scores):
     assert sketches.quantiles(sketches.quantile_sketches(scores.limit(0), ["variant"], "v")).count() == 0
 
 
+@pytest.mark.parametrize("k", [8, 200])
+def test_exact_quantiles_beyond_the_sketch(scores, k):
+    shares = {"low": 0.0, "tenth": 0.1, "third": 0.333, "median": 0.5, "dear": 0.9, "high": 1.0}
+    got = sketches.exact_quantiles(scores, [["variant"], ["variant", "level"]], "v", shares, k).collect()
+    fine, coarse = exact(scores, ["variant", "level"]), exact(scores, ["variant"])
+    for r in got:
+        values = coarse[(r["variant"],)] if r["grouping"] == 1 else fine[r["variant"], r["level"]]
+        assert r["n"] == len(values)
+        for name, share in shares.items():
+            assert r[name] == values[max(1, -(-len(values) * round(1000 * share) // 1000)) - 1]
+    assert len(got) == len(fine) + len(coarse)
+    assert sketches.exact_quantiles(scores.limit(0), [["variant"]], "v").count() == 0
+
+
 @pytest.mark.parametrize("tracked", [48, 4000])
 def test_frequent_texts(spark, tracked):
     rng = random.Random(9)
