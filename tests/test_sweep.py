@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from trialforge.operators import sweep, timeline
+from trialforge.operators import prefix, sweep, timeline
 
 SCHEMA = "run_id long, trace_id long, started_us long, ended_us long"
 
@@ -66,6 +66,18 @@ def test_stretches_are_islands(traces):
     assert got == want
 
 
+@pytest.mark.parametrize("least", [0, 50, 10_000])
+def test_runs_cut_or_whole(calls, traces, monkeypatch, least):
+    """Ranges of large runs alone, of all, and of none give the same; a profile makes one order of its events."""
+    monkeypatch.setattr(prefix, "LEAST", least)
+    degree, groups, busy = brute(calls)
+    assert {(r["run_id"], r["trace_id"]): r["degree"] for r in sweep.degrees(traces).collect()} == degree
+    assert {tuple(r) for r in sweep.largest_groups(traces).collect()} == groups
+    assert {r["run_id"]: (r["peak"], r["busy_us"], r["parallel_us"]) for r in sweep.profile(traces).collect()} == busy
+    plan = sweep.profile(traces)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 2  # over the events, and over the sums of ranges
+
+
 def test_empty(traces):
     none = traces.limit(0)
     assert [f(none).count() for f in (sweep.degrees, sweep.profile, sweep.largest_groups, sweep.stretches)] == [0, 0, 0, 0]

@@ -13,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialforge.operators.prefix import followed, running
+from trialforge.operators.prefix import along, followed
+from trialforge.sources.scratch import stored
 
 #: Order of events: by time, ends first, then by call.
 ORDER = ["at_us", "begins", "trace_id"]
@@ -26,9 +27,9 @@ def events(traces: DataFrame) -> DataFrame:
     return lasting.select("run_id", "trace_id", both).select("run_id", "trace_id", "e.at_us", "e.begins")
 
 
-def swept(traces: DataFrame) -> DataFrame:
-    """Events with `starts` and `ends` before them in their run."""
-    return running(events(traces), ORDER, {"starts": F.col("begins"), "ends": 1 - F.col("begins")}, ["run_id"])
+def swept(traces: DataFrame, following: list[str] | None = None) -> DataFrame:
+    """Events with `starts` and `ends` before them in their run, and next_<column> of the event after them."""
+    return along(events(traces), ORDER, {"starts": F.col("begins"), "ends": 1 - F.col("begins")}, following or [], ["run_id"])
 
 
 def degrees(traces: DataFrame) -> DataFrame:
@@ -39,7 +40,7 @@ def degrees(traces: DataFrame) -> DataFrame:
 
 def profile(traces: DataFrame) -> DataFrame:
     """Per run: the most calls at once, the time with one call at least and with two at least, and the mean number of calls in busy time."""
-    rows = followed(swept(traces), ORDER, ["at_us"], ["run_id"])
+    rows = swept(traces, ["at_us"])
     rows = rows.withColumn("active", F.col("starts") - F.col("ends") + F.when(F.col("begins") == 1, 1).otherwise(-1)).withColumn("lasts", F.coalesce(F.col("next_at_us") - F.col("at_us"), F.lit(0)))
     time = lambda least: F.sum(F.when(F.col("active") >= least, F.col("lasts")).otherwise(0))
     return rows.groupBy("run_id").agg(F.max("active").alias("peak"), time(1).alias("busy_us"), time(2).alias("parallel_us"), (F.sum(F.col("active") * F.col("lasts")) / time(1)).alias("mean_active"))
@@ -47,12 +48,12 @@ def profile(traces: DataFrame) -> DataFrame:
 
 def largest_groups(traces: DataFrame, least: int = 2) -> DataFrame:
     """run_id, from_us, until_us, n: the sets of calls that all run at once and that no other call of the run could join. They are where a start is followed by an end: from the last start of the set to its first end."""
-    rows = followed(swept(traces), ORDER, ["at_us", "begins"], ["run_id"]).where("begins = 1 and next_begins = 0")
+    rows = swept(traces, ["at_us", "begins"]).where("begins = 1 and next_begins = 0")
     return rows.select("run_id", F.col("at_us").alias("from_us"), F.col("next_at_us").alias("until_us"), (F.col("starts") - F.col("ends") + 1).alias("n")).where(F.col("n") >= least)
 
 
 def stretches(traces: DataFrame) -> DataFrame:
     """run_id, started_us, ended_us, n_events: connected stretches of time in which some call runs."""
-    borders = swept(traces).where("(begins = 1 and starts = ends) or (begins = 0 and starts = ends + 1)")
+    borders = stored(swept(traces).where("(begins = 1 and starts = ends) or (begins = 0 and starts = ends + 1)"), "borders")
     rows = followed(borders, ORDER, ["at_us", "starts"], ["run_id"]).where("begins = 1")
     return rows.select("run_id", F.col("at_us").alias("started_us"), F.col("next_at_us").alias("ended_us"), (F.col("next_starts") - F.col("starts")).alias("n_events"))
