@@ -1,8 +1,12 @@
 """Streams give what their batch twins give, and go on where they stopped."""
 
+import random
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from trialforge.operators import prefix
 from trialforge.streaming import microbatch as M
 
 
@@ -19,6 +23,29 @@ def test_rate_limits(spark):
     assert M.Limits(500, 10_000).scaled(1000) == M.Limits(1000, 20_000)
 
 
+@pytest.mark.parametrize("limits", [M.Limits(2, 100), M.Limits(0.5, 40), M.Limits(30, 900)])
+def test_rate_limits_by_ranges(spark, monkeypatch, limits):
+    """Keys cut into ranges of time wait as their fold says, in batches of a few rows; no worker gets a key as a whole."""
+    monkeypatch.setattr(prefix, "LEAST", 100)
+    rng = random.Random(5)
+    rows = [(k, i, round(rng.uniform(0, 4000 * n / 100), rng.choice([0, 3])), float(rng.choice([1, 20, 50, 300]))) for k, n in (("a", 300), (None, 200), ("b", 101), ("c", 40)) for i in range(n)]
+    df = spark.createDataFrame(rows, "key string, request_id long, at double, tokens double").repartition(3)
+    limited = M.rate_limited(df, limits)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = {(r["key"], r["request_id"]): r["granted_at"] for r in limited.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for key in ("a", "b", "c", None):
+        own = pd.DataFrame(sorted((r[2], r[1], r[3]) for r in rows if r[0] == key), columns=["at", "request_id", "tokens"])
+        for i, granted in zip(own["request_id"], M._waits(limits, None, own)[0], strict=True):
+            assert got.pop((key, i)) == pytest.approx(granted, abs=1e-6)
+    assert not got
+    plan = limited._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroupsInPandas") == 1 and plan.count("MapInPandas passages") == 1 and plan.count("MapInPandas fold") == 1
+    assert M.rate_limited(df.limit(0), limits).count() == 0
+
+
 def test_rate_limit_stream(spark, tmp_path):
     source = f"file://{tmp_path}/in"
     schema = requests(spark).schema

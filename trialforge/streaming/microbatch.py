@@ -6,7 +6,7 @@ The streams are Structured Streaming queries over file sources; windows are by e
 from __future__ import annotations
 
 import random
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from time import sleep as pause
 
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from trialforge.operators import prefix
 from trialforge.operators.matching import chunked
 
 
@@ -78,16 +79,89 @@ def _waits(limits: Limits, state: tuple[float, float, float] | None, rows: pd.Da
     return out, (r, t, now)
 
 
-def rate_limited(requests: DataFrame, limits: Limits, key: str = "key") -> DataFrame:
-    """key, request_id, at, granted_at, waited: token buckets per key over requests (key, request_id, at in seconds, tokens), in order of at and request_id."""
-    kind = requests.schema[key].dataType.simpleString()
+def _parts(frames: Iterable[pd.DataFrame], by: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    """Rows of frames that are sorted by `by`, frame by frame: each with one value of `by` only."""
+    for x in frames:
+        new = pd.Series(False, x.index)
+        for c in by:
+            new |= ~((x[c] == x[c].shift()) | (x[c].isna() & x[c].shift().isna()))
+        for _, own in x.groupby(new.cumsum(), sort=False):
+            yield tuple(None if pd.isna(v) else v for v in own[by].iloc[0]), own
+
+
+def _passage(limits: Limits, rows: Iterable[tuple[float, float]], at0: float, state: list[list[float]] | None = None) -> list[list[float]]:
+    """What requests make of any state before them. A state is three times since at0: of the last grant, and when the
+    requests and the tokens would be full again. Each after the rows is the largest of a time and the three before, each
+    with a wait added: rows of four numbers. A bucket holds a minute, so a request of cost c, which takes b = 60 c / limit
+    seconds to fill, is granted when its bucket would be full in 60 - b seconds."""
+    none = float("-inf")
+    last, full, tokens_full = state or ([none, 0.0, none, none], [none, none, 0.0, none], [none, none, none, 0.0])
+    b, least = 60 / limits.rpm, max(0.0, 60 / limits.rpm - 60)
+    for at, tokens in rows:
+        c = min(tokens, limits.tpm) * 60 / limits.tpm
+        for j in range(4):
+            begun = max(last[j], at - at0) if j == 0 else last[j]
+            granted = max(begun + least, full[j] + b - 60, tokens_full[j] + c - 60)
+            last[j], full[j], tokens_full[j] = granted, max(full[j], granted) + b, max(tokens_full[j], granted) + c
+    return [last, full, tokens_full]
+
+
+def _entries(limits: Limits, ranges: pd.DataFrame) -> list[tuple[float, float, float]]:
+    """_waits()' state before each range of a key, in order; ranges: at0 and the passage through each, one after the other."""
+    out, state = [], None
+    for at0, passage in zip(ranges["at0"], ranges["passage"], strict=True):
+        since = [0.0, *([float("-inf")] * 3 if state is None else [x - at0 for x in state])]
+        if state is None:
+            out.append((limits.rpm, limits.tpm, at0))
+        else:
+            last, full, tokens_full = state
+            out.append((limits.rpm - max(0.0, full - last) * limits.rpm / 60, limits.tpm - max(0.0, tokens_full - last) * limits.tpm / 60, last))
+        state = [at0 + max(m + v for m, v in zip(passage[4 * i : 4 * i + 4], since, strict=True)) for i in range(3)]
+    return out
+
 
-    def fold(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values(["at", "request_id"], kind="stable")
-        granted, _ = _waits(limits, None, x)
-        return pd.DataFrame({key: x[key], "request_id": x["request_id"], "at": x["at"], "granted_at": granted, "waited": [g - a for g, a in zip(granted, x["at"], strict=True)]})
+def rate_limited(requests: DataFrame, limits: Limits, key: str = "key") -> DataFrame:
+    """key, request_id, at, granted_at, waited: token buckets per key over requests (key, request_id, at in seconds, tokens), in order of at and request_id.
 
-    return requests.select(key, "request_id", "at", "tokens").groupBy(key).applyInPandas(fold, f"{key} {kind}, request_id long, at double, granted_at double, waited double")
+    Keys of many requests are cut into ranges of time. A first pass tells what each range makes of any state before it
+    (_passage), and these few rows, one after the other, tell the state that each range begins with; so ranges are folded
+    apart from each other. Rows go through Python batch by batch: no worker holds a range.
+    """
+    kind = requests.schema[key].dataType.simpleString()
+    cut = prefix.ranged(requests.select(key, "request_id", "at", "tokens"), "at", [key])
+    by = [key, "_range"]
+    laid_out = lambda df: df.repartition(*by).sortWithinPartitions(*by, "at", "request_id")
+
+    def passages(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, at0, state = None, 0.0, None
+        told = lambda: pd.DataFrame({key: [now[0]], "_range": [now[1]], "at0": [at0], "passage": [[x for row in state for x in row]]})
+        for group, x in _parts(frames, by):
+            if group != now:
+                if now is not None:
+                    yield told()
+                now, at0, state = group, float(x["at"].iloc[0]), None
+            state = _passage(limits, zip(x["at"].tolist(), x["tokens"].tolist(), strict=True), at0, state)
+        if now is not None:
+            yield told()
+
+    def entries(ranges: pd.DataFrame) -> pd.DataFrame:
+        ranges = ranges.sort_values("_range")
+        return pd.DataFrame({key: ranges[key], "_range": ranges["_range"], "entry": [list(e) for e in _entries(limits, ranges)]})
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state = None, None
+        for group, x in _parts(frames, by):
+            if group != now:
+                entry = x["entry"].iloc[0]
+                now, state = group, None if entry is None else tuple(entry)
+            granted, state = _waits(limits, state, x)
+            yield pd.DataFrame({key: x[key], "request_id": x["request_id"], "at": x["at"], "granted_at": granted, "waited": [g - a for g, a in zip(granted, x["at"], strict=True)]})
+
+    told = laid_out(cut.where("_cut")).mapInPandas(passages, f"{key} {kind}, _range int, at0 double, passage array<double>")
+    begins = told.groupBy(key).applyInPandas(entries, f"{key} {kind}, _range int, entry array<double>")  # RANGES rows of a key at most
+    begins = begins.select(F.col(key).alias("_lane0"), F.col("_range").alias("_r"), "entry")
+    rows = cut.join(begins, prefix.same_lane([key]) & (F.col("_range") == F.col("_r")), "left").select(*by, "request_id", "at", "tokens", "entry")
+    return laid_out(rows).mapInPandas(fold, f"{key} {kind}, request_id long, at double, granted_at double, waited double")
 
 
 def rate_limited_stream(requests: DataFrame, limits: Limits, key: str = "key") -> DataFrame:
