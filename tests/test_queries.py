@@ -11,6 +11,11 @@ def test_query_equals_sql(spark, sf, name):
     assert_same(QUERIES[name](spark, sf).toPandas(), oracle_rows(ORACLE_SQL[name], sf))
 
 
+def test_predictions_read_line_items_before_their_plan(spark, sf):
+    """All eight share stored scores and rates, instead of medians of their own."""
+    assert not [f for f in QUERIES["predictions"](spark, sf).inputFiles() if "lineitem" in f or "orders" in f]
+
+
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLE_SQL)
 

@@ -73,8 +73,10 @@ def predictions(scores: DataFrame, dimension_scores: DataFrame, coherence: DataF
     """prediction (P1 to P8), statistic, supported; supported is null where there are not enough data.
 
     scores: score view; dimension_scores: variant_id, dimension, score; coherence: variant_id, design_id, coherence_rate;
-    aware: parent variants that see the rubric.
+    aware: parent variants that see the rubric. Scores are read several times, so they should be stored; each of the
+    other tables is read once.
     """
+    coherence = stored(coherence.select("variant_id", "design_id", "coherence_rate"), "coherence")
     parent = ranking.parent_variant(F.col("variant_id"))
     member = lambda name: parent.isin(SETS[name])
     enough = (F.col("n_first") >= 3) & (F.col("n_second") >= 3)

@@ -8,6 +8,7 @@ from trialforge.operators import decisions, ranking
 from trialforge.plans.registry import VIEWS, query, rounded, sql
 from trialforge.plans.scores import coherence, longs
 from trialforge.sources import adapter as A
+from trialforge.sources.scratch import stored
 
 
 #: DuckDB has no error function: upper tails by Simpson's rule over 600 steps.
@@ -361,6 +362,7 @@ _CV = "(SELECT variant_id, coalesce(stddev_samp(overall_median), 0) / avg(overal
     )
 )
 def predictions(spark, sf):
-    scores = A.score_view(spark, sf)
-    dims = longs(spark, sf).join(scores.select("design_id", "variant_id"), "design_id")
-    return decisions.predictions(scores, dims, _coherent(spark, sf))
+    scores = stored(A.score_view(spark, sf), "scores")
+    of = scores.select("design_id", "variant_id")
+    rates = of.join(coherence(spark, sf).select("design_id", "coherence_rate"), "design_id")
+    return decisions.predictions(scores, longs(spark, sf).join(of, "design_id"), rates)
