@@ -66,3 +66,14 @@ def test_built_once(spark, sf):
     files = first.read("runs").inputFiles()
     assert bucketed.built(spark, sf).read("runs").inputFiles() == files
     assert QUERIES["bucketed_scores"](spark, sf).count() == adapter.score_view(spark, sf).count()
+
+
+def test_only_what_is_read_is_written(spark, sf):
+    store = bucketed.built(spark, sf, 777)
+    try:
+        assert_same(store.score_view().toPandas(), adapter.score_view(spark, sf).toPandas())
+        there = {t for t in bucketed.LAYOUT if spark.catalog.tableExists(store.name(t))}
+        assert there == {"runs", "scores_median"} and not store.exists()
+        assert_same(store.read("scores_median").toPandas(), adapter.medians(spark, sf).toPandas())
+    finally:
+        store.drop()

@@ -5,6 +5,8 @@ that id, once, when they are written, and sorted in them. Views join bucket with
 are also partitioned by status, so that views of final runs read the files of completed ones alone. Medians have one row
 for each design, however many evaluations it has; the buckets of evaluations follow their designs.
 
+A built store writes a table when it is first read, so that a view costs the tables that it joins and no others.
+
 The number of buckets follows the rows (ROWS_IN_BUCKET of the largest table), so that buckets stay of a size as the
 tables grow; tables that are to be joined share it. What is added later goes into the same buckets, as further files.
 Null ids are in no view, and go to one bucket.
@@ -13,6 +15,7 @@ Null ids are in no view, and go to one bucket.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,8 +28,9 @@ LAYOUT = {"runs": ("run_id", ["status"]), "evaluations": ("design_id", []), "sco
 
 
 class BucketedStore:
-    def __init__(self, spark: SparkSession, prefix: str, buckets: int):
-        self.spark, self.prefix, self.buckets = spark, prefix, buckets
+    def __init__(self, spark: SparkSession, prefix: str, buckets: int, sources: dict[str, Callable[[], DataFrame]] | None = None):
+        """sources: what a table is written from when it is read and is not there."""
+        self.spark, self.prefix, self.buckets, self.sources = spark, prefix, buckets, sources or {}
 
     def name(self, table: str) -> str:
         return f"{self.prefix}_{table}"
@@ -45,6 +49,8 @@ class BucketedStore:
         self.write(table, rows.select(*self.read(table).columns), "append")
 
     def read(self, table: str) -> DataFrame:
+        if table in self.sources and not self.spark.catalog.tableExists(self.name(table)):
+            self.write(table, self.sources[table]())
         return self.spark.table(self.name(table))
 
     def drop(self) -> None:
@@ -79,15 +85,16 @@ class BucketedStore:
 
 
 def built(spark: SparkSession, sf: str, rows_in_bucket: int = ROWS_IN_BUCKET) -> BucketedStore:
-    """The tables of sf, laid out in buckets: written when this application first asks for them."""
+    """The tables of sf, laid out in buckets: each is written when this application first reads it."""
     prefix = f"tf_{hashlib.md5(f'{spark.sparkContext.applicationId} {sf} {rows_in_bucket}'.encode()).hexdigest()[:16]}"
     evaluations = adapter.evaluations(spark, sf)
-    store = BucketedStore(spark, prefix, max(1, -(-evaluations.count() // rows_in_bucket)))
-    if not store.exists():
-        store.write("runs", adapter.runs(spark, sf))
-        store.write("evaluations", evaluations)
-        # Medians come bucket by bucket from the evaluations just written.
-        medians = store.read("evaluations").groupBy("design_id").agg(F.median("overall_score").alias("overall_median"), F.count("*").alias("n_raters"))
-        store.write("scores_median", medians)
-        store.write("coherence_checks", adapter.coherence_checks(spark, sf))
+
+    def medians() -> DataFrame:
+        # Bucket by bucket where evaluations are laid out; else from their scores alone, dealt by design once.
+        there = spark.catalog.tableExists(store.name("evaluations"))
+        own = store.read("evaluations") if there else evaluations.select("design_id", "overall_score").repartition(store.buckets, "design_id")
+        return own.groupBy("design_id").agg(F.median("overall_score").alias("overall_median"), F.count("*").alias("n_raters"))
+
+    sources = {"runs": lambda: adapter.runs(spark, sf), "evaluations": lambda: evaluations, "scores_median": medians, "coherence_checks": lambda: adapter.coherence_checks(spark, sf)}
+    store = BucketedStore(spark, prefix, max(1, -(-evaluations.count() // rows_in_bucket)), sources)
     return store
