@@ -259,6 +259,15 @@ def test_ordinal_alpha_by_pairs(spark):
         assert got[d] is None if want is None else got[d] == pytest.approx(want, abs=1e-9)
 
 
+def test_ordinal_alpha_deals_rows_once_to_enough_tasks(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "ROWS_IN_TASK", 100)
+    rows = spark.range(1000).selectExpr("id div 20 as design_id", "concat('u', id % 4) as dimension", "cast(id % 7 as double) as score")
+    out = scoring.ordinal_alpha(rows)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and ", 10)" in plan.split("Exchange")[1]
+    assert out.where("alpha is not null").count() == 50
+
+
 def test_targeted_pairs_by_complexity(spark):
     """All eight pairs, overall and in each complexity, equal the tests of the stratum alone."""
     from trialforge.plans.statistics import TARGETED

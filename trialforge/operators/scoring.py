@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+ROWS_IN_TASK = 500_000
+
 
 def long_scores(evaluations: DataFrame, dimensions: list[str], keys: list[str]) -> DataFrame:
     """keys, dimension, score: one row per rater and dimension that has a score."""
@@ -82,10 +84,15 @@ def ordinal_alpha(scores: DataFrame, key: str = "design_id", unit: str = "dimens
     The ordinal distance of two values is the distance of their mid-ranks among all values of the key. So the sums over
     all pairs of values, of a unit (observed) or of the key (expected), are the sizes times the sums of squared
     mid-ranks less the squared sums: no pairs are made. Values are counted first, so a key costs its distinct values.
+
+    Rows are dealt by key once, to so many tasks that each gets about ROWS_IN_TASK of them however many there are, and all
+    counts and orders are made there.
     """
-    counts = scores.groupBy(key, unit, F.col(value).alias("c")).agg(F.count("*").alias("n"))
+    tasks = max(int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-scores.count() // ROWS_IN_TASK))
+    dealt = scores.select(key, unit, F.col(value).alias("c")).repartition(tasks, key)
+    counts = dealt.groupBy(key, unit, "c").agg(F.count("*").alias("n"))
     size = F.sum("n").over(Window.partitionBy(key, unit))
-    counts = counts.repartition(key).withColumn("m", size).where("m >= 2")
+    counts = counts.withColumn("m", size).where("m >= 2")
     whole = Window.partitionBy(key)
     below = F.sum("n").over(whole.orderBy("c").rangeBetween(Window.unboundedPreceding, Window.currentRow))
     middle = below - F.sum("n").over(Window.partitionBy(key, "c")) / 2 - F.sum("n").over(whole) / 2
