@@ -42,6 +42,18 @@ def test_each_batch_equals_recomputation(spark, tmp_path, world):
     assert state.now().first().asDict() == full(spark, matrix, seen) and state.facts().count() == before
 
 
+def test_earlier_facts_are_exchanged_once(spark, tmp_path, world, monkeypatch):
+    """A batch has one plan that reads the earlier facts, and triples that are there are not found in facts again."""
+    matrix, batches = world
+    state = counts.Completeness(spark, f"file://{tmp_path}/feed", matrix)
+    read, count = state._read, []
+    monkeypatch.setattr(state, "_read", lambda name, schema: count.append(name) or read(name, schema))
+    for k, batch in enumerate(batches):
+        state.handle(spark.createDataFrame(batch, counts.FACT), k)
+    assert count.count("facts") == len(batches) and count.count("triples") == 2 * len(batches)
+    assert state._read("triples", counts.TRIPLES).count() == state.now().first()["actual_runs"]
+
+
 def test_stream(spark, tmp_path, world):
     matrix, batches = world
     source = f"{tmp_path}/in"

@@ -261,10 +261,10 @@ def scoring_resumption(spark, sf):
 @query(ORACLE_SQL["completeness"])
 def incremental_completeness(spark, sf):
     """Completeness from the counts of six batches of facts, dealt by run, the second one delivered twice."""
-    feed = stored(counts.facts_of(A.runs(spark, sf), _scored(spark, sf), _checked(spark, sf)), "facts")
-    # Completions of a run and its results come in different batches.
-    slot = F.pmod(F.xxhash64("run_id", "kind"), F.lit(6))
+    feed = counts.facts_of(A.runs(spark, sf), _scored(spark, sf), _checked(spark, sf))
+    # Completions of a run and its results come in different batches; each batch has a folder of its own.
+    feed = stored(feed.withColumn("slot", F.pmod(F.xxhash64("run_id", "kind"), F.lit(6))), "facts", ["slot"])
     state = counts.Completeness(spark, f"{scratch_dir(spark)}/trialforge/feeds/{uuid.uuid4().hex}", matrix(spark))
     for k in (0, 1, 1, 2, 3, 4, 5):
-        state.handle(feed.where(slot == k), k)
+        state.handle(feed.where(F.col("slot") == k), k)
     return rounded(state.now())

@@ -20,9 +20,9 @@ def scratch_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The frame, written once and read back. The table stays until the folder is emptied."""
+def stored(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+    """The frame, written once (in folders by the columns `by`) and read back. The table stays until the folder is emptied."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/trialforge/steps/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
