@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,6 +115,37 @@ def test_suffix_tree_brute_force(spark):
     assert sum(g[6] for g in held) > sum(g[5] for g in held) + 10
 
 
+def test_suffix_tree_sent_gains():
+    """Contexts whose tokens all occur once after them send nothing, and are judged by their counts; others send a sum each, without keys."""
+    rng = np.random.default_rng(3)
+    seq = np.array([1, 2, 9, 3, 9, 4, 9, 5, 9, 6, 1, 2, 1, 2, 1, 2, 7, 8, 0], np.uint32)  # "9" is followed by other words each time, "1" by "2", "2" by "1" twice
+    b = suffix_tree.Block(0, np.array([len(seq)]), rng.integers(0, 1 << 63, 10).astype(np.uint64), seq, np.array([True]), np.arange(1), np.zeros(1, np.int64))
+    told = [(n, np.bincount(b.grams(n, at)[0])) for n, at in ((1, np.arange(len(seq))), (2, np.arange(1, len(seq))), (3, np.arange(2, len(seq))))]
+    replies = pd.DataFrame([(n, 0, suffix_tree.squeezed(c.astype(np.uint64) << np.uint64(1) | np.uint64(1))) for n, c in told], columns=["n", "bin", "data"])
+    m = suffix_tree.Model(b, replies, len(seq), 10, 4)
+    at, context, own = m.near(1)
+    below = m.root(left_out=True)[at]
+    rows = suffix_tree.near_gains(m, 1, at, context, own, below, 0)
+    assert len(m.often[1][1]) == 3 and [(r[:3], r[3]) for r in rows] == [((0, 0, 1), None)]
+    sums = suffix_tree.dense(rows[0][4], 3, 4)
+    assert sorted(sums[:, 0]) == [0, 2, 4]
+    which = m.place_of(1, at)
+    for s, strength in enumerate(suffix_tree.STRENGTHS):
+        each = np.rint(suffix_tree.SCALE * (np.log(suffix_tree.mixed(context, own, strength, below, True)) - np.log(below)))
+        once = np.rint(suffix_tree.SCALE * np.log(4 * strength / (3 + 4 * strength)))
+        assert (np.bincount(which, each) == sums[:, 1 + s] + (4 - sums[:, 0]) * once).all()
+    kept = suffix_tree.retained(sums, np.array([4, 4, 4]), 2.0) > 0
+    assert kept[sums[:, 0] == 4].all() and not kept[sums[:, 0] == 0].any()
+    assert not suffix_tree.near_gains(m, 1, at[own < 2], context[own < 2], own[own < 2], below[own < 2], 0)
+
+
+def test_suffix_tree_order():
+    keys = np.random.default_rng(1).integers(0, 1 << 63, 3000).astype(np.uint64)
+    keys[::3] = keys[0] + np.arange(1000, dtype=np.uint64)[::-1]  # these differ in their last bits alone
+    for k in (keys, np.repeat(keys, 2), keys[:1], keys[:0]):
+        assert (suffix_tree.order_of(k) == np.argsort(k, kind="stable")).all()
+
+
 def test_suffix_tree_edges(spark, edge, none):
     rows = suffix_tree.scored(edge, F.col("doc_id") != 8).collect()
     assert len(rows) == len(TEXTS) and all(np.isfinite(r["score"]) and r["score"] <= 0 for r in rows)
